@@ -95,7 +95,8 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     members.  Rows arrive sorted, leader first, and are compared as a stream: a
     task holds one leader and one member at a time.
     """
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(_by("a")) / F.lit(STAR))).cast("int"))
+    members = pairs.groupBy("a").agg(F.count("*").alias("c"))
+    pairs = pairs.join(members, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR)).cast("int").alias("salt"))
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -129,12 +130,6 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _by(*columns):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
-
-
 def _close(percent: int, a: str = "n_a", b: str = "n_b"):
     """Sets whose sizes differ too much cannot reach the similarity."""
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
