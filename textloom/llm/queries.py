@@ -38,5 +38,11 @@ def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, pipeline)}
 ORACLE_SQL: dict[str, str] = {}

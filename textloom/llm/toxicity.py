@@ -132,15 +132,18 @@ def _features(model: ToxicModel, passages: list[tuple[int, int, float]], n: int)
     return max(over), sum(good), len(good)
 
 
-def scan(docs: DataFrame, model: ToxicModel, keep: list[str] = ()) -> DataFrame:
-    """doc_id, n_words, best, total, passages (byte spans in the UTF-8 text, calibrated score) of each document."""
-    names = ["doc_id", *keep]
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+def scan(docs: DataFrame, model: ToxicModel, keep: list[str] = (), with_text: bool = False) -> DataFrame:
+    """doc_id, n_words, best, total, passages (byte spans in the UTF-8 text, calibrated score) of each document.
+
+    Columns in ``keep`` (and the text, if asked for) pass through, even under the names above.
+    """
+    names = ["doc_id", *keep, *(["text"] if with_text else [])]
+    kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in names)).schema)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                hashes, at, starts, stops, bounds = _tokens(part.column("text"))
+                hashes, at, starts, stops, bounds = _tokens(part.column("text").cast(pa.string()))
                 place = np.searchsorted(model.words, hashes)
                 place[place == len(model.words)] = 0
                 hit = np.flatnonzero(model.words[place] == hashes) if len(model.words) else np.zeros(0, np.int64)
@@ -156,11 +159,12 @@ def scan(docs: DataFrame, model: ToxicModel, keep: list[str] = ()) -> DataFrame:
                     total.append(t)
                     spans.append([{"from": int(starts[at[i] + a] - bounds[i]), "to": int(stops[at[i] + z - 1] - bounds[i]), "score": model.lam * s - level} for a, z, s in found if model.lam * s > level])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array(np.diff(at)), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64())])))],
+                    [*(part.column(i) for i in range(len(names))), pa.array(np.diff(at)), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64())])))],
                     names=[*names, "n_words", "best", "total", "passages"],
                 )
 
-    return docs.select(*names, "text").mapInArrow(run, f"{kept}, n_words long, best double, total double, passages array<struct<from:long,to:long,score:double>>")
+    rows = docs.select(*(F.col(f"`{c}`") for c in names), *([] if with_text else ["text"]))
+    return rows.mapInArrow(run, f"{kept}, n_words long, best double, total double, passages array<struct<from:long,to:long,score:double>>")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
