@@ -12,7 +12,7 @@ from textloom.llm.graph import components
 
 BANDS, ROWS = 24, 4
 STAR = 256  # members that one copy of a leader's set is compared with
-DIRECT = 64  # buckets of up to so many components are compared directly
+DIRECT = 64  # so many members outside a bucket's largest component are compared at once
 
 
 def _second_permutation(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -142,19 +142,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shorter text is one shingle).  Texts with equal sets collapse to the smallest
     doc_id first.  Every band bucket then compares its members with its smallest
     member; what verification links is one component and is not compared again.
-    In buckets that still hold several components, members of different ones are
-    compared: directly in small buckets, and after refining the bucket by each
-    other band in large ones, so that no group is expanded into all its pairs and
-    no bucket is dropped.  A pair at exactly 0.8 misses all 24 bands of 4 with
+    In buckets that still hold several components, the members outside the largest
+    one are compared with those of all others: after more rounds of leaders, and of
+    refining the bucket by each other band, where they are many.  So no group of
+    copies is expanded into its pairs and no bucket is dropped.  A pair at exactly 0.8 misses all 24 bands of 4 with
     probability 3e-6.
 
     Null or empty texts have no shingles and link with nothing.  Rows with equal
     doc_id are one node, and each row is returned.  A row without doc_id is
     returned unlinked, with null component_id, and kept.  Other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source = split_table(docs, spark.sparkContext.defaultParallelism)
+    source = split_table(docs, docs.sparkSession.sparkContext.defaultParallelism)
     signed = materialize(signatures(source, width), "signatures")
     live = signed.where("n_shingles > 0 and doc_id is not null")
     distinct = live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min("bands").alias("bands"))
@@ -162,43 +161,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     entries = distinct.select("rep", "n", "bands", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     bucket = materialize(entries.join(shared, "key"), "buckets")
-    links = spark.createDataFrame([], "a long, b long")
-    linked = spark.createDataFrame([], "node long, component long")
-    tested = spark.createDataFrame([], "a long, b long")
-    depth = 0
-    while True:
-        # every bucket's members against its smallest member
-        lead = bucket.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"))
-        stars = bucket.join(lead, "key").where(F.col("rep") != F.col("lead.rep")).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"))
-        pairs = stars.where(_close(percent)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        links, linked, tested = _test(pairs, links, linked, tested, docs, width, percent)
-        # what is left: buckets with members of several components
-        bucket = bucket.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = bucket.groupBy("key").agg(F.count_distinct("component").alias("kinds"), F.count("*").alias("c")).where("kinds > 1")
-        bucket = materialize(bucket.join(mixed, "key"), "mixed")
-        small = bucket.where(F.col("c") <= DIRECT)
-        other = small.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("to"))
-        cross = small.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), "component").join(other, "key").where("a < b and component <> to")
-        pairs = cross.where(_close(percent)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        links, linked, tested = _test(pairs, links, linked, tested, docs, width, percent)
-        large = bucket.where(F.col("c") > DIRECT)
-        if depth >= BANDS or large.isEmpty():
+    state = _Links(docs, width, percent)
+    # every bucket's members against its smallest member
+    lead = bucket.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"))
+    state.test(_pairs(bucket.join(lead, "key").select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b")), percent))
+    # again with other leaders where many members are outside the bucket's largest component
+    for turn in (1, 2):
+        mixed = state.mixed(bucket)
+        crowded = mixed.where(F.col("strays") > DIRECT)
+        if crowded.isEmpty():
             break
-        depth += 1
-        refined = large.select("rep", "n", "bands", F.col("key").alias("old"), F.explode("bands").alias("by")).where(~F.col("old").eqNullSafe(F.col("by")))
-        refined = refined.select("rep", "n", "bands", F.xxhash64("old", "by").alias("key")).distinct()
-        again = refined.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        bucket = materialize(refined.join(again, "key"), "refined")
+        lead = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)), F.col("rep"), F.col("n"), F.col("component"))).alias("lead"))
+        stars = crowded.join(lead, "key").where(F.col("component") != F.col("lead.component"))
+        state.test(_pairs(stars.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b")), percent))
+    # what is left: members outside the largest component against the members of all others
+    mixed = state.mixed(bucket)
+    refined = mixed.where(F.col("strays") > DIRECT).select("rep", "n", "bands", F.col("key").alias("old"), F.explode("bands").alias("by")).where("old <> by")
+    refined = state.mixed(materialize(refined.select("rep", "n", "bands", F.xxhash64("old", "by").alias("key")).distinct(), "refined"))
+    rest = mixed.where(F.col("strays") <= DIRECT).unionByName(refined)
+    one = rest.where(F.col("component") != F.col("largest")).select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("own"))
+    other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), "component")
+    state.test(_pairs(one.join(other, "key").where("own <> component"), percent))
+    linked = state.linked
     named = signed.join(distinct.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(linked, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _test(pairs, links, linked, tested, docs, width, percent):
-    """Verify pairs, and join what they link to the components so far."""
-    pairs = materialize(pairs, "candidates")
-    if pairs.isEmpty():
-        return links, linked, tested
-    fresh = materialize(verify(pairs, docs, width, percent), "links")
-    links = links.unionByName(fresh)
-    return links, materialize(components(links), "components"), tested.unionByName(pairs)
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) whose set sizes allow the similarity; the smaller id leads."""
+    close = rows.where("a <> b").where(_close(percent))
+    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+class _Links:
+    """Verified links and the components they make so far."""
+
+    def __init__(self, docs: DataFrame, width: int, percent: int):
+        self.docs, self.width, self.percent = docs, width, percent
+        spark = docs.sparkSession
+        self.links = spark.createDataFrame([], "a long, b long")
+        self.tested = self.links
+        self.linked = spark.createDataFrame([], "node long, component long")
+
+    def test(self, pairs: DataFrame) -> None:
+        """Verify pairs that were not tested yet, and join what they link to the components."""
+        pairs = materialize(pairs.join(self.tested, ["a", "b"], "left_anti"), "candidates")
+        if pairs.isEmpty():
+            return
+        self.tested = self.tested.unionByName(pairs)
+        fresh = materialize(verify(pairs, self.docs, self.width, self.percent), "links")
+        if not fresh.isEmpty():
+            self.links = self.links.unionByName(fresh)
+            self.linked = materialize(components(self.links), "components")
+
+    def mixed(self, bucket: DataFrame) -> DataFrame:
+        """The buckets with several components: rows with ``component``, the bucket's ``largest`` and its ``strays``."""
+        now = bucket.select("key", "rep", "n", "bands").join(self.linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        parts = now.groupBy("key", "component").agg(F.count("*").alias("c"))
+        facts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+        facts = facts.select("key", F.col("top.component").alias("largest"), (F.col("all") - F.col("top.c")).alias("strays"))
+        return materialize(now.join(facts, "key"), "mixed")
