@@ -12,7 +12,8 @@ from textloom.llm.graph import components
 
 BANDS, ROWS = 24, 4
 STAR = 256  # members that one copy of a leader's set is compared with
-DIRECT = 64  # so many members outside a bucket's largest component are compared at once
+BLOCK = 512  # members of a crowd that are compared with as many others in one step
+_CROWDED = "strays * members > 2048"
 
 
 def _second_permutation(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -143,9 +144,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     doc_id first.  Every band bucket then compares its members with its smallest
     member; what verification links is one component and is not compared again.
     In buckets that still hold several components, the members outside the largest
-    one are compared with those of all others: after more rounds of leaders, and of
-    refining the bucket by each other band, where they are many.  So no group of
-    copies is expanded into its pairs and no bucket is dropped.  A pair at exactly 0.8 misses all 24 bands of 4 with
+    one are compared with those of all others: pair by pair where they are few; else
+    after more rounds of leaders, in blocks of all documents that such buckets join.
+    So no group of copies is expanded into its pairs and no bucket is dropped.  A pair at exactly 0.8 misses all 24 bands of 4 with
     probability 3e-6.
 
     Null or empty texts have no shingles and link with nothing.  Rows with equal
@@ -167,8 +168,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     state.test(_pairs(bucket.join(lead, "key").select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b")), percent))
     # again with other leaders where many members are outside the bucket's largest component
     for turn in (1, 2):
-        mixed = state.mixed(bucket)
-        crowded = mixed.where(F.col("strays") > DIRECT)
+        crowded = state.mixed(bucket).where(_CROWDED)
         if crowded.isEmpty():
             break
         lead = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)), F.col("rep"), F.col("n"), F.col("component"))).alias("lead"))
@@ -176,12 +176,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         state.test(_pairs(stars.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b")), percent))
     # what is left: members outside the largest component against the members of all others
     mixed = state.mixed(bucket)
-    refined = mixed.where(F.col("strays") > DIRECT).select("rep", "n", "bands", F.col("key").alias("old"), F.explode("bands").alias("by")).where("old <> by")
-    refined = state.mixed(materialize(refined.select("rep", "n", "bands", F.xxhash64("old", "by").alias("key")).distinct(), "refined"))
-    rest = mixed.where(F.col("strays") <= DIRECT).unionByName(refined)
+    rest = mixed.where(f"not ({_CROWDED})")
     one = rest.where(F.col("component") != F.col("largest")).select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("own"))
     other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), "component")
     state.test(_pairs(one.join(other, "key").where("own <> component"), percent))
+    state.test_crowds(mixed.where(_CROWDED))
     linked = state.linked
     named = signed.join(distinct.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(linked, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
@@ -215,10 +214,118 @@ class _Links:
             self.links = self.links.unionByName(fresh)
             self.linked = materialize(components(self.links), "components")
 
+    def test_crowds(self, bucket: DataFrame) -> None:
+        """Compare, in blocks, the members of crowded buckets that are in different components.
+
+        Buckets that share a member are one crowd.  Its largest component's members
+        need not meet each other: their blocks only meet the blocks of the others.
+        """
+        if bucket.isEmpty():
+            return
+        heads = bucket.groupBy("key").agg(F.min("rep").alias("b"))
+        crowds = materialize(components(bucket.join(heads, "key").select(F.col("rep").alias("a"), "b")), "crowds").select(F.col("node").alias("rep"), F.col("component").alias("crowd"))
+        rows = bucket.select("rep", "component").distinct().join(crowds, "rep")
+        parts = rows.groupBy("crowd", "component").agg(F.count("*").alias("c"))
+        top = parts.groupBy("crowd").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
+        rows = rows.join(top, "crowd").withColumn("stray", F.col("component") != F.col("top.component"))
+        share = F.ceil(F.when(F.col("stray"), F.col("all") - F.col("top.c")).otherwise(F.col("top.c")) / BLOCK)
+        rows = materialize(rows.select("crowd", "rep", "component", "stray", F.pmod(F.xxhash64("rep", F.lit(3)), share).cast("int").alias("block")), "crowd-rows")
+        blocks = rows.select("crowd", "stray", "block").distinct()
+        left = blocks.where("stray").select("crowd", F.col("block").alias("i"))
+        right = blocks.select("crowd", F.col("stray").alias("s"), F.col("block").alias("j"))
+        meet = left.join(right, "crowd").where("not s or i <= j")
+        sides = meet.select("crowd", "i", "s", "j", F.explode(F.array(F.struct(F.lit(True).alias("stray"), F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("s").alias("stray"), F.col("j").alias("block"), F.lit(1).alias("side")))).alias("x"))
+        sides = sides.select("crowd", "i", "s", "j", "x.stray", "x.block", "x.side")
+        slim = self.docs
+        sets = _set_rows(slim.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), self.width)
+        placed = rows.join(sets, F.col("rep") == F.col("node")).join(sides, ["crowd", "stray", "block"])
+        placed = placed.select(F.xxhash64("crowd", "i", "s", "j").alias("task"), "crowd", "i", "s", "j", "side", "rep", "component", "grams")
+        dealt = placed.repartition("crowd", "i", "s", "j").sortWithinPartitions("crowd", "i", "s", "j", "side")
+        fresh = materialize(dealt.select("task", "side", "rep", "component", "grams").mapInArrow(_compare_blocks(self.percent), "a long, b long"), "crowd-links")
+        if not fresh.isEmpty():
+            self.links = self.links.unionByName(fresh)
+            self.linked = materialize(components(self.links), "components")
+
     def mixed(self, bucket: DataFrame) -> DataFrame:
         """The buckets with several components: rows with ``component``, the bucket's ``largest`` and its ``strays``."""
         now = bucket.select("key", "rep", "n", "bands").join(self.linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         parts = now.groupBy("key", "component").agg(F.count("*").alias("c"))
         facts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
-        facts = facts.select("key", F.col("top.component").alias("largest"), (F.col("all") - F.col("top.c")).alias("strays"))
+        facts = facts.select("key", F.col("top.component").alias("largest"), F.col("all").alias("members"), (F.col("all") - F.col("top.c")).alias("strays"))
         return materialize(now.join(facts, "key"), "mixed")
+
+
+def _compare_blocks(percent: int):
+    """Links between the two sides of each block pair; rows of one pair follow each other.
+
+    Common shingles are counted for all pairs of a block at once: those in many
+    members by a matrix product, the others by expanding their short lists.  Only
+    links that join components are emitted, so there are fewer than members.
+    """
+
+    def links(sides):
+        (a_ids, a_parts, a_sets), (b_ids, b_parts, b_sets) = sides
+        if not a_ids or not b_ids:
+            return []
+        a_n, b_n = (np.array([len(x) for x in sets]) for sets in (a_sets, b_sets))
+        a_rows, b_rows = np.repeat(np.arange(len(a_n)), a_n), np.repeat(np.arange(len(b_n)), b_n)
+        both = np.unique(np.concatenate(a_sets + b_sets), return_inverse=True)[1]
+        a_cols, b_cols = both[: len(a_rows)], both[len(a_rows) :]
+        width = int(both.max()) + 1 if len(both) else 0
+        per_a, per_b = np.bincount(a_cols, minlength=width), np.bincount(b_cols, minlength=width)
+        common = np.zeros(len(a_n) * len(b_n), np.int64)
+        dense = np.flatnonzero(per_a * per_b > 256)
+        for at in range(0, len(dense), 4096):
+            column = np.full(width, -1, np.int64)
+            part = dense[at : at + 4096]
+            column[part] = np.arange(len(part))
+            grids = []
+            for rows, cols, n in ((a_rows, a_cols, len(a_n)), (b_rows, b_cols, len(b_n))):
+                grid, live = np.zeros((n, len(part)), np.float32), column[cols] >= 0
+                grid[rows[live], column[cols[live]]] = 1
+                grids.append(grid)
+            common += np.rint(grids[0] @ grids[1].T).astype(np.int64).reshape(-1)
+        order = np.argsort(b_cols, kind="stable")
+        starts = np.append(0, np.cumsum(per_b))
+        use = (per_a * per_b <= 256)[a_cols] & (per_b[a_cols] > 0)
+        rows, cols = a_rows[use], a_cols[use]
+        times = per_b[cols]
+        for at in range(0, len(rows), 1 << 16):
+            r, c, t = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)], times[at : at + (1 << 16)]
+            inside = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+            common += np.bincount(np.repeat(r, t) * len(b_n) + b_rows[order[np.repeat(starts[c], t) + inside]], minlength=len(common))
+        union = a_n[:, None] + b_n[None, :] - common.reshape(len(a_n), len(b_n))
+        near = 100 * common.reshape(union.shape) >= percent * union
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in np.argwhere(near & (np.array(a_parts)[:, None] != np.array(b_parts)[None, :])):
+            x, y = find(a_parts[i]), find(b_parts[j])
+            if x != y:
+                parent[x] = y
+                out.append((a_ids[i], b_ids[j]))
+        return out
+
+    def run(batches):
+        at, sides = None, [([], [], []), ([], [], [])]
+        for batch in batches:
+            found = []
+            for task, side, rep, component, grams in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                if task != at:
+                    found += links(sides)
+                    at, sides = task, [([], [], []), ([], [], [])]
+                for column, value in zip(sides[side], (rep, component, np.frombuffer(grams.as_buffer(), np.uint64).copy())):
+                    column.append(value)
+            yield _edges(found)
+        yield _edges(links(sides))
+
+    return run
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
