@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from textloom.llm.common import table
 
 
+def op3_token_store(spark, sf_dir):
+    from textloom.llm.store import new_store_path, verify_store, write_store
+
+    path = new_store_path(spark)
+    write_store(table(spark, sf_dir, "documents"), path)
+    return verify_store(spark, path)
+
+
 def op4_quality_rules(spark, sf_dir):
     from textloom.llm.rules import quality_rules
 
@@ -14,6 +22,12 @@ def op4_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_quality(spark, sf_dir):
+    from textloom.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark, sf_dir):
     from textloom.llm.mixing import mix
 
@@ -44,5 +58,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, pipeline)}
+QUERIES = {f.__name__: f for f in (op3_token_store, op4_quality_rules, op5_quality, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
