@@ -28,6 +28,12 @@ def op5_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_phrase_fingerprints(spark, sf_dir):
+    from textloom.llm.phrases import phrase_fingerprints
+
+    return phrase_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     from textloom.llm.mixing import mix
 
@@ -58,5 +64,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_store, op4_quality_rules, op5_quality, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, pipeline)}
+QUERIES = {f.__name__: f for f in (op3_token_store, op4_quality_rules, op5_quality, op6_phrase_fingerprints, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
