@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.llm import preference
 from textloom.llm.common import table
 
 
+def op2_preference_pairs(spark, sf_dir):
+    from textloom.llm.preference import preference_turns
+
+    return preference_turns(table(spark, sf_dir, "conversations"))
+
+
 def op3_token_store(spark, sf_dir):
     from textloom.llm.store import new_store_path, verify_store, write_store
 
@@ -64,5 +71,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_store, op4_quality_rules, op5_quality, op6_phrase_fingerprints, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_preference_pairs, op3_token_store, op4_quality_rules, op5_quality, op6_phrase_fingerprints, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op2_preference_pairs": preference.ORACLE}
