@@ -4,15 +4,27 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
 from textloom.llm.common import tokenizer_file
 
-#: White space in the widest sense of the libraries involved: Python's has all of Unicode's.
-_BESIDE = re.compile(r"\s\s|\A\s|\s\Z")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 400_000
+_JOINED = 256
+
+
+def _lone_blanks(text: str) -> bool:
+    """Whether all white space (Python's, which has all of the libraries') is single and inside."""
+    words = text.split()
+    return len("".join(words)) + len(words) - 1 == len(text)
+
+
+@lru_cache(maxsize=2)
+def encoder(file: str | None = None) -> "Encoder":
+    """One encoder, with its memo, for all tasks of a Python worker."""
+    return Encoder(file)
 
 
 class Encoder:
@@ -21,8 +33,11 @@ class Encoder:
     The tokenizer's pre-tokens never span a single blank that stands between two
     visible characters; such a blank begins the next one.  So a text is cut there,
     and each piece's ids are looked up in a memo or encoded once: the ids are those
-    of the whole text.  The memo is emptied when it has ``_MEMO_WORDS`` pieces.
-    Strings of special tokens inside a text are ordinary text.
+    of the whole text.  New pieces are encoded many at a time, put together by the
+    same blanks, and told apart by the byte lengths of their tokens.  The memo has
+    two halves: when the newer one has ``_MEMO_WORDS`` pieces, it replaces the older,
+    from which pieces that are met again move back.  Strings of special tokens
+    inside a text are ordinary text.
     """
 
     def __init__(self, file: str | None = None):
@@ -33,24 +48,54 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file or tokenizer_file())
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()  # byte-level: a token has a character for each byte
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.bytes_of[number] = len(token)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece after a blank, of pieces that neither begin nor end in white space."""
+        groups = [pieces[i : i + _JOINED] for i in range(0, len(pieces), _JOINED)]
+        out: list[bytes] = []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            reached = np.cumsum(self.bytes_of[ids])
+            wanted = np.cumsum([len(p.encode()) + 1 for p in group])
+            ends = np.searchsorted(reached, wanted) + 1
+            if not np.array_equal(reached[ends - 1], wanted):
+                raise ValueError("the tokenizer's tokens span a blank between words")
+            raw, at = ids.tobytes(), 0
+            for end in (4 * ends).tolist():
+                out.append(raw[at:end])
+                at = end
+        return out
 
-    def _learn(self, memo: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        fresh = [p for p in pieces if p not in memo]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast([lead + p for p in part], add_special_tokens=False)):
-                memo[piece] = np.array(found.ids, "<u4").tobytes()
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.new) > _MEMO_WORDS:
+            self.new, self.old = {}, self.new
+        new, old, fresh, odd = self.new, self.old, [], []
+        for p in pieces:
+            if p not in new:
+                if p in old:
+                    new[p] = old[p]
+                elif p[-1:].isspace() or not p:
+                    odd.append(p)
+                else:
+                    fresh.append(p)
+        new.update(zip(fresh, self._together(fresh)))
+        new.update(zip(odd, self._alone([" " + p for p in odd])))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        cut = [[] if not t else _BETWEEN.split(t) if _BESIDE.search(t) else t.split(" ") for t in texts]
-        if len(self.first) + len(self.later) > _MEMO_WORDS:
-            self.first, self.later = {}, {}
-        self._learn(self.first, {c[0] for c in cut if c}, "")
+        cut = [[] if not t else t.split(" ") if _lone_blanks(t) else _BETWEEN.split(t) for t in texts]
+        firsts = iter(self._alone([c[0] for c in cut if c]))
         rest: set[str] = set()
         for c in cut:
             rest.update(c[1:])
-        self._learn(self.later, rest, " ")
-        first, later = self.first, self.later.__getitem__
-        return [first[c[0]] + b"".join(map(later, c[1:])) if c else b"" for c in cut]
+        self._learn(rest)
+        known = self.new.__getitem__
+        return [next(firsts) + b"".join(map(known, c[1:])) if c else b"" for c in cut]

@@ -13,7 +13,7 @@ from textloom.llm.graph import components
 BANDS, ROWS = 24, 4
 STAR = 256  # members that one copy of a leader's set is compared with
 BLOCK = 512  # members of a crowd that are compared with as many others in one step
-_CROWDED = "strays * members > 2048"
+_CROWDED = "strays * members > 100"
 
 
 def _second_permutation(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -89,8 +89,8 @@ def _set_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, grams binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets (node, grams) have 100 * intersection >= percent * union.
 
     Pairs share leaders (a), so one copy of a leader's set travels for every STAR
     members.  Rows arrive sorted, leader first, and are compared as a stream: a
@@ -99,9 +99,6 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     members = pairs.groupBy("a").agg(F.count("*").alias("c"))
     pairs = pairs.join(members, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR)).cast("int").alias("salt"))
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(_set_rows(slim.join(wanted, slim.doc_id == wanted.node, "left_semi"), width), "sets")
     heads = pairs.select("a", "salt").distinct().join(sets, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "grams")
     members = pairs.join(sets, F.col("b") == F.col("node")).select("a", "salt", "b", "grams")
     rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -162,7 +159,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     entries = distinct.select("rep", "n", "bands", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     bucket = materialize(entries.join(shared, "key"), "buckets")
-    state = _Links(docs, width, percent)
+    members = bucket.select(F.col("rep").alias("doc_id")).distinct()
+    state = _Links(materialize(_set_rows(docs.join(members, "doc_id", "left_semi"), width), "sets"), percent)
     # every bucket's members against its smallest member
     lead = bucket.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"))
     state.test(_pairs(bucket.join(lead, "key").select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b")), percent))
@@ -196,9 +194,9 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
 class _Links:
     """Verified links and the components they make so far."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.docs, self.width, self.percent = docs, width, percent
-        spark = docs.sparkSession
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        spark = sets.sparkSession
         self.links = spark.createDataFrame([], "a long, b long")
         self.tested = self.links
         self.linked = spark.createDataFrame([], "node long, component long")
@@ -209,7 +207,7 @@ class _Links:
         if pairs.isEmpty():
             return
         self.tested = self.tested.unionByName(pairs)
-        fresh = materialize(verify(pairs, self.docs, self.width, self.percent), "links")
+        fresh = materialize(verify(pairs, self.sets, self.percent), "links")
         if not fresh.isEmpty():
             self.links = self.links.unionByName(fresh)
             self.linked = materialize(components(self.links), "components")
@@ -236,9 +234,7 @@ class _Links:
         meet = left.join(right, "crowd").where("not s or i <= j")
         sides = meet.select("crowd", "i", "s", "j", F.explode(F.array(F.struct(F.lit(True).alias("stray"), F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("s").alias("stray"), F.col("j").alias("block"), F.lit(1).alias("side")))).alias("x"))
         sides = sides.select("crowd", "i", "s", "j", "x.stray", "x.block", "x.side")
-        slim = self.docs
-        sets = _set_rows(slim.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), self.width)
-        placed = rows.join(sets, F.col("rep") == F.col("node")).join(sides, ["crowd", "stray", "block"])
+        placed = rows.join(self.sets, F.col("rep") == F.col("node")).join(sides, ["crowd", "stray", "block"])
         placed = placed.select(F.xxhash64("crowd", "i", "s", "j").alias("task"), "crowd", "i", "s", "j", "side", "rep", "component", "grams")
         dealt = placed.repartition("crowd", "i", "s", "j").sortWithinPartitions("crowd", "i", "s", "j", "side")
         fresh = materialize(dealt.select("task", "side", "rep", "component", "grams").mapInArrow(_compare_blocks(self.percent), "a long, b long"), "crowd-links")

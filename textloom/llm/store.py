@@ -23,25 +23,30 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import chunks as slices
 from textloom.llm.common import materialize, mix64, scratch_dir, split_table
-from textloom.llm.encode import Encoder
+from textloom.llm.encode import encoder
 
 WINDOW = 16  # ids that a rolling hash sees
 MASK = np.uint64((1 << 9) - 1)  # a cut after one id in 512
 LEAST, MOST = 64, 4096  # ids in a chunk
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the content-defined chunks of an id stream."""
-    n = len(ids)
-    if not n:
-        return []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last WINDOW ids asks for a cut.
+
+    The stream may hold several documents: a window reaches back less than LEAST
+    ids, and no chunk ends so near its document's begin.
+    """
     code = mix64(ids.astype(np.uint64) + np.uint64(1))
     rolled = code.copy()
-    for k in range(1, min(WINDOW, n)):  # a xor of the last ids, each rotated by its distance
-        turned = (code[:-k] << np.uint64(k)) | (code[:-k] >> np.uint64(64 - k))
-        rolled[k:] ^= turned
+    for k in range(1, min(WINDOW, len(ids))):  # a xor of the last ids, each rotated by its distance
+        rolled[k:] ^= (code[:-k] << np.uint64(k)) | (code[:-k] >> np.uint64(64 - k))
+    return np.flatnonzero((rolled & MASK) == 0) + 1
+
+
+def cut_points(n: int, asked: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids, with at least LEAST ids (but the last) and at most MOST."""
     ends, at = [], 0
-    for place in (np.flatnonzero((rolled & MASK) == 0) + 1).tolist():
+    for place in asked:
         while place - at > MOST:
             at += MOST
             ends.append(at)
@@ -81,16 +86,19 @@ def _encoded(docs: DataFrame, end_id: int, tokenizer: str | None) -> DataFrame:
     def run(batches):
         import zstandard
 
-        encoder, press = Encoder(tokenizer), zstandard.ZstdCompressor(level=3)
+        ids_of, press = encoder(tokenizer).encode, zstandard.ZstdCompressor(level=1)
         met: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[tuple] = []
-                for doc, raw in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
-                    raw += np.uint32(end_id).astype("<u4").tobytes()
-                    ids = np.frombuffer(raw, "<u4")
-                    digests, lengths, at = [], [], 0
-                    for end in cut_points(ids):
+                close = np.uint32(end_id).astype("<u4").tobytes()
+                streams = [raw + close for raw in ids_of(part.column("text").to_pylist())]
+                asked = marks(np.frombuffer(b"".join(streams), "<u4"))
+                bounds = np.append(0, np.cumsum([len(raw) // 4 for raw in streams]))
+                first = np.searchsorted(asked, bounds, side="right")
+                for i, (doc, raw) in enumerate(zip(part.column("doc_id").to_pylist(), streams)):
+                    n, digests, lengths, at = len(raw) // 4, [], [], 0
+                    for end in cut_points(n, (asked[first[i] : first[i + 1]] - bounds[i]).tolist()):
                         piece = raw[4 * at : 4 * end]
                         digest = hashlib.sha256(piece).digest()
                         if digest not in met:
@@ -101,7 +109,7 @@ def _encoded(docs: DataFrame, end_id: int, tokenizer: str | None) -> DataFrame:
                         digests.append(digest)
                         lengths.append(end - at)
                         at = end
-                    rows.append((doc, digests, lengths, merkle_root(digests), None, len(ids), None))
+                    rows.append((doc, digests, lengths, merkle_root(digests), None, n, None))
                 columns = list(zip(*rows)) if rows else [[]] * 7
                 kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "digests", "lengths", "root", "digest", "length", "payload"])
