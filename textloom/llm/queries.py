@@ -8,6 +8,12 @@ from textloom.llm import preference
 from textloom.llm.common import table
 
 
+def op1_suffix_tree(spark, sf_dir):
+    from textloom.llm.suffix_tree import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_preference_pairs(spark, sf_dir):
     from textloom.llm.preference import preference_turns
 
@@ -71,5 +77,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_preference_pairs, op3_token_store, op4_quality_rules, op5_quality, op6_phrase_fingerprints, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_preference_pairs, op3_token_store, op4_quality_rules, op5_quality, op6_phrase_fingerprints, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op2_preference_pairs": preference.ORACLE}
