@@ -141,8 +141,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     doc_id first.  Every band bucket then compares its members with its smallest
     member; what verification links is one component and is not compared again.
     In buckets that still hold several components, the members outside the largest
-    one are compared with those of all others: pair by pair where they are few; else
-    after more rounds of leaders, in blocks of all documents that such buckets join.
+    one are compared with those of all others: pair by pair where they are few, else
+    in blocks of all documents that such buckets join.
     So no group of copies is expanded into its pairs and no bucket is dropped.  A pair at exactly 0.8 misses all 24 bands of 4 with
     probability 3e-6.
 
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     live = signed.where("n_shingles > 0 and doc_id is not null")
     distinct = live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min("bands").alias("bands"))
     distinct = materialize(distinct, "distinct")
-    entries = distinct.select("rep", "n", "bands", F.explode("bands").alias("key"))
+    entries = distinct.select("rep", "n", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     bucket = materialize(entries.join(shared, "key"), "buckets")
     members = bucket.select(F.col("rep").alias("doc_id")).distinct()
@@ -164,21 +164,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # every bucket's members against its smallest member
     lead = bucket.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"))
     state.test(_pairs(bucket.join(lead, "key").select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b")), percent))
-    # again with other leaders where many members are outside the bucket's largest component
-    for turn in (1, 2):
-        crowded = state.mixed(bucket).where(_CROWDED)
-        if crowded.isEmpty():
-            break
-        lead = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)), F.col("rep"), F.col("n"), F.col("component"))).alias("lead"))
-        stars = crowded.join(lead, "key").where(F.col("component") != F.col("lead.component"))
-        state.test(_pairs(stars.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b")), percent))
     # what is left: members outside the largest component against the members of all others
     mixed = state.mixed(bucket)
     rest = mixed.where(f"not ({_CROWDED})")
     one = rest.where(F.col("component") != F.col("largest")).select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("own"))
     other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), "component")
-    state.test(_pairs(one.join(other, "key").where("own <> component"), percent))
-    state.test_crowds(mixed.where(_CROWDED))
+    state.test(_pairs(one.join(other, "key").where("own <> component"), percent), more=state.crowd_links(mixed.where(_CROWDED)))
     linked = state.linked
     named = signed.join(distinct.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(linked, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
@@ -197,29 +188,26 @@ class _Links:
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
         spark = sets.sparkSession
-        self.links = spark.createDataFrame([], "a long, b long")
-        self.tested = self.links
+        self.tested = spark.createDataFrame([], "a long, b long")
         self.linked = spark.createDataFrame([], "node long, component long")
 
-    def test(self, pairs: DataFrame) -> None:
-        """Verify pairs that were not tested yet, and join what they link to the components."""
+    def test(self, pairs: DataFrame, more: DataFrame | None = None) -> None:
+        """Verify pairs that were not tested yet; they and the links in ``more`` join the components."""
         pairs = materialize(pairs.join(self.tested, ["a", "b"], "left_anti"), "candidates")
-        if pairs.isEmpty():
-            return
         self.tested = self.tested.unionByName(pairs)
-        fresh = materialize(verify(pairs, self.sets, self.percent), "links")
+        fresh = verify(pairs, self.sets, self.percent)
+        fresh = materialize(fresh if more is None else fresh.unionByName(more), "links")
         if not fresh.isEmpty():
-            self.links = self.links.unionByName(fresh)
-            self.linked = materialize(components(self.links), "components")
+            self.linked = materialize(components(self.linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)), "components")
 
-    def test_crowds(self, bucket: DataFrame) -> None:
+    def crowd_links(self, bucket: DataFrame) -> DataFrame | None:
         """Compare, in blocks, the members of crowded buckets that are in different components.
 
         Buckets that share a member are one crowd.  Its largest component's members
         need not meet each other: their blocks only meet the blocks of the others.
         """
         if bucket.isEmpty():
-            return
+            return None
         heads = bucket.groupBy("key").agg(F.min("rep").alias("b"))
         crowds = materialize(components(bucket.join(heads, "key").select(F.col("rep").alias("a"), "b")), "crowds").select(F.col("node").alias("rep"), F.col("component").alias("crowd"))
         rows = bucket.select("rep", "component").distinct().join(crowds, "rep")
@@ -237,14 +225,11 @@ class _Links:
         placed = rows.join(self.sets, F.col("rep") == F.col("node")).join(sides, ["crowd", "stray", "block"])
         placed = placed.select(F.xxhash64("crowd", "i", "s", "j").alias("task"), "crowd", "i", "s", "j", "side", "rep", "component", "grams")
         dealt = placed.repartition("crowd", "i", "s", "j").sortWithinPartitions("crowd", "i", "s", "j", "side")
-        fresh = materialize(dealt.select("task", "side", "rep", "component", "grams").mapInArrow(_compare_blocks(self.percent), "a long, b long"), "crowd-links")
-        if not fresh.isEmpty():
-            self.links = self.links.unionByName(fresh)
-            self.linked = materialize(components(self.links), "components")
+        return dealt.select("task", "side", "rep", "component", "grams").mapInArrow(_compare_blocks(self.percent), "a long, b long")
 
     def mixed(self, bucket: DataFrame) -> DataFrame:
         """The buckets with several components: rows with ``component``, the bucket's ``largest`` and its ``strays``."""
-        now = bucket.select("key", "rep", "n", "bands").join(self.linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        now = bucket.select("key", "rep", "n").join(self.linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         parts = now.groupBy("key", "component").agg(F.count("*").alias("c"))
         facts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
         facts = facts.select("key", F.col("top.component").alias("largest"), F.col("all").alias("members"), (F.col("all") - F.col("top.c")).alias("strays"))

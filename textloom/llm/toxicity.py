@@ -177,9 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     LEXICON best of them at most.  Any other word scores ``drift``.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
-    once = rows.groupBy(F.xxhash64("text"), F.crc32(F.col("text").cast("binary"))).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = rows.join(once, "doc_id", "left_semi")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    prints = texts.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32(F.col("text").cast("binary")).alias("h2")).join(known, "doc_id")
+    once = materialize(prints.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.doc_id", "x.toxic"), "labelled")
+    rows = texts.join(once.hint("merge"), "doc_id")  # one plan for any size: labels grow with the corpus
     counts = word_table(rows).groupBy("word").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("o"))
     counts = materialize(counts, "words")
     total = counts.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
@@ -204,9 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     drift = min(-0.05, math.log((1 - in_toxic) / max(1e-6, chances[-1])), -1.2 * float(np.sum(chances[:-1] * weights)) / chances[-1])
     lam = _karlin(np.append(weights, drift), chances)
     model = ToxicModel(words, weights, drift, lam, 0.1)
-    spread = split_table(rows, docs.sparkSession.sparkContext.defaultParallelism)
-    sample = spread.withColumn("order", F.xxhash64("doc_id", F.lit(8))).orderBy("order").select("doc_id", "order").limit(SAMPLE)
-    feats = scan(rows.join(sample.select("doc_id"), "doc_id"), model, ["toxic"]).select("best", "total", "toxic").collect()
+    sample = once.withColumn("order", F.xxhash64("doc_id", F.lit(8))).orderBy("order", "doc_id").limit(SAMPLE).select("doc_id", "toxic")
+    feats = scan(texts.join(F.broadcast(sample), "doc_id"), model, ["toxic"]).select("best", "total", "toxic").collect()
     bias, slope, many = _logistic(np.array([[_squash(f["best"]), math.log1p(f["total"])] for f in feats]), np.array([f["toxic"] for f in feats], float))
     return ToxicModel(words, weights, drift, lam, 0.1, bias, slope, many)
 
