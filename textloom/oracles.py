@@ -1,3 +1,107 @@
 """DuckDB SQL for the registered queries."""
 
-ORACLES: dict[str, str] = {}
+_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def _bm25(source: str, key: str) -> str:
+    terms = ["that", "idiot", "tion"]
+    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) as tf{i}" for i, w in enumerate(terms))
+    df = ", ".join(f"sum(case when tf{i} > 0 then 1 else 0 end) as df{i}" for i in range(3))
+    score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(3))
+    return f"""w as (select {key}, {_TOKENS} as t from {source}), c as (select {key}, len(t) as dl, {tf} from w),
+      f as (select count(*) as n, avg(dl) as avgdl, {df} from c),
+      hits as (select {key}, {score} as score from c, f where tf0 > 0 or tf1 > 0 or tf2 > 0)"""
+
+
+_COSINE = """near as (select e.vec_id, coalesce(list_dot_product(e.embedding::double[], q.embedding::double[]) /
+  nullif(sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])), 0), 0) as score
+  from embeddings e, (select embedding from embeddings where vec_id = 0) q)"""
+
+_FOLD = r"lower(regexp_replace(text, '[^\p{L}\p{Nd}]', '', 'g'))"
+_SHINGLES = f"""body as (select item_id, {_FOLD} as b from benchmark), s as (
+  select item_id, at_ as p0, cast('0x' || substr(md5(substr(b, cast(at_ as integer) + 1, 32)), 1, 15) as bigint) as hash
+  from (select item_id, b, unnest(range(0, length(b) - 31)) as at_ from body where length(b) >= 32))"""
+_CANDIDATES = f"""{_SHINGLES}, k as (select distinct item_id, hash from s where hash & 31 = 0),
+  g as (select hash from k group by hash having count(*) >= 12),
+  cand as (select x.item_id as a, y.item_id as b, count(*) as shared from k x join k y on x.hash = y.hash
+    where y.hash not in (select hash from g) group by 1, 2 having count(*) >= 3)"""
+_LINES = r"list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
+_CONTENT = r"length(regexp_replace(text, '[^\p{L}\p{Nd}]', '', 'g'))"
+_SUSPICION = f"""case when len({_LINES}) = 0 then '' when len({_LINES}) >= 4 and list_avg(list_transform({_LINES}, lambda x: length(trim(x)))) < 6 then 'short-lines'
+  when {_CONTENT} < 220 then 'thin' else '' end"""
+_BARE = r"regexp_replace(regexp_replace(x, '^[^\p{L}\p{Nd}]+', ''), '[^\p{L}\p{Nd}]+$', '')"
+_WORDLIKE = f"""case when length({_BARE}) > 24 then false when length({_BARE}) = 0 then false when regexp_full_match({_BARE}, '\\p{{Nd}}+') then true
+  when length(regexp_replace({_BARE}, '[^\\p{{L}}]', '', 'g')) >= 3 then regexp_matches(lower({_BARE}), '[aeiouy]') else length(regexp_replace({_BARE}, '[^\\p{{L}}]', '', 'g')) > 0 end"""
+_FLAT = r"trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))"
+
+ORACLES: dict[str, str] = {
+    "bm25_search": f"with {_bm25('documents', 'doc_id')} select doc_id, round(score, 6) as score from hits order by hits.score desc, doc_id limit 10",
+    "bm25_under_path": f"with {_bm25('documents', 'doc_id')} select doc_id, 'doc/' || doc_id as path, round(score, 6) as score from hits where starts_with('doc/' || doc_id, 'doc/1') order by hits.score desc, doc_id limit 10",
+    "cosine_search": f"with {_COSINE} select vec_id, round(score, 6) as score from near order by near.score desc, vec_id limit 10",
+    "hybrid_search": f"""with {_bm25('documents', 'doc_id')}, {_COSINE},
+      l as (select doc_id as id, row_number() over (order by score desc, doc_id) as r from hits qualify r <= 40),
+      d as (select vec_id as id, row_number() over (order by score desc, vec_id) as r from near qualify r <= 40),
+      u as (select * from l union all select * from d), f as (select id, sum(1.0 / (60 + r - 1)) as score from u group by id)
+      select id, round(score, 6) as score from f order by f.score desc, id limit 10""",
+    "postings_stats": f"select term, count(distinct item_id) as df, count(*) as cf from (select item_id, unnest({_TOKENS}) as term from benchmark) group by term",
+    "best_turn_of_conversation": f"""with t0 as (select *, conv_id * 1000 + turn as frag_id from conversations), {_bm25('t0', 'frag_id')},
+      r as (select frag_id // 1000 as conv_id, frag_id, round(score, 6) as score from hits)
+      select conv_id, frag_id, score from r qualify row_number() over (partition by conv_id order by score desc, frag_id) = 1""",
+    "match_documents": "select doc_id, 'doc/' || doc_id as path, source as title from documents where contains(lower(source), 'src1') or contains('doc/' || doc_id, 'src1')",
+    "branch_overlay": """select doc_id, source, n_chars from documents where doc_id % 5 <> 0 and doc_id % 7 <> 0
+      union all select doc_id, 'branch', n_chars + 1 from documents where doc_id % 5 = 0""",
+    "page_range": "select conv_id, count(*) as pages, cast(sum(length(text)) as bigint) as chars from conversations where turn between 1 and 3 group by conv_id",
+    "document_summaries": "select doc_id, source, coalesce(n, 0) as fragments from documents left join (select conv_id, count(*) as n from conversations group by 1) on conv_id = doc_id",
+    "text_facts": f"select doc_id, {_CONTENT} as content_chars, sha256({_FOLD}) as folded, coalesce(list_max(list_transform(string_split(text, chr(10)), lambda x: strlen(x))) >= 5000, false) as minified, sha256({_FLAT}) as identity from documents",
+    "page_gates": f"""select conv_id, turn, case when len({_WORDS}) = 0 then 'ok'
+      when length(regexp_replace(text, '[^\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) / length(text) > 0.05 then 'junk'
+      when (turn % 10) / 10.0 > 0 and (turn % 10) / 10.0 < 0.55 then 'confidence'
+      when len({_WORDS}) >= 8 and len(list_filter({_WORDS}, lambda x: {_WORDLIKE})) / len({_WORDS}) < 0.35 then 'words' else 'ok' end as verdict,
+      {_SUSPICION} as suspicion from conversations""",
+    "line_repetition": f"select doc_id, round(case when len({_LINES}) > 0 then 1 - len(list_distinct({_LINES})) / len({_LINES}) else 0 end, 6) as repetition from documents",
+    "numeric_tokens": r"""select doc_id, array_to_string(list_sort(list_distinct(n)), ' ') as numbers from (
+      select doc_id, list_filter(regexp_extract_all(regexp_replace(regexp_replace(text, '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g'), '\d+(?:\.\d+)?'), lambda x: length(x) >= 2) as n from documents) where len(n) > 0""",
+    "html_to_text": "select page_id, sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(html, '<[^<>]*>', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) as text from pages",
+    "clipped_titles": f"""select doc_id, case when length({_FLAT}) > 60 then substr({_FLAT}, 1, 60) || '…' else {_FLAT} end as title,
+      case when instr(text, 'idiot') > 0 then substr(text, greatest(instr(text, 'idiot') - 80, 1), instr(text, 'idiot') + 85 - greatest(instr(text, 'idiot') - 80, 1)) else substr(text, 1, 160) end as excerpt from documents""",
+    "url_kinds": """select page_id, case when regexp_matches(p, '[.](xlsx|xls)$') then 'spreadsheet' when regexp_matches(p, '[.](eml|mbox)$') then 'email'
+      when regexp_matches(p, '[.](docx|doc|odt|rtf|pptx)$') then 'office' when regexp_matches(p, '[.](png|jpg|jpeg|gif|tif|tiff|webp)$') then 'image'
+      when regexp_matches(p, '[.]pdf$') then 'pdf' when regexp_matches(p, '[.](txt|md|csv|html|htm|json)$') then 'text' else 'unknown' end as kind,
+      case when regexp_replace(lower(url), '[^a-z0-9_-]', '', 'g') = '' then 'default' else regexp_replace(lower(url), '[^a-z0-9_-]', '', 'g') end as index_name
+      from (select page_id, url, lower(url || ['.pdf', '.md', '.PNG', '.xlsx', '.eml', '', '.docx'][page_id % 7 + 1]) as p from pages)""",
+    "identical_groups": "select sha256(text) as content_hash, array_to_string(list_sort(list(doc_id)), ',') as members from documents where text <> '' group by 1 having count(*) > 1",
+    "same_bytes": "select doc_id, min(doc_id) over (partition by sha256(text)) as first, count(*) over (partition by sha256(text)) as members from documents where text <> '' qualify count(*) over (partition by sha256(text)) > 1",
+    "sketch_facts": f"with {_SHINGLES} select item_id, count(distinct hash) as total, count(distinct hash) filter (hash & 31 = 0) as sampled from s group by item_id",
+    "overlap_candidates": f"with {_CANDIDATES} select a, b, shared from cand",
+    "shingle_similarity": f"""with {_CANDIDATES}, d as (select distinct item_id, hash from s), n as (select item_id, count(*) as n from d group by 1),
+      m as (select a, b, count(*) as common from cand join d x on x.item_id = a join d y on y.item_id = b and x.hash = y.hash group by 1, 2)
+      select a, b, common, round(common / (p.n + q.n - common), 6) as jaccard, round(common / p.n, 6) as a_in_b, round(common / q.n, 6) as b_in_a
+      from m join n p on p.item_id = a join n q on q.item_id = b""",
+    "alignment_runs": f"""with {_SHINGLES}, d as (select x.item_id as a, y.item_id as b, x.p0 as p, y.p0 - x.p0 as delta from s x join s y on x.hash = y.hash and x.item_id <= y.item_id),
+      i as (select *, case when p - lag(p) over (partition by a, b, delta order by p) <= 32 then 0 else 1 end as new from d),
+      g as (select *, sum(new) over (partition by a, b, delta order by p) as island from i)
+      select a, b, min(p) as from_a, max(p) + 32 as to_a, min(p) + delta as from_b, max(p) + 32 + delta as to_b from g group by a, b, delta, island having max(p) + 32 - min(p) >= 40""",
+    "covered_intervals": """with i as (select user_id, epoch(ts)::bigint as lo from events), s as (select user_id, lo, lead(lo) over (partition by user_id order by lo) as nx from (select distinct user_id, floor(lo)::bigint as lo from i))
+      select user_id, cast(sum(least(3600, coalesce(nx - lo, 3600))) as bigint) as covered from s group by user_id""",
+    "page_rates": f"""with t as (select distinct conv_id, turn, unnest({_TOKENS}) as term from conversations), n as (select conv_id, turn, count(*) as n from t group by 1, 2),
+      c as (select t.conv_id, t.turn, count(*) as common from t join t u on t.conv_id = u.conv_id and u.turn = t.turn + 1 and t.term = u.term group by 1, 2)
+      select case when coalesce(common, 0) / n >= 0.999 then 'clean' when coalesce(common, 0) / n >= 0.6 then 'noisy' when coalesce(common, 0) > 0 then 'poor' else 'missing' end as bucket, count(*) as pages
+      from n left join c using (conv_id, turn) group by 1""",
+    "fragment_round_trip": "select doc_id, sha256(text) as digest from documents",
+    "job_counts": "select user_id, count(*) filter (event_type <> 'error') as done, count(*) filter (event_type = 'error') as error, count(distinct event_type) as kinds from events group by 1",
+    "queue_positions": "select event_id, user_id, event_type, row_number() over (partition by user_id order by case when event_type = 'click' then 0 else 1 end, event_id) as position from events",
+    "recent_rate": "select event_type, round(avg(value), 6) as mean_seconds, count(*) as jobs from (select * from events qualify row_number() over (partition by event_type order by event_id desc) <= 10) group by 1",
+    "deduped_queue": "select min(event_id) as event_id, user_id || '/' || event_type as url from events group by user_id, event_type",
+    "latest_rulings": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
+    "active_readings": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by (event_type = 'purchase')::int desc, event_id desc) = 1",
+    "not_withdrawn": "select doc_id, source from documents where doc_id not in (select doc_id from labels where toxic = 1)",
+    "attestation_stats": "select source, count(*) as units, count(*) filter (quality = 1) as affirmed, count(*) filter (quality = 0) as refused, count(*) filter (quality is null) as open from documents left join labels using (doc_id) group by 1",
+    "pool_retained": "select source, doc_id, n_chars, running from (select source, doc_id, n_chars, cast(sum(n_chars) over (partition by source order by doc_id desc rows unbounded preceding) as bigint) as running from documents) where running <= 50000",
+    "oversized_documents": "select conv_id, max(length(text)) as longest from conversations group by 1 having max(length(text)) > 300",
+    "problem_report": f"""select 0 as rank, 'no-fragments' as kind, cast(doc_id as varchar) as subject from documents where doc_id not in (select conv_id from conversations)
+      union all select 1, 'thin', cast(doc_id as varchar) from documents where {_SUSPICION} = 'thin'
+      union all select 2, 'job-failed', cast(user_id as varchar) from (select user_id, arg_max(event_type, event_id) as last from events group by 1) where last = 'error'
+      union all select 3, 'withdrawn', cast(doc_id as varchar) from labels where toxic = 1""",
+    "windowed_job_metrics": "select date_trunc('day', ts) as window_start, count(*) as jobs, count(*) filter (event_type = 'error') as failed, round(avg(value), 6) as mean_value from events group by 1",
+}

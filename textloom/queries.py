@@ -1,10 +1,242 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables: each applies one operator to its whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import text as T
+from textloom.operators import fragments as parts
+from textloom.operators import jobs, overlap, search
+from textloom.streaming.jobs import windowed_metrics
+
+TERMS = ["that", "idiot", "tion"]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _documents(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id"))).withColumnRenamed("source", "title")
+
+
+def _turns(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations")
+    return turns.withColumn("frag_id", F.col("conv_id") * 1000 + F.col("turn"))
+
 
 def bm25_search(spark, sf_dir):
-    raise NotImplementedError
+    hits = search.bm25(read(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
+    return _rounded(search.top(hits, "doc_id", 10), "score")
+
+
+def bm25_under_path(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    hits = search.bm25(docs, "doc_id", "text", TERMS).withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id")))
+    return _rounded(search.top(hits.where(search.under("path", "doc/1")), "doc_id", 10), "score")
+
+
+def _nearest(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return search.cosine(vectors, "vec_id", "embedding", vectors.where("vec_id = 0").select(F.col("embedding").alias("q")))
+
+
+def cosine_search(spark, sf_dir):
+    return _rounded(search.top(_nearest(spark, sf_dir), "vec_id", 10), "score")
+
+
+def hybrid_search(spark, sf_dir):
+    lexical = search.top(search.bm25(read(spark, sf_dir, "documents"), "doc_id", "text", TERMS), "doc_id", 40).select(F.col("doc_id").alias("id"), "score")
+    dense = search.top(_nearest(spark, sf_dir), "vec_id", 40).select(F.col("vec_id").alias("id"), "score")
+    return _rounded(search.top(search.fuse([lexical, dense], "id"), "id", 10), "score")
+
+
+def postings_stats(spark, sf_dir):
+    found = search.postings(read(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def best_turn_of_conversation(spark, sf_dir):
+    hits = search.bm25(_turns(spark, sf_dir), "frag_id", "text", TERMS).withColumn("conv_id", F.floor(F.col("frag_id") / 1000)).withColumn("score", F.round("score", 6))
+    return search.best_of_each(hits, "conv_id", "frag_id")
+
+
+def match_documents(spark, sf_dir):
+    return search.match_documents(_documents(spark, sf_dir).select("doc_id", "path", "title"), "SRC1").select("doc_id", "path", "title")
+
+
+def branch_overlay(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    edited = docs.where("doc_id % 5 = 0").select("doc_id", F.lit("branch").alias("source"), (F.col("n_chars") + 1).alias("n_chars"))
+    return search.overlay(docs, edited, docs.where("doc_id % 7 = 0"), "doc_id")
+
+
+def page_range(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").where("turn between 1 and 3").groupBy("conv_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
+
+
+def document_summaries(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    counts = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("n"))
+    return docs.join(counts, "doc_id", "left").select("doc_id", "source", F.coalesce("n", F.lit(0)).alias("fragments"))
+
+
+def text_facts(spark, sf_dir):
+    text = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", T.content_chars(text).alias("content_chars"), F.sha2(T.fold(text), 256).alias("folded"), F.coalesce(T.minified(text), F.lit(False)).alias("minified"), T.identity_hash(text).alias("identity"))
+
+
+def page_gates(spark, sf_dir):
+    text = F.col("text")
+    confidence = (F.col("turn") % 10) / 10.0
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.gibberish(text, confidence).alias("verdict"), T.suspicion(text).alias("suspicion"))
+
+
+def line_repetition(spark, sf_dir):
+    return _rounded(read(spark, sf_dir, "documents").select("doc_id", T.line_repetition(F.col("text")).alias("repetition")), "repetition")
+
+
+def numeric_tokens(spark, sf_dir):
+    found = read(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(T.numeric_tokens(F.col("text")))).alias("numbers"))
+    return found.where(F.size("numbers") > 0).select("doc_id", F.array_join("numbers", " ").alias("numbers"))
+
+
+def html_to_text(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2(T.html_text(F.col("html")), 256).alias("text"))
+
+
+def clipped_titles(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.one_line(F.col("text"), 60).alias("title"), T.excerpt_around(F.col("text"), "idiot").alias("excerpt"))
+
+
+def url_kinds(spark, sf_dir):
+    path = F.concat(F.col("url"), F.element_at(F.array(*map(F.lit, [".pdf", ".md", ".PNG", ".xlsx", ".eml", "", ".docx"])), (F.col("page_id") % 7 + 1).cast("int")))
+    return read(spark, sf_dir, "pages").select("page_id", T.document_kind(path).alias("kind"), T.index_name(F.col("url")).alias("index_name"))
+
+
+def identical_groups(spark, sf_dir):
+    found = overlap.identical_groups(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("content_hash", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+def same_bytes(spark, sf_dir):
+    return overlap.copies(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _passages(spark, sf_dir, key):
+    return overlap.shingles(read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", key)
+
+
+def sketch_facts(spark, sf_dir):
+    return overlap.sketch_facts(_passages(spark, sf_dir, "item_id"), "item_id")
+
+
+def overlap_candidates(spark, sf_dir):
+    return overlap.candidates(overlap.sketch(_passages(spark, sf_dir, "a"), "a"), overlap.sketch(_passages(spark, sf_dir, "b"), "b"))
+
+
+def shingle_similarity(spark, sf_dir):
+    a, b = (_passages(spark, sf_dir, key).select(key, "hash").distinct() for key in "ab")
+    pairs = overlap.candidates(overlap.sketch(_passages(spark, sf_dir, "a"), "a"), overlap.sketch(_passages(spark, sf_dir, "b"), "b"))
+    return _rounded(overlap.similarity(a, b, pairs), "jaccard", "a_in_b", "b_in_a")
+
+
+def alignment_runs(spark, sf_dir):
+    a, b = _passages(spark, sf_dir, "a"), _passages(spark, sf_dir, "b")
+    seeds = a.withColumnRenamed("at", "at_a").join(b.withColumnRenamed("at", "at_b"), "hash").where("a <= b")
+    return overlap.runs(seeds)
+
+
+def covered_intervals(spark, sf_dir):
+    spans = read(spark, sf_dir, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("lo"), (F.unix_seconds(F.col("ts").cast("timestamp")) + 3600).alias("hi"))
+    return overlap.union_length(spans, "user_id", "lo", "hi")
+
+
+def page_rates(spark, sf_dir):
+    tokens = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    sizes = tokens.groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
+    later = tokens.select("conv_id", (F.col("turn") - 1).alias("turn"), "term")
+    common = tokens.join(later, ["conv_id", "turn", "term"]).groupBy("conv_id", "turn").agg(F.count("*").alias("common"))
+    share = F.coalesce(F.col("common"), F.lit(0)) / F.col("n")
+    bucket = F.when(share >= 0.999, "clean").when(share >= 0.6, "noisy").when(share > 0, "poor").otherwise("missing")
+    return sizes.join(common, ["conv_id", "turn"], "left").select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("pages"))
+
+
+def fragment_round_trip(spark, sf_dir):
+    whole = parts.reassemble(parts.fragments(read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return whole.select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+def job_counts(spark, sf_dir):
+    state = F.when(F.col("event_type") == "error", "error").otherwise("done")
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(state == "done").alias("done"), F.count_if(state == "error").alias("error"), F.count_distinct("event_type").alias("kinds"))
+
+
+def queue_positions(spark, sf_dir):
+    return jobs.queue_positions(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), F.col("event_type") == "click", "event_id", "user_id")
+
+
+def recent_rate(spark, sf_dir):
+    return _rounded(jobs.rate(read(spark, sf_dir, "events"), "event_type", "event_id", "value"), "mean_seconds")
+
+
+def deduped_queue(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", F.concat_ws("/", "user_id", "event_type").alias("url"))
+    return jobs.dedupe(rows, "url", "event_id")
+
+
+def latest_rulings(spark, sf_dir):
+    return jobs.latest(read(spark, sf_dir, "events"), ["user_id"], F.col("event_id"), "event_id", "event_type", "value")
+
+
+def active_readings(spark, sf_dir):
+    return jobs.active_reading(read(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "purchase", "event_type", "value")
+
+
+def not_withdrawn(spark, sf_dir):
+    blocked = read(spark, sf_dir, "labels").where("toxic = 1")
+    return jobs.guarded(read(spark, sf_dir, "documents").select("doc_id", "source"), blocked, "doc_id")
+
+
+def attestation_stats(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.groupBy("source").agg(F.count("*").alias("units"), F.count_if(F.expr("quality = 1")).alias("affirmed"), F.count_if(F.expr("quality = 0")).alias("refused"), F.count_if(F.expr("quality is null")).alias("open"))
+
+
+def pool_retained(spark, sf_dir):
+    return jobs.retained(read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 50_000)
+
+
+def oversized_documents(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.length("text")).alias("longest")).where("longest > 300")
+
+
+def problem_report(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    events = read(spark, sf_dir, "events")
+    failed = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last")).where("last = 'error'")
+    return jobs.problems([
+        ("no-fragments", docs.join(turns, "doc_id", "left_anti").select(F.col("doc_id").alias("subject"))),
+        ("thin", docs.where(T.suspicion(F.col("text")) == "thin").select(F.col("doc_id").alias("subject"))),
+        ("job-failed", failed.select(F.col("user_id").alias("subject"))),
+        ("withdrawn", labels.where("toxic = 1").select(F.col("doc_id").alias("subject"))),
+    ])
+
+
+def windowed_job_metrics(spark, sf_dir):
+    return _rounded(windowed_metrics(read(spark, sf_dir, "events")), "mean_value")
 
 
-QUERIES = {}
+QUERIES = {f.__name__: f for f in (
+    bm25_search, bm25_under_path, cosine_search, hybrid_search, postings_stats, best_turn_of_conversation, match_documents, branch_overlay, page_range,
+    document_summaries, text_facts, page_gates, line_repetition, numeric_tokens, html_to_text, clipped_titles, url_kinds, identical_groups, same_bytes,
+    sketch_facts, overlap_candidates, shingle_similarity, alignment_runs, covered_intervals, page_rates, fragment_round_trip, job_counts, queue_positions,
+    recent_rate, deduped_queue, latest_rulings, active_readings, not_withdrawn, attestation_stats, pool_retained, oversized_documents, problem_report, windowed_job_metrics,
+)}
