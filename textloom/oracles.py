@@ -42,8 +42,8 @@ ORACLES: dict[str, str] = {
     "hybrid_search": f"""with {_bm25('documents', 'doc_id')}, {_COSINE},
       l as (select doc_id as id, row_number() over (order by score desc, doc_id) as r from hits qualify r <= 40),
       d as (select vec_id as id, row_number() over (order by score desc, vec_id) as r from near qualify r <= 40),
-      u as (select * from l union all select * from d), f as (select id, sum(1.0 / (60 + r - 1)) as score from u group by id)
-      select id, round(score, 6) as score from f order by f.score desc, id limit 10""",
+      u as (select * from l union all select * from d), fused as (select id, sum(1.0 / (60 + r - 1)) as score from u group by id)
+      select id, round(score, 6) as score from fused order by fused.score desc, id limit 10""",
     "postings_stats": f"select term, count(distinct item_id) as df, count(*) as cf from (select item_id, unnest({_TOKENS}) as term from benchmark) group by term",
     "best_turn_of_conversation": f"""with t0 as (select *, conv_id * 1000 + turn as frag_id from conversations), {_bm25('t0', 'frag_id')},
       r as (select frag_id // 1000 as conv_id, frag_id, round(score, 6) as score from hits)
@@ -82,7 +82,7 @@ ORACLES: dict[str, str] = {
       i as (select *, case when p - lag(p) over (partition by a, b, delta order by p) <= 32 then 0 else 1 end as new from d),
       g as (select *, sum(new) over (partition by a, b, delta order by p) as island from i)
       select a, b, min(p) as from_a, max(p) + 32 as to_a, min(p) + delta as from_b, max(p) + 32 + delta as to_b from g group by a, b, delta, island having max(p) + 32 - min(p) >= 40""",
-    "covered_intervals": """with i as (select user_id, epoch(ts)::bigint as lo from events), s as (select user_id, lo, lead(lo) over (partition by user_id order by lo) as nx from (select distinct user_id, floor(lo)::bigint as lo from i))
+    "covered_intervals": """with i as (select user_id, floor(epoch(ts))::bigint as lo from events), s as (select user_id, lo, lead(lo) over (partition by user_id order by lo) as nx from (select distinct user_id, lo from i))
       select user_id, cast(sum(least(3600, coalesce(nx - lo, 3600))) as bigint) as covered from s group by user_id""",
     "page_rates": f"""with t as (select distinct conv_id, turn, unnest({_TOKENS}) as term from conversations), n as (select conv_id, turn, count(*) as n from t group by 1, 2),
       c as (select t.conv_id, t.turn, count(*) as common from t join t u on t.conv_id = u.conv_id and u.turn = t.turn + 1 and t.term = u.term group by 1, 2)
