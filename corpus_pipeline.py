@@ -16,7 +16,7 @@ from textloom.llm.toxicity import fit, scan, score_column
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids`` (a null id counts as a value)."""
     names = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(names, docs.doc_id.cast("long").eqNullSafe(names._id), "left_semi")
+    return docs.join(names.hint("merge"), docs.doc_id.cast("long").eqNullSafe(names._id), "left_semi")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

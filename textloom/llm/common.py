@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+BATCH_ROWS = "2000"  # rows that Arrow hands over at once: texts are long
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -52,6 +53,7 @@ def fold_of(column: str, modulus: int):
 
 def split_table(df: DataFrame, partitions: int) -> DataFrame:
     """Spread an input of few files over at least ``partitions`` tasks; larger inputs stay as they are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df if df.rdd.getNumPartitions() >= partitions else df.repartition(partitions)
 
 

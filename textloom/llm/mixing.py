@@ -135,5 +135,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     sized = docs.withColumn("_n", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
     sized = sized.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))))
-    met = sized.join(taken, sized.doc_id.cast("long").eqNullSafe(taken._doc) & sized.source.eqNullSafe(taken._source) & (sized._n == taken._size) & (sized._at == taken._copy))
+    met = sized.join(taken.hint("merge"), sized.doc_id.cast("long").eqNullSafe(taken._doc) & sized.source.eqNullSafe(taken._source) & (sized._n == taken._size) & (sized._at == taken._copy))
     return met.select(*(met[c] for c in names), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_again")).drop("_again")

@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     bucket = materialize(entries.join(shared, "key"), "buckets")
     members = bucket.select(F.col("rep").alias("doc_id")).distinct()
-    state = _Links(materialize(_set_rows(docs.join(members, "doc_id", "left_semi"), width), "sets"), percent)
+    state = _Links(materialize(_set_rows(docs.join(members.hint("merge"), "doc_id", "left_semi"), width), "sets"), percent)
     # every bucket's members against its smallest member
     lead = bucket.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"))
     state.test(_pairs(bucket.join(lead, "key").select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b")), percent))
