@@ -11,7 +11,8 @@ import numpy as np
 from textloom.llm.common import tokenizer_file
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 400_000
+ENCODE_BYTES = 1 << 22  # text whose pieces are looked up at a time
 _JOINED = 256
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import chunks, materialize, split_table
-from textloom.llm.encode import encoder
+from textloom.llm.encode import ENCODE_BYTES, encoder
 
 CAPACITY = 2048
 SLACK = 4  # a bin with so little room left has nothing to gain from another round
@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer
 
         ids_of, key = encoder(tokenizer).encode, TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", ENCODE_BYTES):
                 out: list[list] = [[] for _ in range(6)]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), ids_of(part.column("text").to_pylist())):
                     ids += np.uint32(end_id).astype("<u4").tobytes()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import chunks as slices
 from textloom.llm.common import materialize, mix64, scratch_dir, split_table
-from textloom.llm.encode import encoder
+from textloom.llm.encode import ENCODE_BYTES, encoder
 
 WINDOW = 16  # ids that a rolling hash sees
 MASK = np.uint64((1 << 9) - 1)  # a cut after one id in 512
@@ -89,7 +89,7 @@ def _encoded(docs: DataFrame, end_id: int, tokenizer: str | None) -> DataFrame:
         ids_of, press = encoder(tokenizer).encode, zstandard.ZstdCompressor(level=1)
         met: set[bytes] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODE_BYTES):
                 rows: list[tuple] = []
                 close = np.uint32(end_id).astype("<u4").tobytes()
                 streams = [raw + close for raw in ids_of(part.column("text").to_pylist())]
