@@ -7,12 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import chunks, materialize, mix64, reduce_by_text, shingle_hashes, split_table, unique_by_text, word_hashes
+from textloom.llm.common import chunks, giving_back, materialize, mix64, reduce_by_text, shingle_hashes, split_table, unique_by_text, word_hashes
 from textloom.llm.graph import components
 
 BANDS, ROWS = 24, 4
 STAR = 256  # members that one copy of a leader's set is compared with
 BLOCK = 512  # members of a crowd that are compared with as many others in one step
+EXPANDED = 1 << 20  # meetings of two members in a shingle that are counted at a time
 _CROWDED = "strays * members > 100"
 
 
@@ -75,7 +76,7 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
                 )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return slim.mapInArrow(giving_back(run), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _set_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -86,7 +87,7 @@ def _set_rows(docs: DataFrame, width: int) -> DataFrame:
                 blobs = [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(blobs, pa.binary())], names=["node", "grams"])
 
-    return docs.mapInArrow(run, "node long, grams binary")
+    return docs.mapInArrow(giving_back(run), "node long, grams binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -125,7 +126,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         break
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
 def _close(percent: int, a: str = "n_a", b: str = "n_b"):
@@ -225,7 +226,7 @@ class _Links:
         placed = rows.join(self.sets, F.col("rep") == F.col("node")).join(sides, ["crowd", "stray", "block"])
         placed = placed.select(F.xxhash64("crowd", "i", "s", "j").alias("task"), "crowd", "i", "s", "j", "side", "rep", "component", "grams")
         dealt = placed.repartition("crowd", "i", "s", "j").sortWithinPartitions("crowd", "i", "s", "j", "side")
-        return dealt.select("task", "side", "rep", "component", "grams").mapInArrow(_compare_blocks(self.percent), "a long, b long")
+        return dealt.select("task", "side", "rep", "component", "grams").mapInArrow(giving_back(_compare_blocks(self.percent)), "a long, b long")
 
     def mixed(self, bucket: DataFrame) -> DataFrame:
         """The buckets with several components: rows with ``component``, the bucket's ``largest`` and its ``strays``."""
@@ -271,8 +272,10 @@ def _compare_blocks(percent: int):
         use = (per_a * per_b <= 256)[a_cols] & (per_b[a_cols] > 0)
         rows, cols = a_rows[use], a_cols[use]
         times = per_b[cols]
-        for at in range(0, len(rows), 1 << 16):
-            r, c, t = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)], times[at : at + (1 << 16)]
+        reached = np.cumsum(times)
+        cuts = np.searchsorted(reached, np.arange(EXPANDED, int(reached[-1]) if len(rows) else 0, EXPANDED))
+        for at, to in zip([0, *cuts], [*cuts, len(rows)]):
+            r, c, t = rows[at:to], cols[at:to], times[at:to]
             inside = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
             common += np.bincount(np.repeat(r, t) * len(b_n) + b_rows[order[np.repeat(starts[c], t) + inside]], minlength=len(common))
         union = a_n[:, None] + b_n[None, :] - common.reshape(len(a_n), len(b_n))

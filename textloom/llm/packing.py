@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import chunks, materialize, split_table
+from textloom.llm.common import chunks, giving_back, materialize, split_table
 from textloom.llm.encode import ENCODE_BYTES, encoder
 
 CAPACITY = 2048
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["row_key", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return split_table(slim, docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, PIECES)
+    return split_table(slim, docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(giving_back(run), PIECES)
 
 
 def best_fit(sizes: Iterable[int], capacity: int) -> list[int]:
@@ -101,7 +101,7 @@ def _round(items: DataFrame, capacity: int) -> DataFrame:
         for at in range(0, len(totals), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(totals[at : at + 4096]), merged.slice(at, 4096)], names=["size", "members"])
 
-    return items.select("size", "members", F.expr("array_min(transform(members, m -> m.row_key))").alias("least")).mapInArrow(run, schema)
+    return items.select("size", "members", F.expr("array_min(transform(members, m -> m.row_key))").alias("least")).mapInArrow(giving_back(run), schema)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, leaf_items: int = LEAF_ITEMS) -> DataFrame:

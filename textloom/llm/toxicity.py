@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import _IS_SPACE, chunks, fold_of, hash_spans, materialize, split_table, text_bytes, unique_by_text, word_spans
+from textloom.llm.common import _IS_SPACE, chunks, fold_of, giving_back, hash_spans, materialize, split_table, text_bytes, unique_by_text, word_spans
 
 LEXICON = 4096  # words of the model at most, those with the largest z-scores
 MIN_Z = 3.0
@@ -65,7 +65,7 @@ def word_table(docs: DataFrame) -> DataFrame:
                 word, n = np.unique(hashes[own == label], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.full(len(word), label, np.int32)), pa.array(n.astype(np.int64))], names=["word", "toxic", "n"])
 
-    return docs.select("text", F.col("toxic").cast("int")).mapInArrow(run, "word long, toxic int, n long")
+    return docs.select("text", F.col("toxic").cast("int")).mapInArrow(giving_back(run), "word long, toxic int, n long")
 
 
 def _karlin(scores: np.ndarray, chances: np.ndarray) -> float:
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, model: ToxicModel, keep: list[str] = (), with_text: bo
                 )
 
     rows = docs.select(*(F.col(f"`{c}`") for c in names), *([] if with_text else ["text"]))
-    return rows.mapInArrow(run, f"{kept}, n_words long, best double, total double, passages array<struct<from:long,to:long,score:double>>")
+    return rows.mapInArrow(giving_back(run), f"{kept}, n_words long, best double, total double, passages array<struct<from:long,to:long,score:double>>")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
