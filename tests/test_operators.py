@@ -60,3 +60,61 @@ def test_overlap_and_jobs(spark):
     log = spark.createDataFrame([("p", 1, "machine", "a"), ("p", 2, "person", "b"), ("p", 3, "machine", "c")], "page string, seq int, by string, text string")
     assert jobs.active_reading(log, ["page"], "seq", F.col("by") == "person", "text").first()["text"] == "b"
     assert jobs.latest(log, ["page"], F.col("seq"), "text").first()["text"] == "c"
+
+
+def test_stems(spark):
+    from textloom.functions.stem import stem, stems
+
+    known = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "digitizer": "digit", "triplicate": "triplic", "electrical": "electr", "goodness": "good", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "café": "cafe", "42": "42", "is": "is"}
+    assert {w: stem(w) for w in known} == known
+    assert one(spark, stems(F.array(F.lit("hopes"), F.lit("hoping")))) == ["hope", "hope"]
+    docs = spark.createDataFrame([(1, "Relations hold"), (2, "none"), (3, None)], "id long, text string")
+    assert [r["id"] for r in search.bm25(docs, "id", "text", ["relational"], stemmed=True).collect()] == [1]
+
+
+def test_globs():
+    import re
+
+    from textloom.sources.files import glob_pattern
+
+    cases = [("*.md", "a.md", True), ("*.md", "x/a.md", False), ("**/a.md", "a.md", True), ("**/a.md", "x/y/a.md", True), ("x/**", "x/y/z", True), ("a?c", "abc", True), ("a?c", "a/c", False), ("a+b", "a+b", True), ("a.b", "axb", False)]
+    for glob, path, wanted in cases:
+        assert bool(re.match(glob_pattern(glob), path)) == wanted, (glob, path)
+
+
+def test_masks(spark):
+    shingled = spark.createDataFrame([(1, i, i) for i in range(200)], "k int, at int, hash long")
+    found = overlap.masks(shingled, "k", spark.createDataFrame([(0,), (5,), (150,), (199,)], "hash long"), 32, 16).collect()
+    assert sorted((r["lo"], r["hi"]) for r in found) == [(0, 53), (134, 231)]
+
+
+def test_sheets(spark):
+    import io
+    import zipfile
+
+    from textloom.sources.sheets import read_sheets
+
+    main, link = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{link}"><sheets><sheet name="One" r:id="r1"/><sheet name="Gone" r:id="r9"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>name</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>')
+        book.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{main}"><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c></row><row><c><v>1.5</v></c><c t="inlineStr"><is><t>z</t></is></c><c t="s"><v>9</v></c></row></sheetData></worksheet>')
+    files = spark.createDataFrame([("b.xlsx", held.getvalue()), ("bad", b"no"), ("none", None)], "path string, content binary")
+    rows = {r["path"]: r for r in read_sheets(files).collect()}
+    assert rows["b.xlsx"]["text"] == "## One\n\nname\tab\n1.5\tz" and rows["b.xlsx"]["page"] == 1
+    assert rows["bad"]["page"] is None and rows["bad"]["error"] and rows["none"]["error"]
+
+
+def test_mail(spark):
+    from textloom.sources.mail import plain, read_mail
+
+    alternative = b"From a\nSubject: =?utf-8?q?caf=C3=A9?=\nContent-Type: multipart/alternative; boundary=B\n\n--B\nContent-Type: text/html\n\n<p>html</p>\n--B\nContent-Type: text/plain\n\nplain\n>From here\n--B--\n\n"
+    file = b"From b\nSubject: two\nContent-Type: multipart/mixed; boundary=C\n\n--C\nContent-Type: text/plain\n\nbody\n--C\nContent-Disposition: attachment; filename=f.txt\n\nxyz\n--C--\n"
+    files = spark.createDataFrame([("m", alternative + file), ("e", b""), ("n", None), ("one", b"Subject: s\n\nFrom the top\n")], "path string, content binary")
+    rows = {(r["path"], r["page"]): r for r in read_mail(files).collect()}
+    assert set(rows) == {("m", 2), ("m", 3), ("one", 2)}
+    assert rows["m", 2]["subject"] == "café" and rows["m", 2]["body"].strip() == "plain\nFrom here"
+    assert rows["m", 3]["body"].strip() == "body" and rows["m", 3]["attachments"][0]["name"] == "f.txt" and rows["m", 3]["attachments"][0]["bytes"] == 3
+    assert plain("a<b<c>d>e\n\n> f") == "a e\nf"

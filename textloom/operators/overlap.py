@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import fold
 
 WIDTH, MODULUS, GENERIC = 32, 32, 12
+STRETCH = 128
 
 
 def identical_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,11 +25,16 @@ def copies(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shingles(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(key, at, hash) of every folded window at stride 1, by a portable 60-bit hash."""
+    """(key, at, hash) of every folded window at stride 1, by a portable 60-bit hash.
+
+    A body is first cut into stretches of STRETCH windows, so that the cost of a window does not grow with its text.
+    """
     folded = docs.select(key, fold(F.col(text)).alias("body")).where(F.length("body") >= width)
-    at = folded.select(key, "body", F.explode(F.sequence(F.lit(0), F.length("body") - width)).alias("at"))
-    digest = F.substring(F.md5(F.substr("body", F.col("at") + 1, F.lit(width)).cast("binary")), 1, 15)
-    return at.select(key, "at", F.conv(digest, 16, 10).cast("long").alias("hash"))
+    cut = folded.select(key, F.expr(f"transform(sequence(0, greatest(length(body) - {width}, 0), {STRETCH}), i -> struct(i as base, substr(body, i + 1, {STRETCH + width - 1}) as part))").alias("cut"))
+    part = cut.select(key, F.explode("cut").alias("c")).select(key, "c.base", "c.part")
+    at = part.select(key, "base", "part", F.explode(F.sequence(F.lit(0), F.greatest(F.length("part") - width, F.lit(0)))).alias("i"))
+    digest = F.substring(F.md5(F.substr("part", F.col("i") + 1, F.lit(width)).cast("binary")), 1, 15)
+    return at.select(key, (F.col("base") + F.col("i")).alias("at"), F.conv(digest, 16, 10).cast("long").alias("hash"))
 
 
 def sketch(shingled: DataFrame, key: str, modulus: int = MODULUS) -> DataFrame:
@@ -47,6 +53,23 @@ def generic(sketched: DataFrame, key: str, cutoff: int = GENERIC) -> DataFrame:
     return sketched.groupBy("hash").agg(F.count("*").alias("df")).where(F.col("df") >= cutoff)
 
 
+def masks(shingled: DataFrame, key: str, generic: DataFrame, width: int = WIDTH, slack: int = MODULUS) -> DataFrame:
+    """(key, lo, hi): the merged stretches of a folded body under generic shingles, each widened by ``slack`` inside the body."""
+    length = shingled.groupBy(key).agg((F.max("at") + width).alias("length"))
+    hits = shingled.join(generic.select("hash"), "hash", "left_semi").join(length, key)
+    hits = hits.select(key, F.greatest(F.col("at") - slack, F.lit(0)).alias("lo"), F.least(F.col("at") + width + slack, "length").alias("hi"))
+    return merged(hits, key, "lo", "hi")
+
+
+def merged(intervals: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
+    """Intervals that touch or overlap, as one."""
+    order = Window.partitionBy(key).orderBy(lo, hi)
+    reached = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = intervals.withColumn("_new", F.coalesce((F.col(lo) > reached).cast("int"), F.lit(1)))
+    islands = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(key, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+
+
 def candidates(probe: DataFrame, index: DataFrame, cutoff: int = GENERIC, shared: int = 3) -> DataFrame:
     """(a, b, shared): documents that share sampled shingles; shingles of ``cutoff`` documents or more are left out, so no list is long."""
     usual = index.join(generic(index, "b", cutoff).select("hash"), "hash", "left_anti")

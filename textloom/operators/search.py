@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.stem import stem, stems
 from textloom.functions.text import tokens
 
 K1, B, RRF = 1.2, 0.75, 60
@@ -20,9 +21,15 @@ def _equal_to(term: str):
     return lambda x: x == F.lit(term)
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
-    """(key, score) of all rows with a query term.  Only the query's terms are counted in each text: nothing is exploded."""
-    listed = docs.select(key, tokens(F.col(text)).alias("terms"))
+def bm25(docs: DataFrame, key: str, text: str, query: list[str], stemmed: bool = False) -> DataFrame:
+    """(key, score) of all rows with a query term.  Only the query's terms are counted in each text: nothing is exploded.
+
+    With ``stemmed``, texts and query are compared by their English stems.
+    """
+    words = tokens(F.col(text))
+    if stemmed:
+        words, query = stems(words), [stem(t.lower()) for t in query]
+    listed = docs.select(key, words.alias("terms"))
     counts = listed.select(key, F.size("terms").alias("dl"), *(F.size(F.filter("terms", _equal_to(t))).alias(f"tf{i}") for i, t in enumerate(query)))
     facts = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
     joined = counts.where(" or ".join(f"tf{i} > 0" for i in range(len(query)))).crossJoin(F.broadcast(facts))  # one row of facts

@@ -104,4 +104,19 @@ ORACLES: dict[str, str] = {
       union all select 2, 'job-failed', cast(user_id as varchar) from (select user_id, arg_max(event_type, event_id) as last from events group by 1) where last = 'error'
       union all select 3, 'withdrawn', cast(doc_id as varchar) from labels where toxic = 1""",
     "windowed_job_metrics": "select date_trunc('day', ts) as window_start, count(*) as jobs, count(*) filter (event_type = 'error') as failed, round(avg(value), 6) as mean_value from events group by 1",
+    "generic_masks": f"""with {_SHINGLES.replace('from benchmark', 'from documents').replace('item_id', 'doc_id')}, g as (select hash from (select distinct doc_id, hash from s where hash & 31 = 0) group by 1 having count(*) >= 3),
+      n as (select doc_id, max(p0) + 32 as length from s group by 1),
+      i as (select doc_id, greatest(p0 - 32, 0) as lo, least(p0 + 64, length) as hi from s join n using (doc_id) where hash in (select hash from g)),
+      m as (select *, coalesce(lo > max(hi) over (partition by doc_id order by lo, hi rows between unbounded preceding and 1 preceding), true)::int as fresh from i),
+      k as (select *, sum(fresh) over (partition by doc_id order by lo, hi rows unbounded preceding) as island from m)
+      select doc_id, cast(min(lo) as integer) as lo, cast(max(hi) as integer) as hi from k group by doc_id, island""",
+    "planned_sources": r"""select page_id, url from pages where (regexp_matches(url, '^https://(?:.*/)?[^/]*$') or regexp_matches(regexp_extract(url, '[^/]*$'), '^[^/]*1[^/]*$'))
+      and not url like '%0' and not regexp_matches(url, '^(?:.*/)?[^/]*7$') and not regexp_matches(regexp_extract(url, '[^/]*$'), '^[^/]*9[^/]$')""",
+    "region_geometry": """with a as (select l_orderkey, l_linenumber, l_orderkey % 64 / 64.0 as x, l_partkey % 32 / 32.0 as y, l_suppkey % 16 / 16.0 as w0, l_linenumber % 8 / 8.0 as h0 from lineitem),
+      b as (select l_orderkey, l_linenumber, x::double as x, y::double as y, least(x + w0, 1)::double - x as w, least(y + h0, 1)::double - y as h from a),
+      c as (select *, x + 0.25 * w as cx, y + 0.25 * h as cy, 0.5 * w as cw, x * h as ch, w * h as area from b where w > 0 and h > 0),
+      d as (select *, least(x + w, cx + cw) - greatest(x, cx) as iw, least(y + h, cy + ch) - greatest(y, cy) as ih from c)
+      select l_orderkey, l_linenumber, round(area, 12) as area, round(case when iw > 0 and ih > 0 then iw * ih / (area + cw * ch - iw * ih) else 0 end, 12) as iou, cw * ch / area < 0.8 as narrows,
+      round((least(x + w + 0.5 / 8.5, 1) - greatest(x - 0.5 / 8.5, 0)) * (least(y + h + 0.5 / 11, 1) - greatest(y - 0.5 / 11, 0)), 12) as padded from d""",
+    "mail_pages": r"select cast(conv_id as varchar) as path, cast(row_number() over (partition by conv_id order by turn) + 1 as integer) as page, 'turn ' || turn as subject, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as body from conversations",
 }

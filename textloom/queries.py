@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import geometry as G
 from textloom.functions import text as T
 from textloom.operators import fragments as parts
 from textloom.operators import jobs, overlap, search
+from textloom.sources.files import planned
+from textloom.sources.mail import read_mail
 from textloom.streaming.jobs import windowed_metrics
 
 TERMS = ["that", "idiot", "tion"]
@@ -147,6 +150,11 @@ def shingle_similarity(spark, sf_dir):
     return _rounded(overlap.similarity(a, b, pairs), "jaccard", "a_in_b", "b_in_a")
 
 
+def generic_masks(spark, sf_dir):
+    passages = overlap.shingles(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return overlap.masks(passages, "doc_id", overlap.generic(overlap.sketch(passages, "doc_id"), "doc_id", 3))
+
+
 def alignment_runs(spark, sf_dir):
     a, b = _passages(spark, sf_dir, "a"), _passages(spark, sf_dir, "b")
     seeds = a.withColumnRenamed("at", "at_a").join(b.withColumnRenamed("at", "at_b"), "hash").where("a <= b")
@@ -234,9 +242,39 @@ def windowed_job_metrics(spark, sf_dir):
     return _rounded(windowed_metrics(read(spark, sf_dir, "events")), "mean_value")
 
 
+def bm25_stemmed(spark, sf_dir):
+    hits = search.bm25(read(spark, sf_dir, "documents"), "doc_id", "text", ["idiots", "running", "relations"], stemmed=True)
+    return _rounded(search.top(hits, "doc_id", 10), "score")
+
+
+def planned_sources(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.where(planned(F.col("url"), ["https://**/*", "*1*"], ["**/*7", "*9?"], ["0"]))
+
+
+def region_geometry(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    sides = [(F.col(c) % m / m).cast("double") for c, m in (("l_orderkey", 64), ("l_partkey", 32), ("l_suppkey", 16), ("l_linenumber", 8))]
+    box = G.clamp(G.rect(*sides))
+    child = G.lift(box, G.rect(F.lit(0.25), F.lit(0.25), F.lit(0.5), sides[0]))
+    out = lines.select("l_orderkey", "l_linenumber", box.alias("box"), child.alias("child")).where(G.valid(F.col("box")))
+    box, child = F.col("box"), F.col("child")
+    out = out.select("l_orderkey", "l_linenumber", G.area(box).alias("area"), G.iou(box, child).alias("iou"), G.narrows(box, child).alias("narrows"), G.area(G.pad(box, 0.5, F.lit(8.5), F.lit(11.0))).alias("padded"))
+    return out.withColumns({c: F.round(c, 12) for c in ("area", "iou", "padded")})
+
+
+def mail_pages(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    message = F.concat(F.lit("From x\nSubject: turn "), F.col("turn").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\n\n"), F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), "^(>*From )", ">$1"), F.lit("\n\n"))
+    archives = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("ms"))
+    files = archives.select(F.col("conv_id").cast("string").alias("path"), F.array_join(F.col("ms.m"), "").cast("binary").alias("content"))
+    return read_mail(files).select("path", "page", "subject", F.trim(F.regexp_replace("body", r"\s+", " ")).alias("body"))
+
+
 QUERIES = {f.__name__: f for f in (
     bm25_search, bm25_under_path, cosine_search, hybrid_search, postings_stats, best_turn_of_conversation, match_documents, branch_overlay, page_range,
     document_summaries, text_facts, page_gates, line_repetition, numeric_tokens, html_to_text, clipped_titles, url_kinds, identical_groups, same_bytes,
     sketch_facts, overlap_candidates, shingle_similarity, alignment_runs, covered_intervals, page_rates, fragment_round_trip, job_counts, queue_positions,
     recent_rate, deduped_queue, latest_rulings, active_readings, not_withdrawn, attestation_stats, pool_retained, oversized_documents, problem_report, windowed_job_metrics,
+    generic_masks, bm25_stemmed, planned_sources, region_geometry, mail_pages,
 )}
