@@ -12,9 +12,11 @@ context word, so a whole subtree (its counts, tests and scores) is in one task;
 second deals infrequent words by themselves, for their exact counts at the root.
 Events travel as compressed column blocks, a row for each block of documents and
 bucket.  Words that make up at least 1/65536 of the training tokens, 65536 at most,
-are counted first and known everywhere; so no frequent word is ever one task's load,
-and as contexts they are split by a hash of the document into parts that each learn
-from their own share.
+are counted first and known everywhere; so no frequent word is ever one task's load.
+As contexts the most frequent ones are split, by the word before them and, where a pair
+of words is itself too frequent, by a hash of the document.  The whole training counts of
+split contexts are summed up before, and travel to each of their parts: so every
+state is tested and scored with its counts over all training documents.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import _BASE, chunks, fold_of, materialize, mix64, split_table, word_hashes
+from textloom.llm.common import _BASE, chunks, fold_of, giving_back, materialize, mix64, split_table, word_hashes
 
 DISCOUNT = 0.5
 THRESHOLD = 3.0
@@ -34,6 +36,7 @@ FREQUENT = 1 << 16
 CLASSES = 1 << 20
 BLOCK_CHARS = 4_000_000  # text that is dealt at a time
 BUCKET_CHARS = 16_000_000  # text whose tokens make up a bucket of the first shuffle
+PAIRS = 1 << 20  # counts of split contexts that a task holds before it deals them
 EVENTS = 1 << 19  # events of a bucket whose states are weighed at a time
 KEPT_BITS = np.uint64(0xFFFFFFFFFFFF0000)  # 48 bits tell words, and contexts of one word, apart: of ten million words, a pair is alike once in six corpora
 END, BEGIN = np.uint64(0xE17D000000000001), np.uint64(0xBE61000000000001)
@@ -134,6 +137,86 @@ def _place(sorted_words: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(sorted_words[at] == words, at, len(sorted_words))
 
 
+def _before(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last word before each token and the one before that; BEGIN where there is none."""
+    starts = np.zeros(len(tokens), bool)
+    starts[bounds[:-1]] = True
+    w1 = np.where(starts, BEGIN, np.roll(tokens, 1))
+    return w1, np.where(starts, BEGIN, np.roll(w1, 1))
+
+
+def _pair(w2: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(w2 * _BASE + w1)
+
+
+def _part_key(w1: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The name of a part of a context; the bucket is in its top bits."""
+    with np.errstate(over="ignore"):
+        return mix64(w1 + part.astype(np.uint64) * _BASE) & KEPT_BITS
+
+
+def _added(state: np.ndarray, word: np.ndarray, n: np.ndarray):
+    """Counts of equal (state, word) added up, and their keys in order."""
+    key, first, at = np.unique(_pair(state.astype(np.uint64), word), return_index=True, return_inverse=True)
+    return key, state[first], word[first], np.bincount(at, n, len(first)).astype(np.uint64)
+
+
+def count_next(docs: DataFrame, states: np.ndarray, words: int, groups: int) -> DataFrame:
+    """counts: (number of the state, next word, n) over all training documents, packed and in order of the state.
+
+    ``states`` are sorted words, or sorted pairs (``words`` = 2).  Each (state, word) is in one row only.
+    """
+
+    def dealt(key, state, word, n):
+        cut = _split_by(key, groups)[1]
+        for g in range(groups):
+            own = slice(cut[g], cut[g + 1])
+            if cut[g] < cut[g + 1]:
+                order = np.lexsort((word[own], state[own]))
+                blob = _pack(*(x[own][order] for x in (state, word, n)))
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([blob], pa.binary())], names=["group", "counts"])
+
+    def count(batches):
+        sums = None
+        for _, held, tokens, bounds in _blocks(batches):
+            w1, w2 = _before(tokens, bounds)
+            state = _place(states, w1 if words == 1 else _pair(w2, w1))
+            own = np.flatnonzero((state < len(states)) & np.repeat(~held, np.diff(bounds)))
+            found = state[own].astype(np.uint32), tokens[own], np.ones(len(own), np.uint64)
+            sums = _added(*(found if sums is None else (np.concatenate(x) for x in zip(sums[1:], found))))
+            if len(sums[0]) > PAIRS:
+                yield from dealt(*sums)
+                sums = None
+        if sums is not None:
+            yield from dealt(*sums)
+
+    def merge(table: pa.Table) -> pa.Table:
+        _, state, word, n = _added(*(np.concatenate(x) for x in zip(*(_unpack(b) for b in table.column("counts").to_pylist()))))
+        order = np.lexsort((word, state))
+        return pa.table({"counts": [_pack(state[order], word[order], n[order])]})
+
+    return docs.mapInArrow(giving_back(count), "group int, counts binary").groupBy("group").applyInArrow(merge, "counts binary")
+
+
+def _send(counts: DataFrame, kind: int, state: np.ndarray, key: np.ndarray, short: np.ndarray, buckets: int) -> DataFrame:
+    """The counts of ``state`` as rows for the bucket of each of its parts (``key``, and ``short`` of the farther word)."""
+    bits = buckets.bit_length() - 1
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                of, word, n = _unpack(blob)
+                low, high = np.searchsorted(of, state), np.searchsorted(of, state, "right")
+                for b in np.unique(bucket[low < high]).tolist():
+                    own = np.flatnonzero((bucket == b) & (low < high))
+                    at = np.concatenate([np.arange(i, j) for i, j in zip(low[own], high[own])])
+                    yield _row(b, -1, kind, 0, _pack(key[own], short[own], (high - low)[own], word[at], n[at]))
+
+    return counts.mapInArrow(run, ROW)
+
+
 def _home(block: int, buckets: int) -> int:
     """The bucket that a block's sums travel in; blocks count up from a partition's number << 24."""
     return ((block >> 24) + block % (1 << 24)) % buckets
@@ -144,14 +227,21 @@ def _short(words: np.ndarray) -> np.ndarray:
     return (mix64(words ^ np.uint64(0x77)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _keep_states(state: np.ndarray, n_states: int, word: np.ndarray, train: np.ndarray, parent: np.ndarray):
+def _weights(state: np.ndarray, n_states: int, train: np.ndarray, counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """What each event counts for, then each row of ``counts``: events of a state whose ``whole`` counts are there count nothing."""
+    split = np.zeros(n_states, bool)
+    split[state[len(train) :][whole]] = True
+    return np.concatenate([train & ~split[state[: len(train)]], np.where(whole, counts, 0)])
+
+
+def _keep_states(state: np.ndarray, n_states: int, word: np.ndarray, weight: np.ndarray, parent: np.ndarray):
     """For each event: is its state kept, counts of (state, word), the state's count and kinds; ``parent``: log P(word | parent)."""
     with np.errstate(over="ignore"):
         key = mix64(state.astype(np.uint64) * _BASE + word)
     _, first, pair = np.unique(key, return_index=True, return_inverse=True)
     del key
-    c = np.bincount(pair, train).astype(np.int32)
-    n = np.bincount(state, train, n_states).astype(np.int32)
+    c = np.bincount(pair, weight).astype(np.int64)
+    n = np.bincount(state, weight, n_states).astype(np.int64)
     of = state[first]
     live = c > 0
     kinds = np.bincount(of[live], minlength=n_states).astype(np.int32)
@@ -179,6 +269,39 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n_train, kinds, frequent, counts, classes = count_words(spread, buckets)
     log_z = math.log10(n_train + 0.5 * (kinds + 1))
     hot = max(1.0, n_train / buckets / 4)
+    # contexts to split: BEGIN is as frequent as END, which is no context
+    names, sizes = np.where(frequent == END, BEGIN, frequent), counts
+    over = (sizes > hot) & (buckets > 1)
+    split, sizes = names[over], sizes[over]
+    split, sizes = split[np.argsort(split)], sizes[np.argsort(split)]
+    n_parts = np.ceil(sizes / hot).astype(np.uint64)
+    pairs, pair_parts, learned = np.zeros(0, np.uint64), np.zeros(0, np.uint64), []
+    if len(split):
+        singles = materialize(count_next(spread, split, 1, second), "split-contexts")
+
+        def frequent_pairs(batches):
+            for batch in batches:
+                for blob in batch.column(0).to_pylist():
+                    of, word, n = _unpack(blob)
+                    own = np.flatnonzero((n > hot) & (_place(split, word) < len(split)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (of[own], _place(split, word[own]), n[own])], names=["farther", "nearer", "n"])
+
+        found = singles.mapInArrow(frequent_pairs, "farther long, nearer long, n long").toArrow()  # 4 * buckets rows at most
+        farther, nearer, n = (c.to_numpy() for c in found.columns)
+        if BEGIN in split:  # before the first word are two of them
+            begin = _place(split, np.array([BEGIN]))[0]
+            farther, nearer, n = np.append(farther, begin), np.append(nearer, begin), np.append(n, sizes[begin])
+        order = np.argsort(_pair(split[farther], split[nearer]))
+        farther, nearer, n = farther[order], nearer[order], n[order]
+        pairs = _pair(split[farther], split[nearer])
+        pair_parts = np.minimum(np.ceil(n / hot).astype(np.uint64), n_parts[nearer])
+        every = lambda parts: (np.repeat(np.arange(len(parts)), parts.astype(int)), np.concatenate([np.arange(p, dtype=np.uint64) for p in parts.tolist()]))
+        of, part = every(n_parts)
+        learned.append(_send(singles, 5, of, _part_key(split[of], part), np.zeros(len(of), np.uint32), buckets))
+        if len(pairs):
+            of, part = every(pair_parts)
+            near, far = nearer[of], split[farther[of]]
+            learned.append(_send(count_next(spread, pairs, 2, second), 6, of, _part_key(split[near], (mix64(far) % n_parts[near] + part) % n_parts[near]), _short(far), buckets))
     # frequent words travel as their rank by count, from 1 (0: another word), so that most bytes are alike
     by_rank = np.append(len(frequent), np.argsort(-counts, kind="stable")).astype(np.int64)
     rank = np.zeros(len(by_rank), np.uint32)
@@ -199,18 +322,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
             n_known = np.bincount(doc, known, n_docs).astype(np.int64)
             starts = np.zeros(len(tokens), bool)
             starts[bounds[:-1]] = True
-            w1 = np.where(starts, BEGIN, np.roll(tokens, 1))
+            w1, w2 = _before(tokens, bounds)
             at1 = np.where(starts, len(frequent), np.roll(at, 1))
-            w2 = np.where(starts, BEGIN, np.roll(w1, 1))
             at2 = np.where(starts, len(frequent), np.roll(at1, 1))
-            share = np.append(counts, 0)[at1].astype(np.float64)
-            share[starts] = bounds.size  # begins are as frequent as documents; each part of a block learns its own
-            parts = np.ceil(share / hot)
-            salt = np.where(parts > 1, (mix64(doc.astype(np.uint64) + np.uint64(block << 8)) % np.maximum(parts, 1).astype(np.uint64)), 0).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                key = mix64(w1 + salt * _BASE) & KEPT_BITS
-                short = _short(w2)
-            del w1, w2, at1, share, parts, salt, starts
+            part = np.zeros(len(tokens), np.uint64)
+            place = _place(split, w1)
+            own = np.flatnonzero(place < len(split))
+            if len(own):
+                most = n_parts[place[own]]
+                shared = np.append(pair_parts, np.uint64(1))[_place(pairs, _pair(w2[own], w1[own]))]
+                part[own] = (mix64(w2[own]) % most + mix64(doc[own].astype(np.uint64) + np.uint64(block << 8)) % shared) % most
+            key, short = _part_key(w1, part), _short(w2)
+            del w1, w2, at1, part, place, own, starts
             order = np.argsort(key, kind="stable")
             cut = _split_by(key[order], buckets)[1]
             train = (~held)[doc]
@@ -224,22 +347,28 @@ def score_documents(docs: DataFrame) -> DataFrame:
             yield _row(_home(block, second), block, 0, n_docs, facts, doc_ids)
             block += 1
 
-    def weigh(key, short, at, word, tag):
-        """For each event: is its word a rare one, is it scored, its score so far."""
+    def weigh(key, short, at, word, tag, whole):
+        """For each event: is its word a rare one, is it scored, its score so far; ``whole``: counts of split contexts."""
         logs = np.log(np.append(counts, 1) / max(n_train, 1))
         rough = np.log(np.maximum(classes, 1) / max(n_train, 1))
-        train = (tag & 1).astype(bool)
+        events, train = len(key), (tag & 1).astype(bool)
+        level, *more, sums = whole
+        key, short, at, word = (np.concatenate(x) for x in zip((key, short, at, word), more))
         is_rare = at == len(frequent)
         root = np.where(is_rare, rough[(word >> np.uint64(44)).astype(np.int64)], logs[at])
         names, state = np.unique(key, return_inverse=True)
-        kept1, c1, n1, kinds1 = _keep_states(state, len(names), word, train, root)
+        kept1, c1, n1, kinds1 = _keep_states(state, len(names), word, _weights(state, len(names), train, sums, level == 5), root)
         with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
             parent = np.where(kept1 & (c1 > 0), np.log(np.maximum(c1 - DISCOUNT, 1e-9) / np.maximum(n1, 1)), root)
             del state
+            two = np.append(np.ones(events, bool), level == 6)
+            key, short, parent = key[two], short[two], parent[two]
             names, state = np.unique(mix64(key + short.astype(np.uint64) * _BASE), return_inverse=True)
             del key, short, root
-            kept2, c2, n2, kinds2 = _keep_states(state, len(names), word, train, parent)
-            del state, names, parent, train
+            sums = sums[level == 6]
+            kept2, c2, n2, kinds2 = _keep_states(state, len(names), word[two], _weights(state, len(names), train, sums, np.ones(len(sums), bool)), parent)
+            del state, names, parent, train, two
+            kept1, c1, n1, kinds1, kept2, c2, n2, kinds2, is_rare, at = (x[:events] for x in (kept1, c1, n1, kinds1, kept2, c2, n2, kinds2, is_rare, at))
             seen2, seen1 = kept2 & (c2 > 0), kept1 & (c1 > 0)
             p2, e2 = np.log10((c2 - DISCOUNT) / n2), np.log10(DISCOUNT * kinds2 / n2)
             p1, e1 = np.log10((c1 - DISCOUNT) / n1), np.log10(DISCOUNT * kinds1 / n1)
@@ -250,15 +379,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def contexts(table: pa.Table) -> pa.Table:
         out = _Rows()
+        is_sum = np.array(table.column("kind").to_pylist()) >= 5
+        summed = _whole(table.filter(pa.array(is_sum)))
+        table = table.filter(pa.array(~is_sum))
         events = out.take(table, 1)
         if not events:
             return out.table()
         words_of, shorts_of = np.append(frequent, np.uint64(0)), np.append(np.uint32(0), shorts[by_rank[1:]])
-        bucket, total = table.column("bucket")[0].as_py(), sum(len(x[0]) for _, _, x in events)
+        bucket, total = table.column("bucket")[0].as_py(), sum(len(x[0]) for _, _, x in events) + len(summed[0])
         bits = buckets.bit_length() - 1
         parts = 1 << min(12, max(0, math.ceil(math.log2(total / EVENTS))))
         edges = np.array([((bucket << 64) // buckets) + (i << (64 - bits)) // parts for i in range(1, parts)], np.uint64)
         cuts = [np.concatenate(([0], np.searchsorted(x[0], edges), [len(x[0])])) for _, _, x in events]
+        reach = np.concatenate(([0], np.searchsorted(summed[1], edges), [len(summed[1])]))
         skips = [[np.append(0, np.cumsum(x[k] == 0)) for k in (1, 3)] for _, _, x in events]
         sums = [np.zeros(n_docs) for _, n_docs, _ in events]
         others: list[list] = [[] for _ in events]
@@ -277,7 +410,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 continue
             key, short, at, word, tag = (np.concatenate(x) for x in zip(*pieces))
             del pieces
-            is_rare, done, score = weigh(key, short, at, word, tag)
+            level, k1, k2, w, n = (x[reach[part] : reach[part + 1]] for x in summed)
+            is_rare, done, score = weigh(key, short, at, word, tag, (level, k1, k2, _place(frequent, w), w, n))
             begin = 0
             for k, length in enumerate(lengths):
                 rows = slice(begin, begin + length)
@@ -337,7 +471,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
         tokens = tokens.astype(np.int64)
         return pa.table({"doc_id": table.column("docs")[at].values, "held_out": held.astype(bool), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(tokens), n_train), "base_score": base - tokens * log_z, "score": score})
 
-    flow = spread.mapInArrow(deal, ROW).groupBy("bucket").applyInArrow(contexts, ROW).groupBy("bucket").applyInArrow(roots, ROW)
+    dealt = spread.mapInArrow(deal, ROW)
+    for rows in learned:
+        dealt = dealt.unionByName(rows)
+    flow = dealt.groupBy("bucket").applyInArrow(contexts, ROW).groupBy("bucket").applyInArrow(roots, ROW)
     return flow.groupBy("block").applyInArrow(close, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -351,6 +488,19 @@ def _row(bucket: int, block: int, kind: int, n_docs: int, blob: bytes, docs=None
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, _KINDS)], names=_NAMES)
 
 
+def _whole(table: pa.Table) -> list[np.ndarray]:
+    """Level (5: contexts of a word, 6: of two), key, short, next word and count of split contexts, in order of the key."""
+    found = [np.zeros(0, k) for k in (np.int64, np.uint64, np.uint32, np.uint64, np.int64)]
+    parts = [found]
+    for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
+        key, short, length, word, n = _unpack(blob)
+        length = length.astype(np.int64)
+        parts.append([np.full(len(word), kind), np.repeat(key, length), np.repeat(short, length), word, n.astype(np.int64)])
+    found = [np.concatenate(x) for x in zip(*parts)]
+    order = np.argsort(found[1], kind="stable")
+    return [x[order] for x in found]
+
+
 class _Rows:
     """Rows of one task: those of a kind are unpacked, all others pass on."""
 
