@@ -4,6 +4,9 @@ import collections
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tests.llm import brute
 
 
@@ -57,3 +60,24 @@ def test_frequent_contexts_learn_from_all_documents(spark, monkeypatch):
         monkeypatch.setattr(suffix_tree, "BUCKET_CHARS", chars)
         got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs).collect()}
         assert max(abs(got[d] - wanted[d]) for d in wanted) < 1e-6
+
+
+def test_word_vectors_cover_all_documents(spark):
+    from textloom.llm import quality
+
+    rows = [(i if i % 3 else None, " ".join(f"w{(i * k) % 40}," for k in range(i % 9))) for i in range(90)]
+    docs = spark.createDataFrame([*rows, (100, "unlabelled zebra crossing Now!"), (101, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    index = quality.index_vectors().astype(int)
+    wanted = np.zeros(index.shape)
+    for row in docs.collect():
+        symbols = quality._symbols(pa.array([row["text"]], pa.string()))[0]
+        for i, own in enumerate(symbols):
+            for j in range(max(0, i - 2), min(len(symbols), i + 3)):
+                if j != i:
+                    for r in own:
+                        wanted[r] += index[symbols[j]].sum(0)
+    assert np.array_equal(quality.context_sums(docs), wanted)
+    vectors = quality.fit(docs, labels, sample=5).vectors
+    for r in quality._symbols(pa.array(["unlabelled zebra crossing Now!"]))[0].ravel():
+        assert np.allclose(vectors[r], wanted[r] / np.linalg.norm(wanted[r]), atol=1e-6)

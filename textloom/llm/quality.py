@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import _IS_SPACE, chunks, fold_of, hash_spans, materialize, mix64, split_table, text_bytes, word_spans
+from textloom.llm.common import _IS_SPACE, chunks, fold_of, giving_back, hash_spans, materialize, mix64, split_table, text_bytes, word_spans
 
 ROWS = 1 << 14  # word vectors: a word's hash chooses its row
+SHAPES = 34 << 7  # vectors of shapes, one each, after those of words
 DIM = 64
 NONZERO = 4  # entries of +1 or -1 in an index vector
 REACH = 2  # words on either side that are a word's context
@@ -24,6 +25,7 @@ _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 _LETTER = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 _MARK = ~_LETTER & ~_DIGIT & ~_IS_SPACE & (_BYTES > 32)
+_MARK_NUMBER = np.where(_MARK, np.cumsum(_MARK), 0).astype(np.uint64)  # 1 to 33; 0: not a mark
 
 
 def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -40,27 +42,25 @@ def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     word = hash_spans(raw, starts, stops)
     count = lambda table: np.diff(np.append(0, np.cumsum(table[raw]))[np.stack([starts, stops])], axis=0)[0]
     upper, digit, mark = count(_UPPER), count(_DIGIT), count(_MARK)
-    last = raw[stops - 1].astype(np.uint64)
     shape = _UPPER[raw[starts]].astype(np.uint64)
     shape |= (upper > 1).astype(np.uint64) << np.uint64(1)
     shape |= (digit > 0).astype(np.uint64) << np.uint64(2)
     shape |= np.minimum(mark, 3).astype(np.uint64) << np.uint64(3)
-    again = np.zeros(len(word), bool)
+    again, own = np.zeros(len(word), bool), np.repeat(np.arange(len(at) - 1), np.diff(at))
     for k in (1, 2):
-        again[k:] |= word[k:] == word[:-k]
+        again[k:] |= (word[k:] == word[:-k]) & (own[k:] == own[:-k])
     shape |= again.astype(np.uint64) << np.uint64(6)
-    shape |= np.where(_MARK[raw[stops - 1]], last, np.uint64(0)) << np.uint64(8)
-    rows = np.stack([word, mix64(shape + np.uint64(0xABCDEF))], axis=1)
-    return (rows % np.uint64(ROWS)).astype(np.int64), at
+    shape |= _MARK_NUMBER[raw[stops - 1]] << np.uint64(7)
+    return np.stack([word % np.uint64(ROWS), np.uint64(ROWS) + shape], axis=1).astype(np.int64), at
 
 
 def index_vectors() -> np.ndarray:
     """A sparse vector of +1 and -1 for each row, fixed by its number."""
-    out = np.zeros((ROWS, DIM), np.float32)
-    rows = np.arange(ROWS, dtype=np.uint64)
+    out = np.zeros((ROWS + SHAPES, DIM), np.int8)
+    rows = np.arange(ROWS + SHAPES, dtype=np.uint64)
     for k in range(NONZERO):
         h = mix64(rows * np.uint64(NONZERO) + np.uint64(k + 1))
-        out[np.arange(ROWS), (h % np.uint64(DIM)).astype(np.int64)] += np.where(h >> np.uint64(63), 1, -1)
+        out[np.arange(len(rows)), (h % np.uint64(DIM)).astype(np.int64)] += np.where(h >> np.uint64(63), 1, -1)
     return out
 
 
@@ -68,28 +68,38 @@ def context_sums(docs: DataFrame) -> np.ndarray:
     """For each row, the sum of the index vectors around its words, over all of ``docs`` (text)."""
 
     def run(batches):
-        index, sums = index_vectors(), np.zeros((ROWS, DIM), np.float64)
+        index, sums = index_vectors(), np.zeros((ROWS + SHAPES, DIM), np.int64)
         for batch in batches:
             for part in chunks(batch, "text", 1 << 19):
                 rows, at = _symbols(part.column("text"))
-                own = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                around = np.zeros((len(rows), DIM), np.float32)
-                both = index[rows[:, 0]] + index[rows[:, 1]]
+                if not len(rows):
+                    continue
+                # REACH empty places after each text, so that no context goes over its end; all sums fit a byte
+                place = np.arange(len(rows)) + REACH * (1 + np.repeat(np.arange(len(at) - 1), np.diff(at)))
+                both = np.zeros((place[-1] + REACH + 1, DIM), np.int8)
+                both[place] = index[rows[:, 0]] + index[rows[:, 1]]
+                around = np.zeros((len(rows), DIM), np.int8)
                 for k in range(1, REACH + 1):
-                    same = (own[k:] == own[:-k])[:, None]
-                    around[k:] += both[:-k] * same
-                    around[:-k] += both[k:] * same
+                    around += both[place - k]
+                    around += both[place + k]
                 for column in (0, 1):
-                    order = np.argsort(rows[:, column], kind="stable")
-                    ids, first = np.unique(rows[order, column], return_index=True)
-                    if len(ids):
-                        sums[ids] += np.add.reduceat(around[order].astype(np.float64), first, axis=0)
-        for block in range(0, ROWS, 1024):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sums[block : block + 1024].tobytes()])], names=["block", "sums"])
-
-    total = np.zeros((ROWS, DIM))
-    for row in docs.select("text").mapInArrow(run, "block int, sums binary").toLocalIterator():
-        total[row["block"] : row["block"] + 1024] += np.frombuffer(row["sums"]).reshape(-1, DIM)
+                    own = rows[:, column].astype(np.uint16)
+                    order = np.argsort(own, kind="stable")
+                    ids, first = np.unique(own[order], return_index=True)
+                    sums[ids] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
+        for block in range(0, len(sums), 1024):
+            if sums[block : block + 1024].any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sums[block : block + 1024].tobytes()], pa.binary())], names=["block", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
+        return pa.table({"block": table.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    total = np.zeros((ROWS + SHAPES, DIM))
+    found = docs.select("text").mapInArrow(giving_back(run), "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary")
+    for row in found.toLocalIterator():  # one row a block of vectors
+        part = np.frombuffer(row["sums"], np.int64).reshape(-1, DIM)
+        total[row["block"] : row["block"] + len(part)] += part
     return total
 
 
@@ -173,14 +183,14 @@ def _with_features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
     """Fit on at most ``sample`` labelled documents (doc_id, text) x (doc_id, quality), chosen by a hash of doc_id.
 
-    Rows without id or label teach nothing.  With labels of one class only the
+    The word vectors are summed over all rows of ``docs``, labelled or not.  Rows without id or label teach the network nothing.  With labels of one class only the
     model gives every text that class's smoothed share.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     ids = docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id")
     ids = ids.withColumn("order", F.xxhash64("doc_id", F.lit(5))).orderBy("order", "doc_id").limit(sample).select("doc_id", "quality")
     rows = materialize(docs.join(materialize(ids, "sample-ids"), "doc_id").select("text", "quality").repartition(docs.sparkSession.sparkContext.defaultParallelism), "sample")
-    sums = context_sums(rows)
+    sums = context_sums(split_table(docs, docs.sparkSession.sparkContext.defaultParallelism))
     vectors = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     found = _with_features(rows, vectors).collect()
     x = np.array([r["x"] for r in found]).reshape(-1, 2 * DIM + 2)
@@ -190,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text).
 
-    Learns from labelled rows outside the held-out quarter.  Null and empty texts
+    Learns from rows outside the held-out quarter: word vectors from all, the network from labelled ones.  Null and empty texts
     pool to zeros and are scored by that.  Rows without doc_id are scored and count
     as not held out; repeated rows are scored alike.  Other columns are ignored.
     """
