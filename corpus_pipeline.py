@@ -13,10 +13,17 @@ from textloom.llm.rules import quality_rules
 from textloom.llm.toxicity import fit, scan, score_column
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (a null id counts as a value)."""
-    names = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(names.hint("merge"), docs.doc_id.cast("long").eqNullSafe(names._id), "left_semi")
+ROW_KEY = "_textloom_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, written so that it stays the same: doc_id can be null or repeated."""
+    return materialize(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def _kept(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is in ``keys``, without it."""
+    return keyed.join(keys.hint("merge"), ROW_KEY, "left_semi").drop(ROW_KEY)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +35,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and the learned decision list (rows with one doc_id stay or go together)."""
-    judged, _ = quality_rules(docs, table(spark, sf_dir, "labels"))
-    good = judged.groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept").select("doc_id")
-    return _kept(docs, good)
+    """Rows that pass the base rules and the learned decision list, each judged by its own text."""
+    keyed = _keyed(docs)
+    judged, _ = quality_rules(keyed, table(spark, sf_dir, "labels"), (ROW_KEY,))
+    return _kept(keyed, judged.where("kept").select(ROW_KEY)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id.  Rows that repeat a doc_id go too."""
-    found = near_duplicates(docs, width=5)
-    kept = _kept(docs, found.where("kept").select("doc_id"))
-    identified = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return identified.unionByName(kept.where("doc_id is null")).select(*docs.columns)
+    """One row of each group of near copies: one with the smallest doc_id (rows without doc_id come last)."""
+    keyed = _keyed(docs)
+    found = near_duplicates(keyed.select(F.col(ROW_KEY).alias("doc_id"), "text"), width=5)
+    groups = found.select(F.col("doc_id").alias(ROW_KEY), "component_id")
+    ids = keyed.select(ROW_KEY, F.col("doc_id").cast("long").alias("_id"))
+    order = F.struct(F.col("_id").isNull(), "_id", ROW_KEY)
+    first = groups.join(ids, ROW_KEY).groupBy("component_id").agg(F.min_by(ROW_KEY, order).alias(ROW_KEY)).select(ROW_KEY)
+    return _kept(keyed, first).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

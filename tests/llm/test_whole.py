@@ -81,3 +81,18 @@ def test_word_vectors_cover_all_documents(spark):
     vectors = quality.fit(docs, labels, sample=5).vectors
     for r in quality._symbols(pa.array(["unlabelled zebra crossing Now!"]))[0].ravel():
         assert np.allclose(vectors[r], wanted[r] / np.linalg.norm(wanted[r]), atol=1e-6)
+
+
+def test_pipeline_stages_keep_rows_without_or_with_equal_doc_id(spark, tmp_path):
+    from corpus_pipeline import near_duplicate_stage, quality_stage
+
+    rng = random.Random(5)
+    text = lambda: " ".join(f"word{rng.randint(0, 9999)}" for _ in range(60))
+    a, b, c, d, e, bad = text(), text(), text(), text(), text(), "spam " * 300
+    rows = [(None, a), (None, b), (None, bad), (7, c), (7, d), (7, bad), (9, e), (None, a), (8, a), (7, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    order = lambda found: sorted(((r["doc_id"], r["text"]) for r in found), key=str)
+    good = quality_stage(spark, docs, str(tmp_path))
+    assert order(good.collect()) == sorted((r for r in rows if r[1] != bad), key=str)
+    assert order(near_duplicate_stage(spark, good, str(tmp_path)).collect()) == sorted([(None, b), (7, c), (7, d), (8, a), (9, e)], key=str)

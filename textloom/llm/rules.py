@@ -34,16 +34,16 @@ FEATURES = {
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bang", "n_distinct"]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and STATS of every row of ``docs`` (doc_id, text); null texts have no words.
+def statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep`` and STATS of every row of ``docs`` (doc_id, text); null texts have no words.
 
     Repeated windows are found by their 64-bit hashes: only where a text has fewer
     distinct windows than windows are they sorted with their positions.
     """
-    spread = split_table(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), docs.sparkSession.sparkContext.defaultParallelism)
+    spread = split_table(docs.select("doc_id", *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), docs.sparkSession.sparkContext.defaultParallelism)
     chars = lambda drop: F.length("text") - F.length(F.translate("text", drop, ""))
     first = spread.select(
-        "doc_id",
+        "doc_id", *keep,
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         chars(SYMBOLS).cast("long").alias("n_symbols"),
         chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
@@ -52,7 +52,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.expr(r"transform(filter(split(text, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]'), l -> xxhash64(l))").alias("lines"),
     )
     second = first.select(
-        "doc_id", "word_chars", "n_symbols", "n_upper", "n_bang",
+        "doc_id", *keep, "word_chars", "n_symbols", "n_upper", "n_bang",
         F.size("words").cast("long").alias("n_words"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -187,13 +187,13 @@ def _prune(rows: DataFrame, rule: tuple[Condition, ...]) -> tuple[Condition, ...
     return max(worth)[3] if worth else ()
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DecisionList]:
+def quality_rules(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DecisionList]:
     """Statistics of every row of ``docs`` with base_failed and kept, and the learned list.
 
     Null and empty texts have no words and fail.  Rows with null or repeated doc_id
-    are judged each by its own text.  Other columns are ignored.
+    are judged each by its own text.  Columns in ``keep`` pass through, others are ignored.
     """
-    stats = materialize(statistics(docs), "statistics")
+    stats = materialize(statistics(docs, keep), "statistics")
     rules = learn(stats, labels)
     kept = ~base_failed() & rules.column()
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", F.coalesce(kept, F.lit(False))), rules
