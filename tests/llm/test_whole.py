@@ -96,3 +96,13 @@ def test_pipeline_stages_keep_rows_without_or_with_equal_doc_id(spark, tmp_path)
     good = quality_stage(spark, docs, str(tmp_path))
     assert order(good.collect()) == sorted((r for r in rows if r[1] != bad), key=str)
     assert order(near_duplicate_stage(spark, good, str(tmp_path)).collect()) == sorted([(None, b), (7, c), (7, d), (8, a), (9, e)], key=str)
+
+
+def test_all_tested_words_are_in_the_lexicon(spark):
+    from textloom.llm.toxicity import fit
+
+    words = lambda kind: " ".join(f"{kind}{k}" for k in range(5000))
+    rows = [(i, f"{words('bad' if i < 30 else 'good')} own{i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, toxic int")
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert len(model.words) == 5000 and (np.diff(model.words.astype(object)) > 0).all()

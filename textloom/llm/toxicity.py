@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import _IS_SPACE, chunks, fold_of, giving_back, hash_spans, materialize, split_table, text_bytes, unique_by_text, word_spans
 
-LEXICON = 4096  # words of the model at most, those with the largest z-scores
 MIN_Z = 3.0
 MIN_DOCUMENTS = 5  # toxic documents that a word of the lexicon is in, at least
 PRIOR_SHARE = 0.1  # weight of the Dirichlet prior (corpus proportions), as a share of all counts
@@ -173,8 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     Word counts cover all of these documents, each distinct text once, and each word
     once a text, so that copies and repetitions prove nothing.  A word's weight is the log-odds ratio
     of its two class frequencies, each with pseudo-counts in the proportions of both
-    classes together (PRIOR_SHARE); words whose z-score reaches MIN_Z enter the lexicon, the
-    LEXICON best of them at most.  Any other word scores ``drift``.
+    classes together (PRIOR_SHARE); all words whose z-score reaches MIN_Z enter the
+    lexicon, with 16 bytes each: at most one for MIN_DOCUMENTS toxic (document, word) pairs.  Any other word scores ``drift``.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -192,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     yt, yo = F.col("t") + prior, F.col("o") + prior
     delta = F.log(yt / (nt + mass - yt)) - F.log(yo / (no + mass - yo))
     scored = counts.select("word", "t", "o", delta.alias("delta"), (delta / F.sqrt(1 / yt + 1 / yo)).alias("z"))
-    lexicon = scored.where((F.col("z") >= MIN_Z) & (F.col("t") >= MIN_DOCUMENTS)).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
+    lexicon = scored.where((F.col("z") >= MIN_Z) & (F.col("t") >= MIN_DOCUMENTS)).select("word", "t", "o", "delta").collect()
     lexicon.sort(key=lambda r: r["word"] & 0xFFFFFFFFFFFFFFFF)
     words = np.array([r["word"] for r in lexicon], np.int64).view(np.uint64)
     weights = np.array([r["delta"] for r in lexicon], np.float64)
