@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
@@ -30,7 +31,6 @@ def ids_of(text, end):
     from textloom.llm.common import tokenizer_file
 
     t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -39,7 +39,8 @@ def crc(ids):
 
 
 def test_token_store(spark, odd, tmp_path):
-    from textloom.llm.store import read_documents, verify_store, write_store
+    from textloom.llm import store
+    from textloom.llm.store import read_documents, store_root, verify_store, write_store
 
     path = f"{tmp_path}/store"
     write_store(odd, path)
@@ -54,6 +55,33 @@ def test_token_store(spark, odd, tmp_path):
         at += r["n_tokens"]
     rebuilt = {(r["doc_id"], r["start"]): zlib.crc32(r["ids"]) for r in read_documents(spark, path).collect()}
     assert rebuilt == {(r["doc_id"], r["start"]): r["ids_crc32"] for r in rows}
+    root = store_root(spark, path)
+    assert root != store.merkle_root([]).hex()
+    first = spark.read.parquet(f"{path}/manifest").orderBy("file").first()
+    spark.createDataFrame([(first["file"], 1, 1, b"x")], "file int, documents long, ids long, root binary").write.mode("overwrite").parquet(f"{path}/manifest")
+    assert store_root(spark, path) != root and not any(r["verified"] for r in verify_store(spark, path).collect())
+    spark.createDataFrame([(999, 1, 1, b"x")], "file int, documents long, ids long, root binary").write.mode("overwrite").parquet(f"{path}/manifest")
+    with pytest.raises(ValueError):
+        verify_store(spark, path)
+    write_store(odd.limit(0), f"{path}-empty")
+    assert verify_store(spark, f"{path}-empty").collect() == []
+
+
+def test_ids_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    from textloom.llm import encode
+    from textloom.llm.common import tokenizer_file
+
+    rng, plain = random.Random(1), Tokenizer.from_file(tokenizer_file())
+    marks = [" ", "\n", "\t", "a", "B", "é", "漢", "😀", "\u00a0", "\u3000", "\u2003", "\x85", "\x1c", "1", "'s", ".", "<|endoftext|>", "<|endof", "\r", "  ", "of the", " the", "x" * 70]
+    texts = [None, "", " ", *("".join(rng.choice(marks) for _ in range(rng.randint(0, 30))) for _ in range(1500))]
+    own = encode.Encoder()
+    for at in range(0, len(texts), 100):
+        ids, bounds = own.encode(pa.array(texts[at : at + 100], pa.string()))
+        for k, text in enumerate(texts[at : at + 100]):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids
+        own._trim()
 
 
 def test_packing(spark, odd):

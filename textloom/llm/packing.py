@@ -17,6 +17,7 @@ CAPACITY = 2048
 SLACK = 4  # a bin with so little room left has nothing to gain from another round
 LEAF_ITEMS = 60_000
 FAN_IN = 4
+LEAST_GAIN = 0.001
 
 PIECES = "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -30,19 +31,21 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, tokenizer
         ids_of, key = encoder(tokenizer).encode, TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in chunks(batch, "text", ENCODE_BYTES):
-                out: list[list] = [[] for _ in range(6)]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), ids_of(part.column("text").to_pylist())):
-                    ids += np.uint32(end_id).astype("<u4").tobytes()
-                    total, at = len(ids) // 4, 0
-                    length = total % capacity or capacity
-                    for n in range(-(-total // capacity)):
-                        row = (key, doc, n, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]))
-                        for column, value in zip(out, row):
-                            column.append(value)
-                        at, length = at + length, capacity
-                    key += 1
+                ids, bounds = ids_of(part.column("text"))
+                ids, bounds = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4"), bounds + np.arange(len(bounds))
+                total = np.diff(bounds)
+                count = -(-total // capacity)
+                own = np.repeat(np.arange(len(total)), count)
+                n = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+                head = total - (count - 1) * capacity  # the first piece may be shorter
+                length = np.where(n == 0, head[own], capacity)
+                start = np.where(n == 0, 0, head[own] + (n - 1) * capacity)
+                raw, at = memoryview(ids.tobytes()), 4 * (bounds[own] + start)
+                crc = [zlib.crc32(raw[a:z]) for a, z in zip(at.tolist(), (at + 4 * length).tolist())]
+                out = [key + own, part.column("doc_id").take(pa.array(own)), n, start, length, crc]
+                key += len(total)
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["row_key", "doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(out, kinds)], names=["row_key", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return split_table(slim, docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(giving_back(run), PIECES)
@@ -110,16 +113,17 @@ def pack(found: DataFrame, capacity: int = CAPACITY, leaf_items: int = LEAF_ITEM
     Whole pieces fill a sequence each.  The others, at most one per document, are
     dealt by hash to partitions of about ``leaf_items`` and packed there, largest
     first.  Bins within SLACK of full leave; the others come back as single items,
-    in a FAN_IN-th as many partitions, until one partition held them all or their
-    number no longer falls.  A bin holds at most ``capacity`` members, so rows stay
-    small; no task ever holds more than its share of items.
+    dealt anew to a FAN_IN-th as many partitions (but no more than ``leaf_items`` to
+    each), until one partition held them all or two rounds in a row have each merged
+    less than LEAST_GAIN of them.  A bin holds at most ``capacity`` members, so rows
+    stay small; no task ever holds more than its share of items.
     """
     full = found.where(F.col("length") == capacity)
     items = found.where(F.col("length") < capacity).select(F.col("length").alias("size"), F.array(F.struct("row_key", "doc_id", "start", "length", "ids_crc32")).alias("members"))
     left, done = items.count(), []
-    parts = max(1, -(-left // leaf_items))
+    parts, level, idle = max(1, -(-left // leaf_items)), 0, 0
     while left:
-        bins = materialize(_round(items.repartition(parts, F.xxhash64(F.col("members")[0]["row_key"])), capacity), "bins")
+        bins = materialize(_round(items.repartition(parts, F.xxhash64(F.col("members")[0]["row_key"], F.lit(level))), capacity), "bins")
         ready = bins.where(F.col("size") >= capacity - SLACK)
         rest = bins.where(F.col("size") < capacity - SLACK)
         now = rest.count()
@@ -127,11 +131,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY, leaf_items: int = LEAF_ITEM
             done.append(bins)
             break
         done.append(ready)
-        fewer = max(-(-now // leaf_items), parts // FAN_IN, 1)
-        if fewer >= parts and now > 0.98 * left:
+        idle = idle + 1 if now > (1 - LEAST_GAIN) * left else 0
+        if idle == 2:
             done.append(rest)
             break
-        items, left, parts = rest, now, min(fewer, max(1, parts - 1))
+        items, left, parts, level = rest, now, max(-(-now // leaf_items), parts // FAN_IN, 1), level + 1
     whole = full.select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     numbered = whole
     for bins in done:

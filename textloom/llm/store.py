@@ -1,6 +1,6 @@
 """Content-addressed store of token ids: rolling hashes cut chunks, recipes and Merkle roots rebuild documents.
 
-A store is a folder with two Parquet tables.
+A store is a folder with three Parquet tables.
 
 * ``parts``: unique chunks and raw recipes.  A chunk has a digest (SHA-256 of the ids
   as little-endian unsigned 32-bit integers), length, and payload: the same bytes with
@@ -8,6 +8,8 @@ A store is a folder with two Parquet tables.
   digest chooses.  Recipes are the rows without digest.
 * ``documents``: one recipe a document, in files that ascend by doc_id: file number,
   place in the file, doc_id, the digests in order, their lengths, and the Merkle root.
+* ``manifest``: one row a file of recipes: documents, ids, and the Merkle root over its
+  recipes.  ``store_root`` is the root over these.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,13 +65,36 @@ def cut_points(n: int, asked: list[int]) -> list[int]:
     return ends
 
 
-def merkle_root(digests: list[bytes]) -> bytes:
-    """Leaves and inner nodes are told apart by a first byte; an odd node rises alone."""
-    level = [hashlib.sha256(b"\0" + d).digest() for d in digests] or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        paired = [hashlib.sha256(b"\1" + a + b).digest() for a, b in zip(level[::2], level[1::2])]
-        level = paired + level[len(level) & ~1 :]
-    return level[0]
+class Merkle:
+    """A Merkle tree that takes leaves one after the other and holds one node a level.
+
+    Leaves and inner nodes are told apart by a first byte; an odd node rises alone.
+    """
+
+    def __init__(self):
+        self.peaks: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.peaks and self.peaks[-1][0] == level:
+            node = hashlib.sha256(b"\1" + self.peaks.pop()[1] + node).digest()
+            level += 1
+        self.peaks.append((level, node))
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return hashlib.sha256(b"").digest()
+        node = self.peaks[-1][1]
+        for _, left in self.peaks[-2::-1]:
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
+def merkle_root(leaves: Iterable[bytes]) -> bytes:
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 def _press(raw: bytes, press) -> bytes:
@@ -91,12 +118,12 @@ def _encoded(docs: DataFrame, end_id: int, tokenizer: str | None) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", ENCODE_BYTES):
                 rows: list[tuple] = []
-                close = np.uint32(end_id).astype("<u4").tobytes()
-                streams = [raw + close for raw in ids_of(part.column("text").to_pylist())]
-                asked = marks(np.frombuffer(b"".join(streams), "<u4"))
-                bounds = np.append(0, np.cumsum([len(raw) // 4 for raw in streams]))
+                ids, bounds = ids_of(part.column("text"))
+                ids, bounds = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4"), bounds + np.arange(len(bounds))
+                data, asked = ids.tobytes(), marks(ids)
                 first = np.searchsorted(asked, bounds, side="right")
-                for i, (doc, raw) in enumerate(zip(part.column("doc_id").to_pylist(), streams)):
+                for i, doc in enumerate(part.column("doc_id").to_pylist()):
+                    raw = data[4 * bounds[i] : 4 * bounds[i + 1]]
                     n, digests, lengths, at = len(raw) // 4, [], [], 0
                     for end in cut_points(n, (asked[first[i] : first[i + 1]] - bounds[i]).tolist()):
                         piece = raw[4 * at : 4 * end]
@@ -119,19 +146,49 @@ def _encoded(docs: DataFrame, end_id: int, tokenizer: str | None) -> DataFrame:
 
 
 def _first_of_each(rows: DataFrame) -> DataFrame:
+    """Recipes, and the first of each run of chunks with one digest."""
+
     def run(batches):
-        last = None
+        last = pa.scalar(None, pa.binary())
         for batch in batches:
-            keep = []
-            for i, digest in enumerate(batch.column(4).to_pylist()):
-                if digest is None or digest != last:
-                    keep.append(i)
-                    last = digest
-            yield batch.take(pa.array(keep, pa.int64()))
+            if batch.num_rows:
+                digests = batch.column(4)
+                before = pa.concat_arrays([pa.array([last.as_py()], pa.binary()), digests[:-1]])
+                last = digests[-1]
+                yield batch.filter(pc.fill_null(pc.not_equal(digests, before), True))
 
     return rows.mapInArrow(run, rows.schema)
 
 
+def _file_roots(recipes: DataFrame) -> DataFrame:
+    """(file, documents, ids, root): the Merkle root over the recipes of each file in order, with their ids and lengths."""
+
+    def run(batches):
+        found: list[tuple] = []
+        at, tree, documents, ids = None, Merkle(), 0, 0
+        for batch in batches:
+            for file, doc, length, root in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if file != at:
+                    if at is not None:
+                        found.append((at, documents, ids, tree.root()))
+                    at, tree, documents, ids = file, Merkle(), 0, 0
+                tree.add((b"" if doc is None else doc.to_bytes(8, "little", signed=True)) + b"|" + length.to_bytes(8, "little") + root)
+                documents, ids = documents + 1, ids + length
+        if at is not None:
+            found.append((at, documents, ids, tree.root()))
+        columns = list(zip(*found)) if found else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["file", "documents", "ids", "root"])
+
+    dealt = recipes.select("file", "doc_id", "length", "root", "place").repartition("file").sortWithinPartitions("file", "place")
+    return dealt.select("file", "doc_id", "length", "root").mapInArrow(run, "file int, documents long, ids long, root binary")
+
+
+def store_root(spark: SparkSession, path: str) -> str:
+    """The Merkle root over the roots of all recipe files, in hex; one row a file passes the driver."""
+    rows = spark.read.parquet(f"{path}/manifest").orderBy("file").select("root").toLocalIterator()
+    return merkle_root(bytes(r["root"]) for r in rows).hex()
+
+
 def write_store(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write a store.
 
@@ -149,6 +206,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
     recipes = docs.sparkSession.read.parquet(f"{path}/parts").where("digest is null").select("doc_id", "digests", "lengths", "root", "length")
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "root")
     ordered.select(F.spark_partition_id().alias("file"), F.monotonically_increasing_id().alias("place"), "doc_id", "digests", "lengths", "root", "length").write.parquet(f"{path}/documents")
+    _file_roots(docs.sparkSession.read.parquet(f"{path}/documents")).write.parquet(f"{path}/manifest")
 
 
 def _checked_chunks(spark: SparkSession, path: str, payload: bool) -> DataFrame:
@@ -227,7 +285,9 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     Chunks are read, decompressed and hashed where they lie.  Only their checksums
     travel to the documents: the crc32 of a whole is the exclusive or of its parts',
     each shifted by the bytes that follow.  ``verified``: all chunks were there, with
-    the recipe's lengths, and the digests have the recipe's Merkle root.
+    the recipe's lengths, the digests have the recipe's Merkle root, and the recipes
+    of its file have that of the manifest.  A file of the manifest that is gone is an
+    error.
     """
     recipes = _starts(spark, path)
     parts = recipes.select("place", F.expr("explode(arrays_zip(digests, lengths, transform(sequence(1, size(lengths)), i -> aggregate(slice(lengths, i + 1, size(lengths)), 0L, (s, x) -> s + x))) )").alias("p"))
@@ -245,11 +305,17 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     def roots(batches):
         for batch in batches:
             good = [merkle_root(d) == r for d, r in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([len(d) for d in batch.column(4)]), pa.array(good)], names=["place", "doc_id", "start", "length", "wanted", "rooted"])
-
-    rooted = recipes.select("place", "doc_id", "start", "length", "digests", "root").mapInArrow(roots, "place long, doc_id long, start long, length long, wanted long, rooted boolean")
-    out = rooted.join(sums, "place", "left")
-    verified = F.col("rooted") & (F.col("parts") == F.col("wanted")) & (F.col("ids") == F.col("length"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([len(d) for d in batch.column(4)]), pa.array(good), batch.column(6)], names=["place", "doc_id", "start", "length", "wanted", "rooted", "file"])
+
+    manifest = spark.read.parquet(f"{path}/manifest")
+    again = _file_roots(recipes)
+    same = materialize(manifest.select("file", "documents", "ids", F.col("root").alias("stored")).join(again.select("file", F.col("root").alias("found")), "file", "full").select("file", F.col("stored").eqNullSafe(F.col("found")).alias("sealed"), F.col("found").isNull().alias("gone")), "seals")
+    lost = same.where("gone").count()
+    if lost:
+        raise ValueError(f"{lost} recipe files of the manifest are gone")
+    rooted = recipes.select("place", "doc_id", "start", "length", "digests", "root", "file").mapInArrow(roots, "place long, doc_id long, start long, length long, wanted long, rooted boolean, file int")
+    out = rooted.join(sums, "place", "left").join(same.select("file", "sealed"), "file", "left")
+    verified = F.col("rooted") & F.col("sealed") & (F.col("parts") == F.col("wanted")) & (F.col("ids") == F.col("length"))
     return out.select("doc_id", "start", F.coalesce("ids", F.lit(0)).alias("n_tokens"), F.coalesce("crc", F.lit(0)).alias("ids_crc32"), F.coalesce(verified, F.lit(False)).alias("verified"))
 
 
