@@ -23,25 +23,54 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 CHUNK_BYTES = 1 << 20
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = "2000"  # rows that Arrow hands over at once: texts are long
 
 
+_RUN = uuid.uuid4().hex
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one of our own only where none is set."""
+    """The shared folder that the session names; in local mode one of our own where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="textloom-scratch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in this process's part of the shared folder."""
+    return f"{scratch_dir(spark)}/textloom-{_RUN}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read the written table back."""
-    path = f"{scratch_dir(df.sparkSession)}/textloom/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that this process wrote to the shared folder; results that were not written yet are lost."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/textloom-{_RUN}")
+    top.getFileSystem(spark._jsc.hadoopConfiguration()).delete(top, True)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh_name(names, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of ``names``."""
+    used = {n.lower() for n in names}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,8 +81,12 @@ def fold_of(column: str, modulus: int):
 
 
 def split_table(df: DataFrame, partitions: int) -> DataFrame:
-    """Spread an input of few files over at least ``partitions`` tasks; larger inputs stay as they are."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Spread an input of few files over at least ``partitions`` tasks; larger inputs stay as they are.
+
+    Where the session has Spark's own batch size of 10,000 rows, it is lowered: texts are long.
+    """
+    if df.sparkSession.conf.get(BATCH) == "10000":
+        df.sparkSession.conf.set(BATCH, BATCH_ROWS)
     return df if df.rdd.getNumPartitions() >= partitions else df.repartition(partitions)
 
 

@@ -7,10 +7,13 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, materialize, split_table
+from textloom.llm.common import WORD, fresh_name, materialize, quoted, split_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
+CLOSE = 0.001  # share of its target that a source may miss without a swap
+SWAPS = 16  # rounds of swaps at most
+SMALL = 16  # a document with so small a part of the gap is one of many that close it
 GROUP = 64  # rows that one fold pairs, on average
 _TINY = 1e-12
 
@@ -106,12 +109,46 @@ def rounded(rows: DataFrame, seed: int = 7) -> DataFrame:
     return last
 
 
+def closed(rows: DataFrame, goal: DataFrame, seed: int = 7) -> DataFrame:
+    """``rows`` (source, doc_id, size, copy, bit) with bits swapped until each source's words meet ``goal`` (source, wanted).
+
+    The pivot that survives in a source is its largest document, so what its own
+    rounding missed is given back here.  In a round, a source whose documents are
+    small against its gap swaps each that helps with the chance that closes nine
+    tenths of it; any other source swaps the one that helps most.  The chances are
+    hashes.  A source is done when CLOSE of its target is met, or no swap helps.
+    """
+    done, now = [], rows
+    for level in range(SWAPS):
+        sums = now.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("size") * F.col("bit")).alias("taken"))
+        gaps = sums.join(goal.select(F.col("source").alias("g"), "wanted"), F.col("s").eqNullSafe(F.col("g"))).select("s", (F.col("wanted") - F.col("taken")).alias("gap"), F.greatest(F.lit(1.0), CLOSE * F.col("wanted")).alias("near"))
+        met = now.join(gaps, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        helps = (F.abs("gap") > F.col("near")) & (F.col("bit") == F.when(F.col("gap") > 0, 0).otherwise(1)) & (F.col("size") < 2 * F.abs("gap"))
+        met = met.withColumn("helps", helps).withColumn("small", F.col("helps") & (SMALL * F.col("size") <= F.abs("gap")))
+        best = F.min(F.when(F.col("helps"), F.struct(F.abs(F.abs("gap") - F.col("size")).alias("left"), F.xxhash64("doc_id", "size", "copy", F.lit(seed)).alias("ord"), "doc_id", "size", "copy")))
+        facts = met.groupBy(F.col("source").alias("s")).agg(F.sum(F.when(F.col("small"), F.col("size")).otherwise(F.lit(0))).alias("mass"), best.alias("best"))
+        facts = materialize(facts.where("best is not null"), "gaps")
+        if facts.isEmpty():
+            break
+        met = met.join(facts, F.col("source").eqNullSafe(F.col("s")), "left")
+        many = F.col("small") & F.expr(f"{_uniform('doc_id', 'copy', 'size', str(seed), str(-2 - level))} * mass < 0.9D * abs(gap)")
+        one = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("size") == F.col("best.size")) & (F.col("copy") == F.col("best.copy"))
+        swap = F.col("helps") & F.when(2 * F.col("mass") >= F.abs("gap"), many).otherwise(one)
+        met = materialize(met.select("source", "doc_id", "size", "copy", F.when(swap, 1 - F.col("bit")).otherwise(F.col("bit")).alias("bit"), F.col("best").isNotNull().alias("open")), "swapped")
+        done.append(met.where("not open").drop("open"))
+        now = met.where("open").drop("open")
+    for part in done:
+        now = now.unionByName(part)
+    return now
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
     """doc_id, source, size, copy, source_size, target and copies for every row of ``docs`` (doc_id, source, text).
 
     A row is copied target / source_size times in expectation, at most ``cap`` times:
-    the whole part for sure, the fraction by pivotal rounding weighted by size, so
-    that each source's taken words meet its target up to one document.  The random
+    the whole part for sure, the fraction by pivotal rounding weighted by size, after
+    which swaps give back what the last pivot missed (``closed``): each source's taken
+    words meet its target up to CLOSE of it, or as near as single swaps bring it.  The random
     numbers are hashes of the rows, so reruns agree.  Null texts have size 0 and are
     not copied; null sources are one source, the last; rows that are alike (doc_id,
     source, size) are rounded each on its own.  An empty table gives an empty result.
@@ -122,18 +159,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> Data
     goal = materialize(goal.withColumn("whole", F.floor(times + _TINY).cast("int")).withColumn("part", F.when(times - F.col("whole") > _TINY, times - F.col("whole")).otherwise(F.lit(0.0))), "targets")
     open_rows = rows.where("size > 0").join(goal.where("part > 0").select(F.col("source").alias("s"), "part"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     sure = rows.join(goal.where("part > 0").select(F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")), "left_anti").unionByName(rows.where("size = 0").join(goal.where("part > 0").select(F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")), "left_semi"))
-    bits = rounded(open_rows, seed).unionByName(sure.select("source", "doc_id", "size", "copy", F.lit(0).alias("bit")))
+    wanted = goal.where("part > 0").select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("wanted"))
+    bits = closed(materialize(rounded(open_rows, seed), "rounded"), wanted, seed).unionByName(sure.select("source", "doc_id", "size", "copy", F.lit(0).alias("bit")))
     facts = goal.select(F.col("source").alias("s"), "source_size", "target", "whole")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("bit")).otherwise(F.lit(0)).cast("int")
     return bits.join(facts, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "copy", "source_size", "target", copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (all their columns), each as many times as the mix takes it."""
-    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copy").alias("_copy"), F.col("copies").alias("_copies"))
-    taken = materialize(taken, "taken")
+    """The rows of ``docs`` (all their columns, under any names), each as many times as the mix takes it."""
     names = docs.columns
-    sized = docs.withColumn("_n", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
-    sized = sized.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))))
-    met = sized.join(taken.hint("merge"), sized.doc_id.cast("long").eqNullSafe(taken._doc) & sized.source.eqNullSafe(taken._source) & (sized._n == taken._size) & (sized._at == taken._copy))
-    return met.select(*(met[c] for c in names), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_again")).drop("_again")
+    at, n, copies, again = (fresh_name(names, x) for x in ("_place", "_words", "_copies", "_again"))
+    keys = [fresh_name([*names, at, n, copies, again], x) for x in ("_key_id", "_key_source", "_key_size", "_key_copy")]
+    chosen = mix(docs, **options).where("copies > 0").select(*(F.col(c).alias(k) for c, k in zip(("doc_id", "source", "size", "copy"), keys)), F.col("copies").alias(copies))
+    chosen = materialize(chosen, "taken")
+    sized = docs.withColumn(n, F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
+    sized = sized.withColumn(at, F.row_number().over(Window.partitionBy("doc_id", "source", n).orderBy(F.xxhash64("text"))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(keys[0])) & F.col("source").eqNullSafe(F.col(keys[1])) & (F.col(n) == F.col(keys[2])) & (F.col(at) == F.col(keys[3]))
+    met = sized.join(chosen.hint("merge"), same)
+    return met.select(*(F.col(quoted(c)) for c in names), F.explode(F.sequence(F.lit(1), F.col(copies))).alias(again)).drop(again)
