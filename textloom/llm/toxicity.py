@@ -82,28 +82,28 @@ def _karlin(scores: np.ndarray, chances: np.ndarray) -> float:
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in linear time, by the stack of candidate segments.
 
+    Each candidate keeps a link to the last one before it whose left sum is smaller:
+    the search for a partner follows links and never looks at a candidate twice.
     ``scores`` may be sparse: the caller passes runs, see ``_passages``.
     """
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, link
     total = 0.0
-    for i, s in enumerate(scores):
+    for i, s in enumerate(scores.tolist()):
         before = total
         total += s
         if s <= 0:
             continue
-        start, left = i, before
+        start, left, j = i, before, len(stack) - 1
         while True:
-            j = len(stack) - 1
-            skipped = []
             while j >= 0 and stack[j][2] >= left:
-                skipped.append(j)
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= total:
-                stack.append((start, i, left, total))
+                stack.append((start, i, left, total, j))
                 break
-            start, left = stack[j][0], stack[j][2]
+            start, left, link = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-    return [(a, b + 1, right - left) for a, b, left, right in stack]
+            j = link
+    return [(a, b + 1, right - left) for a, b, left, right, _ in stack]
 
 
 def _passages(weights: np.ndarray, hits: np.ndarray, n: int, drift: float) -> list[tuple[int, int, float]]:
@@ -132,7 +132,9 @@ def _features(model: ToxicModel, passages: list[tuple[int, int, float]], n: int)
 
 
 def scan(docs: DataFrame, model: ToxicModel, keep: list[str] = (), with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, best, total, passages (byte spans in the UTF-8 text, calibrated score) of each document.
+    """doc_id, n_words, top, best, total, passages (byte spans in the UTF-8 text, calibrated score) of each document.
+
+    ``top`` is the score of the best passage in nats, ``best`` the same above what a text of this length reaches by chance.
 
     Columns in ``keep`` (and the text, if asked for) pass through, even under the names above.
     """
@@ -147,23 +149,24 @@ def scan(docs: DataFrame, model: ToxicModel, keep: list[str] = (), with_text: bo
                 place[place == len(model.words)] = 0
                 hit = np.flatnonzero(model.words[place] == hashes) if len(model.words) else np.zeros(0, np.int64)
                 cut = np.searchsorted(hit, at)
-                best, total, spans = [], [], []
+                top, best, total, spans = [], [], [], []
                 for i in range(part.num_rows):
                     n = int(at[i + 1] - at[i])
                     own = hit[cut[i] : cut[i + 1]]
                     found = _passages(model.weights[place[own]], own - at[i], n, model.drift) if len(own) else []
                     b, t, _ = _features(model, found, n)
                     level = math.log(model.k * max(n, 1) + 1)
+                    top.append(model.lam * max((x[2] for x in found), default=0.0))
                     best.append(b)
                     total.append(t)
                     spans.append([{"from": int(starts[at[i] + a] - bounds[i]), "to": int(stops[at[i] + z - 1] - bounds[i]), "score": model.lam * s - level} for a, z, s in found if model.lam * s > level])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(names))), pa.array(np.diff(at)), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64())])))],
-                    names=[*names, "n_words", "best", "total", "passages"],
+                    [*(part.column(i) for i in range(len(names))), pa.array(np.diff(at)), pa.array(top, pa.float64()), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64())])))],
+                    names=[*names, "n_words", "top", "best", "total", "passages"],
                 )
 
     rows = docs.select(*(F.col(f"`{c}`") for c in names), *([] if with_text else ["text"]))
-    return rows.mapInArrow(giving_back(run), f"{kept}, n_words long, best double, total double, passages array<struct<from:long,to:long,score:double>>")
+    return rows.mapInArrow(giving_back(run), f"{kept}, n_words long, top double, best double, total double, passages array<struct<from:long,to:long,score:double>>")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
@@ -174,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     of its two class frequencies, each with pseudo-counts in the proportions of both
     classes together (PRIOR_SHARE); all words whose z-score reaches MIN_Z enter the
     lexicon, with 16 bytes each: at most one for MIN_DOCUMENTS toxic (document, word) pairs.  Any other word scores ``drift``.
+    The extreme-value constants come from the background: ``lam`` from the word chances, ``k`` from the scores of all texts that are not toxic.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -203,11 +207,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     in_toxic = min(0.5, float(sum(r["t"] for r in lexicon)) / nt)
     drift = min(-0.05, math.log((1 - in_toxic) / max(1e-6, chances[-1])), -1.2 * float(np.sum(chances[:-1] * weights)) / chances[-1])
     lam = _karlin(np.append(weights, drift), chances)
-    model = ToxicModel(words, weights, drift, lam, 0.1)
+    model = ToxicModel(words, weights, drift, lam, _extreme_k(scan(rows.where("toxic = 0"), ToxicModel(words, weights, drift, lam, 1.0))))
     sample = once.withColumn("order", F.xxhash64("doc_id", F.lit(8))).orderBy("order", "doc_id").limit(SAMPLE).select("doc_id", "toxic")
     feats = scan(texts.join(F.broadcast(sample), "doc_id"), model, ["toxic"]).select("best", "total", "toxic").collect()
     bias, slope, many = _logistic(np.array([[_squash(f["best"]), math.log1p(f["total"])] for f in feats]), np.array([f["toxic"] for f in feats], float))
-    return ToxicModel(words, weights, drift, lam, 0.1, bias, slope, many)
+    return ToxicModel(words, weights, drift, lam, model.k, bias, slope, many)
+
+
+def _extreme_k(background: DataFrame) -> float:
+    """The extreme-value constant that makes the best passages of all ``background`` texts likeliest.
+
+    P(top >= x) = 1 - exp(-k n exp(-x)); texts without a passage only tell that their top is not above 0.
+    """
+    found = background.agg(F.count_if(F.col("top") > 0).alias("reached"), F.sum(F.col("n_words") * F.exp(-F.col("top"))).alias("mass")).first()
+    return (found["reached"] + 0.5) / ((found["mass"] or 0.0) + 1.0)
 
 
 def _squash(best: float) -> float:
