@@ -15,9 +15,11 @@ def op1_suffix_tree(spark, sf_dir):
 
 
 def op2_preference_pairs(spark, sf_dir):
-    from textloom.llm.preference import preference_turns
+    from textloom.llm.preference import preference_pairs, swapped_answers
 
-    return preference_turns(table(spark, sf_dir, "conversations"))
+    pairs = preference_pairs(swapped_answers(table(spark, sf_dir, "conversations")))
+    digest = lambda c: F.array_join(F.transform(F.col(c), lambda p: F.concat(p["from"].cast("string"), F.lit("-"), p.to.cast("string"))), ",").alias(c)
+    return pairs.select("pair_id", "prompt", "prompt_turns", "chosen", "rejected", digest("chosen_mask"), digest("rejected_mask"))
 
 
 def op3_token_store(spark, sf_dir):
