@@ -189,11 +189,22 @@ def test_phrases(odd):
 
 
 def test_preference(spark):
-    from textloom.llm.preference import preference_turns
+    from textloom.llm.preference import preference_pairs, preference_turns, swapped_answers
 
-    turns = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 1, "assistant", "bad"), (2, 0, None, None), (None, 0, "user", "x")]
-    rows = preference_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    schema = "pair_id long, side string, turn long, role string, text string, prompt string"
+    sides = [(0, "chosen", 0, "user", "q"), (0, "chosen", 1, "assistant", "good"), (0, "rejected", 0, "user", "q"), (0, "rejected", 1, "assistant", "bad"), (0, "rejected", 1, "assistant", "bad"), (1, "chosen", 0, None, None)]
+    rows = preference_turns(spark.createDataFrame([(*s, "x") for s in sides], schema)).collect()
     assert sorted((r["pair_id"], r["part"], r["turn"], r["trained"]) for r in rows) == [(0, "chosen", 1, True), (0, "prompt", 0, False), (0, "rejected", 1, True), (1, "chosen", 0, False)]
+    line = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"c{c} t{t} é") for c in (4, 5) for t in range(200)] + [(4, 200, "user", "bye"), (6, 0, "user", None), (None, 0, "user", "x"), (8, None, "user", "x"), (9, 0, "assistant", "lone")]
+    found = {r["pair_id"]: r for r in preference_pairs(swapped_answers(spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, side string"))).collect()}
+    assert set(found) == {4, 5, 6, 9}
+    four, own = found[4], [t for t in turns if t[0] == 4]
+    assert four["prompt"] == "".join(line(r, x) for _, t, r, x in own if t < 199) and four["prompt_turns"] == 199
+    assert four["chosen"] == line("assistant", "c4 t199 é") + line("user", "bye") and four["rejected"] == line("assistant", "c5 t199 é") + line("user", "bye")
+    assert [four["rejected"][a:b] for a, b in four["rejected_mask"]] == ["c5 t199 é<|end|>\n"]
+    assert (found[6]["chosen"], found[6]["prompt"], found[6]["chosen_mask"]) == ("", line("user", ""), []) and found[9]["prompt"] == line("assistant", "lone")
+    assert preference_pairs(swapped_answers(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
 
 
 def test_base_score(spark):
