@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, table
+from textloom.llm.common import fresh_name, materialize, quoted, table
 from textloom.llm.mixing import mixed_documents
 from textloom.llm.near import near_duplicates
 from textloom.llm.packing import pack_documents
@@ -13,52 +13,58 @@ from textloom.llm.rules import quality_rules
 from textloom.llm.toxicity import fit, scan, score_column
 
 
-ROW_KEY = "_textloom_row"
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row, written so that it stays the same (doc_id can be null or repeated), and its name."""
+    key = fresh_name(docs.columns, "_textloom_row")
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row, written so that it stays the same: doc_id can be null or repeated."""
-    return materialize(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
-
-
-def _kept(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+def _kept(keyed: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of ``keyed`` whose key is in ``keys``, without it."""
-    return keyed.join(keys.hint("merge"), ROW_KEY, "left_semi").drop(ROW_KEY)
+    return keyed.join(keys.hint("merge"), key, "left_semi").drop(key)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text scores under 0.7; the model learns from all labelled rows of ``docs``."""
+    """Rows whose text scores under 0.7; the model learns from all labelled rows of ``docs``.
+
+    Null and empty texts have no passage and stay.  Rows without doc_id are judged and teach nothing.
+    """
     model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), table(spark, sf_dir, "labels"))
-    scored = scan(docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))).alias("_rest")), model, ["_rest"], with_text=True)
-    rest = [c if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns]
-    return scored.where(score_column(model) < 0.7).select(*rest)
+    rest = fresh_name(docs.columns, "_rest")
+    whole = F.struct(*(F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")))
+    scored = scan(docs.select("doc_id", "text", whole.alias(rest)) if len(docs.columns) > 2 else docs.select("doc_id", "text"), model, [rest] if len(docs.columns) > 2 else [], with_text=True)
+    columns = [c if c in ("doc_id", "text") else F.col(rest)[c].alias(c) for c in docs.columns]
+    return scored.where(score_column(model) < 0.7).select(*columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and the learned decision list, each judged by its own text."""
-    keyed = _keyed(docs)
-    judged, _ = quality_rules(keyed, table(spark, sf_dir, "labels"), (ROW_KEY,))
-    return _kept(keyed, judged.where("kept").select(ROW_KEY)).select(*docs.columns)
+    """Rows that pass the base rules and the learned decision list, each judged by its own text (null: no words, so it goes)."""
+    keyed, key = _keyed(docs)
+    judged, _ = quality_rules(keyed, table(spark, sf_dir, "labels"), (key,))
+    return _kept(keyed, judged.where("kept").select(key), key)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: one with the smallest doc_id (rows without doc_id come last)."""
-    keyed = _keyed(docs)
-    found = near_duplicates(keyed.select(F.col(ROW_KEY).alias("doc_id"), "text"), width=5)
-    groups = found.select(F.col("doc_id").alias(ROW_KEY), "component_id")
-    ids = keyed.select(ROW_KEY, F.col("doc_id").cast("long").alias("_id"))
-    order = F.struct(F.col("_id").isNull(), "_id", ROW_KEY)
-    first = groups.join(ids, ROW_KEY).groupBy("component_id").agg(F.min_by(ROW_KEY, order).alias(ROW_KEY)).select(ROW_KEY)
-    return _kept(keyed, first).select(*docs.columns)
+    """One row of each group of near copies: that with the smallest doc_id (rows without doc_id come last), then hash of its text.
+
+    Rows are compared by their texts alone, whatever their ids; rows without words are like nothing and stay.
+    """
+    keyed, key = _keyed(docs)
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), width=5)
+    groups = found.select(F.col("doc_id").alias("row"), "component_id")
+    ids = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print"))
+    order = F.struct(F.col("id").isNull(), "id", "print", "row")
+    first = groups.join(ids, "row").groupBy("component_id").agg(F.min_by("row", order).alias(key)).select(key)
+    return _kept(keyed, first, key)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix of sources takes them."""
+    """Rows as often as the mix of sources takes them; rows without words are never taken."""
     return mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and place."""
+    """Pieces of at most 2048 tokens with their sequence and place; null and empty texts are one end id."""
     return pack_documents(docs)
 
 
