@@ -15,7 +15,6 @@ A store is a folder with three Parquet tables.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterable
 
@@ -26,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import chunks as slices
-from textloom.llm.common import materialize, mix64, scratch_dir, split_table
+from textloom.llm.common import materialize, mix64, scratch_path, split_table
 from textloom.llm.encode import ENCODE_BYTES, encoder
 
-WINDOW = 16  # ids that a rolling hash sees
+WINDOW = 16  # ids that a rolling hash sees, a power of two
 MASK = np.uint64((1 << 9) - 1)  # a cut after one id in 512
 LEAST, MOST = 64, 4096  # ids in a chunk
+_CODES = mix64(np.arange(1, 1 << 16, dtype=np.uint64))  # of small ids, ready
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
@@ -40,10 +40,14 @@ def marks(ids: np.ndarray) -> np.ndarray:
     The stream may hold several documents: a window reaches back less than LEAST
     ids, and no chunk ends so near its document's begin.
     """
-    code = mix64(ids.astype(np.uint64) + np.uint64(1))
-    rolled = code.copy()
-    for k in range(1, min(WINDOW, len(ids))):  # a xor of the last ids, each rotated by its distance
-        rolled[k:] ^= (code[:-k] << np.uint64(k)) | (code[:-k] >> np.uint64(64 - k))
+    rolled = _CODES[ids] if len(ids) and ids.max() < len(_CODES) else mix64(ids.astype(np.uint64) + np.uint64(1))
+    k = 1
+    while k < WINDOW:  # a xor of the last WINDOW ids, each rotated by its distance: windows of k make those of 2 k
+        if k < len(rolled):
+            turned = rolled[:-k] << np.uint64(k)
+            turned |= rolled[:-k] >> np.uint64(64 - k)
+            rolled[k:] ^= turned
+        k *= 2
     return np.flatnonzero((rolled & MASK) == 0) + 1
 
 
@@ -320,4 +324,4 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_store_path(spark: SparkSession) -> str:
-    return f"{scratch_dir(spark)}/textloom/store-{uuid.uuid4().hex}"
+    return scratch_path(spark, "store")
