@@ -10,30 +10,43 @@ WINDOW, STRIDE, TAIL = 9000, 6000, 3000
 SNAP = 512
 
 
+def parameters(window: int = 0, stride: int = 0, tail: int = 0, embed_limit: int = 0) -> tuple[int, int, int]:
+    """Window, stride and tail that hold together: defaults for what is 0, no more than an embedder takes, a quarter of overlap."""
+    window, stride, tail = window if window > 0 else WINDOW, stride if stride > 0 else STRIDE, tail if tail > 0 else TAIL
+    window = max(1, min(window, embed_limit) if embed_limit > 0 else window)
+    return window, max(1, min(stride, window * 3 // 4)), min(tail, window)
+
+
+def last_mark(text: str, low: int, high: int, mark: str) -> int:
+    """The place after the last ``mark`` inside text[low:high]; 0 without one."""
+    found = text.rfind(mark, max(low, 0), min(high, len(text)))
+    return found + len(mark) if found >= 0 else 0
+
+
+def _snapped(text: str, low: int, place: int) -> int:
+    """``place`` moved back to a paragraph's begin, or else a line's, not before ``low``."""
+    return last_mark(text, low, place, "\n\n") or last_mark(text, low, place, "\n") or place
+
+
 def cut(text: str, window: int = WINDOW, stride: int = STRIDE, tail: int = TAIL) -> list[tuple[int, int]]:
     """Half-open code point spans that cover ``text``: ends move to a paragraph or line end in the window's last
-    quarter, begins up to SNAP back to a line begin; a tail shorter than ``tail`` joins the last window."""
+    quarter, begins up to SNAP back to one; a tail shorter than ``tail`` joins the last window.  Nothing has none."""
     n = len(text)
     if n <= window:
-        return [(0, n)]
+        return [(0, n)] if n else []
     spans, at = [], 0
     while True:
-        end = min(at + window, n)
-        if n - end < tail:
+        hard = at + window
+        end = n if hard >= n else _snapped(text, at + window * 3 // 4, hard)
+        after = at + stride
+        after = n if after >= n else _snapped(text, max(after - SNAP, 0), after)
+        after = end if after <= at else after
+        if end < n and n - after < tail:
             end = n
-        if end < n:
-            low = at + window - window // 4
-            for mark in ("\n\n", "\n"):
-                found = text.rfind(mark, low, end)
-                if found >= 0:
-                    end = found + len(mark)
-                    break
         spans.append((at, end))
         if end >= n:
             return spans
-        begin = min(at + stride, end)
-        found = text.rfind("\n", max(begin - SNAP, at + 1), begin)
-        at = found + 1 if found >= 0 else begin
+        at = after
 
 
 def fragments(docs: DataFrame, key: str, text: str, window: int = WINDOW, stride: int = STRIDE, tail: int = TAIL) -> DataFrame:

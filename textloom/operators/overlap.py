@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import fold
+from textloom.plans.tasks import spread
 
 WIDTH, MODULUS, GENERIC = 32, 32, 12
-STRETCH = 128
+MOST_PLACES = 24
 
 
 def identical_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -25,16 +30,31 @@ def copies(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shingles(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(key, at, hash) of every folded window at stride 1, by a portable 60-bit hash.
+    """(key, at, hash) of every folded window at stride 1, by a portable 60-bit hash: the first digits of its MD5.
 
-    A body is first cut into stretches of STRETCH windows, so that the cost of a window does not grow with its text.
+    Bodies are folded in the JVM; windows are cut and hashed in Arrow batches.
     """
-    folded = docs.select(key, fold(F.col(text)).alias("body")).where(F.length("body") >= width)
-    cut = folded.select(key, F.expr(f"transform(sequence(0, greatest(length(body) - {width}, 0), {STRETCH}), i -> struct(i as base, substr(body, i + 1, {STRETCH + width - 1}) as part))").alias("cut"))
-    part = cut.select(key, F.explode("cut").alias("c")).select(key, "c.base", "c.part")
-    at = part.select(key, "base", "part", F.explode(F.sequence(F.lit(0), F.greatest(F.length("part") - width, F.lit(0)))).alias("i"))
-    digest = F.substring(F.md5(F.substr("part", F.col("i") + 1, F.lit(width)).cast("binary")), 1, 15)
-    return at.select(key, (F.col("base") + F.col("i")).alias("at"), F.conv(digest, 16, 10).cast("long").alias("hash"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        md5 = hashlib.md5
+        for batch in batches:
+            rows, at, value = [], [], []
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                n = len(body) - width + 1
+                rows.append(np.full(n, i))
+                at.append(np.arange(n, dtype=np.int32))
+                if body.isascii():
+                    raw = body.encode()
+                    digests = b"".join([md5(raw[k : k + width]).digest()[:8] for k in range(n)])
+                else:
+                    digests = b"".join([md5(body[k : k + width].encode()).digest()[:8] for k in range(n)])
+                value.append((np.frombuffer(digests, ">u8") >> np.uint64(4)).astype(np.int64))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(at)), pa.array(np.concatenate(value))], names=[key, "at", "hash"])
+
+    folded = spread(docs.select(key, text)).select(key, fold(F.col(text)).alias("body")).where(F.length("body") >= width)
+    return folded.mapInArrow(run, f"{key} {kind}, at int, hash long")
 
 
 def sketch(shingled: DataFrame, key: str, modulus: int = MODULUS) -> DataFrame:
@@ -84,6 +104,13 @@ def similarity(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("a", "b", "common", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("jaccard"), (F.col("common") / F.col("n_a")).alias("a_in_b"), (F.col("common") / F.col("n_b")).alias("b_in_a"))
 
 
+def seeds(a: DataFrame, b: DataFrame, most: int = MOST_PLACES) -> DataFrame:
+    """(a, at_a, b, at_b) of equal windows; one with more than ``most`` places in a text of side b anchors nothing there."""
+    crowded = b.groupBy("b", "hash").agg(F.count("*").alias("n")).where(F.col("n") > most).select("b", "hash")
+    usual = b.join(crowded, ["b", "hash"], "left_anti")
+    return a.withColumnRenamed("at", "at_a").join(usual.withColumnRenamed("at", "at_b"), "hash").select("a", "at_a", "b", "at_b")
+
+
 def runs(seeds: DataFrame, width: int = WIDTH, least: int = 40) -> DataFrame:
     """Matching runs of pairs (a, b) from seeds (at_a, at_b): seeds of one diagonal not over ``width`` apart are one run."""
     diagonal = seeds.select("a", "b", "at_a", "at_b", (F.col("at_b") - F.col("at_a")).alias("delta"))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from textloom.functions.stem import stem, stems
 from textloom.functions.text import tokens
+from textloom.plans.tasks import spread
 
 K1, B, RRF = 1.2, 0.75, 60
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, dl): aggregated on the map side before the one shuffle."""
-    listed = docs.select(key, tokens(F.col(text)).alias("terms"))
+    listed = spread(docs.select(key, text)).select(key, tokens(F.col(text)).alias("terms"))
     return listed.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
@@ -24,12 +25,12 @@ def _equal_to(term: str):
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], stemmed: bool = False) -> DataFrame:
     """(key, score) of all rows with a query term.  Only the query's terms are counted in each text: nothing is exploded.
 
-    With ``stemmed``, texts and query are compared by their English stems.
+    With ``stemmed``, texts and query are compared by their English stems: each
+    distinct word is stemmed once, and joined back.
     """
-    words = tokens(F.col(text))
     if stemmed:
-        words, query = stems(words), [stem(t.lower()) for t in query]
-    listed = docs.select(key, words.alias("terms"))
+        return _stemmed_bm25(docs, key, text, [stem(t.lower()) for t in query])
+    listed = spread(docs.select(key, text)).select(key, tokens(F.col(text)).alias("terms"))
     counts = listed.select(key, F.size("terms").alias("dl"), *(F.size(F.filter("terms", _equal_to(t))).alias(f"tf{i}") for i, t in enumerate(query)))
     facts = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
     joined = counts.where(" or ".join(f"tf{i} > 0" for i in range(len(query)))).crossJoin(F.broadcast(facts))  # one row of facts
@@ -41,6 +42,14 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], stemmed: bool =
     return joined.select(key, score.alias("score"))
 
 
+def _stemmed_bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
+    rows = postings(docs, key, text)
+    vocabulary = rows.select("term").distinct().withColumn("stem", F.element_at(stems(F.array("term")), 1)).where(F.col("stem").isin(sorted(set(query))))
+    hits = rows.join(vocabulary, "term").groupBy(F.col("stem").alias("term"), key, "dl").agg(F.sum("tf").alias("tf"))
+    facts = spread(docs.select(key, text)).agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
+    return weighted(hits, facts, query, key)
+
+
 def top(hits: DataFrame, key: str, k: int) -> DataFrame:
     return hits.orderBy(F.desc("score"), key).limit(k)
 
@@ -86,3 +95,131 @@ def overlay(main: DataFrame, branch: DataFrame, tombstones: DataFrame, key: str)
     """A branch over its parent: parent rows that are neither replaced nor deleted, and the branch's own."""
     shadow = branch.select(key).unionByName(tombstones.select(key)).distinct()
     return main.join(shadow, key, "left_anti").unionByName(branch)
+
+
+def weighted(rows: DataFrame, facts: DataFrame, terms: list[str], key: str) -> DataFrame:
+    """(key, score) from postings rows (term, key, tf, dl) of the query's terms and one row of ``facts`` (n, avgdl)."""
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))  # a row a query term
+    times = F.create_map(*(F.lit(x) for t in set(terms) for x in (t, float(terms.count(t)))))[F.col("term")]
+    met = rows.join(F.broadcast(df), "term").crossJoin(F.broadcast(facts))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return met.groupBy(key).agg(F.sum(part).alias("score"))
+
+
+class TextIndex:
+    """An inverted index in a folder: postings in buckets of terms, and a row of facts; a search reads its terms' buckets only.
+
+    ``stemmed`` keeps English stems: distinct words are stemmed once, not each place.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @classmethod
+    def bucket(cls, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(cls.BUCKETS)).cast("int")
+
+    def write(self, docs: DataFrame, key: str, text: str, stemmed: bool = False) -> "TextIndex":
+        listed = docs.select(key, tokens(F.col(text)).alias("terms"))
+        listed.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"), F.lit(stemmed).alias("stemmed")).write.mode("overwrite").parquet(f"{self.path}/facts")
+        rows = postings(docs, key, text)
+        if stemmed:
+            vocabulary = rows.select("term").distinct().withColumn("stem", F.element_at(stems(F.array("term")), 1))
+            rows = rows.join(vocabulary, "term").groupBy(F.col("stem").alias("term"), key, "dl").agg(F.sum("tf").alias("tf"))
+        buckets = rows.withColumn("bucket", self.bucket(F.col("term")))
+        buckets.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        return self
+
+    def search(self, spark, query: list[str], key: str) -> DataFrame:
+        """(key, score) of all rows with a query term."""
+        facts = spark.read.parquet(f"{self.path}/facts")
+        terms = [stem(t.lower()) for t in query] if facts.first()["stemmed"] else [t.lower() for t in query]
+        numbers = [r[0] for r in spark.createDataFrame([(t,) for t in set(terms)], "term string").select(self.bucket(F.col("term"))).collect()]
+        rows = spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(sorted(set(numbers))) & F.col("term").isin(sorted(set(terms))))
+        return weighted(rows, facts, terms, key)
+
+
+def phrases(query: str) -> list[list[str]]:
+    """The tokens of each word of a query: a word that splits is a phrase."""
+    import re
+
+    return [t for t in ([x.lower() for x in re.findall(r"[^\W_]+", w)] for w in query.split()) if t]
+
+
+def phrase_search(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """(key, score) of rows with any word of ``query``; a word that splits into several tokens counts where they follow each other."""
+    wanted = phrases(query)
+    # tokens with a blank on both sides: a phrase is counted where its tokens stand, overlaps too
+    listed = spread(docs.select(key, text)).select(key, F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), " "), F.lit(" ")).alias("line"))
+    counts = listed.select(key, F.greatest(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) - 1, F.lit(0)).alias("dl"), *(F.regexp_count("line", F.lit(f"(?= {' '.join(p)} )")).alias(f"tf{i}") for i, p in enumerate(wanted)))
+    facts = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
+    if not wanted:
+        return docs.where("false").select(key, F.lit(0.0).alias("score"))
+    hits = counts.where(" or ".join(f"tf{i} > 0" for i in range(len(wanted)))).crossJoin(F.broadcast(facts))  # one row of facts
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        score += idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.select(key, score.alias("score"))
+
+
+def selected(index: Column, selector: str) -> Column:
+    """Rows of the indexes that a selector names: all, a list with commas, ``prefix*``."""
+    parts = [p.strip() for p in selector.split(",") if p.strip()]
+    if selector.strip() in ("", "all"):
+        return F.lit(True)
+    out = F.lit(False)
+    for p in parts:
+        out = out | (index.startswith(p[:-1]) if p.endswith("*") else index == p)
+    return out
+
+
+def scoped(selector: str, own: str, shared: list[str] = (), mark: str = "__") -> str:
+    """A selector in a namespace: bare names are its own, ``other:name`` must be shared; what cannot be reached matches nothing."""
+    import re
+
+    name = lambda s: re.sub("[^a-z0-9_-]", "", s.lower()) or "default"
+    if not own:
+        return selector.strip()
+    if selector.strip() in ("", "all"):
+        return ",".join(f"{n}{mark}*" for n in dict.fromkeys([own, *(s for s in shared if s)]))
+    out = []
+    for token in (t.strip() for t in selector.split(",")):
+        space, colon, local = token.partition(":")
+        if not token:
+            continue
+        if not colon:
+            out.append(own + mark + name(token))
+        elif name(space) == own or name(space) in shared:
+            out.append(name(space) + mark + ("*" if local.strip() == "*" else name(local)))
+    return ",".join(out) or f"{mark}nothing{mark}"
+
+
+def across_indexes(hits: DataFrame, key: str, limit: int) -> DataFrame:
+    """The best of several indexes' hits (index, key, score): ranked by fused rank, with their own scores.
+
+    Each index gives its ``2 * limit`` best; ranks count from 0 in an index.
+    """
+    from textloom.operators.prefix import last_rows
+
+    best = last_rows(hits.withColumn("_order", F.struct("score", -F.col(key))), ["index"], "_order", 2 * limit)
+    rank = F.row_number().over(Window.partitionBy("index").orderBy(F.desc("score"), key)) - 1
+    fused = best.withColumn("fused", 1 / (RRF + rank))
+    return fused.orderBy(F.desc("fused"), "index", key).limit(limit).select("index", key, "score", "fused")
+
+
+def figure_search(media: DataFrame, vectors: DataFrame, documents: DataFrame, query: DataFrame, limit: int = 10, prefix: str = "") -> DataFrame:
+    """(media_id, path, title, page, description, score): figures whose vectors a text query can be held against, by cosine.
+
+    ``media`` has media_id, path, page and description, ``vectors`` media_id, space
+    and vector; of the spaces only text and images aligned with it are comparable.
+    """
+    usable = vectors.where(F.col("space").isin("text", "image-aligned"))
+    scored = cosine(usable, "media_id", "vector", query)
+    rows = media.where(under("path", prefix)) if prefix else media
+    met = scored.join(rows, "media_id").join(documents.select("path", "title"), "path")
+    return met.orderBy(F.desc("score"), "media_id").limit(limit).select("media_id", "path", "title", "page", "description", "score")

@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries."""
 
+from textloom import index_queries
+
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
@@ -18,13 +20,15 @@ _COSINE = """near as (select e.vec_id, coalesce(list_dot_product(e.embedding::do
   from embeddings e, (select embedding from embeddings where vec_id = 0) q)"""
 
 _FOLD = r"lower(regexp_replace(text, '[^\p{L}\p{Nd}]', '', 'g'))"
-_SHINGLES = f"""body as (select item_id, {_FOLD} as b from benchmark), s as (
-  select item_id, at_ as p0, cast('0x' || substr(md5(substr(b, cast(at_ as integer) + 1, 32)), 1, 15) as bigint) as hash
-  from (select item_id, b, unnest(range(0, length(b) - 31)) as at_ from body where length(b) >= 32))"""
-_CANDIDATES = f"""{_SHINGLES}, k as (select distinct item_id, hash from s where hash & 31 = 0),
-  g as (select hash from k group by hash having count(*) >= 12),
-  cand as (select x.item_id as a, y.item_id as b, count(*) as shared from k x join k y on x.hash = y.hash
-    where y.hash not in (select hash from g) group by 1, 2 having count(*) >= 3)"""
+def _shingles(name: str, table: str, key: str) -> str:
+    return f"""{name} as (select {key}, at_ as p0, cast('0x' || substr(md5(substr(b, cast(at_ as integer) + 1, 32)), 1, 15) as bigint) as hash
+  from (select {key}, b, unnest(range(0, length(b) - 31)) as at_ from (select {key}, {_FOLD} as b from {table}) where length(b) >= 32))"""
+
+
+_BOTH = f"{_shingles('sa', 'benchmark', 'item_id')}, {_shingles('sb', 'documents', 'doc_id')}"
+_CANDIDATES = f"""{_BOTH}, ka as (select distinct item_id as a, hash from sa where hash & 31 = 0), kb as (select distinct doc_id as b, hash from sb where hash & 31 = 0),
+  g as (select hash from kb group by hash having count(*) >= 12),
+  cand as (select a, b, count(*) as shared from ka join kb on ka.hash = kb.hash where kb.hash not in (select hash from g) group by 1, 2 having count(*) >= 3)"""
 _LINES = r"list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 _CONTENT = r"length(regexp_replace(text, '[^\p{L}\p{Nd}]', '', 'g'))"
@@ -40,11 +44,12 @@ ORACLES: dict[str, str] = {
     "bm25_under_path": f"with {_bm25('documents', 'doc_id')} select doc_id, 'doc/' || doc_id as path, round(score, 6) as score from hits where starts_with('doc/' || doc_id, 'doc/1') order by hits.score desc, doc_id limit 10",
     "cosine_search": f"with {_COSINE} select vec_id, round(score, 6) as score from near order by near.score desc, vec_id limit 10",
     "hybrid_search": f"""with {_bm25('documents', 'doc_id')}, {_COSINE},
-      l as (select doc_id as id, row_number() over (order by score desc, doc_id) as r from hits qualify r <= 40),
-      d as (select vec_id as id, row_number() over (order by score desc, vec_id) as r from near qualify r <= 40),
-      u as (select * from l union all select * from d), fused as (select id, sum(1.0 / (60 + r - 1)) as score from u group by id)
-      select id, round(score, 6) as score from fused order by fused.score desc, id limit 10""",
-    "postings_stats": f"select term, count(distinct item_id) as df, count(*) as cf from (select item_id, unnest({_TOKENS}) as term from benchmark) group by term",
+      l as (select doc_id, row_number() over (order by score desc, doc_id) as r from hits qualify r <= 40),
+      d as (select vec_id as doc_id, row_number() over (order by score desc, vec_id) as r from near where vec_id in (select doc_id from documents) qualify r <= 40),
+      u as (select * from l union all select * from d), fused as (select doc_id, sum(1.0 / (60 + r - 1)) as score from u group by doc_id)
+      select doc_id, round(score, 6) as score from fused order by fused.score desc, doc_id limit 10""",
+    "index_search": f"with {_bm25('documents', 'doc_id')} select doc_id, round(score, 6) as score from hits order by hits.score desc, doc_id limit 10",
+    "postings_stats": f"select term, count(distinct doc_id) as df, count(*) as cf from (select doc_id, unnest({_TOKENS}) as term from documents) group by term",
     "best_turn_of_conversation": f"""with t0 as (select *, conv_id * 1000 + turn as frag_id from conversations), {_bm25('t0', 'frag_id')},
       r as (select frag_id // 1000 as conv_id, frag_id, round(score, 6) as score from hits)
       select conv_id, frag_id, score from r qualify row_number() over (partition by conv_id order by score desc, frag_id) = 1""",
@@ -62,23 +67,24 @@ ORACLES: dict[str, str] = {
     "line_repetition": f"select doc_id, round(case when len({_LINES}) > 0 then 1 - len(list_distinct({_LINES})) / len({_LINES}) else 0 end, 6) as repetition from documents",
     "numeric_tokens": r"""select doc_id, array_to_string(list_sort(list_distinct(n)), ' ') as numbers from (
       select doc_id, list_filter(regexp_extract_all(regexp_replace(regexp_replace(text, '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g'), '\d+(?:\.\d+)?'), lambda x: length(x) >= 2) as n from documents) where len(n) > 0""",
-    "html_to_text": "select page_id, sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(html, '<[^<>]*>', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) as text from pages",
+    "html_to_text": "select page_id, sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(html, '<[^<>]*>', ' ', 'g'), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))) as text from pages",
     "clipped_titles": f"""select doc_id, case when length({_FLAT}) > 60 then substr({_FLAT}, 1, 60) || '…' else {_FLAT} end as title,
       case when instr(text, 'idiot') > 0 then substr(text, greatest(instr(text, 'idiot') - 80, 1), instr(text, 'idiot') + 85 - greatest(instr(text, 'idiot') - 80, 1)) else substr(text, 1, 160) end as excerpt from documents""",
-    "url_kinds": """select page_id, case when regexp_matches(p, '[.](xlsx|xls)$') then 'spreadsheet' when regexp_matches(p, '[.](eml|mbox)$') then 'email'
-      when regexp_matches(p, '[.](docx|doc|odt|rtf|pptx)$') then 'office' when regexp_matches(p, '[.](png|jpg|jpeg|gif|tif|tiff|webp)$') then 'image'
-      when regexp_matches(p, '[.]pdf$') then 'pdf' when regexp_matches(p, '[.](txt|md|csv|html|htm|json)$') then 'text' else 'unknown' end as kind,
+    "url_kinds": """select page_id, case when regexp_matches(p, '[.]pdf$') then 'pdf' when page_id % 5 = 3 or regexp_matches(p, '[.](png|jpg|jpeg|gif|tif|tiff|webp|bmp)$') then 'image'
+      when regexp_matches(p, '[.](docx|doc|odt|rtf|pptx|html|htm|epub)$') then 'office' when regexp_matches(p, '[.](xlsx|xls)$') then 'spreadsheet' when regexp_matches(p, '[.](eml|mbox)$') then 'email'
+      when page_id % 5 = 1 or regexp_matches(p, '[.](txt|md|markdown|csv)$') then 'text' when page_id % 5 = 2 then 'office' else 'unknown' end as kind,
       case when regexp_replace(lower(url), '[^a-z0-9_-]', '', 'g') = '' then 'default' else regexp_replace(lower(url), '[^a-z0-9_-]', '', 'g') end as index_name
       from (select page_id, url, lower(url || ['.pdf', '.md', '.PNG', '.xlsx', '.eml', '', '.docx'][page_id % 7 + 1]) as p from pages)""",
     "identical_groups": "select sha256(text) as content_hash, array_to_string(list_sort(list(doc_id)), ',') as members from documents where text <> '' group by 1 having count(*) > 1",
     "same_bytes": "select doc_id, min(doc_id) over (partition by sha256(text)) as first, count(*) over (partition by sha256(text)) as members from documents where text <> '' qualify count(*) over (partition by sha256(text)) > 1",
-    "sketch_facts": f"with {_SHINGLES} select item_id, count(distinct hash) as total, count(distinct hash) filter (hash & 31 = 0) as sampled from s group by item_id",
+    "sketch_facts": f"with {_shingles('s', 'documents', 'doc_id')} select doc_id, count(distinct hash) as total, count(distinct hash) filter (hash & 31 = 0) as sampled from s group by doc_id",
     "overlap_candidates": f"with {_CANDIDATES} select a, b, shared from cand",
-    "shingle_similarity": f"""with {_CANDIDATES}, d as (select distinct item_id, hash from s), n as (select item_id, count(*) as n from d group by 1),
-      m as (select a, b, count(*) as common from cand join d x on x.item_id = a join d y on y.item_id = b and x.hash = y.hash group by 1, 2)
-      select a, b, common, round(common / (p.n + q.n - common), 6) as jaccard, round(common / p.n, 6) as a_in_b, round(common / q.n, 6) as b_in_a
-      from m join n p on p.item_id = a join n q on q.item_id = b""",
-    "alignment_runs": f"""with {_SHINGLES}, d as (select x.item_id as a, y.item_id as b, x.p0 as p, y.p0 - x.p0 as delta from s x join s y on x.hash = y.hash and x.item_id <= y.item_id),
+    "shingle_similarity": f"""with {_CANDIDATES}, da as (select distinct item_id as a, hash from sa), db as (select distinct doc_id as b, hash from sb where doc_id in (select b from cand)),
+      na as (select a, count(*) as n from da group by 1), nb as (select b, count(*) as n from db group by 1),
+      m as (select cand.a, cand.b, count(*) as common from cand join da on da.a = cand.a join db on db.b = cand.b and da.hash = db.hash group by 1, 2)
+      select m.a, m.b, common, round(common / (na.n + nb.n - common), 6) as jaccard, round(common / na.n, 6) as a_in_b, round(common / nb.n, 6) as b_in_a from m join na on na.a = m.a join nb on nb.b = m.b""",
+    "alignment_runs": f"""with {_BOTH}, h as (select * from sb where hash in (select hash from sa)), few as (select doc_id, hash from h group by 1, 2 having count(*) <= 24),
+      d as (select x.item_id as a, y.doc_id as b, x.p0 as p, y.p0 - x.p0 as delta from sa x join h y on x.hash = y.hash join few on few.doc_id = y.doc_id and few.hash = y.hash),
       i as (select *, case when p - lag(p) over (partition by a, b, delta order by p) <= 32 then 0 else 1 end as new from d),
       g as (select *, sum(new) over (partition by a, b, delta order by p) as island from i)
       select a, b, min(p) as from_a, max(p) + 32 as to_a, min(p) + delta as from_b, max(p) + 32 + delta as to_b from g group by a, b, delta, island having max(p) + 32 - min(p) >= 40""",
@@ -104,7 +110,7 @@ ORACLES: dict[str, str] = {
       union all select 2, 'job-failed', cast(user_id as varchar) from (select user_id, arg_max(event_type, event_id) as last from events group by 1) where last = 'error'
       union all select 3, 'withdrawn', cast(doc_id as varchar) from labels where toxic = 1""",
     "windowed_job_metrics": "select date_trunc('day', ts) as window_start, count(*) as jobs, count(*) filter (event_type = 'error') as failed, round(avg(value), 6) as mean_value from events group by 1",
-    "generic_masks": f"""with {_SHINGLES.replace('from benchmark', 'from documents').replace('item_id', 'doc_id')}, g as (select hash from (select distinct doc_id, hash from s where hash & 31 = 0) group by 1 having count(*) >= 3),
+    "generic_masks": f"""with {_shingles('s', 'documents', 'doc_id')}, g as (select hash from (select distinct doc_id, hash from s where hash & 31 = 0) group by 1 having count(*) >= 3),
       n as (select doc_id, max(p0) + 32 as length from s group by 1),
       i as (select doc_id, greatest(p0 - 32, 0) as lo, least(p0 + 64, length) as hi from s join n using (doc_id) where hash in (select hash from g)),
       m as (select *, coalesce(lo > max(hi) over (partition by doc_id order by lo, hi rows between unbounded preceding and 1 preceding), true)::int as fresh from i),
@@ -120,3 +126,5 @@ ORACLES: dict[str, str] = {
       round((least(x + w + 0.5 / 8.5, 1) - greatest(x - 0.5 / 8.5, 0)) * (least(y + h + 0.5 / 11, 1) - greatest(y - 0.5 / 11, 0)), 12) as padded from d""",
     "mail_pages": r"select cast(conv_id as varchar) as path, cast(row_number() over (partition by conv_id order by turn) + 1 as integer) as page, 'turn ' || turn as subject, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as body from conversations",
 }
+
+ORACLES |= index_queries.ORACLES

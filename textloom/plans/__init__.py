@@ -1 +1 @@
-"""Part of textloom."""
+"""The index's tables, as plans over plain document tables."""

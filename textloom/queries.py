@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom import index_queries
 from textloom.functions import geometry as G
 from textloom.functions import text as T
 from textloom.operators import fragments as parts
@@ -55,13 +59,15 @@ def cosine_search(spark, sf_dir):
 
 
 def hybrid_search(spark, sf_dir):
-    lexical = search.top(search.bm25(read(spark, sf_dir, "documents"), "doc_id", "text", TERMS), "doc_id", 40).select(F.col("doc_id").alias("id"), "score")
-    dense = search.top(_nearest(spark, sf_dir), "vec_id", 40).select(F.col("vec_id").alias("id"), "score")
-    return _rounded(search.top(search.fuse([lexical, dense], "id"), "id", 10), "score")
+    """Documents by words and by their vectors (a document's vector has its id), fused by rank."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    owned = _nearest(spark, sf_dir).withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    lexical, dense = search.top(search.bm25(docs, "doc_id", "text", TERMS), "doc_id", 40), search.top(owned, "doc_id", 40)
+    return _rounded(search.top(search.fuse([lexical, dense], "doc_id"), "doc_id", 10), "score")
 
 
 def postings_stats(spark, sf_dir):
-    found = search.postings(read(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = search.postings(read(spark, sf_dir, "documents"), "doc_id", "text")
     return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -120,7 +126,8 @@ def clipped_titles(spark, sf_dir):
 
 def url_kinds(spark, sf_dir):
     path = F.concat(F.col("url"), F.element_at(F.array(*map(F.lit, [".pdf", ".md", ".PNG", ".xlsx", ".eml", "", ".docx"])), (F.col("page_id") % 7 + 1).cast("int")))
-    return read(spark, sf_dir, "pages").select("page_id", T.document_kind(path).alias("kind"), T.index_name(F.col("url")).alias("index_name"))
+    served = F.element_at(F.array(*map(F.lit, ("", "text/plain; charset=utf-8", "text/html", "image/heic", "application/x-thing"))), (F.col("page_id") % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "pages").select("page_id", T.document_kind(path, served).alias("kind"), T.index_name(F.col("url")).alias("index_name"))
 
 
 def identical_groups(spark, sf_dir):
@@ -132,33 +139,38 @@ def same_bytes(spark, sf_dir):
     return overlap.copies(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _passages(spark, sf_dir, key):
-    return overlap.shingles(read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", key)
+def _probes(spark, sf_dir):
+    return overlap.shingles(read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "a")
+
+
+def _indexed(spark, sf_dir):
+    return overlap.shingles(read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "b")
 
 
 def sketch_facts(spark, sf_dir):
-    return overlap.sketch_facts(_passages(spark, sf_dir, "item_id"), "item_id")
+    return overlap.sketch_facts(_indexed(spark, sf_dir).withColumnRenamed("b", "doc_id"), "doc_id")
 
 
 def overlap_candidates(spark, sf_dir):
-    return overlap.candidates(overlap.sketch(_passages(spark, sf_dir, "a"), "a"), overlap.sketch(_passages(spark, sf_dir, "b"), "b"))
+    """Documents that share sampled shingles with benchmark passages."""
+    return overlap.candidates(overlap.sketch(_probes(spark, sf_dir), "a"), overlap.sketch(_indexed(spark, sf_dir), "b"))
 
 
 def shingle_similarity(spark, sf_dir):
-    a, b = (_passages(spark, sf_dir, key).select(key, "hash").distinct() for key in "ab")
-    pairs = overlap.candidates(overlap.sketch(_passages(spark, sf_dir, "a"), "a"), overlap.sketch(_passages(spark, sf_dir, "b"), "b"))
+    """Benchmark passages against the documents that share samples with them, by all their shingles."""
+    a, b = _probes(spark, sf_dir).select("a", "hash").distinct(), _indexed(spark, sf_dir).select("b", "hash").distinct().persist()
+    pairs = overlap.candidates(overlap.sketch(a, "a"), overlap.sketch(b, "b"))
     return _rounded(overlap.similarity(a, b, pairs), "jaccard", "a_in_b", "b_in_a")
 
 
 def generic_masks(spark, sf_dir):
-    passages = overlap.shingles(read(spark, sf_dir, "documents"), "doc_id", "text")
+    passages = overlap.shingles(read(spark, sf_dir, "documents"), "doc_id", "text").persist()
     return overlap.masks(passages, "doc_id", overlap.generic(overlap.sketch(passages, "doc_id"), "doc_id", 3))
 
 
 def alignment_runs(spark, sf_dir):
-    a, b = _passages(spark, sf_dir, "a"), _passages(spark, sf_dir, "b")
-    seeds = a.withColumnRenamed("at", "at_a").join(b.withColumnRenamed("at", "at_b"), "hash").where("a <= b")
-    return overlap.runs(seeds)
+    """Runs of equal text of benchmark passages in all documents."""
+    return overlap.runs(overlap.seeds(_probes(spark, sf_dir), _indexed(spark, sf_dir)))
 
 
 def covered_intervals(spark, sf_dir):
@@ -271,10 +283,29 @@ def mail_pages(spark, sf_dir):
     return read_mail(files).select("path", "page", "subject", F.trim(F.regexp_replace("body", r"\s+", " ")).alias("body"))
 
 
+def index_search(spark, sf_dir):
+    """A search that reads its terms' buckets of a written index alone."""
+    path = f"{_folder(spark)}/text-index"
+    index = search.TextIndex(path).write(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return _rounded(search.top(index.search(spark, TERMS, "doc_id"), "doc_id", 10), "score")
+
+
+def _folder(spark):
+    """A new folder in the shared one that the session names, or a local one in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext.master.startswith("local"):
+        found = tempfile.mkdtemp(prefix="textloom-")
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return f"{found.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+
+
 QUERIES = {f.__name__: f for f in (
     bm25_search, bm25_under_path, cosine_search, hybrid_search, postings_stats, best_turn_of_conversation, match_documents, branch_overlay, page_range,
     document_summaries, text_facts, page_gates, line_repetition, numeric_tokens, html_to_text, clipped_titles, url_kinds, identical_groups, same_bytes,
     sketch_facts, overlap_candidates, shingle_similarity, alignment_runs, covered_intervals, page_rates, fragment_round_trip, job_counts, queue_positions,
     recent_rate, deduped_queue, latest_rulings, active_readings, not_withdrawn, attestation_stats, pool_retained, oversized_documents, problem_report, windowed_job_metrics,
-    generic_masks, bm25_stemmed, planned_sources, region_geometry, mail_pages,
+    generic_masks, bm25_stemmed, index_search, planned_sources, region_geometry, mail_pages,
 )}
+
+QUERIES |= index_queries.QUERIES

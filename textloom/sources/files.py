@@ -32,3 +32,17 @@ def planned(path: Column, include: list[str], ignore: list[str], generated: list
     for suffix in generated:
         taken = taken & ~path.endswith(suffix)
     return taken & ~matches_any(path, ignore)
+
+
+def planned_roots(path: Column, roots: dict[str, dict], include: list[str] = (), ignore: list[str] = (), generated: list[str] = ()) -> Column:
+    """Paths that the plan of their root takes: a root's ignore globs join the general ones, its include globs replace them.
+
+    ``roots``: folder -> {"include": [...], "ignore": [...]}; globs are held against
+    the path below the root.  Paths below no root are not taken.
+    """
+    out = F.lit(False)
+    for root, own in roots.items():
+        top = root.rstrip("/") + "/"
+        below = F.substring(path, len(top) + 1, 1 << 30)
+        out = out | (path.startswith(top) & planned(below, list(own.get("include") or include), [*ignore, *(own.get("ignore") or [])], generated))
+    return out

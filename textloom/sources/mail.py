@@ -11,6 +11,7 @@ from email.message import Message
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MOST_MESSAGES = 100_000  # an archive with more is refused, not cut
 DEPTH = 12
@@ -114,6 +115,50 @@ def messages_of(raw: bytes) -> Iterator[dict]:
         yield {"subject": _header(message, "Subject"), "sender": _header(message, "From"), "sent": _header(message, "Date"), "body": body, "attachments": listed}
 
 
+def safe_name(name: str | None, kind: str = "") -> str:
+    """A file name without folders, control characters or a leading dot; one of its kind where nothing is left."""
+    bare = re.sub(r"[\x00-\x1f<>:\"|?*]", "", re.split(r"[\\/]", name or "")[-1]).strip().lstrip(".")
+    return bare[-120:] or f"attachment.{(kind.split('/')[-1] or 'bin')}"
+
+
+def attachments_of(raw: bytes) -> Iterator[tuple[int, str, str, bytes]]:
+    """(page of its message, safe name, digest, content) of each file in an archive, a digest once."""
+    seen: set[str] = set()
+    waiting = [(message_from_bytes(m, policy=policy.compat32), 0) for m in (split_mbox(raw) if raw.startswith(b"From ") else [raw] if raw else [])]
+    waiting.reverse()
+    page = 2
+    while waiting:
+        message, depth = waiting.pop()
+        files, nested = [], []
+        _body(message, files, nested, 0)
+        if depth < DEPTH:
+            waiting += [(m, depth + 1) for m in reversed(nested)]
+        for name, content in files:
+            digest = hashlib.sha256(content).hexdigest()
+            if digest not in seen:
+                seen.add(digest)
+                yield page, safe_name(name), digest, content
+        page += 1
+
+
+def read_attachments(files: DataFrame) -> DataFrame:
+    """(path, page, name, sha256, content): the files in archives (path, content), equal bytes once an archive."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, *found) for path, content in zip(batch["path"], batch["content"]) for found in attachments_of(bytes(content or b""))]
+            yield pd.DataFrame(rows, columns=["path", "page", "name", "sha256", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, name string, sha256 string, content binary")
+
+
+def manifest(mail: DataFrame) -> DataFrame:
+    """(path, page, body): page 1 of each archive of ``read_mail``: how many messages it has, and a line for each with its page."""
+    line = F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(": "), F.coalesce("subject", F.lit("(no subject)")), F.when(F.col("sender").isNotNull(), F.concat(F.lit(", from "), "sender")).otherwise(""), F.when(F.size("attachments") > 0, F.concat(F.lit(", files: "), F.array_join(F.transform("attachments", lambda a: a["name"]), ", "))).otherwise(""))
+    listed = mail.where("error is null").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("page", line.alias("line")))).alias("x"))
+    return listed.select("path", F.lit(1).alias("page"), F.concat(F.size("x").cast("string"), F.lit(" messages\n"), F.array_join("x.line", "\n")).alias("body"))
+
+
 def read_mail(files: DataFrame) -> DataFrame:
     """A row for each message of the archives (path, content); page 1 is left for a manifest, so messages begin at page 2.
 
