@@ -12,7 +12,8 @@ from textloom.llm.common import WORD, fresh_name, materialize, quoted, split_tab
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 CLOSE = 0.001  # share of its target that a source may miss without a swap
-SWAPS = 16  # rounds of swaps at most
+SWAPS = 6  # rounds of swaps at most
+PICKS = 8  # documents of a source and size class that a round may swap one by one
 SMALL = 16  # a document with so small a part of the gap is one of many that close it
 GROUP = 64  # rows that one fold pairs, on average
 _TINY = 1e-12
@@ -109,32 +110,55 @@ def rounded(rows: DataFrame, seed: int = 7) -> DataFrame:
     return last
 
 
+def _small(rows: DataFrame, label: str) -> DataFrame:
+    """A written table of a row or a few for each source, in as few files as its size asks for: Spark broadcasts it where that is small."""
+    rows = materialize(rows, label)
+    return materialize(rows.repartition(1 + rows.count() // 100_000), label)
+
+
+def _greedy() -> str:
+    """SQL that takes of ``items`` (size, ord, doc_id, copy), largest first, all that fit into ``gap``, and one more that overshoots by less than is left."""
+    kind = "array<struct<size:bigint,ord:bigint,doc_id:bigint,copy:int>>"
+    fits = f"aggregate(items, struct(abs(gap) as left, cast(array() as {kind}) as taken), (s, b) -> if(b.size <= s.left, struct(s.left - b.size as left, concat(s.taken, array(b)) as taken), s))"
+    over = "filter(items, b -> b.size > s.left and b.size < 2 * s.left)"
+    last = f"if(s.left > near and size({over}) > 0, struct(abs(s.left - array_min({over}).size) as left, concat(s.taken, array(array_min({over}))) as taken), s)"
+    return f"transform(array({fits}), s -> {last})[0]"
+
+
 def closed(rows: DataFrame, goal: DataFrame, seed: int = 7) -> DataFrame:
     """``rows`` (source, doc_id, size, copy, bit) with bits swapped until each source's words meet ``goal`` (source, wanted).
 
     The pivot that survives in a source is its largest document, so what its own
-    rounding missed is given back here.  In a round, a source whose documents are
-    small against its gap swaps each that helps with the chance that closes nine
-    tenths of it; any other source swaps the one that helps most.  The chances are
-    hashes.  A source is done when CLOSE of its target is met, or no swap helps.
+    rounding missed is given back here.  A round draws, by hash, up to PICKS documents
+    of every size class (an eighth of an octave) whose swap helps, and swaps those of
+    them that fit the gap, largest first.  Where these are too few, because all are
+    small against the gap, each small one is swapped with the chance that closes
+    nine tenths of it.  A source is done when CLOSE of its target is met, or no swap
+    helps.  Only tables of a row a source meet the rows, so these stay where they are.
     """
     done, now = [], rows
     for level in range(SWAPS):
         sums = now.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("size") * F.col("bit")).alias("taken"))
         gaps = sums.join(goal.select(F.col("source").alias("g"), "wanted"), F.col("s").eqNullSafe(F.col("g"))).select("s", (F.col("wanted") - F.col("taken")).alias("gap"), F.greatest(F.lit(1.0), CLOSE * F.col("wanted")).alias("near"))
-        met = now.join(gaps, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        helps = (F.abs("gap") > F.col("near")) & (F.col("bit") == F.when(F.col("gap") > 0, 0).otherwise(1)) & (F.col("size") < 2 * F.abs("gap"))
+        gaps = _small(gaps.where(F.abs("gap") > F.col("near")), "gaps")
+        if gaps.isEmpty():
+            break
+        met = now.join(gaps, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("ord", F.xxhash64("doc_id", "size", "copy", F.lit(seed + 1 + level)))
+        helps = F.col("gap").isNotNull() & (F.col("bit") == F.when(F.col("gap") > 0, 0).otherwise(1)) & (F.col("size") < 2 * F.abs("gap"))
         met = met.withColumn("helps", helps).withColumn("small", F.col("helps") & (SMALL * F.col("size") <= F.abs("gap")))
-        best = F.min(F.when(F.col("helps"), F.struct(F.abs(F.abs("gap") - F.col("size")).alias("left"), F.xxhash64("doc_id", "size", "copy", F.lit(seed)).alias("ord"), "doc_id", "size", "copy")))
-        facts = met.groupBy(F.col("source").alias("s")).agg(F.sum(F.when(F.col("small"), F.col("size")).otherwise(F.lit(0))).alias("mass"), best.alias("best"))
-        facts = materialize(facts.where("best is not null"), "gaps")
-        if facts.isEmpty():
+        picked = met.where("helps").groupBy("source", F.floor(F.log2("size") * 8).alias("class"), F.pmod("ord", F.lit(PICKS)).alias("pick")).agg(F.min(F.struct("ord", "size", "doc_id", "copy")).alias("x"), F.sum(F.when(F.col("small"), F.col("size")).otherwise(F.lit(0))).alias("mass"))
+        drawn = picked.groupBy(F.col("source").alias("p")).agg(F.sum("mass").alias("mass"), F.sort_array(F.collect_list(F.struct("x.size", "x.ord", "x.doc_id", "x.copy")), asc=False).alias("items"))
+        plan = drawn.join(gaps, F.col("p").eqNullSafe(F.col("s"))).withColumn("r", F.expr(_greedy()))
+        plan = plan.withColumn("many", (F.col("r.left") > F.col("near")) & (2 * F.col("r.left") > F.abs("gap")) & (F.col("mass") > F.abs("gap")))
+        plan = _small(plan.select("p", "mass", "many", F.when(F.col("many"), F.array().cast("array<struct<size:bigint,ord:bigint,doc_id:bigint,copy:int>>")).otherwise(F.col("r.taken")).alias("taken")), "plan")
+        if plan.where("many or size(taken) > 0").isEmpty():
             break
-        met = met.join(facts, F.col("source").eqNullSafe(F.col("s")), "left")
-        many = F.col("small") & F.expr(f"{_uniform('doc_id', 'copy', 'size', str(seed), str(-2 - level))} * mass < 0.9D * abs(gap)")
-        one = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("size") == F.col("best.size")) & (F.col("copy") == F.col("best.copy"))
-        swap = F.col("helps") & F.when(2 * F.col("mass") >= F.abs("gap"), many).otherwise(one)
-        met = materialize(met.select("source", "doc_id", "size", "copy", F.when(swap, 1 - F.col("bit")).otherwise(F.col("bit")).alias("bit"), F.col("best").isNotNull().alias("open")), "swapped")
+        met = met.join(plan.select("p", "mass", "many"), F.col("source").eqNullSafe(F.col("p")), "left")
+        ones = _small(plan.select(F.col("p").alias("o"), F.explode("taken").alias("t")).select("o", F.col("t.doc_id").alias("o_id"), F.col("t.size").alias("o_size"), F.col("t.copy").alias("o_copy")), "swaps")
+        met = met.join(ones, F.col("source").eqNullSafe(F.col("o")) & F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("size") == F.col("o_size")) & (F.col("copy") == F.col("o_copy")), "left")
+        chance = F.col("many") & F.col("small") & F.expr(f"{_uniform('doc_id', 'copy', 'size', str(seed), str(-2 - level))} * mass < 0.9D * abs(gap)")
+        swap = F.col("o_size").isNotNull() | F.coalesce(chance, F.lit(False))
+        met = materialize(met.select("source", "doc_id", "size", "copy", F.when(swap, 1 - F.col("bit")).otherwise(F.col("bit")).alias("bit"), F.col("gap").isNotNull().alias("open")), "swapped")
         done.append(met.where("not open").drop("open"))
         now = met.where("open").drop("open")
     for part in done:
@@ -156,7 +180,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> Data
     rows = materialize(sizes(docs), "sizes")
     goal = targets(rows, weights, cap)
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = materialize(goal.withColumn("whole", F.floor(times + _TINY).cast("int")).withColumn("part", F.when(times - F.col("whole") > _TINY, times - F.col("whole")).otherwise(F.lit(0.0))), "targets")
+    goal = _small(goal.withColumn("whole", F.floor(times + _TINY).cast("int")).withColumn("part", F.when(times - F.col("whole") > _TINY, times - F.col("whole")).otherwise(F.lit(0.0))), "targets")
     open_rows = rows.where("size > 0").join(goal.where("part > 0").select(F.col("source").alias("s"), "part"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     sure = rows.join(goal.where("part > 0").select(F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")), "left_anti").unionByName(rows.where("size = 0").join(goal.where("part > 0").select(F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")), "left_semi"))
     wanted = goal.where("part > 0").select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("wanted"))
