@@ -94,3 +94,10 @@ def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def stems(tokens: Column) -> Column:
     """The stems of an array of lower-case tokens; null stays null."""
     return _stems(tokens)
+
+
+@F.pandas_udf(StringType())
+def stem_word(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The stem of a lower-case word."""
+    for batch in batches:
+        yield batch.map(stem, na_action="ignore")

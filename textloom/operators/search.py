@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.stem import stem, stems
+from textloom.functions.stem import stem, stem_word
 from textloom.functions.text import tokens
 from textloom.plans.tasks import spread
 
 K1, B, RRF = 1.2, 0.75, 60
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, dl): aggregated on the map side before the one shuffle."""
+def postings(docs: DataFrame, key: str, text: str, terms: Column | None = None) -> DataFrame:
+    """(term, key, tf, dl), of all terms or those that ``terms`` holds for: aggregated on the map side before the one shuffle."""
     listed = spread(docs.select(key, text)).select(key, tokens(F.col(text)).alias("terms"))
-    return listed.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    rows = listed.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    return (rows if terms is None else rows.where(terms)).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
 def _equal_to(term: str):
@@ -43,8 +44,12 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], stemmed: bool =
 
 
 def _stemmed_bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
-    rows = postings(docs, key, text)
-    vocabulary = rows.select("term").distinct().withColumn("stem", F.element_at(stems(F.array("term")), 1)).where(F.col("stem").isin(sorted(set(query))))
+    # a word begins as its stem does, up to the last two letters, but for accents, which fall first
+    near = F.lit(False)
+    for s in set(query):
+        near = near | F.col("term").startswith(s[: max(1, len(s) - 2)])
+    rows = postings(docs, key, text, near | F.col("term").rlike("[^a-z0-9]"))
+    vocabulary = rows.select("term").distinct().withColumn("stem", stem_word("term")).where(F.col("stem").isin(sorted(set(query))))
     hits = rows.join(vocabulary, "term").groupBy(F.col("stem").alias("term"), key, "dl").agg(F.sum("tf").alias("tf"))
     facts = spread(docs.select(key, text)).agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
     return weighted(hits, facts, query, key)
@@ -127,7 +132,7 @@ class TextIndex:
         listed.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"), F.lit(stemmed).alias("stemmed")).write.mode("overwrite").parquet(f"{self.path}/facts")
         rows = postings(docs, key, text)
         if stemmed:
-            vocabulary = rows.select("term").distinct().withColumn("stem", F.element_at(stems(F.array("term")), 1))
+            vocabulary = rows.select("term").distinct().withColumn("stem", stem_word("term"))
             rows = rows.join(vocabulary, "term").groupBy(F.col("stem").alias("term"), key, "dl").agg(F.sum("tf").alias("tf"))
         buckets = rows.withColumn("bucket", self.bucket(F.col("term")))
         buckets.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")

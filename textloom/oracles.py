@@ -48,6 +48,13 @@ ORACLES: dict[str, str] = {
       d as (select vec_id as doc_id, row_number() over (order by score desc, vec_id) as r from near where vec_id in (select doc_id from documents) qualify r <= 40),
       u as (select * from l union all select * from d), fused as (select doc_id, sum(1.0 / (60 + r - 1)) as score from u group by doc_id)
       select doc_id, round(score, 6) as score from fused order by fused.score desc, doc_id limit 10""",
+    # words of the three stems, by their endings
+    "bm25_stemmed": f"""with w as (select doc_id, {_TOKENS} as t from documents),
+      c as (select doc_id, len(t) as dl, len(list_filter(t, lambda x: regexp_full_match(x, 'idiots?'))) as tf0, len(list_filter(t, lambda x: regexp_full_match(x, 'run(s|ning)?'))) as tf1,
+        len(list_filter(t, lambda x: regexp_full_match(x, 'relat(e|es|ed|ing|ion|ions|ive|ives|ional)'))) as tf2 from w),
+      f as (select count(*) as n, avg(dl) as avgdl, sum((tf0 > 0)::int) as df0, sum((tf1 > 0)::int) as df1, sum((tf2 > 0)::int) as df2 from c),
+      h as (select doc_id, {" + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(3))} as score from c, f where tf0 + tf1 + tf2 > 0)
+      select doc_id, round(score, 6) as score from h order by h.score desc, doc_id limit 10""",
     "index_search": f"with {_bm25('documents', 'doc_id')} select doc_id, round(score, 6) as score from hits order by hits.score desc, doc_id limit 10",
     "postings_stats": f"select term, count(distinct doc_id) as df, count(*) as cf from (select doc_id, unnest({_TOKENS}) as term from documents) group by term",
     "best_turn_of_conversation": f"""with t0 as (select *, conv_id * 1000 + turn as frag_id from conversations), {_bm25('t0', 'frag_id')},
