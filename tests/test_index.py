@@ -472,3 +472,65 @@ def test_streams(spark, tmp_path):
     seen = []
     S.drain(spark.readStream.schema(schema).parquet(src), lambda batch, n: seen.append(batch.count()), str(tmp_path / "drained")).awaitTermination()
     assert sum(seen) == 4
+
+
+def test_index_folders_and_branches(spark, tmp_path):
+    from textloom.sources.folder import Indexes, IndexFolder, append_log, legacy_marks, read_log, read_reading, write_reading
+
+    with pytest.raises(FileNotFoundError):
+        IndexFolder(spark, str(tmp_path / "none"), read_only=True)
+    every = Indexes(spark, str(tmp_path / "i"))
+    main = every.open("Main!")
+    main.write("documents", spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "path string, title string"))
+    main.upsert("documents", spark.createDataFrame([("b", "B2")], "path string, title string"))
+    assert {r["path"]: r["title"] for r in main.read("documents").collect()} == {"a": "A", "b": "B2", "c": "C"} and "model" in main.read("documents").columns
+    branch = every.fork("work", "main")
+    branch.write("documents", spark.createDataFrame([("a", "mine")], "path string, title string"))
+    branch.write("tombstones", spark.createDataFrame([("c",)], "path string"))
+    assert {r["path"]: r["title"] for r in every.overlaid("work", "documents").collect()} == {"a": "mine", "b": "B2"}
+    assert every.names() == ["default", "main", "work"] and every.branches() == {"work": "main"}
+    with pytest.raises(ValueError):
+        every.delete("main")
+    with pytest.raises(ValueError):
+        every.fork("work", "main")
+    with pytest.raises(PermissionError):
+        every.open("main", read_only=True).write("notes", spark.createDataFrame([], "path string"))
+    every.delete("work")
+    assert every.names() == ["default", "main"]
+    log = str(tmp_path / "log")
+    append_log(log, {"a": 1}), append_log(log, {"a": 2})
+    assert [e["a"] for e in read_log(log)] == [1, 2] and read_log(f"{log}-none") == []
+    write_reading(f"{log}.r", {"units": []}, 2)
+    assert read_reading(f"{log}.none") is None and read_reading(f"{log}.r", 2)["units"] == []
+    with pytest.raises(ValueError):
+        read_reading(f"{log}.r", 1)
+    (tmp_path / "marks").write_text('# old\n{"a": "y", "b": "x", "kind": "copy"}\n{"a": "x", "b": "y", "kind": "version"}\n')
+    assert [(r["a"], r["b"], r["kind"]) for r in records.marks(legacy_marks(spark, str(tmp_path / "marks"))).collect()] == [("x", "y", "version")]
+
+
+def test_any_file_to_pages(spark):
+    from textloom.providers import FakeEngine
+    from textloom.sources.extract import embedded_images, extracted
+
+    jpeg = b"\xff\xd8\xff\xe0rest"
+    pdf = b"%PDF-1.4\n1 0 obj\n<< /Type /XObject /Subtype /Image /Filter /DCTDecode >> stream\n" + jpeg + b"\nendstream"
+    assert embedded_images(pdf) == [jpeg]
+    given = [("a.txt", b"one\ftwo"), ("b.pdf", pdf), ("c.png", b"words"), ("d.doc", b"x"), ("e", b"\x7fELF\x00\x01"), ("f", b"plain"), ("g", b"x" * 6000), ("h.eml", b"Subject: s\nContent-Type: text/plain\n\nhello")]
+    rows = extracted(spark.createDataFrame([(p, bytearray(c)) for p, c in given], "path string, content binary"), {"pdf": lambda b: ["a page"]}, FakeEngine()).collect()
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r["path"]].append(r["text"] if r["error"] is None else "!")
+    assert got == {"a.txt": ["one", "two"], "b.pdf": ["a page"], "c.png": ["words"], "d.doc": ["!"], "e": ["!"], "f": ["plain"], "g": ["!"], "h.eml": ["1 messages\npage 2: s", "hello"]}
+
+
+def test_caption_jobs(spark):
+    schema = "path string, state string, force int, error string, enqueued_at long, owner_pid long"
+    jobs = spark.createDataFrame([("a", "done", 0, "", 1, 0), ("b", "running", 0, "", 2, 7), ("c", "pending", 0, "", 3, 0)], schema)
+    more = records.caption_enqueued(jobs, spark.createDataFrame([("a",), ("b",), ("d",), (" ",)], "path string"), 9, 1)
+    assert {r["path"]: (r["state"], r["enqueued_at"]) for r in more.collect()} == {"a": ("pending", 9), "b": ("running", 2), "c": ("pending", 3), "d": ("pending", 9)}
+    mine = records.caption_claimed(more, 5, 2)
+    assert {r["path"] for r in mine.where("owner_pid = 5").collect()} == {"c", "a"}
+    done = records.caption_finished(mine, spark.createDataFrame([("a", "", False), ("c", "short text", True), ("b", "no answer", False), ("d", "", False)], "path string, error string, short boolean"))
+    assert {r["path"]: r["state"] for r in done.collect()} == {"a": "done", "b": "error", "c": "skipped", "d": "pending"}
+    docs = spark.createDataFrame([("a", "h"), ("b", "h")], "path string, content_hash string")
+    assert {r["path"]: r["content_hash"] for r in records.to_reread(docs, docs.where("path = 'a'")).collect()} == {"a": "", "b": "h"}

@@ -273,3 +273,61 @@ def segment_alarms(pages: DataFrame, fragments: DataFrame, least: int = 200, sha
     extra = F.greatest(F.lag(F.col("emitted") - F.col("given")).over(order), F.lit(0))
     rows = rows.withColumn("kept", F.col("emitted") + F.when(F.col("emitted") > 0, 0).otherwise(F.coalesce(extra, F.lit(0))))
     return rows.where((F.col("given") >= least) & (F.col("kept") * 100 < F.col("given") * share)).select("path", "page", "given", "kept")
+
+
+# ---------------------------------------------------------------- caption jobs and rereads
+
+
+def caption_enqueued(jobs: DataFrame, paths: DataFrame, now: int, force: int = 0) -> DataFrame:
+    """Caption jobs (path, state, force, error, enqueued_at, owner_pid), one a path, with ``paths`` pending; live ones stay as they are."""
+    asked = paths.where("trim(path) <> ''").select("path").distinct()
+    live = jobs.where("state in ('pending', 'running')").select("path")
+    fresh = asked.join(live, "path", "left_anti")
+    new = fresh.select("path", F.lit("pending").alias("state"), F.lit(force).alias("force"), F.lit("").alias("error"), F.lit(now).cast("long").alias("enqueued_at"), F.lit(0).cast("long").alias("owner_pid"))
+    return jobs.join(fresh, "path", "left_anti").select(new.columns).unionByName(new)
+
+
+def caption_claimed(jobs: DataFrame, owner: int, slots: int = 1) -> DataFrame:
+    """The oldest pending caption jobs running under ``owner``, as many as there are slots."""
+    first = jobs.where("state = 'pending'").orderBy("enqueued_at", "path").limit(slots).select("path", F.lit(True).alias("mine"))
+    met = jobs.join(F.broadcast(first), "path", "left")  # slots rows
+    return met.withColumn("state", F.when(F.col("mine"), "running").otherwise(F.col("state"))).withColumn("owner_pid", F.when(F.col("mine"), owner).otherwise(F.col("owner_pid"))).select(jobs.columns)
+
+
+def caption_finished(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """Caption jobs after results (path, error, short): done, an error, or skipped where the text was too short."""
+    met = jobs.join(results.select("path", F.col("error").alias("fault"), "short", F.lit(True).alias("told")), "path", "left")
+    over = F.coalesce(F.col("told") & (F.col("state") == "running"), F.lit(False))
+    state = F.when(over & F.col("short"), "skipped").when(over & (F.coalesce("fault", F.lit("")) != ""), "error").when(over, "done").otherwise(F.col("state"))
+    return met.withColumn("error", F.when(over, F.coalesce("fault", F.lit(""))).otherwise(F.col("error"))).withColumn("state", state).select(jobs.columns)
+
+
+def purged(cache: DataFrame, pages: DataFrame) -> DataFrame:
+    """A page cache (sha, ...) without the images of ``pages`` (sha)."""
+    return cache.join(pages.select("sha").distinct(), "sha", "left_anti")
+
+
+def to_reread(documents: DataFrame, paths: DataFrame) -> DataFrame:
+    """Documents with those of ``paths`` marked for another ingest: their hash is emptied."""
+    met = documents.join(paths.select("path", F.lit(True).alias("again")).distinct(), "path", "left")
+    return met.withColumn("content_hash", F.when(F.col("again"), "").otherwise(F.col("content_hash"))).select(documents.columns)
+
+
+def stale(documents: DataFrame, recipe: str) -> DataFrame:
+    """Documents that were cut by another recipe."""
+    return documents.where(F.coalesce("frag_recipe", F.lit("")) != recipe)
+
+
+def page_images(documents: DataFrame, provenance: DataFrame) -> DataFrame:
+    """(path, page, engine, image_path) of pages that have an image."""
+    return provenance.join(documents.select("path"), "path", "left_semi").where("coalesce(image_path, '') <> ''").select("path", "page", "engine", "image_path")
+
+
+def engines_of(pages: DataFrame, provenance: DataFrame) -> DataFrame:
+    """(path, page, engine): the engine that read each page; nothing is told by an empty name."""
+    return pages.select("path", "page").join(provenance.select("path", "page", "engine"), ["path", "page"], "left").withColumn("engine", F.coalesce("engine", F.lit("")))
+
+
+def sketched_paths(sketched: DataFrame, recipe: str) -> DataFrame:
+    """Paths with a sketch of this recipe, in order."""
+    return sketched.where(F.col("recipe") == recipe).select("path").distinct().orderBy("path")

@@ -71,7 +71,8 @@ def render_dpi(glyph: Column, base: int = 200, want: int = 20, least: int = 14,
 
 def audit_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Events of a log of JSON lines; blank lines and those from ``#`` on are skipped, a malformed one is an error."""
-    lines = spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')")
+    entry = F.expr("case when trim(value) <> '' and not startswith(ltrim(value), '#') then value end")  # filters may change places: comments never reach the parser
+    lines = spark.read.text(path).select(entry.alias("value")).where("value is not null")
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
 
 
