@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.llm import preference
+from textloom.llm import parts, preference
 from textloom.llm.common import table
 
 
@@ -79,5 +79,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_preference_pairs, op3_token_store, op4_quality_rules, op5_quality, op6_phrase_fingerprints, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op2_preference_pairs": preference.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_preference_pairs, op3_token_store, op4_quality_rules, op5_quality, op6_phrase_fingerprints, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, pipeline)} | parts.QUERIES
+ORACLE_SQL: dict[str, str] = {"op2_preference_pairs": preference.ORACLE, "op10_near_duplicates": parts.NEAR, **parts.ORACLE_SQL}
