@@ -812,3 +812,81 @@ def text_paragraphs(spark, sf_dir):
     whole = pages.joined_pages(model.pages(spark, sf_dir).withColumn("path", F.regexp_extract("path", r"(\d+)", 1).cast("long")))
     rows = whole.where(~F.col("text").rlike(r"\n[ \t\r]*\n[ \t\r]*\n|[\x0b\x0c\x{00A0}\x{2000}-\x{3000}]|\n[ \t\r]+\n")).select("path", F.explode(T.paragraphs(F.col("text"))).alias("p"))
     return rows.groupBy(F.col("path").alias("conv_id")).agg(F.count("*").alias("paragraphs"), F.sum(F.length("p.text")).alias("chars"))
+
+
+# ---------------------------------------------------------------- lists, caption jobs, pools
+
+
+_CAPTION_JOBS = "cj as (select user_id as path, arg_max(case event_type when 'error' then 'error' when 'view' then 'pending' when 'click' then 'running' when 'signup' then 'skipped' else 'done' end, event_id) as state, max(event_id) as enqueued_at from events where user_id % 3 <> 0 group by user_id)"
+
+
+def _caption_jobs(spark, sf_dir):
+    states = F.create_map(*(F.lit(x) for pair in {"error": "error", "view": "pending", "click": "running", "signup": "skipped", "purchase": "done"}.items() for x in pair))[F.col("event_type")]
+    last = model.table(spark, sf_dir, "events").where("user_id % 3 <> 0").groupBy("user_id").agg(F.max_by(states, "event_id").alias("state"), F.max("event_id").alias("enqueued_at"))
+    return last.select(F.col("user_id").cast("string").alias("path"), "state", F.lit(0).alias("force"), F.lit("").alias("error"), "enqueued_at", F.lit(0).cast("long").alias("owner_pid"))
+
+
+@query(f"""with {_CAPTION_JOBS}, q as (select distinct user_id as path from events where user_id % 2 = 0)
+  select cast(coalesce(cj.path, q.path) as varchar) as path, case when q.path is not null and coalesce(cj.state, '') not in ('pending', 'running') then 'pending' else cj.state end as state,
+    case when q.path is not null and coalesce(cj.state, '') not in ('pending', 'running') then 77 else cj.enqueued_at end as enqueued_at from cj full join q on cj.path = q.path""")
+def caption_queue(spark, sf_dir):
+    """Caption jobs after a batch of requests: one a document, live ones untouched."""
+    asked = model.table(spark, sf_dir, "events").where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("path"))
+    return records.caption_enqueued(_caption_jobs(spark, sf_dir), asked, 77).select("path", "state", "enqueued_at")
+
+
+@query(f"""with {_CAPTION_JOBS} select cast(path as varchar) as path, case when state = 'running' and path % 5 = 0 then 'skipped' when state = 'running' and path % 5 = 1 then 'error' when state = 'running' and path % 5 < 4 then 'done'
+  when state = 'running' then 'pending' else state end as state from cj""")
+def caption_results(spark, sf_dir):
+    """Caption jobs after results came in; those of a worker that is gone are pending again."""
+    jobs = _caption_jobs(spark, sf_dir)
+    number = F.col("path").cast("long") % 5
+    results = jobs.where(number < 4).select("path", F.when(number == 1, "bad answer").otherwise("").alias("error"), (number == 0).alias("short"))
+    done = records.caption_finished(jobs, results).withColumn("finished_at", F.lit(0).cast("long"))
+    return queue.reclaimed(done, spark.createDataFrame([(99,)], "owner_pid long"), 5, "pending").select("path", "state")
+
+
+@query(f"with {_JOBS} select id, url from jb where state = 'error' order by id desc limit 25")
+def failed_jobs(spark, sf_dir):
+    return queue.listed(model.jobs(spark, sf_dir), "error", 25).select("id", "url")
+
+
+@query(f"with {_PAGES} select pg.path, pg.page, case when page % 3 = 0 then '' else 'e' || page % 3 end as engine from pg")
+def page_engines(spark, sf_dir):
+    """The engine that read each page, if any."""
+    rows = model.pages(spark, sf_dir)
+    return records.engines_of(rows, rows.where("page % 3 <> 0").select("path", "page", F.concat(F.lit("e"), F.col("page") % 3).alias("engine")))
+
+
+@query("""select source as recipe_hash, count(*) as hits, cast(sum(case when doc_id % 4 = 1 then 7 else doc_id end) as bigint) as used from documents group by source""")
+def pool_lookups(spark, sf_dir):
+    """Pool entries that were asked for are used now."""
+    docs = model.table(spark, sf_dir, "documents")
+    pool = docs.select(F.col("source").alias("recipe_hash"), F.col("doc_id").cast("string").alias("file_hash"), F.col("doc_id").alias("last_used_at"))
+    _, touched = transcripts.pool_hits(pool, pool.where("file_hash % 4 = 1"), 7)
+    return touched.groupBy("recipe_hash").agg(F.count("*").alias("hits"), F.sum("last_used_at").alias("used"))
+
+
+@query("select count(*) filter (doc_id % 6 = 0) as again, count(*) filter (doc_id % 6 <> 0) as kept from documents")
+def reread_marks(spark, sf_dir):
+    """Documents marked for another ingest."""
+    docs = model.documents(spark, sf_dir)
+    marked = records.to_reread(docs, docs.where("doc_id % 6 = 0"))
+    return marked.agg(F.count_if(F.col("content_hash") == "").alias("again"), F.count_if(F.col("content_hash") != "").alias("kept"))
+
+
+@query(r"""with t as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w from documents)
+  select a.doc_id, len(list_intersect(a.w, b.w)) as common, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) as either, len(a.w) - len(list_intersect(a.w, b.w)) as only_a from t a join t b on b.doc_id = a.doc_id + 1""")
+def token_sets(spark, sf_dir):
+    """Words that neighbouring documents share, that either has, and that only the first has."""
+    words = model.table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("a"))
+    met = words.join(words.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    return met.select("doc_id", F.size(F.array_intersect("a", "b")).alias("common"), F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_except("a", "b")).alias("only_a"))
+
+
+@query(f"""with {_PAGES} select path, page, case when trim(regexp_replace(text, '\\s', '', 'g')) = '' then '' when {_CONTENT.format('text')} < 220 then 'thin' else '?' end as why from pg where not contains(text, '> **') and {_CONTENT.format('text')} between 1 and 219
+  and len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) < 4""")
+def suspect_pages(spark, sf_dir):
+    """Pages of few lines that do not look like text."""
+    rows = model.pages(spark, sf_dir).where(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) < 4)
+    return transcripts.suspect_pages(rows)

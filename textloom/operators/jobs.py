@@ -1,8 +1,8 @@
-"""Queues, logs and pools: counts, positions, rates, folds over append-only rows."""
+"""Folds over append-only rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,37 +17,6 @@ def active_reading(log: DataFrame, keys: list[str], order: str, person: Column,
     return log.groupBy(*keys).agg(F.max_by(F.struct(order, *columns), rank).alias("x")).select(*keys, "x.*")
 
 
-def dedupe(queue: DataFrame, url: str, key: str) -> DataFrame:
-    """The first job of each url."""
-    return queue.join(queue.groupBy(url).agg(F.min(key).alias(key)), [url, key], "left_semi")
-
-
-def queue_positions(active: DataFrame, running: Column, key: str, lane: str) -> DataFrame:
-    """Places in each lane: running jobs first, then by id."""
-    return active.withColumn("position", F.row_number().over(Window.partitionBy(lane).orderBy(F.when(running, 0).otherwise(1), key)))
-
-
-def rate(done: DataFrame, lane: str, order: str, seconds: str, last: int = 10) -> DataFrame:
-    """Mean duration of each lane's last jobs."""
-    recent = done.withColumn("r", F.row_number().over(Window.partitionBy(lane).orderBy(F.desc(order)))).where(F.col("r") <= last)
-    return recent.groupBy(lane).agg(F.avg(seconds).alias("mean_seconds"), F.count("*").alias("jobs"))
-
-
 def guarded(rows: DataFrame, blocked: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not withdrawn."""
     return rows.join(blocked.select(key).distinct(), key, "left_anti")
-
-
-def retained(pool: DataFrame, lane: str, used: str, size: str, most: int) -> DataFrame:
-    """Least recently used entries leave a lane once its newer ones fill ``most``."""
-    order = Window.partitionBy(lane).orderBy(F.desc(used))
-    return pool.withColumn("running", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("running") <= most)
-
-
-def problems(parts: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Reports (subject) under their kinds, in order of consequence."""
-    out = None
-    for rank, (kind, rows) in enumerate(parts):
-        one = rows.select(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.col("subject").cast("string").alias("subject"))
-        out = one if out is None else out.unionByName(one)
-    return out

@@ -63,8 +63,6 @@ ORACLES: dict[str, str] = {
     "match_documents": "select doc_id, 'doc/' || doc_id as path, source as title from documents where contains(lower(source), 'src1') or contains('doc/' || doc_id, 'src1')",
     "branch_overlay": """select doc_id, source, n_chars from documents where doc_id % 5 <> 0 and doc_id % 7 <> 0
       union all select doc_id, 'branch', n_chars + 1 from documents where doc_id % 5 = 0""",
-    "page_range": "select conv_id, count(*) as pages, cast(sum(length(text)) as bigint) as chars from conversations where turn between 1 and 3 group by conv_id",
-    "document_summaries": "select doc_id, source, coalesce(n, 0) as fragments from documents left join (select conv_id, count(*) as n from conversations group by 1) on conv_id = doc_id",
     "text_facts": f"select doc_id, {_CONTENT} as content_chars, sha256({_FOLD}) as folded, coalesce(list_max(list_transform(string_split(text, chr(10)), lambda x: strlen(x))) >= 5000, false) as minified, sha256({_FLAT}) as identity from documents",
     "page_gates": f"""select conv_id, turn, case when len({_WORDS}) = 0 then 'ok'
       when length(regexp_replace(text, '[^\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) / length(text) > 0.05 then 'junk'
@@ -97,25 +95,9 @@ ORACLES: dict[str, str] = {
       select a, b, min(p) as from_a, max(p) + 32 as to_a, min(p) + delta as from_b, max(p) + 32 + delta as to_b from g group by a, b, delta, island having max(p) + 32 - min(p) >= 40""",
     "covered_intervals": """with i as (select user_id, floor(epoch(ts))::bigint as lo from events), s as (select user_id, lo, lead(lo) over (partition by user_id order by lo) as nx from (select distinct user_id, lo from i))
       select user_id, cast(sum(least(3600, coalesce(nx - lo, 3600))) as bigint) as covered from s group by user_id""",
-    "page_rates": f"""with t as (select distinct conv_id, turn, unnest({_TOKENS}) as term from conversations), n as (select conv_id, turn, count(*) as n from t group by 1, 2),
-      c as (select t.conv_id, t.turn, count(*) as common from t join t u on t.conv_id = u.conv_id and u.turn = t.turn + 1 and t.term = u.term group by 1, 2)
-      select case when coalesce(common, 0) / n >= 0.999 then 'clean' when coalesce(common, 0) / n >= 0.6 then 'noisy' when coalesce(common, 0) > 0 then 'poor' else 'missing' end as bucket, count(*) as pages
-      from n left join c using (conv_id, turn) group by 1""",
     "fragment_round_trip": "select doc_id, sha256(text) as digest from documents",
-    "job_counts": "select user_id, count(*) filter (event_type <> 'error') as done, count(*) filter (event_type = 'error') as error, count(distinct event_type) as kinds from events group by 1",
-    "queue_positions": "select event_id, user_id, event_type, row_number() over (partition by user_id order by case when event_type = 'click' then 0 else 1 end, event_id) as position from events",
-    "recent_rate": "select event_type, round(avg(value), 6) as mean_seconds, count(*) as jobs from (select * from events qualify row_number() over (partition by event_type order by event_id desc) <= 10) group by 1",
-    "deduped_queue": "select min(event_id) as event_id, user_id || '/' || event_type as url from events group by user_id, event_type",
-    "latest_rulings": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
-    "active_readings": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by (event_type = 'purchase')::int desc, event_id desc) = 1",
     "not_withdrawn": "select doc_id, source from documents where doc_id not in (select doc_id from labels where toxic = 1)",
-    "attestation_stats": "select source, count(*) as units, count(*) filter (quality = 1) as affirmed, count(*) filter (quality = 0) as refused, count(*) filter (quality is null) as open from documents left join labels using (doc_id) group by 1",
-    "pool_retained": "select source, doc_id, n_chars, running from (select source, doc_id, n_chars, cast(sum(n_chars) over (partition by source order by doc_id desc rows unbounded preceding) as bigint) as running from documents) where running <= 50000",
     "oversized_documents": "select conv_id, max(length(text)) as longest from conversations group by 1 having max(length(text)) > 300",
-    "problem_report": f"""select 0 as rank, 'no-fragments' as kind, cast(doc_id as varchar) as subject from documents where doc_id not in (select conv_id from conversations)
-      union all select 1, 'thin', cast(doc_id as varchar) from documents where {_SUSPICION} = 'thin'
-      union all select 2, 'job-failed', cast(user_id as varchar) from (select user_id, arg_max(event_type, event_id) as last from events group by 1) where last = 'error'
-      union all select 3, 'withdrawn', cast(doc_id as varchar) from labels where toxic = 1""",
     "windowed_job_metrics": "select date_trunc('day', ts) as window_start, count(*) as jobs, count(*) filter (event_type = 'error') as failed, round(avg(value), 6) as mean_value from events group by 1",
     "generic_masks": f"""with {_shingles('s', 'documents', 'doc_id')}, g as (select hash from (select distinct doc_id, hash from s where hash & 31 = 0) group by 1 having count(*) >= 3),
       n as (select doc_id, max(p0) + 32 as length from s group by 1),

@@ -86,16 +86,6 @@ def branch_overlay(spark, sf_dir):
     return search.overlay(docs, edited, docs.where("doc_id % 7 = 0"), "doc_id")
 
 
-def page_range(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").where("turn between 1 and 3").groupBy("conv_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
-
-
-def document_summaries(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    counts = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("n"))
-    return docs.join(counts, "doc_id", "left").select("doc_id", "source", F.coalesce("n", F.lit(0)).alias("fragments"))
-
-
 def text_facts(spark, sf_dir):
     text = F.col("text")
     return read(spark, sf_dir, "documents").select("doc_id", T.content_chars(text).alias("content_chars"), F.sha2(T.fold(text), 256).alias("folded"), F.coalesce(T.minified(text), F.lit(False)).alias("minified"), T.identity_hash(text).alias("identity"))
@@ -178,78 +168,20 @@ def covered_intervals(spark, sf_dir):
     return overlap.union_length(spans, "user_id", "lo", "hi")
 
 
-def page_rates(spark, sf_dir):
-    tokens = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    sizes = tokens.groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
-    later = tokens.select("conv_id", (F.col("turn") - 1).alias("turn"), "term")
-    common = tokens.join(later, ["conv_id", "turn", "term"]).groupBy("conv_id", "turn").agg(F.count("*").alias("common"))
-    share = F.coalesce(F.col("common"), F.lit(0)) / F.col("n")
-    bucket = F.when(share >= 0.999, "clean").when(share >= 0.6, "noisy").when(share > 0, "poor").otherwise("missing")
-    return sizes.join(common, ["conv_id", "turn"], "left").select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("pages"))
-
-
 def fragment_round_trip(spark, sf_dir):
     whole = parts.reassemble(parts.fragments(read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
     return whole.select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-def job_counts(spark, sf_dir):
-    state = F.when(F.col("event_type") == "error", "error").otherwise("done")
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(state == "done").alias("done"), F.count_if(state == "error").alias("error"), F.count_distinct("event_type").alias("kinds"))
-
-
-def queue_positions(spark, sf_dir):
-    return jobs.queue_positions(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), F.col("event_type") == "click", "event_id", "user_id")
-
-
-def recent_rate(spark, sf_dir):
-    return _rounded(jobs.rate(read(spark, sf_dir, "events"), "event_type", "event_id", "value"), "mean_seconds")
-
-
-def deduped_queue(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select("event_id", F.concat_ws("/", "user_id", "event_type").alias("url"))
-    return jobs.dedupe(rows, "url", "event_id")
-
-
-def latest_rulings(spark, sf_dir):
-    return jobs.latest(read(spark, sf_dir, "events"), ["user_id"], F.col("event_id"), "event_id", "event_type", "value")
-
-
-def active_readings(spark, sf_dir):
-    return jobs.active_reading(read(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "purchase", "event_type", "value")
-
-
 def not_withdrawn(spark, sf_dir):
     blocked = read(spark, sf_dir, "labels").where("toxic = 1")
     return jobs.guarded(read(spark, sf_dir, "documents").select("doc_id", "source"), blocked, "doc_id")
 
 
-def attestation_stats(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    return docs.groupBy("source").agg(F.count("*").alias("units"), F.count_if(F.expr("quality = 1")).alias("affirmed"), F.count_if(F.expr("quality = 0")).alias("refused"), F.count_if(F.expr("quality is null")).alias("open"))
-
-
-def pool_retained(spark, sf_dir):
-    return jobs.retained(read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 50_000)
-
-
 def oversized_documents(spark, sf_dir):
     return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.length("text")).alias("longest")).where("longest > 300")
 
 
-def problem_report(spark, sf_dir):
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
-    events = read(spark, sf_dir, "events")
-    failed = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last")).where("last = 'error'")
-    return jobs.problems([
-        ("no-fragments", docs.join(turns, "doc_id", "left_anti").select(F.col("doc_id").alias("subject"))),
-        ("thin", docs.where(T.suspicion(F.col("text")) == "thin").select(F.col("doc_id").alias("subject"))),
-        ("job-failed", failed.select(F.col("user_id").alias("subject"))),
-        ("withdrawn", labels.where("toxic = 1").select(F.col("doc_id").alias("subject"))),
-    ])
-
-
 def windowed_job_metrics(spark, sf_dir):
     return _rounded(windowed_metrics(read(spark, sf_dir, "events")), "mean_value")
 
@@ -301,10 +233,10 @@ def _folder(spark):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_search, bm25_under_path, cosine_search, hybrid_search, postings_stats, best_turn_of_conversation, match_documents, branch_overlay, page_range,
-    document_summaries, text_facts, page_gates, line_repetition, numeric_tokens, html_to_text, clipped_titles, url_kinds, identical_groups, same_bytes,
-    sketch_facts, overlap_candidates, shingle_similarity, alignment_runs, covered_intervals, page_rates, fragment_round_trip, job_counts, queue_positions,
-    recent_rate, deduped_queue, latest_rulings, active_readings, not_withdrawn, attestation_stats, pool_retained, oversized_documents, problem_report, windowed_job_metrics,
+    bm25_search, bm25_under_path, cosine_search, hybrid_search, postings_stats, best_turn_of_conversation, match_documents, branch_overlay, 
+    text_facts, page_gates, line_repetition, numeric_tokens, html_to_text, clipped_titles, url_kinds, identical_groups, same_bytes,
+    sketch_facts, overlap_candidates, shingle_similarity, alignment_runs, covered_intervals, fragment_round_trip, 
+    not_withdrawn, oversized_documents, windowed_job_metrics,
     generic_masks, bm25_stemmed, index_search, planned_sources, region_geometry, mail_pages,
 )}
 
