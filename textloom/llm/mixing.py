@@ -120,7 +120,7 @@ def _greedy() -> str:
     """SQL that takes of ``items`` (size, ord, doc_id, copy), largest first, all that fit into ``gap``, and one more that overshoots by less than is left."""
     kind = "array<struct<size:bigint,ord:bigint,doc_id:bigint,copy:int>>"
     fits = f"aggregate(items, struct(abs(gap) as left, cast(array() as {kind}) as taken), (s, b) -> if(b.size <= s.left, struct(s.left - b.size as left, concat(s.taken, array(b)) as taken), s))"
-    over = "filter(items, b -> b.size > s.left and b.size < 2 * s.left)"
+    over = "filter(items, b -> b.size > s.left and b.size < 2 * s.left and not array_contains(s.taken, b))"
     last = f"if(s.left > near and size({over}) > 0, struct(abs(s.left - array_min({over}).size) as left, concat(s.taken, array(array_min({over}))) as taken), s)"
     return f"transform(array({fits}), s -> {last})[0]"
 
@@ -154,7 +154,7 @@ def closed(rows: DataFrame, goal: DataFrame, seed: int = 7) -> DataFrame:
         if plan.where("many or size(taken) > 0").isEmpty():
             break
         met = met.join(plan.select("p", "mass", "many"), F.col("source").eqNullSafe(F.col("p")), "left")
-        ones = _small(plan.select(F.col("p").alias("o"), F.explode("taken").alias("t")).select("o", F.col("t.doc_id").alias("o_id"), F.col("t.size").alias("o_size"), F.col("t.copy").alias("o_copy")), "swaps")
+        ones = _small(plan.select(F.col("p").alias("o"), F.explode("taken").alias("t")).select("o", F.col("t.doc_id").alias("o_id"), F.col("t.size").alias("o_size"), F.col("t.copy").alias("o_copy")).distinct(), "swaps")
         met = met.join(ones, F.col("source").eqNullSafe(F.col("o")) & F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("size") == F.col("o_size")) & (F.col("copy") == F.col("o_copy")), "left")
         chance = F.col("many") & F.col("small") & F.expr(f"{_uniform('doc_id', 'copy', 'size', str(seed), str(-2 - level))} * mass < 0.9D * abs(gap)")
         swap = F.col("o_size").isNotNull() | F.coalesce(chance, F.lit(False))
