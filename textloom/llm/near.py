@@ -206,21 +206,27 @@ class _Links:
 
         Buckets that share a member are one crowd.  Its largest component's members
         need not meet each other: their blocks only meet the blocks of the others.
+        Members of one bucket stand in the same blocks as far as these hold them, and
+        two blocks meet only if a bucket has members in both: so a crowd that many
+        small buckets chain together costs what these buckets cost.
         """
         if bucket.isEmpty():
             return None
         heads = bucket.groupBy("key").agg(F.min("rep").alias("b"))
         crowds = materialize(components(bucket.join(heads, "key").select(F.col("rep").alias("a"), "b")), "crowds").select(F.col("node").alias("rep"), F.col("component").alias("crowd"))
-        rows = bucket.select("rep", "component").distinct().join(crowds, "rep")
+        rows = bucket.groupBy("rep").agg(F.min("component").alias("component"), F.min("key").alias("home")).join(crowds, "rep")
         parts = rows.groupBy("crowd", "component").agg(F.count("*").alias("c"))
         top = parts.groupBy("crowd").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
         rows = rows.join(top, "crowd").withColumn("stray", F.col("component") != F.col("top.component"))
+        homes = rows.groupBy("home", "stray").agg(F.count("*").alias("m"))
         share = F.ceil(F.when(F.col("stray"), F.col("all") - F.col("top.c")).otherwise(F.col("top.c")) / BLOCK)
-        rows = materialize(rows.select("crowd", "rep", "component", "stray", F.pmod(F.xxhash64("rep", F.lit(3)), share).cast("int").alias("block")), "crowd-rows")
-        blocks = rows.select("crowd", "stray", "block").distinct()
-        left = blocks.where("stray").select("crowd", F.col("block").alias("i"))
-        right = blocks.select("crowd", F.col("stray").alias("s"), F.col("block").alias("j"))
-        meet = left.join(right, "crowd").where("not s or i <= j")
+        alone = F.xxhash64("home", F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.col("m") / BLOCK)))
+        block = F.when(F.col("m") > BLOCK, alone).otherwise(F.pmod(F.xxhash64("home", F.lit(3)), share))
+        rows = materialize(rows.join(homes, ["home", "stray"]).select("crowd", "rep", "component", "stray", block.cast("long").alias("block")), "crowd-rows")
+        held = materialize(bucket.select("key", "rep").join(rows, "rep").select("key", "crowd", "stray", "block").distinct(), "held")
+        left = held.where("stray").select("key", "crowd", F.col("block").alias("i"))
+        right = held.select("key", F.col("stray").alias("s"), F.col("block").alias("j"))
+        meet = left.join(right, "key").where("not s or i <= j").select("crowd", "i", "s", "j").distinct()
         sides = meet.select("crowd", "i", "s", "j", F.explode(F.array(F.struct(F.lit(True).alias("stray"), F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("s").alias("stray"), F.col("j").alias("block"), F.lit(1).alias("side")))).alias("x"))
         sides = sides.select("crowd", "i", "s", "j", "x.stray", "x.block", "x.side")
         placed = rows.join(self.sets, F.col("rep") == F.col("node")).join(sides, ["crowd", "stray", "block"])
