@@ -168,12 +168,13 @@ def _stream(batches):
 
 RANGE_CHARS = 4_000_000
 MOST_RANGES = 16_384
+SUBRANGES = 1 << 20
 
 
-def _ranges(rows: DataFrame, n: int):
-    """The number of a row's doc_id range as an expression; 0 has the largest ids, and null ids come last."""
+def _ranges(rows: DataFrame, n: int, alone: list[int]):
+    """The number of a row's doc_id range as an expression; 0 has the largest ids, and null ids come last.  Ids in ``alone`` are ranges of their own."""
     found = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    marks = sorted(set(found or []), reverse=True)
+    marks = sorted({*(found or []), *alone, *(i + 1 for i in alone if i < 2**63 - 1)}, reverse=True)
     groups = [marks[i : i + 128] for i in range(0, len(marks), 128)]
     if not groups:
         return F.when(F.col("doc_id").isNull(), 1).otherwise(0)
@@ -184,6 +185,21 @@ def _ranges(rows: DataFrame, n: int):
     return F.when(F.col("doc_id").isNull(), len(marks) + 1).otherwise(fine)
 
 
+def _placed(rows: DataFrame, chars: int) -> DataFrame:
+    """``rows`` with ``tie`` (a hash of the text) and ``place``: its range of ids, and of ties where one id has more than a range holds."""
+    ranged = rows.withColumn("tie", F.xxhash64("text"))
+    most = max(2 * RANGE_CHARS, chars // MOST_RANGES)  # so there are MOST_RANGES such ids at most
+    large = rows.groupBy("doc_id").agg(F.sum(F.length("text").cast("long")).alias("c")).where(F.col("c") > most).collect()
+    place = _ranges(rows, max(1, min(MOST_RANGES, chars // RANGE_CHARS)), [r["doc_id"] for r in large if r["doc_id"] is not None])
+    if not large:
+        return ranged.withColumn("place", place.cast("long") * SUBRANGES)
+    each = max(RANGE_CHARS, chars // MOST_RANGES)
+    split = rows.sparkSession.createDataFrame([(r["doc_id"], min(SUBRANGES, -(-r["c"] // each))) for r in large], "large long, parts int")
+    part = F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * F.coalesce("parts", F.lit(1)))
+    met = ranged.join(F.broadcast(split), F.col("doc_id").eqNullSafe(F.col("large")) & F.col("parts").isNotNull(), "left")
+    return met.withColumn("place", place.cast("long") * SUBRANGES + F.least(part, F.coalesce("parts", F.lit(1)) - 1)).drop("large", "parts")
+
+
 def phrase_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
@@ -192,20 +208,21 @@ def phrase_fingerprints(docs: DataFrame) -> DataFrame:
     without one come last.  A lone row is its own next.  Null texts are empty; an
     empty table gives an empty result.  Other columns are ignored.
 
-    The ids are cut into ranges of about RANGE_CHARS characters.  Each range also
+    The ids are cut into ranges of about RANGE_CHARS characters; rows of one id (or of
+    none) beyond that are cut by the hash of their text.  Each range also
     gets its follower's first row, so texts are shuffled once, and a task streams
     through sorted ranges with two texts in memory.  What reaches the driver is one
-    row a range, of which there are MOST_RANGES at most.
+    row a range, of which there are about 2 * MOST_RANGES at most.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     facts = rows.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars")).first()
     if not facts["n"]:
         return spark.createDataFrame([], RESULT)
-    ranged = rows.withColumn("place", _ranges(rows, max(1, min(MOST_RANGES, facts["chars"] // RANGE_CHARS))).cast("int")).withColumn("tie", F.xxhash64("text"))
+    ranged = _placed(rows, facts["chars"])
     first = ranged.groupBy("place").agg(F.min(F.struct(-F.col("doc_id").cast("decimal(20,0)"), F.col("tie"))).alias("first"), F.max("doc_id").alias("head"))
     heads = sorted((r["place"], r["head"], r["first"]["tie"]) for r in first.collect())
-    mapped = spark.createDataFrame([(place, head, tie, heads[i - 1][0]) for i, (place, head, tie) in enumerate(heads)], "place int, head long, head_tie long, before int")
+    mapped = spark.createDataFrame([(place, head, tie, heads[i - 1][0]) for i, (place, head, tie) in enumerate(heads)], "place long, head long, head_tie long, before long")
     halo = ranged.join(F.broadcast(mapped), "place").where(F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie")))
     halo = halo.select(F.col("before").alias("place"), F.lit(True).alias("halo"), "doc_id", "text", "tie")
     both = ranged.select("place", F.lit(False).alias("halo"), "doc_id", "text", "tie").unionByName(halo)

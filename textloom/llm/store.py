@@ -208,7 +208,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
     dealt = _encoded(docs, end_id, tokenizer).repartition(key).sortWithinPartitions("digest")
     _first_of_each(dealt).write.option("compression", "none").parquet(f"{path}/parts")
     recipes = docs.sparkSession.read.parquet(f"{path}/parts").where("digest is null").select("doc_id", "digests", "lengths", "root", "length")
-    ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "root")
+    ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_last(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "root")
     ordered.select(F.spark_partition_id().alias("file"), F.monotonically_increasing_id().alias("place"), "doc_id", "digests", "lengths", "root", "length").write.parquet(f"{path}/documents")
     _file_roots(docs.sparkSession.read.parquet(f"{path}/documents")).write.parquet(f"{path}/manifest")
 
