@@ -190,6 +190,16 @@ def test_fingerprints(spark):
     assert got[3]["fingerprint"] == got[61]["fingerprint"] and zlib.crc32(b"") == 0
 
 
+def test_fingerprints_do_not_depend_on_ranges(spark, monkeypatch):
+    from textloom.llm import phrases
+
+    rows = [(i if i % 3 else (None if i % 2 else 7), t, "a") for i, t in enumerate(texts(10, 120))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(str, phrases.phrase_fingerprints(df).collect()))
+    monkeypatch.setattr(phrases, "RANGE_CHARS", 700)
+    assert sorted(map(str, phrases.phrase_fingerprints(df).collect())) == whole and len(whole) == 120
+
+
 def test_quality_tells_held_out_rows_apart(spark):
     from textloom.llm.quality import quality
 
