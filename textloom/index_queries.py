@@ -8,7 +8,7 @@ from textloom.functions import regions as R
 from textloom.functions import text as T
 from textloom.operators import attest, health, pages, queue, records, search, similar
 from textloom.plans import model
-from textloom.plans.tasks import spread
+from textloom.plans.tasks import spread, written
 from textloom.sources import transcripts
 
 QUERIES, ORACLES = {}, {}
@@ -676,15 +676,11 @@ def ruling_faults(spark, sf_dir):
 # ---------------------------------------------------------------- likeness
 
 
-def _written(spark):
-    return lambda df: df.persist()
-
-
 @query()
 def similar_pairs(spark, sf_dir):
     """All similar pairs of documents, measured exactly; tested against a plain version."""
     docs = model.table(spark, sf_dir, "documents")
-    found = similar.similar_pairs(docs, docs, "doc_id", "text", write=_written(spark))
+    found = similar.similar_pairs(docs, docs, "doc_id", "text", write=written)
     return found.select("a", "b", "relation", *(F.round(c, 6).alias(c) for c in ("jaccard", "a_in_b", "b_in_a", "a_cover", "b_cover")), "generic_chars", "matched_chars", F.size("blocks").alias("blocks"), F.array_join("only_in_a", " ").alias("only_in_a"), F.array_join("only_in_b", " ").alias("only_in_b"))
 
 
@@ -693,7 +689,7 @@ def similar_passages(spark, sf_dir):
     """Benchmark passages against all documents."""
     docs = model.table(spark, sf_dir, "documents").select("doc_id", "text")
     probes = model.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    found = similar.similar_pairs(probes, docs, "doc_id", "text", least_chars=40, write=_written(spark))
+    found = similar.similar_pairs(probes, docs, "doc_id", "text", least_chars=40, write=written)
     return found.select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), "relation", F.round("a_cover", 6).alias("a_cover"), F.round("b_cover", 6).alias("b_cover"), "matched_chars")
 
 
@@ -701,7 +697,7 @@ def similar_passages(spark, sf_dir):
 def masked_blocks(spark, sf_dir):
     """The aligned regions of all similar pairs, without what is generic."""
     docs = model.table(spark, sf_dir, "documents")
-    found = similar.similar_pairs(docs, docs, "doc_id", "text", write=_written(spark))
+    found = similar.similar_pairs(docs, docs, "doc_id", "text", write=written)
     return found.select("a", "b", F.explode("blocks").alias("k")).select("a", "b", "k.a_from", "k.a_to", "k.b_from", "k.b_to", "k.runs", "k.matched_chars", F.size("k.gaps").alias("gaps"))
 
 
@@ -709,7 +705,7 @@ def masked_blocks(spark, sf_dir):
 def ruling_proposals(spark, sf_dir):
     """What could be ruled about each similar pair."""
     docs = model.table(spark, sf_dir, "documents")
-    found = similar.similar_pairs(docs, docs, "doc_id", "text", write=_written(spark))
+    found = similar.similar_pairs(docs, docs, "doc_id", "text", write=written)
     told = similar.proposal(F.col("relation"), F.col("only_in_a"), F.col("only_in_b"), F.col("a_cover"), F.col("b_cover"), F.col("jaccard"), F.col("matched_chars"))
     return found.select("a", "b", told.alias("p")).select("a", "b", "p.kind", "p.why", "p.confident")
 

@@ -147,18 +147,26 @@ def restored(withdrawals: DataFrame, paths: DataFrame) -> DataFrame:
     return withdrawals.join(paths.select("path").distinct(), "path", "left_anti")
 
 
+CITED_AT_ONCE = 10_000  # names that are held against each text in one pass
+
+
 def citations(names: DataFrame, fragments: DataFrame, reach: int = 80) -> DataFrame:
     """(cited, path, page, excerpt): fragments (path, page, text) of other documents that hold a withdrawn document's name, in any case.
 
-    ``names`` (path) is broadcast: withdrawals are made by hand, one by one.
+    ``names`` (path) are broadcast CITED_AT_ONCE at a time: with more of them the
+    fragments are read as often as it takes.
     """
-    from pyspark.sql.functions import broadcast
-
-    small = names.select(F.col("path").alias("cited"), F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).alias("name")).where("name <> ''")
-    met = fragments.join(broadcast(small), F.lower("text").contains(F.col("name")) & (F.col("path") != F.col("cited")))
-    at = F.instr(F.lower("text"), F.col("name"))
-    begin = F.greatest(at - reach, F.lit(1))
-    return met.select("cited", "path", "page", T.flat(F.substr("text", begin, at + F.length("name") + reach - begin)).alias("excerpt"))
+    small = names.select(F.col("path").alias("cited"), F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).alias("name")).where("name <> ''").distinct()
+    blocks = max(1, -(-small.count() // (CITED_AT_ONCE // 2)))  # hashed blocks differ in size: half of what one may hold
+    out = None
+    for block in range(blocks):
+        part = small.where(F.pmod(F.xxhash64("cited"), F.lit(blocks)) == block) if blocks > 1 else small
+        met = fragments.join(F.broadcast(part), F.lower("text").contains(F.col("name")) & (F.col("path") != F.col("cited")))
+        at = F.instr(F.lower("text"), F.col("name"))
+        begin = F.greatest(at - reach, F.lit(1))
+        found = met.select("cited", "path", "page", T.flat(F.substr("text", begin, at + F.length("name") + reach - begin)).alias("excerpt"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def forked(branches: DataFrame, name: str, parent: str) -> DataFrame:

@@ -1,11 +1,32 @@
-"""How inputs are dealt to tasks."""
+"""How inputs are dealt to tasks, and where intermediate tables lie."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of few files over as many tasks as there are cores; inputs of more files stay as they lie."""
     n = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one that the session names, or a local one in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        found = tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{found.rstrip('/')}/textloom-{label}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """A table that is used more than once, computed once: written to the shared folder and read back."""
+    path = new_folder(rows.sparkSession, "table")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

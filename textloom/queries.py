@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from textloom.functions import geometry as G
 from textloom.functions import text as T
 from textloom.operators import fragments as parts
 from textloom.operators import jobs, overlap, search
+from textloom.plans.tasks import new_folder, written
 from textloom.sources.files import planned
 from textloom.sources.mail import read_mail
 from textloom.streaming.jobs import windowed_metrics
@@ -148,13 +146,13 @@ def overlap_candidates(spark, sf_dir):
 
 def shingle_similarity(spark, sf_dir):
     """Benchmark passages against the documents that share samples with them, by all their shingles."""
-    a, b = _probes(spark, sf_dir).select("a", "hash").distinct(), _indexed(spark, sf_dir).select("b", "hash").distinct().persist()
+    a, b = _probes(spark, sf_dir).select("a", "hash").distinct(), written(_indexed(spark, sf_dir).select("b", "hash").distinct())
     pairs = overlap.candidates(overlap.sketch(a, "a"), overlap.sketch(b, "b"))
     return _rounded(overlap.similarity(a, b, pairs), "jaccard", "a_in_b", "b_in_a")
 
 
 def generic_masks(spark, sf_dir):
-    passages = overlap.shingles(read(spark, sf_dir, "documents"), "doc_id", "text").persist()
+    passages = written(overlap.shingles(read(spark, sf_dir, "documents"), "doc_id", "text"))
     return overlap.masks(passages, "doc_id", overlap.generic(overlap.sketch(passages, "doc_id"), "doc_id", 3))
 
 
@@ -217,21 +215,11 @@ def mail_pages(spark, sf_dir):
 
 def index_search(spark, sf_dir):
     """A search that reads its terms' buckets of a written index alone."""
-    path = f"{_folder(spark)}/text-index"
+    path = new_folder(spark, "index")
     index = search.TextIndex(path).write(read(spark, sf_dir, "documents"), "doc_id", "text")
     return _rounded(search.top(index.search(spark, TERMS, "doc_id"), "doc_id", 10), "score")
 
 
-def _folder(spark):
-    """A new folder in the shared one that the session names, or a local one in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and spark.sparkContext.master.startswith("local"):
-        found = tempfile.mkdtemp(prefix="textloom-")
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return f"{found.rstrip('/')}/textloom-{uuid.uuid4().hex}"
-
-
 QUERIES = {f.__name__: f for f in (
     bm25_search, bm25_under_path, cosine_search, hybrid_search, postings_stats, best_turn_of_conversation, match_documents, branch_overlay, 
     text_facts, page_gates, line_repetition, numeric_tokens, html_to_text, clipped_titles, url_kinds, identical_groups, same_bytes,
