@@ -447,6 +447,9 @@ def test_providers(spark):
     assert P.identified(P.FakeChatter([told]), "w" * 300, {"plat": "survey"})["kind"] == "survey" and P.identified(P.FakeChatter([told]), "short", {}) is None
     tree = P.descend(np.arange(64).reshape(8, 8), lambda v: (f"{v.shape}", [(0, 0, 0.5, 0.5), (0, 0, 1, 0.9)] if v.shape[0] > 4 else []), images.cropped)
     assert [(r["region"], r["depth"]) for r in tree] == [("1", 0), ("1.1", 1)]
+    assert P.engine_named("none", {}) is None and P.engine_named("x", {"x": P.FakeEngine()}).name == "cheap"
+    with pytest.raises(ValueError):
+        P.engine_named("y", {})
     media = spark.createDataFrame([(1, "auth", None), (2, "auth", bytearray(b"i")), (3, " ", None)], "media_id long, description string, image binary")
     assert {r["media_id"]: r["space"] for r in P.embedded_media(media, P.FakeEmbedder(), P.FakeImageEmbedder(), True).collect()} == {1: "text", 2: "image-aligned"}
 
@@ -495,6 +498,14 @@ def test_index_folders_and_branches(spark, tmp_path):
         every.fork("work", "main")
     with pytest.raises(PermissionError):
         every.open("main", read_only=True).write("notes", spark.createDataFrame([], "path string"))
+    branch.write("fragments", spark.createDataFrame([("a", "a@0", 1, 0, 0, 0, "alpha", None, "")], FRAGMENTS))
+    main.write("fragments", spark.createDataFrame([("a", "a@1", 1, 0, 0, 0, "alpha", None, ""), ("b", "b@0", 1, 0, 0, 0, "alpha beta", None, ""), ("c", "c@0", 1, 0, 0, 0, "alpha", None, "")], FRAGMENTS))
+    from textloom.engine import Engine, search_all
+
+    engines = {n: Engine.of(every, n) for n in ("main", "work")}
+    assert [r["frag_id"] for r in engines["work"].search("alpha").collect()] == ["a@0", "b@0"]
+    assert [(r["index"], r["frag_id"]) for r in search_all(engines, "alpha", "w*").collect()] == [("work", "a@0"), ("work", "b@0")]
+    assert len(search_all(engines, "beta", limit=3).collect()) == 2
     every.delete("work")
     assert every.names() == ["default", "main"]
     log = str(tmp_path / "log")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -22,6 +22,16 @@ class Engine:
             raise ValueError(f"no such tables: {sorted(unknown)}")
         self.spark, self.tables = spark, dict(tables)
 
+    @classmethod
+    def of(cls, indexes, name: str) -> "Engine":
+        """An engine over a stored index (``sources.folder.Indexes``); a branch shows its parents' rows where it has none of its own."""
+        from textloom.sources.folder import SCHEMAS
+
+        own = indexes.open(name, read_only=True)
+        tables = {t: indexes.overlaid(name, t) if "path string" in ddl.split(", ") and t not in ("tombstones", "withdrawals") else own.read(t) for t, ddl in SCHEMAS.items() if t in TABLES}
+        tables["documents"] = tables["documents"].withColumn("index", F.lit(name))
+        return cls(indexes.spark, tables)
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.tables:
             raise KeyError(f"the engine has no table {name!r}")
@@ -206,3 +216,22 @@ class Engine:
 
     def latest(self, table: str, keys: list[str], order: str, *columns: str) -> DataFrame:
         return jobs.latest(self[table], keys, F.col(order), *columns)
+
+
+def search_all(engines: Mapping[str, Engine], query: str, selector: str = "", limit: int = 10, **options) -> DataFrame:
+    """The best hits of the selected indexes by fused rank, with their own scores: each gives twice the limit."""
+    names = [n for n in engines if _named(n, selector)]
+    found = None
+    for name in names:
+        hits = engines[name].search(query, limit=2 * limit, **options).withColumn("index", F.lit(name))
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        raise ValueError(f"no index matches {selector!r}")
+    rank = F.row_number().over(Window.partitionBy("index").orderBy(F.desc("score"), "frag_id")) - 1
+    return found.withColumn("fused", 1 / (search.RRF + rank)).orderBy(F.desc("fused"), "index", "frag_id").limit(limit).drop("fused")
+
+
+def _named(name: str, selector: str) -> bool:
+    """Whether a selector (all, a list with commas, ``prefix*``) names an index."""
+    parts = [p.strip() for p in selector.split(",") if p.strip()]
+    return selector.strip() in ("", "all") or any(name.startswith(p[:-1]) if p.endswith("*") else name == p for p in parts)

@@ -210,6 +210,15 @@ def input_limit(configured: int, context: int) -> int:
 # ---------------------------------------------------------------- pages
 
 
+def engine_named(name: str, engines: dict[str, PageEngine]) -> PageEngine | None:
+    """The page engine of a setting: none for ``none`` or nothing; an unknown one is an error."""
+    if name.strip().lower() in ("", "none"):
+        return None
+    if name not in engines:
+        raise ValueError(f"unknown page engine {name!r}: {sorted(engines)}")
+    return engines[name]
+
+
 def page_reading(image: bytes, cheap: PageEngine | None, vision: PageEngine | None, gibberish, shrink=None) -> tuple[str, str, int]:
     """(text, engine, shrinks): the cheap engine's text unless ``gibberish(text, confidence)``, else the vision model's.
 
