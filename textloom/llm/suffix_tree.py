@@ -4,8 +4,9 @@ The alphabet is words and one end mark.  The root is the additively smoothed wor
 distribution.  A context state is kept if what its next-word counts save against
 its parent's distribution, in nats, exceeds the cost of naming each of its next
 words once, by THRESHOLD.  A token is scored by the longest kept suffix of the words
-before it: (c - D) / n for a next word seen there c of n times, otherwise the escape
-D * kinds / n times the parent's probability.
+before it: max(c - D, 0) / n for a next word seen there c of n times, and the discounted mass
+D * kinds / n times the parent's probability.  So each state's probabilities add up to
+those of the root, which add up to one with one unknown word.
 
 Two shuffles of token events do all of it.  The first deals events by the last
 context word, so a whole subtree (its counts, tests and scores) is in one task; the
@@ -251,6 +252,12 @@ def _keep_states(state: np.ndarray, n_states: int, word: np.ndarray, weight: np.
     return kept[state], c[pair], n[state], kinds[state]
 
 
+def _discounted(kept: np.ndarray, c: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What an event's state gives its word, and the share that it leaves to its parent; a state that is not kept leaves all."""
+    n = np.maximum(n, 1)
+    return np.where(kept, np.maximum(c - DISCOUNT, 0) / n, 0.0), np.where(kept, DISCOUNT * kinds / n, 1.0)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
 
@@ -341,14 +348,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 own = order[cut[b] : cut[b + 1]]
                 if len(own):
                     before, now = rank[at2[own]], rank[at[own]]
-                    blob = _pack(key[own], before, short[own[before == 0]], now, tokens[own[now == 0]], (doc[own] << np.uint32(1)) | train[own])
+                    tags = (doc[own] << np.uint32(1)) | train[own]
+                    tags[1:] -= tags[:-1].copy()  # events of a context are in order of their documents: small steps
+                    blob = _pack(key[own], before, short[own[before == 0]], now, tokens[own[now == 0]], tags)
                     yield _row(b, block, 1, n_docs, blob)
             facts = _pack(np.diff(bounds).astype(np.uint64), n_known.astype(np.uint64), base.view(np.uint64), held.astype(np.uint8))
             yield _row(_home(block, second), block, 0, n_docs, facts, doc_ids)
             block += 1
 
     def weigh(key, short, at, word, tag, whole):
-        """For each event: is its word a rare one, is it scored, its score so far; ``whole``: counts of split contexts."""
+        """For each event: is its word a rare one, what its contexts saw of it against what they leave to the root, its score (of a rare word, without the root's part); ``whole``: counts of split contexts."""
         logs = np.log(np.append(counts, 1) / max(n_train, 1))
         rough = np.log(np.maximum(classes, 1) / max(n_train, 1))
         events, train = len(key), (tag & 1).astype(bool)
@@ -358,9 +367,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
         root = np.where(is_rare, rough[(word >> np.uint64(44)).astype(np.int64)], logs[at])
         names, state = np.unique(key, return_inverse=True)
         kept1, c1, n1, kinds1 = _keep_states(state, len(names), word, _weights(state, len(names), train, sums, level == 5), root)
-        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-            parent = np.where(kept1 & (c1 > 0), np.log(np.maximum(c1 - DISCOUNT, 1e-9) / np.maximum(n1, 1)), root)
-            del state
+        with np.errstate(over="ignore"):
+            part1, rest1 = _discounted(kept1, c1, n1, kinds1)
+            parent = np.log(part1 + rest1 * np.exp(root))
+            del state, kept1, c1, n1, kinds1
             two = np.append(np.ones(events, bool), level == 6)
             key, short, parent = key[two], short[two], parent[two]
             names, state = np.unique(mix64(key + short.astype(np.uint64) * _BASE), return_inverse=True)
@@ -368,14 +378,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
             sums = sums[level == 6]
             kept2, c2, n2, kinds2 = _keep_states(state, len(names), word[two], _weights(state, len(names), train, sums, np.ones(len(sums), bool)), parent)
             del state, names, parent, train, two
-            kept1, c1, n1, kinds1, kept2, c2, n2, kinds2, is_rare, at = (x[:events] for x in (kept1, c1, n1, kinds1, kept2, c2, n2, kinds2, is_rare, at))
-            seen2, seen1 = kept2 & (c2 > 0), kept1 & (c1 > 0)
-            p2, e2 = np.log10((c2 - DISCOUNT) / n2), np.log10(DISCOUNT * kinds2 / n2)
-            p1, e1 = np.log10((c1 - DISCOUNT) / n1), np.log10(DISCOUNT * kinds1 / n1)
-            score = np.where(seen2, p2, np.where(kept2, e2, 0) + np.where(seen1, p1, np.where(kept1, e1, 0)))
-        done = seen2 | seen1
-        score += np.where(~done & ~is_rare, np.log10(np.append(counts, 0)[at] + 0.5) - log_z, 0)
-        return is_rare, done, score
+        part2, rest2 = _discounted(kept2[:events], c2[:events], n2[:events], kinds2[:events])
+        del kept2, c2, n2, kinds2
+        is_rare, at, part1, rest1 = is_rare[:events], at[:events], part1[:events], rest1[:events]
+        # the probability is seen + rest * the root's
+        seen, rest = part2 + rest2 * part1, rest2 * rest1
+        own = (np.append(counts, 0)[at] + 0.5) / 10**log_z
+        score = np.where(is_rare, np.log10(rest), np.log10(seen + rest * own))
+        return is_rare, (seen / rest).astype(np.float32), score
 
     def contexts(table: pa.Table) -> pa.Table:
         out = _Rows()
@@ -385,6 +395,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         events = out.take(table, 1)
         if not events:
             return out.table()
+        for _, _, x in events:
+            x[-1] = np.cumsum(x[-1], dtype=np.uint32)
         words_of, shorts_of = np.append(frequent, np.uint64(0)), np.append(np.uint32(0), shorts[by_rank[1:]])
         bucket, total = table.column("bucket")[0].as_py(), sum(len(x[0]) for _, _, x in events) + len(summed[0])
         bits = buckets.bit_length() - 1
@@ -411,23 +423,23 @@ def score_documents(docs: DataFrame) -> DataFrame:
             key, short, at, word, tag = (np.concatenate(x) for x in zip(*pieces))
             del pieces
             level, k1, k2, w, n = (x[reach[part] : reach[part + 1]] for x in summed)
-            is_rare, done, score = weigh(key, short, at, word, tag, (level, k1, k2, _place(frequent, w), w, n))
+            is_rare, ratio, score = weigh(key, short, at, word, tag, (level, k1, k2, _place(frequent, w), w, n))
             begin = 0
             for k, length in enumerate(lengths):
                 rows = slice(begin, begin + length)
                 begin = rows.stop
                 sums[k] += np.bincount((tag[rows] >> 1).astype(np.int64), score[rows], len(sums[k]))
                 rare = np.flatnonzero(is_rare[rows])
-                others[k].append((word[rows][rare], (tag[rows][rare] << np.uint32(1)) | done[rows][rare]))
+                others[k].append((word[rows][rare], tag[rows][rare], ratio[rows][rare]))
         for (block, n_docs, _), total, found in zip(events, sums, others):
             out.add(_home(block, second), block, 2, n_docs, _pack(total.view(np.uint64)))
-            w, t = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+            w, t, r = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.float32))
             order = np.argsort(w, kind="stable")
             cut = _split_by(w[order], second)[1]
             for b in range(second):
                 own = order[cut[b] : cut[b + 1]]
                 if len(own):
-                    out.add(b, block, 3, n_docs, _pack(w[own], t[own]))
+                    out.add(b, block, 3, n_docs, _pack(w[own], t[own], r[own].view(np.uint32)))
         return out.table()
 
     def roots(table: pa.Table) -> pa.Table:
@@ -435,20 +447,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
         events = out.take(table, 3)
         if not events:
             return out.table()
-        word = np.concatenate([w for _, _, (w, _) in events])
-        tag = np.concatenate([t for _, _, (_, t) in events])
+        word = np.concatenate([x[0] for _, _, x in events])
+        tag = np.concatenate([x[1] for _, _, x in events])
+        ratio = np.concatenate([x[2] for _, _, x in events]).view(np.float32)
         _, at = np.unique(word, return_inverse=True)
-        c = np.bincount(at, (tag >> 1) & 1)[at]
+        c = np.bincount(at, tag & 1)[at]
         logs = np.log10(c + 0.5)
         begin = 0
         sums: dict[int, list] = {}
         sizes = {block: n_docs for block, n_docs, _ in events}
-        for block, n_docs, (w, _) in events:
+        for block, n_docs, (w, *_) in events:
             rows = slice(begin, begin + len(w))
             begin = rows.stop
-            doc = (tag[rows] >> 2).astype(np.int64)
-            missed = (tag[rows] & 1) == 0
-            own = [np.bincount(doc, logs[rows], n_docs), np.bincount(doc, c[rows] > 0, n_docs), np.bincount(doc, (logs[rows] - log_z) * missed, n_docs)]
+            doc = (tag[rows] >> 1).astype(np.int64)
+            own = [np.bincount(doc, logs[rows], n_docs), np.bincount(doc, c[rows] > 0, n_docs), np.bincount(doc, np.log10(ratio[rows] + (c[rows] + 0.5) / 10**log_z), n_docs)]
             sums[block] = [a + b for a, b in zip(sums[block], own)] if block in sums else own
         for block, (base, known, score) in sums.items():
             out.add(0, block, 4, sizes[block], _pack(base.view(np.uint64), known.astype(np.uint32), score.view(np.uint64)))
