@@ -29,22 +29,21 @@ def tree_scores(rows):
         return total >= 2 and sum(c * (math.log(c / total) - parent(w)) + parent(w) for w, c in counts.items()) > 3
 
     kept1 = {s: tested(c, lambda w: math.log(uni[w] / n)) for s, c in one.items()}
-    above = lambda s, w: math.log((one[s][w] - 0.5) / sum(one[s].values())) if kept1[s] else math.log(uni[w] / n)
-    kept2 = {s: tested(c, lambda w: above(s[1], w)) for s, c in two.items()}
+
+    def mixed(table, state, kept, w, below):
+        if not kept.get(state):
+            return below
+        total = sum(table[state].values())
+        return max(table[state][w] - 0.5, 0) / total + 0.5 * len(table[state]) / total * below
+
+    kept2 = {s: tested(c, lambda w: math.log(mixed(one, s[1], kept1, w, uni[w] / n))) for s, c in two.items()}
     out = {}
     for d, ws in words.items():
         out[d] = 0
         for i, w in enumerate(ws):
             w1, w2 = before(ws, i)
-            for state, kept, table in (((w2, w1), kept2, two), (w1, kept1, one)):
-                if kept.get(state):
-                    total = sum(table[state].values())
-                    if table[state][w]:
-                        out[d] += math.log10((table[state][w] - 0.5) / total)
-                        break
-                    out[d] += math.log10(0.5 * len(table[state]) / total)
-            else:
-                out[d] += math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1)))
+            low = (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+            out[d] += math.log10(mixed(two, (w2, w1), kept2, w, mixed(one, w1, kept1, w, low)))
     return out
 
 
@@ -56,8 +55,9 @@ def test_frequent_contexts_learn_from_all_documents(spark, monkeypatch):
     rows = [(i, " ".join(rng.choices(names, [20, 12, 8, *[1] * 60], k=rng.randint(0, 60)) + ["of", "the"] * rng.randint(0, 3))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     wanted = tree_scores(rows)
-    for chars in (suffix_tree.BUCKET_CHARS, 2000):
+    for chars, frequent in ((suffix_tree.BUCKET_CHARS, suffix_tree.FREQUENT), (2000, suffix_tree.FREQUENT), (2000, 12)):
         monkeypatch.setattr(suffix_tree, "BUCKET_CHARS", chars)
+        monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)  # with few frequent words the others come to the root by themselves
         got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs).collect()}
         assert max(abs(got[d] - wanted[d]) for d in wanted) < 1e-6
 
