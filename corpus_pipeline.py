@@ -9,7 +9,7 @@ from textloom.llm.common import fresh_name, materialize, quoted, table
 from textloom.llm.mixing import mixed_documents
 from textloom.llm.near import near_duplicates
 from textloom.llm.packing import pack_documents
-from textloom.llm.rules import quality_rules
+from textloom.llm.rules import STATS, quality_rules
 from textloom.llm.toxicity import fit, scan, score_column
 
 
@@ -39,9 +39,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and the learned decision list, each judged by its own text (null: no words, so it goes)."""
-    keyed, key = _keyed(docs)
-    judged, _ = quality_rules(keyed, table(spark, sf_dir, "labels"), (key,))
-    return _kept(keyed, judged.where("kept").select(key), key)
+    whole = fresh_name([*docs.columns, *STATS], "_whole_row")
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias(whole))
+    judged, _ = quality_rules(rows, table(spark, sf_dir, "labels"), (whole,))
+    return judged.where("kept").select(*(F.col(whole).getField(c).alias(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACES, WORD, materialize, split_table
+from textloom.llm.common import SPACES, materialize, split_table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
