@@ -38,7 +38,7 @@ CLASSES = 1 << 20
 BLOCK_CHARS = 4_000_000  # text that is dealt at a time
 BUCKET_CHARS = 16_000_000  # text whose tokens make up a bucket of the first shuffle
 PAIRS = 1 << 20  # counts of split contexts that a task holds before it deals them
-EVENTS = 1 << 19  # events of a bucket whose states are weighed at a time
+EVENTS = 1 << 18  # events of a bucket whose states are weighed at a time
 KEPT_BITS = np.uint64(0xFFFFFFFFFFFF0000)  # 48 bits tell words, and contexts of one word, apart: of ten million words, a pair is alike once in six corpora
 END, BEGIN = np.uint64(0xE17D000000000001), np.uint64(0xBE61000000000001)
 
@@ -271,7 +271,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("held_out", F.coalesce(fold_of("doc_id", 5) == 1, F.lit(False)))
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     buckets = 1 << max(0, math.ceil(math.log2(max(1, chars / BUCKET_CHARS))))
-    second = max(1, buckets // 4)
+    second = max(1, buckets // 2)
     spread = split_table(rows, spark.sparkContext.defaultParallelism)
     n_train, kinds, frequent, counts, classes = count_words(spread, buckets)
     log_z = math.log10(n_train + 0.5 * (kinds + 1))
@@ -348,9 +348,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 own = order[cut[b] : cut[b + 1]]
                 if len(own):
                     before, now = rank[at2[own]], rank[at[own]]
-                    tags = (doc[own] << np.uint32(1)) | train[own]
-                    tags[1:] -= tags[:-1].copy()  # events of a context are in order of their documents: small steps
-                    blob = _pack(key[own], before, short[own[before == 0]], now, tokens[own[now == 0]], tags)
+                    blob = _pack(key[own], before, short[own[before == 0]], now, tokens[own[now == 0]], (doc[own] << np.uint32(1)) | train[own])
                     yield _row(b, block, 1, n_docs, blob)
             facts = _pack(np.diff(bounds).astype(np.uint64), n_known.astype(np.uint64), base.view(np.uint64), held.astype(np.uint8))
             yield _row(_home(block, second), block, 0, n_docs, facts, doc_ids)
@@ -395,8 +393,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
         events = out.take(table, 1)
         if not events:
             return out.table()
-        for _, _, x in events:
-            x[-1] = np.cumsum(x[-1], dtype=np.uint32)
         words_of, shorts_of = np.append(frequent, np.uint64(0)), np.append(np.uint32(0), shorts[by_rank[1:]])
         bucket, total = table.column("bucket")[0].as_py(), sum(len(x[0]) for _, _, x in events) + len(summed[0])
         bits = buckets.bit_length() - 1
