@@ -67,6 +67,12 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an array in order, and how often each stands there."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    return ordered[first], np.diff(np.append(first, len(ordered))).astype(np.uint32)
+
+
 def _blocks(batches):
     """(doc ids, held out, tokens with end marks, bounds) of blocks of documents."""
     for batch in batches:
@@ -348,7 +354,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 own = order[cut[b] : cut[b + 1]]
                 if len(own):
                     before, now = rank[at2[own]], rank[at[own]]
-                    blob = _pack(key[own], before, short[own[before == 0]], now, tokens[own[now == 0]], (doc[own] << np.uint32(1)) | train[own])
+                    blob = _pack(*_runs(key[own]), before, short[own[before == 0]], now, tokens[own[now == 0]], (doc[own] << np.uint32(1)) | train[own])
                     yield _row(b, block, 1, n_docs, blob)
             facts = _pack(np.diff(bounds).astype(np.uint64), n_known.astype(np.uint64), base.view(np.uint64), held.astype(np.uint8))
             yield _row(_home(block, second), block, 0, n_docs, facts, doc_ids)
@@ -393,6 +399,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         events = out.take(table, 1)
         if not events:
             return out.table()
+        for _, _, x in events:
+            x[:2] = [np.repeat(x[0], x[1].astype(np.int64))]
         words_of, shorts_of = np.append(frequent, np.uint64(0)), np.append(np.uint32(0), shorts[by_rank[1:]])
         bucket, total = table.column("bucket")[0].as_py(), sum(len(x[0]) for _, _, x in events) + len(summed[0])
         bits = buckets.bit_length() - 1
@@ -435,7 +443,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             for b in range(second):
                 own = order[cut[b] : cut[b + 1]]
                 if len(own):
-                    out.add(b, block, 3, n_docs, _pack(w[own], t[own], r[own].view(np.uint32)))
+                    out.add(b, block, 3, n_docs, _pack(*_runs(w[own]), t[own], r[own].view(np.uint32)))
         return out.table()
 
     def roots(table: pa.Table) -> pa.Table:
@@ -443,6 +451,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         events = out.take(table, 3)
         if not events:
             return out.table()
+        for _, _, x in events:
+            x[:2] = [np.repeat(x[0], x[1].astype(np.int64))]
         word = np.concatenate([x[0] for _, _, x in events])
         tag = np.concatenate([x[1] for _, _, x in events])
         ratio = np.concatenate([x[2] for _, _, x in events]).view(np.float32)
