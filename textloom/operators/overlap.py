@@ -106,8 +106,9 @@ def similarity(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def seeds(a: DataFrame, b: DataFrame, most: int = MOST_PLACES) -> DataFrame:
     """(a, at_a, b, at_b) of equal windows; one with more than ``most`` places in a text of side b anchors nothing there."""
-    crowded = b.groupBy("b", "hash").agg(F.count("*").alias("n")).where(F.col("n") > most).select("b", "hash")
-    usual = b.join(crowded, ["b", "hash"], "left_anti")
+    near = b.join(a.select("hash").distinct(), "hash", "left_semi")
+    places = F.count("*").over(Window.partitionBy("b", "hash"))
+    usual = near.withColumn("n", places).where(F.col("n") <= most).drop("n")
     return a.withColumnRenamed("at", "at_a").join(usual.withColumnRenamed("at", "at_b"), "hash").select("a", "at_a", "b", "at_b")
 
 
