@@ -73,6 +73,13 @@ def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op11_token_alignment(spark, sf_dir):
+    from textloom.llm.align import align_tokenizers
+
+    found, _ = align_tokenizers(table(spark, sf_dir, "documents"), keep_groups=False)
+    return found.drop("groups")
+
+
 def op12_periodic_runs(spark, sf_dir):
     from textloom.llm.runs import looped, repeated_runs, run_digests
 
@@ -85,5 +92,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_preference_pairs, op3_token_store, op4_quality_rules, op5_quality, op6_phrase_fingerprints, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, op12_periodic_runs, pipeline)} | parts.QUERIES
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_preference_pairs, op3_token_store, op4_quality_rules, op5_quality, op6_phrase_fingerprints, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, op11_token_alignment, op12_periodic_runs, pipeline)} | parts.QUERIES
 ORACLE_SQL: dict[str, str] = {"op2_preference_pairs": preference.ORACLE, "op10_near_duplicates": parts.NEAR, **parts.ORACLE_SQL}
