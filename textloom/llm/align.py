@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import chunks, giving_back, materialize, split_table, text_bytes, tokenizer_file
 from textloom.llm.encode import ENCODE_BYTES, Encoder, _spread
 
-BLOCK_BYTES = 4 << 20  # text whose links travel together
+BLOCK_BYTES = 2 << 20  # text whose links travel together
 CELLS = 1 << 23  # of a stripe's dense matrix
 ROW_LINKS = 1 << 14  # links, or pairs, of a row at most
 PART_LINKS = 1 << 22  # links of a stripe that one task scores
