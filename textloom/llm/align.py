@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import chunks, giving_back, materialize, split_table, text_bytes, tokenizer_file
+from textloom.llm.common import chunks, giving_back, materialize, slices, split_table, text_bytes, tokenizer_file
 from textloom.llm.encode import ENCODE_BYTES, Encoder, _spread
 
 BLOCK_BYTES = 2 << 20  # text whose links travel together
@@ -193,17 +193,6 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _slices(batches, *columns: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Slices of sorted batches in which the columns, of whole numbers, don't change, with their values."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
-        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for at, to in zip(cuts, cuts[1:]):
-            yield tuple(values[:, at].tolist()), batch.slice(at, to - at)
-
-
 FOUND = "kind string, block long, place int, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, stripe int, n_pairs int, n_links int, links binary, pairs binary"
 
 
@@ -295,7 +284,7 @@ def _pair_counts(found: DataFrame, stripes: Stripes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["stripe", "a", "b", "count", "best"])
 
         at, matrix = None, np.zeros((stripes.rows, stripes.n_a), np.int64)
-        for (stripe,), part in _slices(batches, "stripe"):
+        for (stripe,), part in slices(batches, "stripe"):
             if stripe != at:
                 if at is not None:
                     yield from rows()
@@ -324,7 +313,7 @@ def _partial_scores(found: DataFrame, counts: DataFrame, stripes: Stripes) -> Da
 
     def run(batches):
         matrix, best = np.zeros(stripes.cells, np.int64), np.zeros(stripes.cells, bool)
-        for (_, turn), part in _slices(batches, "stripe", "turn"):
+        for (_, turn), part in slices(batches, "stripe", "turn"):
             column = lambda name: part.column(part.schema.get_field_index(name))
             if turn == 0:
                 at = column("b").to_numpy() // stripes.count * stripes.n_a + column("a").to_numpy()
@@ -357,7 +346,7 @@ def _added(found: DataFrame, scores: DataFrame) -> DataFrame:
             held = pa.Table.from_batches(texts).combine_chunks().to_batches()[0]
             return pa.RecordBatch.from_arrays([*(held.column(held.schema.get_field_index(c)) for c in names), pa.array(best), pa.array(total)], names=[*names, "n_best", "count_sum"])
 
-        for (block, turn), part in _slices(batches, "block", "turn"):
+        for (block, turn), part in slices(batches, "block", "turn"):
             if block != at:
                 if texts:
                     yield rows()

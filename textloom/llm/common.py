@@ -106,6 +106,17 @@ def giving_back(run):
     return wrapped
 
 
+def slices(batches, *columns: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Slices of sorted batches in which the columns, of whole numbers, don't change, with their values."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for at, to in zip(cuts, cuts[1:]):
+            yield tuple(values[:, at].tolist()), batch.slice(at, to - at)
+
+
 # ---------------------------------------------------------------- numpy kernel
 
 

@@ -86,11 +86,17 @@ def op12_periodic_runs(spark, sf_dir):
     return run_digests(repeated_runs(looped(table(spark, sf_dir, "documents"))))
 
 
+def op13_nearest_vectors(spark, sf_dir):
+    from textloom.llm.nearest import nearest_vectors
+
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_preference_pairs, op3_token_store, op4_quality_rules, op5_quality, op6_phrase_fingerprints, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, op11_token_alignment, op12_periodic_runs, pipeline)} | parts.QUERIES
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_preference_pairs, op3_token_store, op4_quality_rules, op5_quality, op6_phrase_fingerprints, op7_mixing, op8_toxicity, op9_packing, op10_near_duplicates, op11_token_alignment, op12_periodic_runs, op13_nearest_vectors, pipeline)} | parts.QUERIES
 ORACLE_SQL: dict[str, str] = {"op2_preference_pairs": preference.ORACLE, "op10_near_duplicates": parts.NEAR, **parts.ORACLE_SQL}
