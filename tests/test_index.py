@@ -13,6 +13,7 @@ from textloom.functions import text as T
 from textloom.operators import attest, pages, queue, records, search, similar
 from textloom.operators import segments as spark_segments
 from textloom.sources import files, mail, transcripts
+from textloom.sources.textindex import TextIndex
 
 DEED = "Beginning at the northeast corner of lot 7, thence south 25.00 feet along the east line, recorded under auditor file 200806030039 in volume 12 of plats at page 44, county of king. "
 
@@ -389,8 +390,9 @@ def test_images():
 
 def test_index_and_phrases(spark, tmp_path):
     docs = spark.createDataFrame([(1, "running runs runner"), (2, "the state-of-the-art plan"), (3, "art of state"), (4, None)], "id long, text string")
-    index = search.TextIndex(str(tmp_path / "i")).write(docs, "id", "text", stemmed=True)
-    assert [r["id"] for r in search.top(index.search(spark, ["Run"], "id"), "id", 5).collect()] == [1]
+    index = TextIndex(spark, str(tmp_path / "i"), stemmed=True)
+    index.update(docs, "id", "text")
+    assert [r["key"] for r in search.top(index.search(["Run"]), "key", 5).collect()] == [1]
     assert [r["id"] for r in search.phrase_search(docs, "id", "text", "state-of").collect()] == [2]
     assert search.phrases("what's a-b OR") == [["what", "s"], ["a", "b"], ["or"]] and search.phrase_search(docs, "id", "text", " ").count() == 0
     assert search.scoped("", "own", ["shared"]) == "own__*,shared__*" and search.scoped("code,shared:*,other:x", "own", ["shared"]) == "own__code,shared__*"

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import folding
 from textloom.functions.text import fold
 from textloom.plans.tasks import spread
 
@@ -29,29 +28,21 @@ def copies(docs: DataFrame, key: str, text: str) -> DataFrame:
     return hashed.join(groups, "content_hash").select(key, "first", "members")
 
 
-def shingles(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(key, at, hash) of every folded window at stride 1, by a portable 60-bit hash: the first digits of its MD5.
+def shingles(docs: DataFrame, key: str, text: str, width: int = WIDTH, modulus: int = 1) -> DataFrame:
+    """(key, at, hash) of every folded window at stride 1 whose hash ``modulus`` divides (see ``folding.shingles``; the hash as a signed number).
 
-    Bodies are folded in the JVM; windows are cut and hashed in Arrow batches.
+    Bodies are folded in the JVM; windows are hashed together, a body at a time, in Arrow batches.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        md5 = hashlib.md5
         for batch in batches:
-            rows, at, value = [], [], []
-            for i, body in enumerate(batch.column(1).to_pylist()):
-                n = len(body) - width + 1
-                rows.append(np.full(n, i))
-                at.append(np.arange(n, dtype=np.int32))
-                if body.isascii():
-                    raw = body.encode()
-                    digests = b"".join([md5(raw[k : k + width]).digest()[:8] for k in range(n)])
-                else:
-                    digests = b"".join([md5(body[k : k + width].encode()).digest()[:8] for k in range(n)])
-                value.append((np.frombuffer(digests, ">u8") >> np.uint64(4)).astype(np.int64))
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(at)), pa.array(np.concatenate(value))], names=[key, "at", "hash"])
+            found = [folding.shingles(np.frombuffer(body.encode("utf-32-le"), "<u4"), width) for body in batch.column(1).to_pylist()]
+            if found:
+                places = [np.flatnonzero(f % np.uint64(modulus) == 0) for f in found]
+                rows = np.repeat(np.arange(len(found)), [len(p) for p in places])
+                values = np.concatenate([f[p] for f, p in zip(found, places)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(values)], names=[key, "at", "hash"])
 
     folded = spread(docs.select(key, text)).select(key, fold(F.col(text)).alias("body")).where(F.length("body") >= width)
     return folded.mapInArrow(run, f"{key} {kind}, at int, hash long")
@@ -64,9 +55,18 @@ def sketch(shingled: DataFrame, key: str, modulus: int = MODULUS) -> DataFrame:
     return shingled.where(F.col("hash").bitwiseAND(modulus - 1) == 0).select(key, "hash").distinct()
 
 
-def sketch_facts(shingled: DataFrame, key: str, modulus: int = MODULUS) -> DataFrame:
-    distinct = shingled.select(key, "hash").distinct()
-    return distinct.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col("hash").bitwiseAND(modulus - 1) == 0).alias("sampled"))
+def sketch_facts(docs: DataFrame, key: str, text: str, width: int = WIDTH, modulus: int = MODULUS) -> DataFrame:
+    """(key, total, sampled): distinct shingles of each text that has one, and those that a sketch keeps, counted where the text is."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(folding.shingles(np.frombuffer(body.encode("utf-32-le"), "<u4"), width)) for body in batch.column(1).to_pylist()]
+            kept = [int((f % np.uint64(modulus) == 0).sum()) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(kept, pa.int64())], names=[key, "total", "sampled"])
+
+    folded = spread(docs.select(key, text)).select(key, fold(F.col(text)).alias("body")).where(F.length("body") >= width)
+    return folded.mapInArrow(run, f"{key} {kind}, total long, sampled long")
 
 
 def generic(sketched: DataFrame, key: str, cutoff: int = GENERIC) -> DataFrame:

@@ -112,41 +112,6 @@ def weighted(rows: DataFrame, facts: DataFrame, terms: list[str], key: str) -> D
     return met.groupBy(key).agg(F.sum(part).alias("score"))
 
 
-class TextIndex:
-    """An inverted index in a folder: postings in buckets of terms, and a row of facts; a search reads its terms' buckets only.
-
-    ``stemmed`` keeps English stems: distinct words are stemmed once, not each place.
-    """
-
-    BUCKETS = 64
-
-    def __init__(self, path: str):
-        self.path = path
-
-    @classmethod
-    def bucket(cls, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(cls.BUCKETS)).cast("int")
-
-    def write(self, docs: DataFrame, key: str, text: str, stemmed: bool = False) -> "TextIndex":
-        listed = docs.select(key, tokens(F.col(text)).alias("terms"))
-        listed.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"), F.lit(stemmed).alias("stemmed")).write.mode("overwrite").parquet(f"{self.path}/facts")
-        rows = postings(docs, key, text)
-        if stemmed:
-            vocabulary = rows.select("term").distinct().withColumn("stem", stem_word("term"))
-            rows = rows.join(vocabulary, "term").groupBy(F.col("stem").alias("term"), key, "dl").agg(F.sum("tf").alias("tf"))
-        buckets = rows.withColumn("bucket", self.bucket(F.col("term")))
-        buckets.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        return self
-
-    def search(self, spark, query: list[str], key: str) -> DataFrame:
-        """(key, score) of all rows with a query term."""
-        facts = spark.read.parquet(f"{self.path}/facts")
-        terms = [stem(t.lower()) for t in query] if facts.first()["stemmed"] else [t.lower() for t in query]
-        numbers = [r[0] for r in spark.createDataFrame([(t,) for t in set(terms)], "term string").select(self.bucket(F.col("term"))).collect()]
-        rows = spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(sorted(set(numbers))) & F.col("term").isin(sorted(set(terms))))
-        return weighted(rows, facts, terms, key)
-
-
 def phrases(query: str) -> list[list[str]]:
     """The tokens of each word of a query: a word that splits is a phrase."""
     import re

@@ -20,9 +20,22 @@ _COSINE = """near as (select e.vec_id, coalesce(list_dot_product(e.embedding::do
   from embeddings e, (select embedding from embeddings where vec_id = 0) q)"""
 
 _FOLD = r"lower(regexp_replace(text, '[^\p{L}\p{Nd}]', '', 'g'))"
-def _shingles(name: str, table: str, key: str) -> str:
-    return f"""{name} as (select {key}, at_ as p0, cast('0x' || substr(md5(substr(b, cast(at_ as integer) + 1, 32)), 1, 15) as bigint) as hash
-  from (select {key}, b, unnest(range(0, length(b) - 31)) as at_ from (select {key}, {_FOLD} as b from {table}) where length(b) >= 32))"""
+
+
+def _shingles(name: str, table: str, key: str, width: int = 32) -> str:
+    """FNV-1a of each window of code points in two halves of 32 bits, so that no product overflows, then splitmix64 in wide numbers."""
+    start = 0xCBF29CE484222325
+    steps, last = [], f"{name}_l"
+    for k in range(width):
+        rest = "".join(f", c{j}" for j in range(k + 1, width))
+        steps.append(f"{name}_{k} as (select {key}, p0, (x * 435) & 4294967295 as lo, (hi * 435 + ((x * 435) >> 32) + x * 256) & 4294967295 as hi{rest} from (select *, xor(lo, c{k}) as x from {last}))")
+        last = f"{name}_{k}"
+    mixed = lambda s, m: f"(xor(h, h >> {s})::uhugeint * {m}::uhugeint % {1 << 64}::uhugeint)::ubigint as h"
+    return f"""{name}_c as (select {key}, unnest(range(0, length(b))) as p0, unnest(list_transform(string_split(b, ''), lambda x: ord(x)))::ubigint as c from (select {key}, {_FOLD} as b from {table}) where length(b) >= {width}),
+  {name}_l as (select {key}, p0, c as c0, {", ".join(f"lead(c, {k}) over w as c{k}" for k in range(1, width))}, {start & 0xFFFFFFFF}::ubigint as lo, {start >> 32}::ubigint as hi
+    from {name}_c window w as (partition by {key} order by p0) qualify c{width - 1} is not null), {", ".join(steps)},
+  {name}_x as (select {key}, p0, (hi * 4294967296 + lo)::ubigint as h from {last}), {name}_y as (select {key}, p0, {mixed(30, 0xBF58476D1CE4E5B9)} from {name}_x),
+  {name}_z as (select {key}, p0, {mixed(27, 0x94D049BB133111EB)} from {name}_y), {name} as (select {key}, p0, xor(h, h >> 31) as hash from {name}_z)"""
 
 
 _BOTH = f"{_shingles('sa', 'benchmark', 'item_id')}, {_shingles('sb', 'documents', 'doc_id')}"
@@ -116,4 +129,16 @@ ORACLES: dict[str, str] = {
     "mail_pages": r"select cast(conv_id as varchar) as path, cast(row_number() over (partition by conv_id order by turn) + 1 as integer) as page, 'turn ' || turn as subject, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as body from conversations",
 }
 
+ORACLES["stored_candidates"], ORACLES["stored_masks"] = ORACLES["overlap_candidates"], ORACLES["generic_masks"]
+ORACLES["stored_status"] = """select doc_id, case when doc_id % 2 = 0 and doc_id % 14 <> 0 then case when doc_id % 5 = 1 and text <> '' then 'changed' else 'sketched' end when doc_id % 3 = 0 then 'stale' else 'unsketched' end as state from documents"""
+
+ORACLES["updated_index_search"] = ORACLES["index_search"]
+# words of the stems by their endings; a phrase is counted where its tokens follow each other
+_PHRASES = [["is", "licen(se|ses|sed|sing)"], ["licen(se|ses|sed|sing)"], ["rights?"], ["all", "rights?", "reserv(e|es|ed|ing)"], ["idiots?"]]
+_TF = [f"len(list_filter(range(1, len(t) + 1), lambda i: {' and '.join(f"coalesce(regexp_full_match(t[i + {k}], '{w}'), false)" for k, w in enumerate(p))}))" for p in _PHRASES]
+ORACLES["index_phrases"] = f"""with w as (select doc_id, {_TOKENS} as t from documents), c as (select doc_id, len(t) as dl, {", ".join(f"{x} as tf{i}" for i, x in enumerate(_TF))} from w),
+  f as (select count(*) as n, avg(dl) as avgdl, {", ".join(f"sum((tf{i} > 0)::int) as df{i}" for i in range(len(_TF)))} from c),
+  h as (select doc_id, {" + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(_TF)))} as score from c, f where {" + ".join(f"tf{i}" for i in range(len(_TF)))} > 0)
+  select doc_id, round(score, 6) as score from h order by h.score desc, doc_id limit 10"""
+
 ORACLES |= index_queries.ORACLES

@@ -13,9 +13,12 @@ from textloom.operators import jobs, overlap, search
 from textloom.plans.tasks import new_folder, written
 from textloom.sources.files import planned
 from textloom.sources.mail import read_mail
+from textloom.sources.sketches import SketchStore
+from textloom.sources.textindex import TextIndex
 from textloom.streaming.jobs import windowed_metrics
 
 TERMS = ["that", "idiot", "tion"]
+PHRASES = "is-licenses licensing right all-rights-reserving idiots"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,27 +130,58 @@ def same_bytes(spark, sf_dir):
     return overlap.copies(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _probes(spark, sf_dir):
-    return overlap.shingles(read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "a")
+def _probes(spark, sf_dir, modulus=1):
+    return overlap.shingles(read(spark, sf_dir, "benchmark"), "item_id", "text", modulus=modulus).withColumnRenamed("item_id", "a")
 
 
-def _indexed(spark, sf_dir):
-    return overlap.shingles(read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "b")
+def _indexed(spark, sf_dir, modulus=1):
+    return overlap.shingles(read(spark, sf_dir, "documents"), "doc_id", "text", modulus=modulus).withColumnRenamed("doc_id", "b")
 
 
 def sketch_facts(spark, sf_dir):
-    return overlap.sketch_facts(_indexed(spark, sf_dir).withColumnRenamed("b", "doc_id"), "doc_id")
+    return overlap.sketch_facts(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def overlap_candidates(spark, sf_dir):
     """Documents that share sampled shingles with benchmark passages."""
-    return overlap.candidates(overlap.sketch(_probes(spark, sf_dir), "a"), overlap.sketch(_indexed(spark, sf_dir), "b"))
+    return overlap.candidates(overlap.sketch(_probes(spark, sf_dir, overlap.MODULUS), "a"), overlap.sketch(_indexed(spark, sf_dir, overlap.MODULUS), "b"))
+
+
+def _store(spark, sf_dir):
+    """A store of the documents' sketches, built in two steps: with a third of the texts cut short, then with all as they are."""
+    store, docs = SketchStore(spark, new_folder(spark, "sketches")), read(spark, sf_dir, "documents")
+    store.update(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 200)).otherwise(F.col("text"))), "doc_id", "text")
+    store.update(docs, "doc_id", "text", whole=True)
+    return store
+
+
+def stored_candidates(spark, sf_dir):
+    """The candidates of benchmark passages, by the buckets of a stored sketch that they touch."""
+    return _store(spark, sf_dir).probe(read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def stored_masks(spark, sf_dir):
+    """What lies under generic shingles, by the places that the stored sketches keep."""
+    return _store(spark, sf_dir).masks(3).withColumnRenamed("key", "doc_id")
+
+
+def stored_status(spark, sf_dir):
+    """Documents by their stored sketches: of their text, of an older one, by another recipe only, none."""
+    path, docs = new_folder(spark, "sketches"), read(spark, sf_dir, "documents")
+    cut = docs.withColumn("text", F.when((F.col("doc_id") % 5 == 1) & (F.length("text") > 0), F.substr("text", F.lit(2))).otherwise(F.col("text")))
+    SketchStore(spark, path, width=24).update(docs.where("doc_id % 3 = 0"), "doc_id", "text")
+    store = SketchStore(spark, path)
+    store.update(cut.where("doc_id % 2 = 0"), "doc_id", "text")
+    store.delete(docs.where("doc_id % 14 = 0").select(F.col("doc_id").alias("key")))
+    return store.status(docs, "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
 def shingle_similarity(spark, sf_dir):
     """Benchmark passages against the documents that share samples with them, by all their shingles."""
-    a, b = _probes(spark, sf_dir).select("a", "hash").distinct(), written(_indexed(spark, sf_dir).select("b", "hash").distinct())
-    pairs = overlap.candidates(overlap.sketch(a, "a"), overlap.sketch(b, "b"))
+    pairs = written(overlap_candidates(spark, sf_dir).select("a", "b"))
+    met = read(spark, sf_dir, "documents").join(pairs.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    a = _probes(spark, sf_dir).select("a", "hash").distinct()
+    b = overlap.shingles(met, "doc_id", "text").select(F.col("doc_id").alias("b"), "hash").distinct()
     return _rounded(overlap.similarity(a, b, pairs), "jaccard", "a_in_b", "b_in_a")
 
 
@@ -215,17 +249,39 @@ def mail_pages(spark, sf_dir):
 
 def index_search(spark, sf_dir):
     """A search that reads its terms' buckets of a written index alone."""
-    path = new_folder(spark, "index")
-    index = search.TextIndex(path).write(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return _rounded(search.top(index.search(spark, TERMS, "doc_id"), "doc_id", 10), "score")
+    index = TextIndex(spark, new_folder(spark, "index"))
+    index.update(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return _hits(index.search(TERMS))
+
+
+def _hits(found):
+    return _rounded(search.top(found.withColumnRenamed("key", "doc_id"), "doc_id", 10), "score")
+
+
+def updated_index_search(spark, sf_dir):
+    """The same search after an index of other texts was brought up to date in steps, with deletions and a merge."""
+    index, docs = TextIndex(spark, new_folder(spark, "index")), read(spark, sf_dir, "documents")
+    other = docs.select((F.col("doc_id") * 3).alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, F.reverse("text")).otherwise(F.col("text")).alias("text"))
+    index.update(other, "doc_id", "text")
+    index.delete(docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("key")))
+    index.merge()
+    index.update(docs, "doc_id", "text", whole=True)
+    return _hits(index.search(TERMS))
+
+
+def index_phrases(spark, sf_dir):
+    """Stems and phrases of stems from a positional index."""
+    index = TextIndex(spark, new_folder(spark, "index"), stemmed=True)
+    index.update(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return _hits(index.search(PHRASES))
 
 
 QUERIES = {f.__name__: f for f in (
     bm25_search, bm25_under_path, cosine_search, hybrid_search, postings_stats, best_turn_of_conversation, match_documents, branch_overlay,
     text_facts, page_gates, line_repetition, numeric_tokens, html_to_text, clipped_titles, url_kinds, identical_groups, same_bytes,
-    sketch_facts, overlap_candidates, shingle_similarity, alignment_runs, covered_intervals, fragment_round_trip,
+    sketch_facts, overlap_candidates, stored_candidates, stored_masks, stored_status, shingle_similarity, alignment_runs, covered_intervals, fragment_round_trip,
     not_withdrawn, oversized_documents, windowed_job_metrics,
-    generic_masks, bm25_stemmed, index_search, planned_sources, region_geometry, mail_pages,
+    generic_masks, bm25_stemmed, index_search, updated_index_search, index_phrases, planned_sources, region_geometry, mail_pages,
 )}
 
 QUERIES |= index_queries.QUERIES
