@@ -87,20 +87,27 @@ def shingles(body: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return h
 
 
-def seeds(a: np.ndarray, b: np.ndarray, most: int = MOST_PLACES) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in a, in b) of equal shingles; those with more than ``most`` places in b anchor nothing."""
-    order = np.argsort(b, kind="stable")
-    ordered = b[order]
-    low, high = np.searchsorted(ordered, a), np.searchsorted(ordered, a, "right")
+def seeds(a: np.ndarray, b: np.ndarray, most: int = MOST_PLACES, ordered: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a, in b) of equal shingles; those with more than ``most`` places in b anchor nothing.  ``ordered``: the order of b and b in it."""
+    order, sorted_b = ordered or _ordered(b)
+    low, high = np.searchsorted(sorted_b, a), np.searchsorted(sorted_b, a, "right")
     count = np.where(high - low > most, 0, high - low)
     i = np.repeat(np.arange(len(a)), count)
     inside = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
     return i, order[np.repeat(low, count) + inside]
 
 
+def _ordered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(hashes, kind="stable")
+    return order, hashes[order]
+
+
 def align(a: np.ndarray, b: np.ndarray, width: int = WIDTH, least: int = LEAST_RUN, most: int = MOST_PLACES) -> np.ndarray:
     """Runs (a from, a to, b from, b to) in order: seeds of one diagonal at most ``width`` apart are one run."""
-    i, j = seeds(a, b, most)
+    return _runs(*seeds(a, b, most), width, least)
+
+
+def _runs(i: np.ndarray, j: np.ndarray, width: int, least: int) -> np.ndarray:
     if not len(i):
         return np.zeros((0, 4), np.int64)
     delta = j - i
@@ -202,21 +209,51 @@ def relation(matched: int, a: float, b: float) -> str:
     return "duplicate" if min(a, b) >= 0.55 else "contained" if a >= 0.55 else "contains"
 
 
-def compare(a: Folded, b: Folded, a_mask=(), b_mask=(), width: int = WIDTH) -> dict:
-    """All measures of two folded texts; matched characters and blocks are told on the side of ``a``."""
-    x, y = shingles(a.body, width), shingles(b.body, width)
-    set_x, set_y = np.unique(x), np.unique(y)
-    shared = len(np.intersect1d(set_x, set_y, assume_unique=True))
-    runs = masked(align(x, y, width), a_mask, b_mask)
-    blocks = chain(runs, a, b, width)
+class Prepared:
+    """A folded text with its shingles, in the order of the text and by value, for any number of comparisons."""
+
+    def __init__(self, folded: Folded, mask=(), width: int = WIDTH):
+        self.folded, self.mask, self.width = folded, [tuple(m) for m in mask], width
+        self.hashes = shingles(folded.body, width)
+        self.ordered = _ordered(self.hashes)
+        value = self.ordered[1]
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+        self.distinct = value[first]
+        self.crowded = bool(len(first)) and int(np.diff(np.append(first, len(value))).max()) > MOST_PLACES
+
+
+def _measured(a: Prepared, b: Prepared, shared: int, runs: np.ndarray) -> dict:
+    """All measures of a pair by its runs; matched characters and blocks are told on the side of ``a``."""
+    runs = masked(runs, a.mask, b.mask)
+    blocks = chain(runs, a.folded, b.folded, a.width)
     matched = union_length(map(tuple, runs[:, :2].tolist()))
     cover = lambda columns, n: min(union_length(map(tuple, runs[:, columns].tolist())), n) / n if n else 0.0
-    a_cover, b_cover = cover([0, 1], len(a.body)), cover([2, 3], len(b.body))
-    in_a = set().union(*(numbers(a.span(k["a_from"], k["a_to"])) for k in blocks))
-    in_b = set().union(*(numbers(b.span(k["b_from"], k["b_to"])) for k in blocks))
-    union = len(set_x) + len(set_y) - shared
+    a_cover, b_cover = cover([0, 1], len(a.folded.body)), cover([2, 3], len(b.folded.body))
+    in_a = set().union(*(numbers(a.folded.span(k["a_from"], k["a_to"])) for k in blocks))
+    in_b = set().union(*(numbers(b.folded.span(k["b_from"], k["b_to"])) for k in blocks))
+    n_a, n_b = len(a.distinct), len(b.distinct)
+    union = n_a + n_b - shared
     return {
-        "relation": relation(matched, a_cover, b_cover), "jaccard": shared / union if union else 0.0, "a_in_b": shared / len(set_x) if len(set_x) else 0.0,
-        "b_in_a": shared / len(set_y) if len(set_y) else 0.0, "a_cover": a_cover, "b_cover": b_cover, "shared": shared, "a_shingles": len(set_x), "b_shingles": len(set_y),
-        "generic_chars": union_length(map(tuple, a_mask)), "matched_chars": matched, "blocks": blocks, "only_in_a": sorted(in_a - in_b), "only_in_b": sorted(in_b - in_a),
+        "relation": relation(matched, a_cover, b_cover), "jaccard": shared / union if union else 0.0, "a_in_b": shared / n_a if n_a else 0.0, "b_in_a": shared / n_b if n_b else 0.0,
+        "a_cover": a_cover, "b_cover": b_cover, "shared": shared, "a_shingles": n_a, "b_shingles": n_b,
+        "generic_chars": union_length(a.mask), "matched_chars": matched, "blocks": blocks, "only_in_a": sorted(in_a - in_b), "only_in_b": sorted(in_b - in_a),
     }
+
+
+def compared(a: Prepared, b: Prepared, mirrored: bool = False) -> list[dict]:
+    """The measures of a pair from the side of ``a``, and from that of ``b`` if ``mirrored``: seeds are found once for both.
+
+    Only where a shingle has more than MOST_PLACES places in a text, do the two sides anchor on different ones.
+    """
+    shared = len(np.intersect1d(a.distinct, b.distinct, assume_unique=True))
+    i, j = seeds(a.hashes, b.hashes, ordered=b.ordered)
+    out = [_measured(a, b, shared, _runs(i, j, a.width, LEAST_RUN))]
+    if mirrored:
+        j, i = seeds(b.hashes, a.hashes, ordered=a.ordered) if a.crowded or b.crowded else (j, i)
+        out.append(_measured(b, a, shared, _runs(j, i, a.width, LEAST_RUN)))
+    return out
+
+
+def compare(a: Folded, b: Folded, a_mask=(), b_mask=(), width: int = WIDTH) -> dict:
+    """All measures of two folded texts, from the side of ``a``."""
+    return compared(Prepared(a, a_mask, width), Prepared(b, b_mask, width))[0]

@@ -65,33 +65,69 @@ def generic_masks(sketched: DataFrame, key: str, hashes: DataFrame, width: int =
     return merged(hits, key, "lo", "hi").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("mask"))
 
 
-def compared(pairs: DataFrame, width: int = folding.WIDTH) -> DataFrame:
-    """The rows of ``pairs`` (a, b, a_text, b_text, a_mask, b_mask; page spans a_spans, b_spans if there) with all measures (MATCH)."""
-    spanned = "a_spans" in pairs.columns
-    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in "ab")
-    schema = f"{kinds}, {MATCH}"
+MEMBERS = 256  # texts that pass by one copy of their leader's
+
+
+def led(pairs: DataFrame, mutual: bool) -> DataFrame:
+    """(leader, member, part): pairs (a, b) under a leader, whose members are dealt to parts of about MEMBERS.
+
+    The leader is ``a``, or, where pairs have no sides, the one that is in more of them:
+    its text is sent once for each of its parts, the members' once for each pair.
+    """
+    if mutual:
+        degree = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("n"))
+        side = lambda c: degree.select(F.col("k").alias(c), F.col("n").alias(f"n_{c}"))
+        met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+        first = F.col("n_a") >= F.col("n_b")
+        rows = met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"))
+    else:
+        rows = pairs.select(F.col("a").alias("leader"), F.col("b").alias("member"))
+    parts = rows.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    return rows.join(parts, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
+
+
+def compared(pairs: DataFrame, probes: DataFrame, docs: DataFrame, mutual: bool = False, width: int = folding.WIDTH) -> DataFrame:
+    """All measures (a, b, MATCH) of ``pairs`` (a, b) of texts: ``probes`` and ``docs`` have key, text, mask, and spans if pages are known.
+
+    Each pair is compared once.  With ``mutual``, where both sides are of ``docs`` and a
+    pair is listed once, its measures are told from either side: two rows.  A leader's
+    text comes first, is folded and hashed once, and its members' pass by.
+    """
+    spanned = "spans" in docs.columns and "spans" in probes.columns
+    kind = docs.schema["key"].dataType.simpleString()
+    schema = f"a {kind}, b {kind}, {MATCH}"
     arrow = _arrow(pairs.sparkSession, schema)
+    columns = ["text", "mask", *(["spans"] if spanned else [])]
+
+    def prepared(r):
+        spans = [(s["off"], s["page"]) for s in r["spans"] or []] or None if spanned else None
+        return folding.Prepared(folding.fold(r["text"] or "", spans), [(m["lo"], m["hi"]) for m in r["mask"] or []], width)
 
     def run(batches):
+        key, leader = None, None
         for batch in batches:
-            rows, memo = [], (None, None)
+            rows = []
             for r in batch.to_pylist():
-                spans = [[(s["off"], s["page"]) for s in r[f"{c}_spans"] or []] or None if spanned else None for c in "ab"]
-                if memo[0] != r["a"]:
-                    memo = (r["a"], folding.fold(r["a_text"] or "", spans[0]))
-                masks = [[(m["lo"], m["hi"]) for m in r[f"{c}_mask"] or []] for c in "ab"]
-                rows.append({"a": r["a"], "b": r["b"], **folding.compare(memo[1], folding.fold(r["b_text"] or "", spans[1]), *masks, width)})
+                if r["turn"] == 0:
+                    key, leader = r["leader"], prepared(r)
+                    continue
+                found = folding.compared(leader, prepared(r), mutual)
+                rows += [{"a": a, "b": b, **f} for (a, b), f in zip(((key, r["member"]), (r["member"], key)), found)]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    columns = ["a", "b", "a_text", "b_text", "a_mask", "b_mask", *(["a_spans", "b_spans"] if spanned else [])]
-    return pairs.select(columns).mapInArrow(run, schema)
+    listed = led(pairs, mutual)
+    leaders = listed.select("leader", "part").distinct().join(probes.select(F.col("key").alias("leader"), *columns), "leader").select("leader", "part", F.lit(0).alias("turn"), F.lit(None).cast(kind).alias("member"), *columns)
+    members = listed.join(docs.select(F.col("key").alias("member"), *columns), "member").select("leader", "part", F.lit(1).alias("turn"), "member", *columns)
+    rows = leaders.unionByName(members).repartition("leader", "part").sortWithinPartitions("leader", "part", "turn", "member")
+    return rows.mapInArrow(run, schema)
 
 
 def similar_pairs(probes: DataFrame, docs: DataFrame, key: str, text: str, cutoff: int = GENERIC, least_chars: int = 250, least_cover: float = 0.0, write=None) -> DataFrame:
     """(a, b, MATCH): every text of ``probes`` against those of ``docs`` that share three usual sampled shingles with it.
 
     A pair is kept from ``least_chars`` matched characters on, and from
-    ``least_cover`` of one side.  Texts that are equal when folded are compared
+    ``least_cover`` of one side.  Where probes are the documents themselves, a pair is
+    compared once and told from both sides.  Texts that are equal when folded are compared
     once, under their first key: see ``classes`` for the members.  Shingles of
     ``cutoff`` documents or more are generic: they make no candidates, and what lies
     under them is masked.  ``write`` cuts the lineage of a table that is used twice.
@@ -104,10 +140,11 @@ def similar_pairs(probes: DataFrame, docs: DataFrame, key: str, text: str, cutof
     probe_sketch = index_sketch if probe is index else write(sketches(probe, key, text).where("at is not null"))
     usual = lambda rows, name: rows.select(F.col(key).alias(name), "hash").distinct()
     common = generic(usual(index_sketch, key), key, cutoff)
-    pairs = candidates(usual(probe_sketch, "a"), usual(index_sketch, "b"), cutoff).where("a <> b") if probe is index else candidates(usual(probe_sketch, "a"), usual(index_sketch, "b"), cutoff)
-    side = lambda rows, sketch, name: rows.join(generic_masks(sketch, key, common), key, "left").select(F.col(key).alias(name), F.col(text).alias(f"{name}_text"), F.col("mask").alias(f"{name}_mask"))
-    met = pairs.join(side(probe, probe_sketch, "a"), "a").join(side(index, index_sketch, "b"), "b")
-    found = compared(met.repartition("a", "b"))
+    mutual = probe is index
+    pairs = candidates(usual(probe_sketch, "a"), usual(index_sketch, "b"), cutoff)
+    pairs = write((pairs.where("a < b") if mutual else pairs).select("a", "b"))
+    side = lambda rows, sketch: rows.join(generic_masks(sketch, key, common), key, "left").select(F.col(key).alias("key"), F.col(text).alias("text"), "mask")
+    found = compared(pairs, side(probe, probe_sketch), side(index, index_sketch), mutual)
     return found.where((F.col("matched_chars") >= least_chars) & ((F.col("a_cover") >= least_cover) | (F.col("b_cover") >= least_cover)))
 
 
