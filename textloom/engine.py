@@ -197,7 +197,7 @@ class Engine:
         return attest.states(self["units"], self["rulings"])
 
     def provenance_sentences(self) -> DataFrame:
-        return attest.provenance(attest.stats(self["units"], self["rulings"]))
+        return attest.provenance(attest.stats(self["units"], self["rulings"]), self["documents"])
 
     def caption_todo(self) -> DataFrame:
         texts = pages.document_text(self["fragments"]).select("path", "text")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import cmp_to_key
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from textloom.functions import text as T
 
@@ -87,12 +89,27 @@ def distinct_length(text: Column) -> Column:
     return F.aggregate(F.array_distinct(normal_lines(text)), F.lit(0), lambda s, x: s + F.length(x))
 
 
-def expected_share(text: Column, expected: Column, width: int = 5) -> Column:
-    """The share of the windows of an expected text that are in a text, case aside."""
-    windows = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - width + 1), lambda i: F.substr(F.upper(t), i, F.lit(width)))
-    got = F.when(F.length(text) >= width, F.array_distinct(windows(text))).otherwise(F.array().cast("array<string>"))
-    want = windows(expected)
-    return F.when(F.length(expected) >= width, F.size(F.filter(want, lambda w: F.array_contains(got, w))) / F.size(want)).otherwise(0.0)
+WINDOW = 5
+
+
+def _upper(text: str) -> str:
+    """Upper case, one character for one."""
+    return text.upper() if text.isascii() else "".join(u if len(u := c.upper()) == 1 else c for c in text)
+
+
+@F.pandas_udf(DoubleType())
+def _share(text: pd.Series, expected: pd.Series) -> pd.Series:
+    def one(got: str | None, want: str | None) -> float:
+        windows = lambda t: [t[i : i + WINDOW] for i in range(len(t) - WINDOW + 1)]
+        wanted, there = windows(_upper(want or "")), set(windows(_upper(got or "")))
+        return sum(w in there for w in wanted) / len(wanted) if wanted else 0.0
+
+    return pd.Series([one(*x) for x in zip(text, expected)], dtype="float64")
+
+
+def expected_share(text: Column, expected: Column) -> Column:
+    """The share of the windows of WINDOW characters of an expected text that are in a text, case aside; each place counts, 0 without one."""
+    return _share(text, expected)
 
 
 def clears(before: Column, after: Column) -> Column:

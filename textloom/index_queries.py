@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import regions as R
@@ -377,7 +378,7 @@ _RETRIES = """rt as (select user_id as job_id, event_id as seq, case event_type
 @query(f"""with {_RETRIES}, g as (select job_id, count(*) filter (kind = '429') as n429, count(*) filter (kind = '5xx') as n5xx, count(*) filter (kind = 'transport') as unreachable, count(*) filter (kind = 'recovered') as recovered,
     count(*) filter (kind = 'gave-up') as gave_up, cast(sum(delay) as bigint) as waited, max(elapsed) as worst, arg_max(status || ' ' || body, seq) filter (kind <> 'recovered' and status > 0) as last, max(ahead) as ahead from rt group by job_id)
   select job_id, array_to_string(list_filter([case when n429 > 0 then n429 || '×429' || case when ahead > 0 then ' (up to ' || ahead || ' ahead)' else '' end end, case when n5xx > 0 then n5xx || '×5xx' end, case when unreachable > 0 then unreachable || '×unreachable' end,
-    case when recovered > 0 then recovered || ' recovered' end, case when gave_up > 0 then gave_up || ' gave up' end], lambda x: x is not null), ', ') || case when waited > 0 then '; waited ' || waited || 's' else '' end || coalesce('; last: ' || last, '') as detail, worst from g
+    case when recovered > 0 then recovered || ' recovered' end, case when gave_up > 0 then gave_up || ' gave up' end], lambda x: x is not null), ', ') || case when waited > 0 then '; waited ' || waited || 's' else '' end || case when worst > 0 then ', worst call ' || worst || 's' else '' end || coalesce('; last: ' || last, '') as detail, worst from g
   where n429 + n5xx + unreachable + gave_up > 0""")
 def retry_tallies(spark, sf_dir):
     """What a job's calls went through, as a stage's detail."""
@@ -606,14 +607,35 @@ def replaced_documents(spark, sf_dir):
     return records.replaced(records.replaced(docs, fresh, "doc_id"), fresh, "doc_id")
 
 
-@query(f"""with nm as (select 'x/' || w as path, w from (values ('thst'), ('sch'), ('that')) v(w)) select nm.path as cited, 'conv/' || conv_id as path, cast(turn + 1 as integer) as page,
+@query(f"""with nm as (select distinct 'x/' || item_id % 3 || '/' || w as path, w from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{8,}}')) as w from benchmark))
+  select nm.path as cited, 'conv/' || conv_id as path, cast(turn + 1 as integer) as page,
   sha256({_FLAT.format("substr(text, greatest(strpos(lower(text), w) - 80, 1), strpos(lower(text), w) + length(w) + 80 - greatest(strpos(lower(text), w) - 80, 1))")}) as excerpt from conversations, nm where contains(lower(text), w)""")
 def citations(spark, sf_dir):
-    """Texts that name a withdrawn document."""
-    names = spark.createDataFrame([("x/thst",), ("x/sch",), ("x/that",)], "path string")
+    """Texts that name a withdrawn document: the long words of benchmark passages stand for names, some in several folders."""
+    words = model.table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0)).alias("w"))
+    names = words.select(F.concat(F.lit("x/"), F.col("item_id") % 3, F.lit("/"), "w").alias("path"))
     return records.citations(names, model.pages(spark, sf_dir)).withColumn("excerpt", F.sha2("excerpt", 256))
 
 
+@query("""with p as (select conv_id, turn, upper(text) as t, upper(lead(text) over (partition by conv_id order by turn)) as want from conversations),
+  w as (select conv_id, turn, list_transform(range(1, length(want) - 3), lambda i: substr(want, i, 5)) as ws, list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5)) as ts from p)
+  select conv_id, turn, round(case when len(ws) > 0 then len(list_filter(ws, lambda x: list_contains(ts, x))) / len(ws) else 0 end, 6) as share from w""")
+def expected_shares(spark, sf_dir):
+    """How much of what the next turn says is in a turn, by windows of five characters."""
+    turns = model.table(spark, sf_dir, "conversations")
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return turns.withColumn("want", following).select("conv_id", "turn", F.round(R.expected_share(F.col("text"), F.col("want")), 6).alias("share"))
+
+
+@query("select path, state from (select 'doc/' || doc_id as path, case doc_id % 4 when 0 then 'pending' when 1 then 'done' when 2 then 'error' else 'skipped' end as state, n_chars % 50 as queued from documents) where state = 'error' order by queued desc, path limit 40")
+def caption_jobs_by_state(spark, sf_dir):
+    """The latest caption jobs that ended in an error."""
+    docs = model.documents(spark, sf_dir)
+    state = F.element_at(F.array(*map(F.lit, ("pending", "done", "error", "skipped"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    jobs = docs.select("path", state.alias("state"), (F.col("n_chars") % 50).alias("enqueued_at"))
+    return records.caption_jobs_in(jobs, "error", 40).select("path", "state")
+
+
 # ---------------------------------------------------------------- attestations
 
 
@@ -633,7 +655,8 @@ _STATS = f"""{_RULINGS}, ss as (select s.path, count(*) as total, count(*) filte
     count(*) filter (kind = 'unclear') as unclear, count(*) filter (kind = 'unsupported') as unsupported, count(*) filter (kind = '') as untouched,
     (select count(*) from rl where rl.path = s.path and not blanket and (path, unit) not in (select (path, unit) from un)) as orphaned,
     (select case when arg_max(kind, seq) = 'affirmed' then arg_max(who, seq) end from rl where rl.path = s.path and blanket) as swept_by,
-    (select case when arg_max(kind, seq) = 'affirmed' then arg_max(statement, seq) end from rl where rl.path = s.path and blanket) as statement from state s group by s.path)"""
+    (select case when arg_max(kind, seq) = 'affirmed' then arg_max(statement, seq) end from rl where rl.path = s.path and blanket) as statement,
+    (select case when arg_max(kind, seq) = 'affirmed' then 'day ' || max(seq) end from rl where rl.path = s.path and blanket) as swept_at from state s group by s.path)"""
 
 
 @query(f"with {_STATS} select path, total, confirmed, corrected, affirmed, unclear, unsupported, untouched, orphaned, swept_by, statement from ss")
@@ -644,13 +667,16 @@ def ruling_stats(spark, sf_dir):
 
 @query(f"""with {_STATS}, x as (select *, confirmed + corrected + unclear + unsupported as one from ss)
   select path, case when untouched = 0 then 'Review complete: ' || array_to_string(list_filter([case when one > 0 then one || ' checked one by one' end, case when affirmed > 0 then affirmed || ' accepted by affirmation' end], lambda q: q is not null), ', ') || ' of ' || total || ' units.'
-      || case when affirmed = 0 then '' when coalesce(statement, '') <> '' then ' It reads: "' || statement || '" by ' || swept_by || '.' else ' Its terms were not recorded.' end
+      || case when affirmed = 0 then '' when coalesce(statement, '') <> '' then ' It reads: "' || statement || '" by ' || swept_by || ' on ' || swept_at || '.' else ' Its terms were not recorded.' end
     else 'Review incomplete: ' || one || ' checked one by one, ' || affirmed || ' accepted by affirmation, ' || untouched || ' of ' || total || ' units untouched.' end
     || case when corrected = 0 then ' No words were corrected by a person.' else ' Words corrected by a person in ' || corrected || ' of ' || total || ' units.' end
-    || case when orphaned > 0 then ' ' || orphaned || ' rulings match no unit and are not counted.' else '' end as sentence from x""")
+    || case when orphaned > 0 then ' ' || orphaned || ' rulings match no unit and are not counted.' else '' end as sentence from x
+  union all select distinct path, 'No reading of this document by a machine is recorded.' from rl where path not in (select path from un)""")
 def provenance_sentences(spark, sf_dir):
     """What must stand beside anything derived from a document."""
-    return attest.provenance(attest.stats(model.units(spark, sf_dir), model.rulings(spark, sf_dir)))
+    log = model.rulings(spark, sf_dir).withColumn("at", F.concat(F.lit("day "), "seq"))
+    found = attest.stats(model.units(spark, sf_dir), log)
+    return attest.provenance(found, log.select("path").unionByName(found.select("path")))
 
 
 @query("""with f as (select conv_id, turn, 'conv/' || conv_id as p, cast(turn * 10 as varchar) as a, cast(turn * 10 + length(text) as varchar) as b, role as l, text as t from conversations)

@@ -60,25 +60,36 @@ def orphans(units: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def stats(units: DataFrame, log: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """A row a document: units by kind, orphaned rulings, and the sweep that stands with its author and statement."""
+    """A row a document: units by kind, orphaned rulings, and the sweep that stands with its author, statement and time.
+
+    A log without the column ``at`` has no times.
+    """
     found = states(units, log) if found is None else found
     counts = found.groupBy("path").agg(F.count("*").alias("total"), *(F.count_if(F.col("kind") == k).alias(k) for k in KINDS), F.count_if(F.col("kind") == "").alias("untouched"))
     lost = orphans(units, log).groupBy("path").agg(F.count("*").alias("orphaned"))
-    blanket = log.where("blanket").groupBy("path").agg(F.max_by(F.struct("kind", "by", "statement"), "seq").alias("b")).where("b.kind = 'affirmed'").select("path", F.col("b.by").alias("swept_by"), F.col("b.statement").alias("statement"))
+    at = F.col("at") if "at" in log.columns else F.lit(None).cast("string").alias("at")
+    blanket = log.where("blanket").groupBy("path").agg(F.max_by(F.struct("kind", "by", "statement", at), "seq").alias("b")).where("b.kind = 'affirmed'")
+    blanket = blanket.select("path", F.col("b.by").alias("swept_by"), F.col("b.statement").alias("statement"), F.col("b.at").alias("swept_at"))
     return counts.join(lost, "path", "left").join(blanket, "path", "left").withColumn("orphaned", F.coalesce("orphaned", F.lit(0)))
 
 
-def provenance(found: DataFrame) -> DataFrame:
-    """(path, sentence): what must stand beside anything derived from a document, from its ``stats``."""
+def provenance(found: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(path, sentence): what must stand beside anything derived from a document, from its ``stats``.
+
+    Of ``documents`` (path) those that have no unit are told to have no reading.
+    """
+    if documents is not None:
+        found = documents.select("path").distinct().join(found, "path", "left")
     one = F.col("confirmed") + F.col("corrected") + F.col("unclear") + F.col("unsupported")
     n = lambda c: (c if isinstance(c, Column) else F.col(c)).cast("string")
     parts = F.array_compact(F.array(F.when(one > 0, F.concat(n(one), F.lit(" checked one by one"))), F.when(F.col("affirmed") > 0, F.concat(n("affirmed"), F.lit(" accepted by affirmation")))))
-    quote = F.when(F.col("affirmed") == 0, "").when(F.coalesce("statement", F.lit("")) != "", F.concat(F.lit(' It reads: "'), "statement", F.lit('" by '), F.coalesce("swept_by", F.lit("")), F.lit("."))).otherwise(" Its terms were not recorded.")
+    quote = F.when(F.col("affirmed") == 0, "").when(F.coalesce("statement", F.lit("")) != "", F.concat(F.lit(' It reads: "'), "statement", F.lit('" by '), F.coalesce("swept_by", F.lit("")), F.when(F.coalesce("swept_at", F.lit("")) != "", F.concat(F.lit(" on "), "swept_at")).otherwise(""), F.lit("."))).otherwise(" Its terms were not recorded.")
     complete = F.concat(F.lit("Review complete: "), F.array_join(parts, ", "), F.lit(" of "), n("total"), F.lit(" units."), quote)
     partly = F.concat(F.lit("Review incomplete: "), n(one), F.lit(" checked one by one, "), n("affirmed"), F.lit(" accepted by affirmation, "), n("untouched"), F.lit(" of "), n("total"), F.lit(" units untouched."))
     words = F.when(F.col("corrected") == 0, " No words were corrected by a person.").otherwise(F.concat(F.lit(" Words corrected by a person in "), n("corrected"), F.lit(" of "), n("total"), F.lit(" units.")))
     lost = F.when(F.col("orphaned") > 0, F.concat(F.lit(" "), n("orphaned"), F.lit(" rulings match no unit and are not counted."))).otherwise("")
-    return found.select("path", F.concat(F.when(F.col("untouched") == 0, complete).otherwise(partly), words, lost).alias("sentence"))
+    told = F.concat(F.when(F.col("untouched") == 0, complete).otherwise(partly), words, lost)
+    return found.select("path", F.when(F.coalesce("total", F.lit(0)) == 0, "No reading of this document by a machine is recorded.").otherwise(told).alias("sentence"))
 
 
 def resolve(units: list[dict], log: list[dict]) -> tuple[list[dict], list[dict]]:

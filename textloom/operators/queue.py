@@ -137,8 +137,9 @@ def retry_detail() -> Column:
     ahead = F.when(F.col("ahead") > 0, F.concat(F.lit(" (up to "), F.col("ahead").cast("string"), F.lit(" ahead)"))).otherwise("")
     parts = F.array_compact(F.array(F.concat(count("n429", "×429"), ahead), count("n5xx", "×5xx"), count("unreachable", "×unreachable"), count("recovered", " recovered"), count("gave_up", " gave up")))
     waited = F.when(F.col("waited") > 0, F.concat(F.lit("; waited "), F.round("waited").cast("long").cast("string"), F.lit("s"))).otherwise("")
+    worst = F.when(F.col("worst") > 0, F.concat(F.lit(", worst call "), F.round("worst").cast("long").cast("string"), F.lit("s"))).otherwise("")
     last = F.when(F.col("last").isNotNull(), F.concat(F.lit("; last: "), F.col("last.status").cast("string"), F.lit(" "), F.substring(F.trim("last.body"), 1, 160))).otherwise("")
-    return F.concat(F.array_join(parts, ", "), waited, last)
+    return F.concat(F.array_join(parts, ", "), waited, worst, last)
 
 
 def last_stage(stages: DataFrame, state: str = "error") -> DataFrame:

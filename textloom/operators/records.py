@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators.pages import SEPARATOR
+from textloom.plans.tasks import spread
 
 # ---------------------------------------------------------------- readings of pages
 
@@ -147,26 +149,58 @@ def restored(withdrawals: DataFrame, paths: DataFrame) -> DataFrame:
     return withdrawals.join(paths.select("path").distinct(), "path", "left_anti")
 
 
-CITED_AT_ONCE = 10_000  # names that are held against each text in one pass
+NAME_CHARS = 16 << 20  # characters of the names that one automaton holds
 
 
 def citations(names: DataFrame, fragments: DataFrame, reach: int = 80) -> DataFrame:
     """(cited, path, page, excerpt): fragments (path, page, text) of other documents that hold a withdrawn document's name, in any case.
 
-    ``names`` (path) are broadcast CITED_AT_ONCE at a time: with more of them the
-    fragments are read as often as it takes.
+    The different names of ``names`` (path) go into an automaton that finds all of them in
+    one pass over a text.  Where names have more than NAME_CHARS characters there are
+    several automata, and the fragments are read for each.  Paths that share a name are
+    joined to what was found.
     """
-    small = names.select(F.col("path").alias("cited"), F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).alias("name")).where("name <> ''").distinct()
-    blocks = max(1, -(-small.count() // (CITED_AT_ONCE // 2)))  # hashed blocks differ in size: half of what one may hold
+    cited = names.select(F.col("path").alias("cited"), F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).alias("name")).where("name <> ''").distinct()
+    different = cited.select("name").distinct()
+    blocks = max(1, -(-(different.agg(F.sum(F.length("name"))).first()[0] or 0) // NAME_CHARS))
     out = None
     for block in range(blocks):
-        part = small.where(F.pmod(F.xxhash64("cited"), F.lit(blocks)) == block) if blocks > 1 else small
-        met = fragments.join(F.broadcast(part), F.lower("text").contains(F.col("name")) & (F.col("path") != F.col("cited")))
-        at = F.instr(F.lower("text"), F.col("name"))
-        begin = F.greatest(at - reach, F.lit(1))
-        found = met.select("cited", "path", "page", T.flat(F.substr("text", begin, at + F.length("name") + reach - begin)).alias("excerpt"))
+        listed = [r["name"] for r in different.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).collect()]  # about NAME_CHARS characters
+        found = _named(fragments, listed, reach)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.join(cited, "name").where(F.col("path") != F.col("cited")).select("cited", "path", "page", "excerpt")
+
+
+def _named(fragments: DataFrame, names: list[str], reach: int) -> DataFrame:
+    """(path, page, name, excerpt): each of ``names`` in each fragment that holds it, with what stands about its first place."""
+    held = fragments.sparkSession.sparkContext.broadcast(names)
+    kinds = [(c, fragments.schema[c].dataType.simpleString()) for c in ("path", "page")]
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for name in held.value:
+            automaton.add_word(name, name)
+        if held.value:
+            automaton.make_automaton()
+        for batch in batches:
+            rows, found, at = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist() if held.value else []):
+                first: dict[str, int] = {}
+                for end, name in automaton.iter(text or ""):
+                    first.setdefault(name, end - len(name) + 2)  # places count from 1
+                rows += [i] * len(first)
+                found += first
+                at += first.values()
+            if rows:
+                row = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in (0, 1, 3)), pa.array(found, pa.string()), pa.array(at, pa.int32())], names=["path", "page", "text", "name", "at"])
+
+    rows = spread(fragments.select("path", "page", F.lower("text").alias("low"), "text"))
+    met = rows.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds) + ", text string, name string, at int")
+    begin = F.greatest(F.col("at") - reach, F.lit(1))
+    return met.select("path", "page", "name", T.flat(F.substr("text", begin, F.col("at") + F.length("name") + reach - begin)).alias("excerpt"))
 
 
 def forked(branches: DataFrame, name: str, parent: str) -> DataFrame:
@@ -295,6 +329,12 @@ def caption_enqueued(jobs: DataFrame, paths: DataFrame, now: int, force: int = 0
     return jobs.join(fresh, "path", "left_anti").select(new.columns).unionByName(new)
 
 
+def caption_jobs_in(jobs: DataFrame, state: str = "", limit: int = 0) -> DataFrame:
+    """Caption jobs of a state (any where none is given), the latest first; ties by path; ``limit`` of them where one is given."""
+    found = (jobs.where(F.col("state") == state) if state else jobs).orderBy(F.desc("enqueued_at"), "path")
+    return found.limit(limit) if limit > 0 else found
+
+
 def caption_claimed(jobs: DataFrame, owner: int, slots: int = 1) -> DataFrame:
     """The oldest pending caption jobs running under ``owner``, as many as there are slots."""
     first = jobs.where("state = 'pending'").orderBy("enqueued_at", "path").limit(slots).select("path", F.lit(True).alias("mine"))

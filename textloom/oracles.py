@@ -78,7 +78,7 @@ ORACLES: dict[str, str] = {
       union all select doc_id, 'branch', n_chars + 1 from documents where doc_id % 5 = 0""",
     "text_facts": f"select doc_id, {_CONTENT} as content_chars, sha256({_FOLD}) as folded, coalesce(list_max(list_transform(string_split(text, chr(10)), lambda x: strlen(x))) >= 5000, false) as minified, sha256({_FLAT}) as identity from documents",
     "page_gates": f"""select conv_id, turn, case when len({_WORDS}) = 0 then 'ok'
-      when length(regexp_replace(text, '[^\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) / length(text) > 0.05 then 'junk'
+      when length(regexp_replace(text, '[^\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', '', 'g')) / length(text) > 0.05 then 'junk'
       when (turn % 10) / 10.0 > 0 and (turn % 10) / 10.0 < 0.55 then 'confidence'
       when len({_WORDS}) >= 8 and len(list_filter({_WORDS}, lambda x: {_WORDLIKE})) / len({_WORDS}) < 0.35 then 'words' else 'ok' end as verdict,
       {_SUSPICION} as suspicion from conversations""",
@@ -132,6 +132,7 @@ ORACLES: dict[str, str] = {
 ORACLES["stored_candidates"], ORACLES["stored_masks"] = ORACLES["overlap_candidates"], ORACLES["generic_masks"]
 ORACLES["stored_status"] = """select doc_id, case when doc_id % 2 = 0 and doc_id % 14 <> 0 then case when doc_id % 5 = 1 and text <> '' then 'changed' else 'sketched' end when doc_id % 3 = 0 then 'stale' else 'unsketched' end as state from documents"""
 
+ORACLES["split_archives"] = r"select conv_id || '/' || turn as subject, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as body from conversations where conv_id is not null and turn is not null"
 ORACLES["updated_index_search"] = ORACLES["index_search"]
 # words of the stems by their endings; a phrase is counted where its tokens follow each other
 _PHRASES = [["is", "licen(se|ses|sed|sing)"], ["licen(se|ses|sed|sing)"], ["rights?"], ["all", "rights?", "reserv(e|es|ed|ing)"], ["idiots?"]]

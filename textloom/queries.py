@@ -13,6 +13,7 @@ from textloom.operators import jobs, overlap, search
 from textloom.plans.tasks import new_folder, written
 from textloom.sources.files import planned
 from textloom.sources.mail import read_mail
+from textloom.sources.mbox import read_archives
 from textloom.sources.sketches import SketchStore
 from textloom.sources.textindex import TextIndex
 from textloom.streaming.jobs import windowed_metrics
@@ -247,6 +248,17 @@ def mail_pages(spark, sf_dir):
     return read_mail(files).select("path", "page", "subject", F.trim(F.regexp_replace("body", r"\s+", " ")).alias("body"))
 
 
+def split_archives(spark, sf_dir):
+    """Messages of mail archives that several tasks read by byte ranges: turns, written as mailboxes with a file each task."""
+    turns = read(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    flat = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "), "^(>*From )", ">$1")
+    message = F.concat(F.lit("From x\nSubject: "), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\n\n"), flat("text"), F.lit("\n"))
+    path = new_folder(spark, "mail")
+    turns.repartition(4).select(message.alias("value")).write.text(path)
+    found = read_archives(spark, path, 8192)
+    return found.select("subject", F.trim(F.regexp_replace("body", r"\s+", " ")).alias("body"))
+
+
 def index_search(spark, sf_dir):
     """A search that reads its terms' buckets of a written index alone."""
     index = TextIndex(spark, new_folder(spark, "index"))
@@ -281,7 +293,7 @@ QUERIES = {f.__name__: f for f in (
     text_facts, page_gates, line_repetition, numeric_tokens, html_to_text, clipped_titles, url_kinds, identical_groups, same_bytes,
     sketch_facts, overlap_candidates, stored_candidates, stored_masks, stored_status, shingle_similarity, alignment_runs, covered_intervals, fragment_round_trip,
     not_withdrawn, oversized_documents, windowed_job_metrics,
-    generic_masks, bm25_stemmed, index_search, updated_index_search, index_phrases, planned_sources, region_geometry, mail_pages,
+    generic_masks, bm25_stemmed, index_search, updated_index_search, index_phrases, split_archives, planned_sources, region_geometry, mail_pages,
 )}
 
 QUERIES |= index_queries.QUERIES

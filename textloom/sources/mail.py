@@ -89,13 +89,14 @@ def _header(message: Message, name: str) -> str | None:
         return str(value)
 
 
-def messages_of(raw: bytes) -> Iterator[dict]:
+def messages_of(raw: bytes, whole: bool = False) -> Iterator[dict]:
     """Every message of an archive (or of a single message file), nested ones after the one that holds them.
 
-    A file with the digest of an earlier one of the archive is listed but counts 0 bytes.
+    A file with the digest of an earlier one of the archive is listed but counts 0
+    bytes.  ``whole``: the bytes are one message, however they begin.
     """
     seen: set[str] = set()
-    first = raw.startswith(b"From ")
+    first = raw.startswith(b"From ") and not whole
     waiting = [(message_from_bytes(m, policy=policy.compat32), 0) for m in (split_mbox(raw) if first else [raw] if raw else [])]
     if len(waiting) > MOST_MESSAGES:
         raise ValueError(f"more than {MOST_MESSAGES} messages")
