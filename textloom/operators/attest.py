@@ -92,36 +92,67 @@ def provenance(found: DataFrame, documents: DataFrame | None = None) -> DataFram
     return found.select("path", F.when(F.coalesce("total", F.lit(0)) == 0, "No reading of this document by a machine is recorded.").otherwise(told).alias("sentence"))
 
 
-def resolve(units: list[dict], log: list[dict]) -> tuple[list[dict], list[dict]]:
-    """The whole fold of one document's log in plain Python, resegments included: its units in order, and orphans."""
-    fresh = lambda u, authored=False: {**u, "own_text": u["text"], "own_label": u["label"], "kind": "", "swept": False, "by": "", "seq": None, "authored": authored}
-    free = lambda s: s.update(kind="", swept=False, by="", seq=None, text=s["own_text"], label=s["own_label"])
-    order, known, lost = [fresh(u) for u in units], {u["unit"] for u in units}, []
-    for e in log:
-        here = {s["unit"]: s for s in order}
+class Fold:
+    """One document's units in order and where they stand, changed entry by entry of its log; ``lost`` are entries on units it never had."""
+
+    def __init__(self, units: list[dict]):
+        self.order: list[dict] = []
+        self.known: set[str] = set()
+        self.lost: list[dict] = []
+        self.begin(units)
+
+    @staticmethod
+    def _fresh(unit: dict, authored: bool = False) -> dict:
+        return {**unit, "own_text": unit["text"], "own_label": unit["label"], "kind": "", "swept": False, "by": "", "seq": None, "authored": authored}
+
+    def begin(self, units: list[dict]) -> None:
+        """The document's own units."""
+        self.order += [self._fresh(u) for u in units]
+        self.known |= {u["unit"] for u in units}
+
+    def state(self) -> dict:
+        """What ``restored`` takes to go on."""
+        return {"order": self.order, "known": sorted(self.known)}
+
+    @classmethod
+    def restored(cls, state: dict) -> "Fold":
+        fold = cls([])
+        fold.order, fold.known = state["order"], set(state["known"])
+        return fold
+
+    def apply(self, e: dict) -> None:
+        free = lambda s: s.update(kind="", swept=False, by="", seq=None, text=s["own_text"], label=s["own_label"])
+        here = {s["unit"]: s for s in self.order}
         if e["kind"] == "resegment":
             gone = set(e.get("retires") or [])
-            places = [i for i, s in enumerate(order) if s["unit"] in gone]
-            add = [fresh(u, True) for u in e.get("adds") or [] if u["unit"] not in here]
-            known |= {u["unit"] for u in add}
-            kept = [s for s in order if s["unit"] not in gone]
+            places = [i for i, s in enumerate(self.order) if s["unit"] in gone]
+            add = [self._fresh(u, True) for u in e.get("adds") or [] if u["unit"] not in here]
+            self.known |= {u["unit"] for u in add}
+            kept = [s for s in self.order if s["unit"] not in gone]
             at = min(min(places), len(kept)) if places else len(kept)
-            order = kept[:at] + add + kept[at:]
+            self.order = kept[:at] + add + kept[at:]
         elif e["blanket"]:
-            for s in order:
+            for s in self.order:
                 if e["kind"] == "retract" and s["swept"]:
                     free(s)
                 elif e["kind"] == "affirmed" and not s["kind"]:
                     s.update(kind="affirmed", swept=True, by=e["by"], seq=e["seq"])
         elif e["unit"] not in here:
-            if e["unit"] not in known:
-                lost.append(e)
+            if e["unit"] not in self.known:
+                self.lost.append(e)
         elif e["kind"] == "retract":
             free(here[e["unit"]])
         else:
             s = here[e["unit"]]
             s.update(kind=e["kind"], swept=False, by=e["by"], seq=e["seq"], text=e["text"] or s["text"], label=e["label"] or s["label"])
-    return order, lost
+
+
+def resolve(units: list[dict], log: list[dict]) -> tuple[list[dict], list[dict]]:
+    """The whole fold of one document's log in plain Python, resegments included: its units in order, and orphans."""
+    fold = Fold(units)
+    for e in log:
+        fold.apply(e)
+    return fold.order, fold.lost
 
 
 def resegmented(units: DataFrame, log: DataFrame) -> DataFrame:
