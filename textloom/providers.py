@@ -9,12 +9,16 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +60,95 @@ class TooLong(Exception):
     """A model refused its input as too long."""
 
 
+class Refused(Exception):
+    """A call that may be tried again: what the server said, and how long it asks to wait (seconds; 0: it does not say)."""
+
+    def __init__(self, status: int = 0, body: str = "", wait: float = 0.0, ahead: int = 0):
+        super().__init__(f"{status} {body}")
+        self.status, self.body, self.wait, self.ahead = status, body, wait, ahead
+
+    @property
+    def kind(self) -> str:
+        return "429" if self.status == 429 else "5xx" if self.status >= 500 else "transport"
+
+
+# ---------------------------------------------------------------- calls in flight
+
+SLOTS, TRIES, PAUSE, LONGEST_PAUSE = 4, 5, 0.5, 30.0
+EVENT = "struct<kind:string,delay:double,elapsed:double,status:int,body:string,ahead:int>"
+
+
+def patiently(call: Callable, item, tries: int = TRIES, pause: float = PAUSE):
+    """(answer, error, events) of one call, tried again while it is refused: after as long as it asks for, else twice as long each time.
+
+    Events are what ``queue.retry_tally`` counts: one for each refusal, and one that tells
+    how it ended.  Another error ends the call at once.
+    """
+    events, began = [], time.monotonic()
+    tell = lambda kind, delay=0.0, e=None: events.append({"kind": kind, "delay": delay, "elapsed": time.monotonic() - began, "status": e.status if e else 0, "body": e.body if e else "", "ahead": e.ahead if e else 0})
+    for n in range(tries):
+        try:
+            answer = call(item)
+        except Refused as refused:
+            if n + 1 == tries:
+                tell("gave-up", 0.0, refused)
+                return None, str(refused), events
+            delay = min(LONGEST_PAUSE, refused.wait or pause * 2**n)
+            tell(refused.kind, delay, refused)
+            time.sleep(delay)
+        except Exception as fault:  # what a provider raises is its own
+            return None, f"{type(fault).__name__}: {fault}", events
+        else:
+            if events:
+                tell("recovered")
+            return answer, None, events
+    return None, "no try", events
+
+
+def in_order(call: Callable, items: Iterable, slots: int = SLOTS, tries: int = TRIES, pause: float = PAUSE) -> Iterator[tuple]:
+    """(item, answer, error, events) of all items in their order, ``slots`` of them on their way at a time.
+
+    An item is taken when a slot is free, and at most ``slots`` answers wait for an
+    earlier one: memory does not grow with the items.
+    """
+    with ThreadPoolExecutor(slots) as pool:
+        waiting: deque = deque()
+        for item in items:
+            if len(waiting) == slots:
+                done, future = waiting.popleft()
+                yield done, *future.result()
+            waiting.append((item, pool.submit(patiently, call, item, tries, pause)))
+        while waiting:
+            done, future = waiting.popleft()
+            yield done, *future.result()
+
+
+def called(rows: DataFrame, value: str, call: Callable, answer: str, slots: int = SLOTS, tries: int = TRIES, pause: float = PAUSE) -> DataFrame:
+    """``rows`` with what ``call`` answers for a column (of type ``answer``), ``error`` where it failed, and the ``events`` of its retries.
+
+    Each task keeps ``slots`` calls in flight; rows keep their order.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(f"answer {answer}, error string, events array<{EVENT}>")
+    whole = StructType([*rows.schema.fields, *schema.fields])
+    arrow = to_arrow_schema(whole)
+
+    def run(batches):
+        for batch in batches:
+            found = list(in_order(call, batch.column(batch.schema.get_field_index(value)).to_pylist(), slots, tries, pause))
+            added = pa.RecordBatch.from_pylist([{"answer": a, "error": e, "events": v} for _, a, e, v in found], schema=pa.schema([arrow.field(c) for c in schema.names]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added.columns], names=whole.names)
+
+    return rows.mapInArrow(run, whole)
+
+
+def retry_events(found: DataFrame, job: str) -> DataFrame:
+    """(job_id, seq, kind, delay, elapsed, status, body, ahead): the events of ``called`` as rows of jobs, for ``queue.retry_tally``."""
+    return found.select(F.col(job).alias("job_id"), F.posexplode("events").alias("seq", "e")).select("job_id", "seq", "e.*")
+
+
 # ---------------------------------------------------------------- fakes
 
 
@@ -130,17 +223,26 @@ def batches_of(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[str]]
         yield batch
 
 
-def embed_all(embedder: Embedder, texts: list[str], prefix: str = "", most: int = BATCH_CHARS) -> list[list[float]]:
-    return [normalised(v) for batch in batches_of([prefix + t for t in texts], most) for v in embedder.embed(batch)]
+def embed_all(embedder: Embedder, texts: list[str], prefix: str = "", most: int = BATCH_CHARS, slots: int = 1) -> list[list[float]]:
+    """Unit vectors of texts in order, ``slots`` requests in flight; an error of one is raised."""
+    batches = batches_of([prefix + t for t in texts], most)
+    if slots == 1:
+        return [normalised(v) for batch in batches for v in embedder.embed(batch)]
+    out = []
+    for _, vectors, error, _ in in_order(embedder.embed, batches, slots):
+        if error:
+            raise RuntimeError(error)
+        out += map(normalised, vectors)
+    return out
 
 
-def embedded(rows: DataFrame, key: str, text: str, embedder: Embedder, prefix: str = "") -> DataFrame:
-    """(key, vector): unit vectors of all texts (null: empty)."""
+def embedded(rows: DataFrame, key: str, text: str, embedder: Embedder, prefix: str = "", slots: int = 1) -> DataFrame:
+    """(key, vector): unit vectors of all texts (null: empty); each task keeps ``slots`` requests in flight."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "vector": embed_all(embedder, batch[text].fillna("").tolist(), prefix)})
+            yield pd.DataFrame({key: batch[key], "vector": embed_all(embedder, batch[text].fillna("").tolist(), prefix, slots=slots)})
 
     return rows.select(key, text).mapInPandas(run, f"{key} {kind}, vector array<float>")
 
@@ -247,7 +349,7 @@ def is_gibberish(text: str, confidence: float) -> bool:
     words = text.split()
     if not words:
         return False
-    junk = sum(c == "�" or (ord(c) < 32 and c not in "\t\n\r") or c == "\x7f" for c in text)
+    junk = sum(c == "�" or (ord(c) < 32 and c not in "\t\n\r") or "\x7f" <= c <= "\x9f" for c in text)
     if junk / len(text) > 0.05 or 0 < confidence < 0.55:
         return True
 
