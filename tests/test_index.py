@@ -447,8 +447,6 @@ def test_providers(spark):
     assert P.segmented(loop, "page", retries=1)[0] == ["page"] and loop.options[1]["temperature"] == P.LOOP_TEMPERATURE
     told = '{"name": "Deed", "summary": "A statutory warranty deed of lot 7 to another person.", "kind": "Plat."}'
     assert P.identified(P.FakeChatter([told]), "w" * 300, {"plat": "survey"})["kind"] == "survey" and P.identified(P.FakeChatter([told]), "short", {}) is None
-    tree = P.descend(np.arange(64).reshape(8, 8), lambda v: (f"{v.shape}", [(0, 0, 0.5, 0.5), (0, 0, 1, 0.9)] if v.shape[0] > 4 else []), images.cropped)
-    assert [(r["region"], r["depth"]) for r in tree] == [("1", 0), ("1.1", 1)]
     assert P.engine_named("none", {}) is None and P.engine_named("x", {"x": P.FakeEngine()}).name == "cheap"
     with pytest.raises(ValueError):
         P.engine_named("y", {})

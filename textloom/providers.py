@@ -470,38 +470,3 @@ def identified(chatter: Chatter, text: str, kinds: dict[str, str], retries: int
         return {"name": name, "summary": summary, "kind": kinds[kind]}
 
     return asked_until_good(chatter, "What is this document?\n\n" + excerpt(text), check, retries)[0]
-
-
-# ---------------------------------------------------------------- regions
-
-MOST_CALLS, MOST_CHILDREN, MOST_TRANSFORMS = 40, 8, 2
-
-
-def descend(image: np.ndarray, look, crop, key=lambda a: hashlib.sha256(np.ascontiguousarray(a).tobytes()).hexdigest()) -> list[dict]:
-    """A page's region tree, flattened, parents first: region, parent, depth, box, text, flags.
-
-    ``look(image)`` tells a region's text and the boxes (x, y, w, h in its shares)
-    that should be read by themselves.  A child that hardly narrows the view is not
-    followed; an image that was seen above is a cycle; calls, children and depth are bounded.
-    """
-    out, calls = [], 0
-    waiting = [("1", None, 0, (0.0, 0.0, 1.0, 1.0), image, ())]
-    while waiting:
-        name, parent, depth, box, view, above = waiting.pop(0)
-        flags, mark = [], key(view)
-        if mark in above:
-            out.append({"region": name, "parent": parent, "depth": depth, "box": box, "text": "", "flags": ["cycle"]})
-            continue
-        if calls >= MOST_CALLS:
-            out.append({"region": name, "parent": parent, "depth": depth, "box": box, "text": "", "flags": ["budget"]})
-            continue
-        calls += 1
-        text, boxes = look(view)
-        if len(boxes) > MOST_CHILDREN:
-            flags.append("exhausted")
-        for i, (x, y, w, h) in enumerate(boxes[:MOST_CHILDREN]):
-            if w * h < 0.8:
-                lifted = (box[0] + x * box[2], box[1] + y * box[3], w * box[2], h * box[3])
-                waiting.append((f"{name}.{i + 1}", name, depth + 1, lifted, crop(view, x, y, w, h), (*above, mark)))
-        out.append({"region": name, "parent": parent, "depth": depth, "box": box, "text": text, "flags": flags})
-    return sorted(out, key=lambda r: [int(p) for p in r["region"].split(".")])
