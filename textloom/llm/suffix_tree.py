@@ -435,15 +435,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 sums[k] += np.bincount((tag[rows] >> 1).astype(np.int64), score[rows], len(sums[k]))
                 rare = np.flatnonzero(is_rare[rows])
                 others[k].append((word[rows][rare], tag[rows][rare], ratio[rows][rare]))
-        for (block, n_docs, _), total, found in zip(events, sums, others):
+        found = [[np.zeros(0, kind) for kind in (np.uint64, np.uint32, np.float32, np.int64)]]
+        for (block, n_docs, _), total, parts_of in zip(events, sums, others):
             out.add(_home(block, second), block, 2, n_docs, _pack(total.view(np.uint64)))
-            w, t, r = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.float32))
-            order = np.argsort(w, kind="stable")
-            cut = _split_by(w[order], second)[1]
-            for b in range(second):
-                own = order[cut[b] : cut[b + 1]]
-                if len(own):
-                    out.add(b, block, 3, n_docs, _pack(*_runs(w[own]), t[own], r[own].view(np.uint32)))
+            found += [[*x, np.full(len(x[0]), block)] for x in parts_of]
+        # rare words of all blocks together: a row for each second bucket, however many blocks there are
+        w, t, r, of = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(w, kind="stable")
+        cut = _split_by(w[order], second)[1]
+        for b in range(second):
+            own = order[cut[b] : cut[b + 1]]
+            if len(own):
+                part, place = of[own] >> 24, of[own] & 0xFFFFFF
+                out.add(b, -1, 3, 0, _pack(*_runs(w[own]), part.astype(np.uint32), place.astype(np.uint32), t[own], r[own].view(np.uint32)))
         return out.table()
 
     def roots(table: pa.Table) -> pa.Table:
@@ -453,23 +457,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
             return out.table()
         for _, _, x in events:
             x[:2] = [np.repeat(x[0], x[1].astype(np.int64))]
-        word = np.concatenate([x[0] for _, _, x in events])
-        tag = np.concatenate([x[1] for _, _, x in events])
-        ratio = np.concatenate([x[2] for _, _, x in events]).view(np.float32)
+        word, part, place, tag, ratio = (np.concatenate(x) for x in zip(*(x for _, _, x in events)))
+        of = (part.astype(np.int64) << 24) | place
+        # in a fixed order, so that sums do not depend on the order of arrival
+        order = np.lexsort((ratio, tag, word, of))
+        word, of, tag, ratio = word[order], of[order], tag[order], ratio[order].view(np.float32)
+        del part, place, order, events
         _, at = np.unique(word, return_inverse=True)
         c = np.bincount(at, tag & 1)[at]
+        del at, word
         logs = np.log10(c + 0.5)
-        begin = 0
-        sums: dict[int, list] = {}
-        sizes = {block: n_docs for block, n_docs, _ in events}
-        for block, n_docs, (w, *_) in events:
-            rows = slice(begin, begin + len(w))
-            begin = rows.stop
-            doc = (tag[rows] >> 1).astype(np.int64)
-            own = [np.bincount(doc, logs[rows], n_docs), np.bincount(doc, c[rows] > 0, n_docs), np.bincount(doc, np.log10(ratio[rows] + (c[rows] + 0.5) / 10**log_z), n_docs)]
-            sums[block] = [a + b for a, b in zip(sums[block], own)] if block in sums else own
-        for block, (base, known, score) in sums.items():
-            out.add(0, block, 4, sizes[block], _pack(base.view(np.uint64), known.astype(np.uint32), score.view(np.uint64)))
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        for a, z in zip(first.tolist(), [*first[1:].tolist(), len(of)]):
+            doc, seen = (tag[a:z] >> 1).astype(np.int64), c[a:z]
+            base, known, score = np.bincount(doc, logs[a:z]), np.bincount(doc, seen > 0), np.bincount(doc, np.log10(ratio[a:z] + (seen + 0.5) / 10**log_z))
+            out.add(0, int(of[a]), 4, len(base), _pack(base.view(np.uint64), known.astype(np.uint32), score.view(np.uint64)))
         return out.table()
 
     def close(table: pa.Table) -> pa.Table:
@@ -482,10 +484,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
             found = _unpack(blob)
             if k == 2:
                 score += found[0].view(np.float64)
-            else:
-                base += found[0].view(np.float64)
-                known += found[1].astype(np.int64)
-                score += found[2].view(np.float64)
+            else:  # up to the last document that has a rare word there
+                n = len(found[0])
+                base[:n] += found[0].view(np.float64)
+                known[:n] += found[1].astype(np.int64)
+                score[:n] += found[2].view(np.float64)
         tokens = tokens.astype(np.int64)
         return pa.table({"doc_id": table.column("docs")[at].values, "held_out": held.astype(bool), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(tokens), n_train), "base_score": base - tokens * log_z, "score": score})
 
