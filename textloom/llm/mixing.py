@@ -7,15 +7,13 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, fresh_name, materialize, quoted, split_table
+from textloom.llm.common import WORD, fresh_name, materialize, quoted, scratch_path, split_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
-CLOSE = 0.001  # share of its target that a source may miss without a swap
-SWAPS = 6  # rounds of swaps at most
-PICKS = 8  # documents of a source and size class that a round may swap one by one
-SMALL = 16  # a document with so small a part of the gap is one of many that close it
 GROUP = 64  # rows that one fold pairs, on average
+STRATUM = 3  # powers of two that the sizes of one stratum span
+ALIKE = 1000  # rows that are alike and numbered by one task at a time
 _TINY = 1e-12
 
 
@@ -23,8 +21,13 @@ def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, copy) of every row; ``copy`` numbers rows that are alike."""
     spread = split_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")), docs.sparkSession.sparkContext.defaultParallelism)
     sized = spread.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    alike = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
-    return alike.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("copy"))
+    alike = sized.groupBy("doc_id", "source", "size").agg(F.count("*").cast("int").alias("m"))
+    few = alike.where(F.col("m") <= ALIKE).select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), "m")).alias("copy"))
+    # what is alike in great numbers is numbered in parts
+    parts = alike.where(F.col("m") > ALIKE).select("doc_id", "source", "size", "m", F.explode(F.expr(f"sequence(0, cast((m - 1) div {ALIKE} as int))")).alias("part"))
+    parts = parts.repartition("doc_id", "source", "size", "part")
+    many = parts.select("doc_id", "source", "size", F.explode(F.expr(f"sequence(part * {ALIKE} + 1, least(m, (part + 1) * {ALIKE}))")).alias("copy"))
+    return few.unionByName(many)
 
 
 def targets(rows: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -82,13 +85,12 @@ def _fold(seed: int, level: int) -> str:
     return f"aggregate(items, struct(cast(null as {kind}) as a, cast(array() as array<{kind}>) as done), (s, b) -> {step})"
 
 
-def rounded(rows: DataFrame, seed: int = 7) -> DataFrame:
-    """(source, doc_id, size, copy, bit) for rows with ``part`` strictly between 0 and 1.
+def _folded(rows: DataFrame, seed: int) -> tuple[list[DataFrame], DataFrame]:
+    """(bits of all rows but one a source, that one with its fraction) for rows with ``part`` strictly between 0 and 1.
 
-    A tree of folds: rows meet in groups of about GROUP within their source, each
-    group leaves one fractional row at most, and these meet on the next level.  A
-    source's last one is rounded alone, so its words miss the target by less than
-    that document.  Groups are made by hash: a source of any size is many groups.
+    A tree of folds: rows meet in groups of about GROUP within their source, each group
+    leaves one fractional row at most, and these meet on the next level.  Groups are
+    made by hash: a source of any size is many groups.
     """
     counts = rows.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
     most = counts.agg(F.max("n")).first()[0] or 0
@@ -104,10 +106,51 @@ def rounded(rows: DataFrame, seed: int = 7) -> DataFrame:
         if open_groups <= 1:
             break
         level, open_groups = level + 1, math.ceil(open_groups / GROUP)
-    last = now.select("source", "doc_id", "size", "copy", F.expr(f"int({_uniform('doc_id', 'copy', 'size', str(seed), '-1')} < part)").alias("bit")) if most else rows.select("source", "doc_id", "size", "copy", F.lit(0).alias("bit"))
-    for part in done:
-        last = last.unionByName(part)
-    return last
+    return done, now.select("source", "doc_id", "size", "copy", "part")
+
+
+def rounded(rows: DataFrame, seed: int = 7) -> DataFrame:
+    """(source, doc_id, size, copy, bit) for rows whose ``part`` is between 0 and 1, the same for all of a source.
+
+    Sources are rounded by strata of size, the largest documents first.  A pivot that
+    survives a fold is about the largest of its stratum; it is rounded alone, by its
+    fraction, and what that missed is taken up by the fractions of the source's smaller
+    documents, all by the same amount.  As such a miss is zero in expectation, every
+    fraction stays the chance of its document.  Only a last pivot whose miss the smaller
+    ones could not take up, if there are any, goes to the nearer side instead.  What a
+    source misses in the end is about half of one of its smallest documents.
+    """
+    rows, path = rows.withColumn("stratum", F.floor(F.log2("size") / STRATUM).cast("int")), scratch_path(rows.sparkSession, "strata")
+    rows.write.partitionBy("stratum").parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    mass = _small(rows.groupBy("source", "stratum").agg(F.sum("size").alias("mass"), F.first("part").alias("part")), "masses")  # a row a source and power of two
+    strata = sorted((r[0] for r in mass.select("stratum").distinct().collect()), reverse=True)
+    parts = mass.groupBy("source").agg(F.first("part").alias("part"))
+    out = rows.where("false").select("source", "doc_id", "size", "copy", F.lit(0).alias("bit"))
+    for stratum in strata:
+        now = parts.select(F.col("source").alias("p"), "part")
+        here = rows.where(F.col("stratum") == stratum).drop("part", "stratum").join(now, F.col("source").eqNullSafe(F.col("p"))).drop("p")
+        whole = here.where("part <= 0 or part >= 1")
+        done, last = _folded(here.where("part > 0 and part < 1"), seed + stratum)
+        # what a source's smaller documents weigh, whether it has some of this stratum or not, and their fraction so far
+        below = mass.where(F.col("stratum") < stratum).groupBy(F.col("source").alias("b")).agg(F.sum("mass").alias("below"))
+        rest = parts.join(below, F.col("source").eqNullSafe(F.col("b"))).select("b", "below", F.col("part").alias("common"))
+        last = last.join(rest, F.col("source").eqNullSafe(F.col("b")), "left").drop("b")
+        # a chance is taken where smaller documents have room for either miss; else the nearer side, as they allow
+        taken_fits, left_fits = F.expr("size * (1 - part) <= below * common"), F.expr("size * part <= below * (1 - common)")
+        drawn = F.expr(f"{_uniform('doc_id', 'copy', 'size', str(seed), '-1')} < part")
+        bit = F.when(taken_fits & left_fits, drawn).when(taken_fits != left_fits, taken_fits).otherwise(F.col("part") >= 0.5)
+        last = materialize(last.withColumn("bit", bit.cast("int")), "last")
+        for part in (whole.withColumn("bit", F.col("part").cast("int")), last, *done):
+            out = out.unionByName(part.select("source", "doc_id", "size", "copy", "bit"))
+        if stratum == strata[-1]:
+            break
+        missed = last.select(F.col("source").alias("l"), (F.col("size") * (F.col("part") - F.col("bit"))).alias("miss"))
+        met = rest.join(missed, F.col("b").eqNullSafe(F.col("l")), "left")
+        moved = F.col("common") + F.coalesce("miss", F.lit(0.0)) / F.col("below")
+        clean = F.when(moved < _TINY, F.lit(0.0)).when(moved > 1 - _TINY, F.lit(1.0)).otherwise(moved)
+        parts = materialize(met.select(F.col("b").alias("source"), clean.alias("part")), "parts")
+    return out
 
 
 def _small(rows: DataFrame, label: str) -> DataFrame:
@@ -116,64 +159,13 @@ def _small(rows: DataFrame, label: str) -> DataFrame:
     return materialize(rows.repartition(1 + rows.count() // 100_000), label)
 
 
-def _greedy() -> str:
-    """SQL that takes of ``items`` (size, ord, doc_id, copy), largest first, all that fit into ``gap``, and one more that overshoots by less than is left."""
-    kind = "array<struct<size:bigint,ord:bigint,doc_id:bigint,copy:int>>"
-    fits = f"aggregate(items, struct(abs(gap) as left, cast(array() as {kind}) as taken), (s, b) -> if(b.size <= s.left, struct(s.left - b.size as left, concat(s.taken, array(b)) as taken), s))"
-    over = "filter(items, b -> b.size > s.left and b.size < 2 * s.left and not array_contains(s.taken, b))"
-    last = f"if(s.left > near and size({over}) > 0, struct(abs(s.left - array_min({over}).size) as left, concat(s.taken, array(array_min({over}))) as taken), s)"
-    return f"transform(array({fits}), s -> {last})[0]"
-
-
-def closed(rows: DataFrame, goal: DataFrame, seed: int = 7) -> DataFrame:
-    """``rows`` (source, doc_id, size, copy, bit) with bits swapped until each source's words meet ``goal`` (source, wanted).
-
-    The pivot that survives in a source is its largest document, so what its own
-    rounding missed is given back here.  A round draws, by hash, up to PICKS documents
-    of every size class (an eighth of an octave) whose swap helps, and swaps those of
-    them that fit the gap, largest first.  Where these are too few, because all are
-    small against the gap, each small one is swapped with the chance that closes
-    nine tenths of it.  A source is done when CLOSE of its target is met, or no swap
-    helps.  Only tables of a row a source meet the rows, so these stay where they are.
-    """
-    done, now = [], rows
-    for level in range(SWAPS):
-        sums = now.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("size") * F.col("bit")).alias("taken"))
-        gaps = sums.join(goal.select(F.col("source").alias("g"), "wanted"), F.col("s").eqNullSafe(F.col("g"))).select("s", (F.col("wanted") - F.col("taken")).alias("gap"), F.greatest(F.lit(1.0), CLOSE * F.col("wanted")).alias("near"))
-        gaps = _small(gaps.where(F.abs("gap") > F.col("near")), "gaps")
-        if gaps.isEmpty():
-            break
-        met = now.join(gaps, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("ord", F.xxhash64("doc_id", "size", "copy", F.lit(seed + 1 + level)))
-        helps = F.col("gap").isNotNull() & (F.col("bit") == F.when(F.col("gap") > 0, 0).otherwise(1)) & (F.col("size") < 2 * F.abs("gap"))
-        met = met.withColumn("helps", helps).withColumn("small", F.col("helps") & (SMALL * F.col("size") <= F.abs("gap")))
-        picked = met.where("helps").groupBy("source", F.floor(F.log2("size") * 8).alias("class"), F.pmod("ord", F.lit(PICKS)).alias("pick")).agg(F.min(F.struct("ord", "size", "doc_id", "copy")).alias("x"), F.sum(F.when(F.col("small"), F.col("size")).otherwise(F.lit(0))).alias("mass"))
-        drawn = picked.groupBy(F.col("source").alias("p")).agg(F.sum("mass").alias("mass"), F.sort_array(F.collect_list(F.struct("x.size", "x.ord", "x.doc_id", "x.copy")), asc=False).alias("items"))
-        plan = drawn.join(gaps, F.col("p").eqNullSafe(F.col("s"))).withColumn("r", F.expr(_greedy()))
-        plan = plan.withColumn("many", (F.col("r.left") > F.col("near")) & (2 * F.col("r.left") > F.abs("gap")) & (F.col("mass") > F.abs("gap")))
-        plan = _small(plan.select("p", "mass", "many", F.when(F.col("many"), F.array().cast("array<struct<size:bigint,ord:bigint,doc_id:bigint,copy:int>>")).otherwise(F.col("r.taken")).alias("taken")), "plan")
-        if plan.where("many or size(taken) > 0").isEmpty():
-            break
-        met = met.join(plan.select("p", "mass", "many"), F.col("source").eqNullSafe(F.col("p")), "left")
-        ones = _small(plan.select(F.col("p").alias("o"), F.explode("taken").alias("t")).select("o", F.col("t.doc_id").alias("o_id"), F.col("t.size").alias("o_size"), F.col("t.copy").alias("o_copy")).distinct(), "swaps")
-        met = met.join(ones, F.col("source").eqNullSafe(F.col("o")) & F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("size") == F.col("o_size")) & (F.col("copy") == F.col("o_copy")), "left")
-        chance = F.col("many") & F.col("small") & F.expr(f"{_uniform('doc_id', 'copy', 'size', str(seed), str(-2 - level))} * mass < 0.9D * abs(gap)")
-        swap = F.col("o_size").isNotNull() | F.coalesce(chance, F.lit(False))
-        met = materialize(met.select("source", "doc_id", "size", "copy", F.when(swap, 1 - F.col("bit")).otherwise(F.col("bit")).alias("bit"), F.col("gap").isNotNull().alias("open")), "swapped")
-        done.append(met.where("not open").drop("open"))
-        now = met.where("open").drop("open")
-    for part in done:
-        now = now.unionByName(part)
-    return now
-
-
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
     """doc_id, source, size, copy, source_size, target and copies for every row of ``docs`` (doc_id, source, text).
 
     A row is copied target / source_size times in expectation, at most ``cap`` times:
-    the whole part for sure, the fraction by pivotal rounding weighted by size, after
-    which swaps give back what the last pivot missed (``closed``): each source's taken
-    words meet its target up to CLOSE of it, or as near as single swaps bring it.  The random
-    numbers are hashes of the rows, so reruns agree.  Null texts have size 0 and are
+    the whole part for sure, the fraction by pivotal rounding weighted by size
+    (``rounded``).  Each source's taken words miss its target by about one of its
+    smallest documents.  The random numbers are hashes of the rows, so reruns agree.  Null texts have size 0 and are
     not copied; null sources are one source, the last; rows that are alike (doc_id,
     source, size) are rounded each on its own.  An empty table gives an empty result.
     """
@@ -183,8 +175,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> Data
     goal = _small(goal.withColumn("whole", F.floor(times + _TINY).cast("int")).withColumn("part", F.when(times - F.col("whole") > _TINY, times - F.col("whole")).otherwise(F.lit(0.0))), "targets")
     open_rows = rows.where("size > 0").join(goal.where("part > 0").select(F.col("source").alias("s"), "part"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     sure = rows.join(goal.where("part > 0").select(F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")), "left_anti").unionByName(rows.where("size = 0").join(goal.where("part > 0").select(F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")), "left_semi"))
-    wanted = goal.where("part > 0").select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("wanted"))
-    bits = closed(materialize(rounded(open_rows, seed), "rounded"), wanted, seed).unionByName(sure.select("source", "doc_id", "size", "copy", F.lit(0).alias("bit")))
+    bits = rounded(open_rows, seed).unionByName(sure.select("source", "doc_id", "size", "copy", F.lit(0).alias("bit")))
     facts = goal.select(F.col("source").alias("s"), "source_size", "target", "whole")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("bit")).otherwise(F.lit(0)).cast("int")
     return bits.join(facts, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "copy", "source_size", "target", copies.alias("copies"))
