@@ -571,6 +571,19 @@ def segment_alarms(spark, sf_dir):
     return records.segment_alarms(model.pages(spark, sf_dir), frags)
 
 
+@query(f"""with {_JOINED}, ex as (select path, sum({_CONTENT.format('text')}) as emitted, page from fr where start_off % 1200 <> 400 group by path, page),
+  q as (select pg.path, pg.page, {_CONTENT.format('pg.text')} as given, coalesce(emitted, 0) as emitted from pg left join ex on pg.path = ex.path and pg.page = ex.page),
+  r as (select *, cast(emitted + case when emitted > 0 then 0 else coalesce(greatest(lag(emitted - given) over (partition by path order by page), 0), 0) end as bigint) as kept from q),
+  al as (select distinct path from r where given >= 200 and kept * 100 < given * 60)
+  select path, start_off, sha256(text) as digest, 'windows' as mode from fr where path in (select path from al)
+  union all select path, start_off, sha256(text), 'segments' from fr where start_off % 1200 <> 400 and path not in (select path from al)""")
+def fallback_fragments(spark, sf_dir):
+    """Segments of documents of which they keep enough, windows of the others."""
+    rows, windows = model.pages(spark, sf_dir), model.fragments(spark, sf_dir)
+    found = records.whole_or_windows(rows, windows.where("start_off % 1200 <> 400"), windows)
+    return found.select("path", "start_off", F.sha2("text", 256).alias("digest"), "mode")
+
+
 @query(f"""with {_JOINED}, pv as (select path, page, case when page % 3 = 0 then 'vision' when page % 3 = 1 then 'text' else 'cheap' end as engine from pg)
   select d.path, 't' as title, coalesce(f.n, 0) as fragments, p.pages, p.vision_pages, p.engines from (select distinct path from pg) d left join (select path, count(*) as n from fr group by path) f on d.path = f.path
   join (select path, count(*) as pages, count(*) filter (engine = 'vision') as vision_pages, array_to_string(list_filter(['cheap×' || nullif(count(*) filter (engine = 'cheap'), 0), 'text×' || nullif(count(*) filter (engine = 'text'), 0), 'vision×' || nullif(count(*) filter (engine = 'vision'), 0)], lambda x: x is not null), ', ') as engines from pv group by path) p on d.path = p.path""")

@@ -304,6 +304,18 @@ def resolved(matches: DataFrame, most: int = 8) -> tuple[str | None, list[str]]:
     return (rows[0], []) if len(rows) == 1 else (None, rows[:most])
 
 
+def whole_or_windows(pages: DataFrame, segments: DataFrame, windows: DataFrame) -> DataFrame:
+    """Fragments (the columns of ``segments``, and ``mode``) of which no text is missing.
+
+    A document whose segments, which a model cut, keep too little of any page (see
+    ``segment_alarms``) has its ``windows`` instead, all of them: how a document was cut
+    is told of the whole document.
+    """
+    short = segment_alarms(pages, segments).select("path").distinct()
+    good = segments.join(short, "path", "left_anti").withColumn("mode", F.lit("segments"))
+    return good.unionByName(windows.select(segments.columns).join(short, "path", "left_semi").withColumn("mode", F.lit("windows")))
+
+
 def segment_alarms(pages: DataFrame, fragments: DataFrame, least: int = 200, share: int = 60) -> DataFrame:
     """(path, page, given, kept): pages (path, page, text) of ``least`` letters and digits of which fragments (path, page, text) keep under ``share`` percent.
 
