@@ -158,13 +158,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     distinct = live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min("bands").alias("bands"))
     distinct = materialize(distinct, "distinct")
     entries = distinct.select("rep", "n", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = materialize(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     bucket = materialize(entries.join(shared, "key"), "buckets")
     members = bucket.select(F.col("rep").alias("doc_id")).distinct()
     state = _Links(materialize(_set_rows(docs.join(members.hint("merge"), "doc_id", "left_semi"), width), "sets"), percent)
     # every bucket's members against its smallest member
-    lead = bucket.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"))
-    state.test(_pairs(bucket.join(lead, "key").select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b")), percent))
+    lead = bucket.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("c").alias("c"))
+    state.test(_pairs(_by_key(bucket, lead).select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b")), percent))
     # what is left: members outside the largest component against the members of all others
     mixed = state.mixed(bucket)
     rest = mixed.where(f"not ({_CROWDED})")
@@ -177,6 +177,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+AT_ONCE = 512  # members of a bucket that one task joins
+
+
+def _by_key(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` (key, rep, c and others) joined to ``facts``, a row a key, with its c: how many rows the key has.
+
+    A key of many rows is met in parts of about AT_ONCE, each with a copy of its facts.
+    """
+    parts = F.ceil(F.col("c") / AT_ONCE)
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(5)), parts))
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("c")
+    return dealt.join(copies, ["key", "salt"]).drop("salt")
+
+
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) whose set sizes allow the similarity; the smaller id leads."""
     close = rows.where("a <> b").where(_close(percent))
@@ -212,8 +226,8 @@ class _Links:
         """
         if bucket.isEmpty():
             return None
-        heads = bucket.groupBy("key").agg(F.min("rep").alias("b"))
-        crowds = materialize(components(bucket.join(heads, "key").select(F.col("rep").alias("a"), "b")), "crowds").select(F.col("node").alias("rep"), F.col("component").alias("crowd"))
+        heads = bucket.groupBy("key").agg(F.min("rep").alias("b"), F.max("c").alias("c"))
+        crowds = materialize(components(_by_key(bucket, heads).select(F.col("rep").alias("a"), "b")), "crowds").select(F.col("node").alias("rep"), F.col("component").alias("crowd"))
         rows = bucket.groupBy("rep").agg(F.min("component").alias("component"), F.min("key").alias("home")).join(crowds, "rep")
         parts = rows.groupBy("crowd", "component").agg(F.count("*").alias("c"))
         top = parts.groupBy("crowd").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
@@ -236,11 +250,11 @@ class _Links:
 
     def mixed(self, bucket: DataFrame) -> DataFrame:
         """The buckets with several components: rows with ``component``, the bucket's ``largest`` and its ``strays``."""
-        now = bucket.select("key", "rep", "n").join(self.linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        now = bucket.select("key", "rep", "n", "c").join(self.linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         parts = now.groupBy("key", "component").agg(F.count("*").alias("c"))
         facts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
-        facts = facts.select("key", F.col("top.component").alias("largest"), F.col("all").alias("members"), (F.col("all") - F.col("top.c")).alias("strays"))
-        return materialize(now.join(facts, "key"), "mixed")
+        facts = facts.select("key", F.col("top.component").alias("largest"), F.col("all").alias("members"), (F.col("all") - F.col("top.c")).alias("strays"), F.col("all").alias("c"))
+        return materialize(_by_key(now, facts), "mixed")
 
 
 def _compare_blocks(percent: int):
