@@ -230,23 +230,22 @@ def vector_hits(spark, sf_dir):
 
 
 @query(r"""with m as (select 'conv/' || conv_id as path, turn, unnest(regexp_extract_all(m, '\[FIGURE:\s*([^\]]*)\]', 1)) as description, generate_subscripts(regexp_extract_all(m, '\[FIGURE:\s*([^\]]*)\]', 1), 1) as nth
-    from (select conv_id, turn, '[FIGURE: a ' || substr(text, 1, 9) || '] x [FIGURE:two]' as m from conversations where not contains(substr(text, 1, 9), ']')))
+    from (select conv_id, turn, '[FIGURE: a ' || regexp_replace(coalesce(text, ''), '[\[\]\s]+', ' ', 'g') || 'z] x [FIGURE:two]' as m from conversations))
   select path, description, cast(row_number() over (partition by path order by turn, nth) - 1 as integer) as ord from m""")
 def figure_marks(spark, sf_dir):
-    """Every figure mark of a document, numbered through it."""
-    head = F.substring("text", 1, 9)
-    marked = model.pages(spark, sf_dir).where(~head.contains("]")).select("path", "page", F.lit(0).alias("ord"), F.concat("path", F.lit("@"), "page").alias("frag_id"), F.concat(F.lit("[FIGURE: a "), head, F.lit("] x [FIGURE:two]")).alias("text"), F.lit("").alias("origin"))
+    """Every figure mark of a document, numbered through it; a turn's whole text is one's description."""
+    told = F.regexp_replace("text", r"[\[\]\s]+", " ")
+    marked = model.pages(spark, sf_dir).select("path", "page", F.lit(0).alias("ord"), F.concat("path", F.lit("@"), "page").alias("frag_id"), F.concat(F.lit("[FIGURE: a "), told, F.lit("z] x [FIGURE:two]")).alias("text"), F.lit("").alias("origin"))
     return pages.figure_rows(marked).select("path", "description", "ord")
 
 
 # ---------------------------------------------------------------- transcripts and recognised words
 
 
-@query(f"with {_PAGES} select path, page, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as digest from pg where not regexp_matches(text, '(?m)^##')")
+@query(f"with {_PAGES} select path, page, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as digest from pg")
 def transcript_pages(spark, sf_dir):
     """Transcripts written and parsed again: the pages are what they were."""
-    rows = model.pages(spark, sf_dir).where(~F.col("text").rlike("(?m)^##"))
-    return transcripts.parse(transcripts.render(rows)).select("path", "page", F.sha2("text", 256).alias("digest"))
+    return transcripts.parse(transcripts.render(model.pages(spark, sf_dir))).select("path", "page", F.sha2("text", 256).alias("digest"))
 
 
 @query(r"""with w as (select conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as ws from conversations)
@@ -262,12 +261,12 @@ def recognised_words(spark, sf_dir):
     return rows.select("conv_id", "turn", F.sha2("r.text", 256).alias("digest"), "r.words", F.round("r.confidence", 6).alias("confidence"), "r.glyph")
 
 
-@query("select user_id as path, case when a is null then 'new' when b is null then 'gone' else 'changed' end as change from (select user_id, max(event_id) filter (event_id % 3 = 0 and event_id < 300) as a, max(event_id) filter (event_id % 2 = 0 and event_id < 300) as b from events group by user_id) where (a is not null or b is not null) and a is distinct from b")
+@query("select user_id as path, case when a is null then 'new' when b is null then 'gone' else 'changed' end as change from (select user_id, max(event_id) filter (event_type in ('view', 'click')) as a, max(event_id) filter (event_type in ('view', 'signup')) as b from events group by user_id) where (a is not null or b is not null) and a is distinct from b")
 def watched_changes(spark, sf_dir):
-    """What a listing of a folder has that the last one had not."""
-    events = model.table(spark, sf_dir, "events").where("event_id < 300")
-    side = lambda k: events.where(f"event_id % {k} = 0").groupBy(F.col("user_id").alias("path")).agg(F.max("event_id").alias("modified"))
-    return transcripts.changes(side(3), side(2))
+    """What a listing of a folder has that the last one had not: files as users, their times as the last of two kinds of events each."""
+    events = model.table(spark, sf_dir, "events")
+    side = lambda *kinds: events.where(F.col("event_type").isin(*kinds)).groupBy(F.col("user_id").alias("path")).agg(F.max("event_id").alias("modified"))
+    return transcripts.changes(side("view", "click"), side("view", "signup"))
 
 
 @query(f"""with {_JOINED} select f.path, count(*) as fragments, count(e.vec_id) as vectors from fr f left join embeddings e on f.start_off = 0 and e.vec_id = cast(substr(f.path, 6) as integer) group by f.path""")
@@ -312,7 +311,7 @@ def active_jobs(spark, sf_dir):
     return queue.active(model.jobs(spark, sf_dir)).withColumn("eta_seconds", F.round("eta_seconds", 4))
 
 
-_REQUESTS = "rq as (select '/d/' || (user_id + 100) || case when event_id % 5 = 0 then '.textloom-regions.json' when (user_id + 100) % 4 = 0 then '.pdf' else '.md' end as url, case when event_type = 'view' then 1 else 0 end as fresh, event_id as asked from events where event_id < 400)"
+_REQUESTS = "rq as (select '/d/' || (user_id + 100) || case when event_id % 5 = 0 then '.textloom-regions.json' when (user_id + 100) % 4 = 0 then '.pdf' else '.md' end as url, case when event_type = 'view' then 1 else 0 end as fresh, event_id as asked from events)"
 
 
 @query(f"""with {_JOBS}, {_REQUESTS}, lv as (select url, max(fresh) as live from jb where state in ('pending', 'running') group by url),
@@ -323,7 +322,7 @@ _REQUESTS = "rq as (select '/d/' || (user_id + 100) || case when event_id % 5 =
   select (select max(id) from jb) + row_number() over (order by asked) as id, url, fresh, asked as "at" from n""")
 def enqueued_jobs(spark, sf_dir):
     """The jobs that a batch of requests adds to the queue."""
-    events = model.table(spark, sf_dir, "events").where("event_id < 400")
+    events = model.table(spark, sf_dir, "events")
     suffix = F.when(F.col("event_id") % 5 == 0, ".textloom-regions.json").when((F.col("user_id") + 100) % 4 == 0, ".pdf").otherwise(".md")
     requests = events.select(F.concat(F.lit("/d/"), F.col("user_id") + 100, suffix).alias("url"), F.lit("").alias("title"), (F.col("event_type") == "view").cast("int").alias("fresh"), F.col("event_id").alias("at"))
     return queue.enqueued(model.jobs(spark, sf_dir), requests).select("id", "url", "fresh", "at")
@@ -840,12 +839,13 @@ def pleading_numbers(spark, sf_dir):
     return model.table(spark, sf_dir, "pages").select("page_id", T.without_line_numbers(text).alias("text"))
 
 
-@query(r"""with p as (select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as t from conversations group by conv_id), q as (select conv_id, t, unnest(string_split(t, chr(10) || chr(10))) as x from p)
-  select conv_id, count(*) as paragraphs, cast(sum(length(trim(x, ' ' || chr(10) || chr(9) || chr(13)))) as bigint) as chars from q where trim(x, ' ' || chr(10) || chr(9) || chr(13)) <> '' and not regexp_matches(t, '\n[ \t\r]*\n[ \t\r]*\n|[\x0b\x0c\x{00A0}\x{2000}-\x{3000}]|\n[ \t\r]+\n') group by conv_id""")
+@query(r"""with p as (select conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) order by turn) as t from conversations where conv_id is not null and turn is not null group by conv_id),
+  q as (select conv_id, regexp_replace(unnest(regexp_split_to_array(t, '\n[ \t\r]*\n[ \t\n\x0b\f\r]*')), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') as x from p)
+  select conv_id, count(*) as paragraphs, cast(sum(length(x)) as bigint) as chars from q where x <> '' group by conv_id""")
 def text_paragraphs(spark, sf_dir):
     """Paragraphs of texts, told apart by blank lines."""
     whole = pages.joined_pages(model.pages(spark, sf_dir).withColumn("path", F.regexp_extract("path", r"(\d+)", 1).cast("long")))
-    rows = whole.where(~F.col("text").rlike(r"\n[ \t\r]*\n[ \t\r]*\n|[\x0b\x0c\x{00A0}\x{2000}-\x{3000}]|\n[ \t\r]+\n")).select("path", F.explode(T.paragraphs(F.col("text"))).alias("p"))
+    rows = whole.select("path", F.explode(T.paragraphs(F.col("text"))).alias("p"))
     return rows.groupBy(F.col("path").alias("conv_id")).agg(F.count("*").alias("paragraphs"), F.sum(F.length("p.text")).alias("chars"))
 
 
@@ -919,9 +919,9 @@ def token_sets(spark, sf_dir):
     return met.select("doc_id", F.size(F.array_intersect("a", "b")).alias("common"), F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_except("a", "b")).alias("only_a"))
 
 
-@query(f"""with {_PAGES} select path, page, case when trim(regexp_replace(text, '\\s', '', 'g')) = '' then '' when {_CONTENT.format('text')} < 220 then 'thin' else '?' end as why from pg where not contains(text, '> **') and {_CONTENT.format('text')} between 1 and 219
-  and len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) < 4""")
+@query(f"""with {_PAGES}, l as (select *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as ls from pg where not contains(text, '> **')),
+  w as (select path, page, case when len(ls) = 0 then '' when len(ls) >= 4 and list_avg(list_transform(ls, lambda x: length(trim(x)))) < 6 then 'short-lines' when {_CONTENT.format('text')} < 220 then 'thin' else '' end as why from l)
+  select path, page, why from w where why <> ''""")
 def suspect_pages(spark, sf_dir):
-    """Pages of few lines that do not look like text."""
-    rows = model.pages(spark, sf_dir).where(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) < 4)
-    return transcripts.suspect_pages(rows)
+    """Pages that do not look like text."""
+    return transcripts.suspect_pages(model.pages(spark, sf_dir))
