@@ -118,7 +118,8 @@ def rounded(rows: DataFrame, seed: int = 7) -> DataFrame:
     documents, all by the same amount.  As such a miss is zero in expectation, every
     fraction stays the chance of its document.  Only a last pivot whose miss the smaller
     ones could not take up, if there are any, goes to the nearer side instead.  What a
-    source misses in the end is about half of one of its smallest documents.
+    source misses in the end is about half of one of its smallest documents; one of few
+    documents can miss half of its largest.
     """
     rows, path = rows.withColumn("stratum", F.floor(F.log2("size") / STRATUM).cast("int")), scratch_path(rows.sparkSession, "strata")
     rows.write.partitionBy("stratum").parquet(path)
