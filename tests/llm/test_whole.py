@@ -106,3 +106,33 @@ def test_all_tested_words_are_in_the_lexicon(spark):
     labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, toxic int")
     model = fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     assert len(model.words) == 5000 and (np.diff(model.words.astype(object)) > 0).all()
+
+
+def test_a_worker_gives_back_a_group_s_memory(spark):
+    """Workers live on: what they hold after the scores of 24 MB of text is little more than before them."""
+    import re
+
+    from textloom.llm.common import BATCH
+    from textloom.llm.suffix_tree import score_documents
+
+    def held(batches):
+        import ctypes
+        import os
+        import time
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        mb = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+        for _ in batches:
+            before = mb()
+            ctypes.CDLL(None).malloc_trim(0)
+            time.sleep(0.5)  # so that each task has a worker of its own
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "before": [before], "trimmed": [mb()]})
+
+    look = lambda: {r["pid"]: r for r in spark.range(0, 8, 1, 8).mapInArrow(held, "pid long, before long, trimmed long").collect()}
+    rows = spark.range(0, 12_000, 1, 8).selectExpr("id as doc_id", "array_join(transform(sequence(1, 300), i -> conv(abs(xxhash64(id, i)) % (1 + abs(xxhash64(i, id)) % 90000), 10, 26)), ' ') as text")
+    spark.conf.set(BATCH, "2000")
+    look()
+    score_documents(rows).write.format("noop").mode("overwrite").save()
+    assert max(r["before"] - r["trimmed"] for r in look().values()) < 60

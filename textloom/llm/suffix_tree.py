@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import _BASE, chunks, fold_of, giving_back, materialize, mix64, split_table, word_hashes
+from textloom.llm.common import _BASE, chunks, fold_of, giving_back, group_by_group, materialize, mix64, split_table, word_hashes
 
 DISCOUNT = 0.5
 THRESHOLD = 3.0
@@ -114,7 +114,7 @@ def count_words(docs: DataFrame, buckets: int):
         used = np.flatnonzero(classes)
         return pa.table({"n": [int(n.sum())], "v": [len(word)], "top": [_pack(word[top], n[top].astype(np.uint64))], "classes": [_pack(used.astype(np.uint32), classes[used].astype(np.uint64))]})
 
-    rows = docs.mapInArrow(count, "bucket int, words binary").groupBy("bucket").applyInArrow(merge, "n long, v long, top binary, classes binary")
+    rows = docs.mapInArrow(giving_back(count), "bucket int, words binary").groupBy("bucket").applyInArrow(group_by_group(merge), "n long, v long, top binary, classes binary")
     rows = materialize(rows, "words")
     n, v = (int(x or 0) for x in rows.agg(F.sum("n"), F.sum("v")).first())
 
@@ -203,7 +203,7 @@ def count_next(docs: DataFrame, states: np.ndarray, words: int, groups: int) ->
         order = np.lexsort((word, state))
         return pa.table({"counts": [_pack(state[order], word[order], n[order])]})
 
-    return docs.mapInArrow(giving_back(count), "group int, counts binary").groupBy("group").applyInArrow(merge, "counts binary")
+    return docs.mapInArrow(giving_back(count), "group int, counts binary").groupBy("group").applyInArrow(group_by_group(merge), "counts binary")
 
 
 def _send(counts: DataFrame, kind: int, state: np.ndarray, key: np.ndarray, short: np.ndarray, buckets: int) -> DataFrame:
@@ -393,9 +393,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def contexts(table: pa.Table) -> pa.Table:
         out = _Rows()
-        is_sum = np.array(table.column("kind").to_pylist()) >= 5
-        summed = _whole(table.filter(pa.array(is_sum)))
-        table = table.filter(pa.array(~is_sum))
+        summed = _whole(table)
         events = out.take(table, 1)
         if not events:
             return out.table()
@@ -408,18 +406,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
         edges = np.array([((bucket << 64) // buckets) + (i << (64 - bits)) // parts for i in range(1, parts)], np.uint64)
         cuts = [np.concatenate(([0], np.searchsorted(x[0], edges), [len(x[0])])) for _, _, x in events]
         reach = np.concatenate(([0], np.searchsorted(summed[1], edges), [len(summed[1])]))
-        skips = [[np.append(0, np.cumsum(x[k] == 0)) for k in (1, 3)] for _, _, x in events]
+        used = [[0, 0] for _ in events]  # farther and next words that are no frequent ones, of the parts before
         sums = [np.zeros(n_docs) for _, n_docs, _ in events]
         others: list[list] = [[] for _ in events]
         for part in range(parts):
             pieces = []
-            for cut, (s2, s0), (_, _, (key, before, short, now, rare, tag)) in zip(cuts, skips, events):
+            for cut, skip, (_, _, (key, before, short, now, rare, tag)) in zip(cuts, used, events):
                 i, j = cut[part], cut[part + 1]
+                far, new = before[i:j] == 0, now[i:j] == 0
+                s2, s0 = skip
+                skip[:] = s2 + np.count_nonzero(far), s0 + np.count_nonzero(new)
                 whole = shorts_of[before[i:j]]
-                whole[before[i:j] == 0] = short[s2[i] : s2[j]]
+                whole[far] = short[s2 : skip[0]]
                 at = by_rank[now[i:j]]
                 word = words_of[at]
-                word[at == len(frequent)] = rare[s0[i] : s0[j]]
+                word[new] = rare[s0 : skip[1]]
                 pieces.append((key[i:j], whole, at, word, tag[i:j]))
             lengths = [len(p[0]) for p in pieces]
             if not sum(lengths):
@@ -435,12 +436,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 sums[k] += np.bincount((tag[rows] >> 1).astype(np.int64), score[rows], len(sums[k]))
                 rare = np.flatnonzero(is_rare[rows])
                 others[k].append((word[rows][rare], tag[rows][rare], ratio[rows][rare]))
+        for _, _, x in events:
+            x.clear()
+        del summed
         found = [[np.zeros(0, kind) for kind in (np.uint64, np.uint32, np.float32, np.int64)]]
         for (block, n_docs, _), total, parts_of in zip(events, sums, others):
             out.add(_home(block, second), block, 2, n_docs, _pack(total.view(np.uint64)))
             found += [[*x, np.full(len(x[0]), block)] for x in parts_of]
         # rare words of all blocks together: a row for each second bucket, however many blocks there are
         w, t, r, of = (np.concatenate(x) for x in zip(*found))
+        del found, others
         order = np.argsort(w, kind="stable")
         cut = _split_by(w[order], second)[1]
         for b in range(second):
@@ -492,10 +497,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
         tokens = tokens.astype(np.int64)
         return pa.table({"doc_id": table.column("docs")[at].values, "held_out": held.astype(bool), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(tokens), n_train), "base_score": base - tokens * log_z, "score": score})
 
-    dealt = spread.mapInArrow(deal, ROW)
+    dealt = spread.mapInArrow(giving_back(deal), ROW)
     for rows in learned:
         dealt = dealt.unionByName(rows)
-    flow = dealt.groupBy("bucket").applyInArrow(contexts, ROW).groupBy("bucket").applyInArrow(roots, ROW)
+    flow = dealt.groupBy("bucket").applyInArrow(group_by_group(contexts), ROW).groupBy("bucket").applyInArrow(group_by_group(roots), ROW)
     return flow.groupBy("block").applyInArrow(close, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -510,11 +515,14 @@ def _row(bucket: int, block: int, kind: int, n_docs: int, blob: bytes, docs=None
 
 
 def _whole(table: pa.Table) -> list[np.ndarray]:
-    """Level (5: contexts of a word, 6: of two), key, short, next word and count of split contexts, in order of the key."""
+    """Level (5: contexts of a word, 6: of two), key, short, next word and count of a table's split contexts, in order of the key."""
     found = [np.zeros(0, k) for k in (np.int64, np.uint64, np.uint32, np.uint64, np.int64)]
     parts = [found]
-    for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
-        key, short, length, word, n = _unpack(blob)
+    blobs = table.column("blob")
+    for i, kind in enumerate(table.column("kind").to_pylist()):
+        if kind < 5:
+            continue
+        key, short, length, word, n = _unpack(blobs[i].as_py())
         length = length.astype(np.int64)
         parts.append([np.full(len(word), kind), np.repeat(key, length), np.repeat(short, length), word, n.astype(np.int64)])
     found = [np.concatenate(x) for x in zip(*parts)]
@@ -523,19 +531,20 @@ def _whole(table: pa.Table) -> list[np.ndarray]:
 
 
 class _Rows:
-    """Rows of one task: those of a kind are unpacked, all others pass on."""
+    """Rows of one task: those of a kind are unpacked, all others pass on, but for sums of split contexts."""
 
     def __init__(self):
         self.rows: list[tuple] = []
         self.passed: list[pa.Table] = []
 
     def take(self, table: pa.Table, kind: int) -> list[tuple]:
-        mine = np.array(table.column("kind").to_pylist()) == kind
-        rest = table.filter(pa.array(~mine))
+        kinds = np.array(table.column("kind").to_pylist())
+        rest = table.filter(pa.array((kinds != kind) & (kinds < 5)))
         if rest.num_rows:
             self.passed.append(rest.select(_NAMES))
-        own = table.filter(pa.array(mine)).sort_by("block")
-        return [(b, n, _unpack(x)) for b, n, x in zip(own.column("block").to_pylist(), own.column("n_docs").to_pylist(), own.column("blob").to_pylist())]
+        block, n_docs, blobs = (table.column(c) for c in ("block", "n_docs", "blob"))
+        own = sorted((block[i].as_py(), i) for i in np.flatnonzero(kinds == kind).tolist())
+        return [(b, n_docs[i].as_py(), _unpack(blobs[i].as_py())) for b, i in own]
 
     def add(self, *row) -> None:
         self.rows.append(row)
