@@ -436,12 +436,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 sums[k] += np.bincount((tag[rows] >> 1).astype(np.int64), score[rows], len(sums[k]))
                 rare = np.flatnonzero(is_rare[rows])
                 others[k].append((word[rows][rare], tag[rows][rare], ratio[rows][rare]))
+        met = [np.unique(x[5] >> 1) for _, _, x in events]
         for _, _, x in events:
             x.clear()
         del summed
         found = [[np.zeros(0, kind) for kind in (np.uint64, np.uint32, np.float32, np.int64)]]
-        for (block, n_docs, _), total, parts_of in zip(events, sums, others):
-            out.add(_home(block, second), block, 2, n_docs, _pack(total.view(np.uint64)))
+        # only of documents that have events here, so that all sums together are no more than events, however many buckets
+        for (block, n_docs, _), doc, total, parts_of in zip(events, met, sums, others):
+            out.add(_home(block, second), block, 2, n_docs, _pack(doc, total[doc].view(np.uint64)))
             found += [[*x, np.full(len(x[0]), block)] for x in parts_of]
         # rare words of all blocks together: a row for each second bucket, however many blocks there are
         w, t, r, of = (np.concatenate(x) for x in zip(*found))
@@ -474,9 +476,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
         logs = np.log10(c + 0.5)
         first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         for a, z in zip(first.tolist(), [*first[1:].tolist(), len(of)]):
-            doc, seen = (tag[a:z] >> 1).astype(np.int64), c[a:z]
+            (met, doc), seen = np.unique(tag[a:z] >> 1, return_inverse=True), c[a:z]
             base, known, score = np.bincount(doc, logs[a:z]), np.bincount(doc, seen > 0), np.bincount(doc, np.log10(ratio[a:z] + (seen + 0.5) / 10**log_z))
-            out.add(0, int(of[a]), 4, len(base), _pack(base.view(np.uint64), known.astype(np.uint32), score.view(np.uint64)))
+            out.add(0, int(of[a]), 4, len(met), _pack(met, base.view(np.uint64), known.astype(np.uint32), score.view(np.uint64)))
         return out.table()
 
     def close(table: pa.Table) -> pa.Table:
@@ -486,14 +488,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
         base, known, score = base.view(np.float64).copy(), known.astype(np.int64), np.zeros(len(tokens))
         # in a fixed order, so that sums do not depend on the order of arrival
         for k, blob in sorted((k, b) for k, b in zip(kind, blobs) if k):
-            found = _unpack(blob)
-            if k == 2:
-                score += found[0].view(np.float64)
-            else:  # up to the last document that has a rare word there
-                n = len(found[0])
-                base[:n] += found[0].view(np.float64)
-                known[:n] += found[1].astype(np.int64)
-                score[:n] += found[2].view(np.float64)
+            doc, *found = _unpack(blob)
+            if k == 4:
+                base[doc] += found[0].view(np.float64)
+                known[doc] += found[1].astype(np.int64)
+            score[doc] += found[-1].view(np.float64)
         tokens = tokens.astype(np.int64)
         return pa.table({"doc_id": table.column("docs")[at].values, "held_out": held.astype(bool), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(tokens), n_train), "base_score": base - tokens * log_z, "score": score})
 
@@ -501,7 +500,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     for rows in learned:
         dealt = dealt.unionByName(rows)
     flow = dealt.groupBy("bucket").applyInArrow(group_by_group(contexts), ROW).groupBy("bucket").applyInArrow(group_by_group(roots), ROW)
-    return flow.groupBy("block").applyInArrow(close, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return flow.groupBy("block").applyInArrow(group_by_group(close), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 ROW = "bucket int, block long, kind int, n_docs int, blob binary, docs array<long>"
