@@ -233,3 +233,30 @@ def test_likeness_queries_are_the_plain_ones(spark, tmp_path):
     found = {(r["item_id"], r["doc_id"]): (r["relation"], r["matched_chars"], near(r["a_cover"]), near(r["b_cover"])) for r in queries.similar_passages(spark, str(tmp_path)).collect()}
     assert found == {k: (w["relation"], w["matched_chars"], near(w["a_cover"]), near(w["b_cover"])) for k, w in plain_pairs(passages, docs, False, 40).items()} != {}
     assert np.mean([r["a_cover"] for r in got.values()]) > 0.3
+
+
+def test_texts_without_a_pair_do_not_travel(spark):
+    """Of texts that share nothing, similar_pairs shuffles less than their length: neither the texts nor all of their shingles over and over."""
+    from textloom.plans.tasks import written
+
+    sc = spark.sparkContext
+    no = sc._jvm.java.util.ArrayList()
+
+    def shuffled():
+        found = sc._jsc.sc().statusStore().stageList(no, False, False, sc._gateway.new_array(sc._jvm.double, 0), no)
+        return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+    texts = {i: words(i, 3000) for i in range(160)}
+    texts[160] = texts[0][:9000] + words(900, 600)
+    rows = written(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8))
+    before = shuffled()
+    found = similar.similar_pairs(rows, rows, "doc_id", "text", write=written).select("a", "b").collect()
+    assert {tuple(r) for r in found} == {(0, 160), (160, 0)}
+    assert shuffled() - before < sum(map(len, texts.values()))
+
+
+def test_prints_are_those_of_sql(spark):
+    rows = spark.createDataFrame([(1, "ΟΔΟΣ a"), (2, "οδος A!"), (3, "οδοσ A"), (4, "İ x"), (5, "i x"), (6, "-- "), (7, None), (8, "É1²"), (9, "é1"), (10, "")], "id long, text string")
+    sql = {r["id"]: r["h"] for r in rows.selectExpr("id", r"case when length(regexp_replace(text, '[^\\p{L}\\p{Nd}]', '')) > 0 then sha2(lower(regexp_replace(text, '[^\\p{L}\\p{Nd}]', '')), 256) end as h").collect()}
+    assert {r["id"]: r["h"] for r in similar.prints(rows, "id", "text").collect()} == sql
+    assert len({h for h in sql.values() if h}) < 7
