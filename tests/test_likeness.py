@@ -255,6 +255,51 @@ def test_texts_without_a_pair_do_not_travel(spark):
     assert shuffled() - before < sum(map(len, texts.values()))
 
 
+def test_texts_are_not_written_again(spark, tmp_path):
+    """similar_passages writes of texts that meet no passage their sketch alone: less than half of their length."""
+    from textloom import index_queries as queries
+
+    sc = spark.sparkContext
+    no = sc._jvm.java.util.ArrayList()
+
+    def put():
+        found = sc._jsc.sc().statusStore().stageList(no, False, False, sc._gateway.new_array(sc._jvm.double, 0), no)
+        return sum(found.apply(i).outputBytes() + found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+    texts = {i: words(i, 3000) for i in range(160)} | {160: words(0, 3000).upper(), 161: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([7], pa.int64()), "text": [texts[3][500:1500]]}), f"{tmp_path}/benchmark.parquet")
+    before = put()
+    found = queries.similar_passages(spark, str(tmp_path)).collect()
+    assert [(r["item_id"], r["doc_id"], r["relation"]) for r in found] == [(7, 3, "contained")]
+    assert put() - before < 0.5 * sum(len(t or "") for t in texts.values())
+
+
+def test_sampled_shingles_are_those_of_each_text(spark, monkeypatch):
+    """Texts hashed as one: no window over an end, whatever the blocks; Latin-1 or not, the folded texts are those of ``fold``."""
+    texts = ["", "...", "a" * 31, "b" * 32, words(1, 300), "Straße ÀÉÎ ²³ ªº µ ÿ Ÿ " * 9, "ΟΔΟΣ İ ٣ 漢字 \ud800" * 20, words(2, 40) + " é", "", words(3, 900), ""]
+    bodies = [folding.body(t) for t in texts]
+    assert all(b.tolist() == folding.fold(t).body.tolist() for b, t in zip(bodies, texts))
+    whole = [folding.shingles(b) for b in bodies]
+    for block in (1, 7, 1 << 15):
+        monkeypatch.setattr(folding, "BLOCK", block)
+        assert all(folding.shingles(b).tolist() == h.tolist() for b, h in zip(bodies, whole))
+        for modulus in (1, 3, 32):
+            at, value, bounds = folding.sampled(bodies, modulus=modulus)
+            for k, h in enumerate(whole):
+                hit = np.flatnonzero(h % np.uint64(modulus) == 0)
+                part = slice(bounds[k], bounds[k + 1])
+                assert at[part].tolist() == hit.tolist() and value[part].tolist() == h[hit].view(np.int64).tolist()
+    monkeypatch.setattr(similar, "MOST_CHARS", 50)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts) if "\ud800" not in t] + [(50, None)], "id long, text string")
+    prints = {r["id"]: r["h"] for r in similar.prints(rows, "id", "text").collect()}
+    for r in similar.sampled(rows, "id", "text").collect():
+        h = whole[r["id"]] if r["id"] < 50 else whole[0]
+        hit = np.flatnonzero(h % np.uint64(32) == 0)
+        assert (r["h"].hex() if r["h"] else None) == prints[r["id"]] and r["chars"] == len(folding.body(texts[r["id"]] if r["id"] < 50 else ""))
+        assert r["at"] == hit.tolist() and r["hash"] == h[hit].view(np.int64).tolist()
+
+
 def test_prints_are_those_of_sql(spark):
     rows = spark.createDataFrame([(1, "ΟΔΟΣ a"), (2, "οδος A!"), (3, "οδοσ A"), (4, "İ x"), (5, "i x"), (6, "-- "), (7, None), (8, "É1²"), (9, "é1"), (10, "")], "id long, text string")
     sql = {r["id"]: r["h"] for r in rows.selectExpr("id", r"case when length(regexp_replace(text, '[^\\p{L}\\p{Nd}]', '')) > 0 then sha2(lower(regexp_replace(text, '[^\\p{L}\\p{Nd}]', '')), 256) end as h").collect()}
