@@ -30,6 +30,21 @@ def test_windows_cover_without_gap(spark):
     assert got == {1: "line é\n" * 4000} and cut("") == []
 
 
+def test_round_trip_has_a_row_for_each_text(spark, tmp_path):
+    """Empty and null texts, keys that several rows share, and none: the rows of the SQL."""
+    from hashlib import sha256
+
+    from textloom import queries
+
+    long = "line é\n" * 4000
+    rows = [(1, long), (2, ""), (3, None), (4, long), (4, long + "x"), (4, long), (4, ""), (None, "b"), (None, "c"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = lambda found: sorted(found, key=str)
+    got = queries.fragment_round_trip(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "digest"]
+    assert order(tuple(r) for r in got.collect()) == order((k, None if t is None else sha256(t.encode()).hexdigest()) for k, t in rows)
+
+
 def test_scalars(spark):
     assert one(spark, T.fold(F.lit("A-b 3,Ç"))) == "ab3ç"
     assert one(spark, T.numeric_tokens(F.lit("1,234,567 and 25.00 or 7"))) == ["1234567", "25.00"]
