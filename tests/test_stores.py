@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textloom.functions import folding
 from textloom.functions.stem import stem
 from textloom.operators import overlap
+from textloom.sources import segmented
 from textloom.sources.segmented import FACTS
 from textloom.sources.sketches import SketchStore
 from textloom.sources.textindex import TextIndex
@@ -174,6 +175,41 @@ def test_text_index(spark, tmp_path, monkeypatch, stemmed):
     same()
 
 
+def test_builds_and_merges_leave_little_behind(spark, tmp_path, monkeypatch):
+    """Shuffled rows go with the build; a merge with marks alone shuffles no rows, unless too many documents went; the rows are the same."""
+    sc = spark.sparkContext
+    no = sc._jvm.java.util.ArrayList()
+    manager = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = sc._jsc.sc().statusStore().stageList(no, False, False, sc._gateway.new_array(sc._jvm.double, 0), no)
+        return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+    def kept():
+        files = manager.getAllFiles()
+        return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+    monkeypatch.setattr(TextIndex, "CHARS", 100_000)
+    docs = [(i, words(i, 4000)) for i in range(60)]
+    text = sum(len(t) for _, t in docs)
+    took, found, settings = {}, {}, {k: spark.conf.get(k, None) for k in segmented.WRITING}
+    for most in (0, 1 << 20):
+        monkeypatch.setattr(segmented, "MOST_DEAD", most)
+        index = TextIndex(spark, str(tmp_path / f"i{most}"))
+        there = kept()
+        index.update(spark.createDataFrame(docs, "id long, text string"), "id", "text")
+        assert kept() - there < 0.2 * text
+        index.delete(spark.createDataFrame([(3,), (8,)], "key long"))
+        wanted, before = {(r["key"], r["term"], tuple(r["positions"]), r["dl"]) for r in index.rows().collect()}, shuffled()
+        index.merge()
+        took[most] = shuffled() - before
+        index.vacuum()
+        found[most] = {(r["key"], r["term"], tuple(r["positions"]), r["dl"]) for r in index.rows().collect()}
+        assert found[most] == wanted and {k for k, *_ in wanted} == {i for i, _ in docs} - {3, 8} and index.documents().count() == 58
+    assert took[1 << 20] < took[0] / 10
+    assert {k: spark.conf.get(k, None) for k in segmented.WRITING} == settings
+
+
 def test_index_opens_its_terms_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(TextIndex, "CHARS", 100)
     index = TextIndex(spark, str(tmp_path / "i"))
