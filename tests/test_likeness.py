@@ -235,6 +235,47 @@ def test_likeness_queries_are_the_plain_ones(spark, tmp_path):
     assert np.mean([r["a_cover"] for r in got.values()]) > 0.3
 
 
+def test_proposals_of_pairs_that_share_what_is_generic(spark, tmp_path, monkeypatch):
+    """Pairs with fewer than three usual sampled shingles in common, but with generic ones three: all of them that have enough beside their masks."""
+    from textloom import index_queries as queries
+
+    monkeypatch.setattr(similar, "MEMBERS", 3)  # passages of many texts are dealt to parts
+    kept = lambda t: {h for h in folding.shingles(folding.fold(t).body).tolist() if h % 32 == 0}
+    passages = [t for t in (words(k, 60)[:330] for k in range(2000, 4000)) if len(kept(t)) < 3][:3]
+    assert len(passages) == 3
+    footer, form = words(9, 90), words(10, 1800)
+    docs = {i: f"{words(300 + i, 40)} {passages[i % 5] if i % 5 < 3 else words(400 + i, 60)} {words(500 + i, 40)} {footer}" for i in range(14)}
+    docs |= {20 + i: f"{words(600 + i, 20)} {form} {i}{i}" for i in range(13)}  # all that they share is generic, what is not sampled is not masked
+    docs |= {40: docs[0].upper(), 41: "", 42: None, 43: footer}
+    rows = [(k, t, "x", "x", len(t or "")) for k, t in docs.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {k: t for k, t in docs.items() if t and k != 40}
+    sketch = {k: kept(t) for k, t in texts.items()}
+    df = collections.Counter(h for s in sketch.values() for h in s)
+    generic = {h for h, n in df.items() if n >= 12}
+
+    def mask(t):
+        body, out = folding.fold(t).body, []
+        for i, h in enumerate(folding.shingles(body).tolist()):
+            if h in generic:
+                lo, hi = max(i - 32, 0), min(i + 64, len(body))
+                out = [*out[:-1], (out[-1][0], hi)] if out and lo <= out[-1][1] else [*out, (lo, hi)]
+        return out
+
+    masks, wanted, before = {k: mask(t) for k, t in texts.items()}, {}, set()
+    for a in texts:
+        for b in texts:
+            if a != b and len(sketch[a] & sketch[b]) >= 3:
+                found = plain_compare(texts[a], texts[b], masks[a], masks[b])
+                if found["matched_chars"] >= 250:
+                    wanted[a, b] = found["relation"]
+                    before |= {(a, b)} if len((sketch[a] & sketch[b]) - generic) >= 3 else set()
+    told = {(r["a"], r["b"]): r["kind"] for r in queries.ruling_proposals(spark, str(tmp_path)).collect()}
+    assert told.keys() == wanted.keys() and all((told[k] == "") == (w == "overlap") for k, w in wanted.items())
+    crowd = wanted.keys() - before
+    assert any(a < 20 for a, _ in crowd) and any(20 <= a < 40 for a, _ in crowd)
+
+
 def test_texts_without_a_pair_do_not_travel(spark):
     """Of texts that share nothing, similar_pairs shuffles less than their length: neither the texts nor all of their shingles over and over."""
     from textloom.plans.tasks import written
